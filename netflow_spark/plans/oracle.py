@@ -117,3 +117,6 @@ oracle("tag_flows", "WITH " + _TAGGED + """
 SELECT flow_id, client_ip, server_ip, client_port, server_port, protocol, flow_disposition, flow_cause,
        icmp_error_count, tls_handshake_ok, first_alert_time, time_to_alert
 FROM tagged""")
+
+
+from . import oracle_rules  # noqa: E402,F401  (registers rule oracles)

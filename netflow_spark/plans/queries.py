@@ -19,3 +19,6 @@ def q_tag_flows(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_queries() -> dict:
     return dict(QUERIES)
+
+
+from . import queries_rules  # noqa: E402,F401  (registers rule queries)
