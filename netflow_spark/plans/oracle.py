@@ -120,3 +120,4 @@ FROM tagged""")
 
 
 from . import oracle_rules  # noqa: E402,F401  (registers rule oracles)
+from . import oracle_flows  # noqa: E402,F401
