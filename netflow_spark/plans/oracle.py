@@ -9,12 +9,19 @@ from __future__ import annotations
 from ..fixtures import oracle_with_packets
 
 ORACLE: dict[str, str] = {}
+RAW: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str, packets: bool = True) -> None:
+    RAW[name] = sql.strip()
     ORACLE[name] = oracle_with_packets(sql) if packets else sql.strip()
 
 
+def nested(name: str) -> str:
+    """Body of an earlier oracle, usable as a CTE (it may contain its own WITH)."""
+    return "(" + RAW[name] + ")"
+
+
 # Oriented packets: a null direction reads server→client.
 _ORIENTED = """
 op AS (
@@ -121,3 +128,4 @@ FROM tagged""")
 
 from . import oracle_rules  # noqa: E402,F401  (registers rule oracles)
 from . import oracle_flows  # noqa: E402,F401
+from . import oracle_metrics  # noqa: E402,F401

@@ -68,8 +68,8 @@ _L7 = """CASE
 oracle("flow_table", "WITH " + _KEYED + f""",
 g AS (
   SELECT src_ip, dest_ip, src_port, dest_port, proto AS protocol,
-    sum(CASE WHEN c2s THEN len ELSE 0 END) AS bytes_c2s,
-    sum(CASE WHEN NOT c2s THEN len ELSE 0 END) AS bytes_s2c,
+    sum(CASE WHEN c2s THEN len ELSE 0 END)::BIGINT AS bytes_c2s,
+    sum(CASE WHEN NOT c2s THEN len ELSE 0 END)::BIGINT AS bytes_s2c,
     sum(CASE WHEN c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_c2s,
     sum(CASE WHEN NOT c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_s2c,
     min(ts) AS start_ts, max(ts) AS end_ts
@@ -80,7 +80,7 @@ SELECT src_ip, dest_ip, src_port, dest_port, protocol, {_L7} AS l7_protocol_gues
 FROM g""")
 
 oracle("flow_sparkline", "WITH " + _KEYED + """,
-s AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, c2s, CAST(trunc(ts) AS BIGINT) AS sec, sum(len) AS b
+s AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, c2s, CAST(trunc(ts) AS BIGINT) AS sec, sum(len)::BIGINT AS b
       FROM kd GROUP BY ALL),
 r AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, min(sec) AS lo, max(sec) AS hi,
              bool_or(c2s) AS has_c, bool_or(NOT c2s) AS has_s FROM s GROUP BY ALL),
@@ -134,8 +134,8 @@ g AS (
     min(timestamp) AS start_time, max(timestamp) AS end_time,
     sum(CASE WHEN c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_c2s,
     sum(CASE WHEN NOT c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_s2c,
-    sum(CASE WHEN c2s THEN coalesce(packet_length, 0) ELSE 0 END) AS bytes_c2s,
-    sum(CASE WHEN NOT c2s THEN coalesce(packet_length, 0) ELSE 0 END) AS bytes_s2c,
+    sum(CASE WHEN c2s THEN coalesce(packet_length, 0) ELSE 0 END)::BIGINT AS bytes_c2s,
+    sum(CASE WHEN NOT c2s THEN coalesce(packet_length, 0) ELSE 0 END)::BIGINT AS bytes_s2c,
     arg_min(disp, (disp_rank, disp)) FILTER (WHERE disp IS NOT NULL) AS flow_disposition,
     arg_min(tt, (tt_rank, frame_number)) FILTER (WHERE tt IS NOT NULL) AS primary_traffic_type_guess,
     arg_min(sni, frame_number) FILTER (WHERE sni IS NOT NULL) AS sni_hostname,

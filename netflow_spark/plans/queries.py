@@ -23,3 +23,4 @@ def all_queries() -> dict:
 
 from . import queries_rules  # noqa: E402,F401  (registers rule queries)
 from . import queries_flows  # noqa: E402,F401
+from . import queries_metrics  # noqa: E402,F401
