@@ -35,22 +35,24 @@ def asof_latest(probe: DataFrame, build: DataFrame, key: Sequence[str], order: s
         b = b.withColumn(c, F.lit(None).cast(p.schema[c].dataType))
     u = p.unionByName(b.select(*p.columns)).withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
 
-    # Inside a (key, block): running last build value strictly before (or at) this row.
-    # Build rows sort before probes of the same order value when not strict.
+    # One exchange on (key, block) feeds everything below (Spark reuses it): the running last
+    # build value inside the block, and the block's own last build value (for later blocks).
     tie = F.when(F.col("_is_probe"), F.lit(1)).otherwise(F.lit(0))
     frame_end = -1 if strict else 0
-    w_in = (Window.partitionBy(*key, "_blk").orderBy(F.col(order), tie if not strict else F.lit(0))
-            .rowsBetween(Window.unboundedPreceding, frame_end))
-    u = u.withColumn("_in_blk", F.last(F.when(~F.col("_is_probe"), F.col(value)), ignorenulls=True).over(w_in))
-
-    # Carry-in from earlier blocks: one summary row per (key, block).
-    summary = u.groupBy(*key, "_blk").agg(
-        F.max_by(F.when(~F.col("_is_probe"), F.col(value)),
-                 F.when(~F.col("_is_probe"), F.col(order))).alias("_blk_last"))
+    w_part = Window.partitionBy(*key, "_blk").orderBy(F.col(order), tie if not strict else F.lit(0))
+    bval = F.when(~F.col("_is_probe"), F.col(value))
+    uw = u.withColumns({
+        "_in_blk": F.last(bval, ignorenulls=True).over(w_part.rowsBetween(Window.unboundedPreceding, frame_end)),
+        "_blk_last": F.last(bval, ignorenulls=True).over(
+            w_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    # Carry-in from earlier blocks: one summary row per (key, block) — already partitioned, so
+    # this aggregate needs no shuffle; the running window is over that tiny table only.
+    summary = uw.groupBy(*key, "_blk").agg(F.first("_blk_last", ignorenulls=True).alias("_blk_last"))
     w_blk = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_carry", F.last("_blk_last", ignorenulls=True).over(w_blk)).drop("_blk_last")
+    summary = summary.select(*key, "_blk", F.last("_blk_last", ignorenulls=True).over(w_blk).alias("_carry"))
 
-    probes = u.where(F.col("_is_probe"))
+    probes = uw.where(F.col("_is_probe"))
     cond = F.lit(True)
     for c in [*key, "_blk"]:
         cond = cond & probes[c].eqNullSafe(summary[c])

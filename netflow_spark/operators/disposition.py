@@ -92,6 +92,9 @@ def tag_flows(packets: DataFrame, keys: Sequence[str] = (), flow_id: str = "dens
     With ``with_app_fields`` the DNS/SNI mismatch override (J3) can fire on packet evidence.
     """
     keys = list(keys)
+    if "frame_number" not in packets.columns:
+        # Without frame numbers the reference's row order is the only order: number rows as read.
+        packets = packets.withColumn("frame_number", F.monotonically_increasing_id() + 1)
     flows = flow_signals(packets, keys)
     counts = icmp_error_counts(packets, keys, block)
     flows = flows.join(counts, [*keys, *FLOW_KEY], "left").fillna({"icmp_error_count": 0})

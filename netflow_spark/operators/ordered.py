@@ -24,29 +24,29 @@ RTT_TIMEOUT_SECONDS = 3.0   # fixed value: SYN→SYN-ACK pairs slower than this
 
 def with_history(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[str], n: int,
                  block: int = DEFAULT_BLOCK, out: str = "_hist") -> DataFrame:
-    """Add ``out`` = array of struct(cols) of the ``n`` previous rows of the same key (oldest
-    first), ordered by ``order`` (integral, unique within a key)."""
+    """Add ``out`` = array of struct(order, cols) of the ``n`` previous rows of the same key
+    (oldest first), ordered by ``order`` (integral, unique within a key).
+
+    One shuffle on (key, block) computes the in-block history; rows among the first ``n`` of a
+    block prepend the carry-in, i.e. the last ``n`` rows before the block, taken from a context
+    table that holds only each block's first row and last ``n`` rows."""
     key = list(key)
     payload = F.struct(*[F.col(c) for c in [order, *cols]])
     d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block))).withColumn("_pl", payload)
     w_blk = Window.partitionBy(*key, "_blk").orderBy(order)
-    d = d.withColumns({"_rn_a": F.row_number().over(w_blk),
-                       "_rn_d": F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc()))})
-    # Context table: first row and last n rows of each block; bounded per key by (blocks × (n+1)).
+    d = d.withColumns({
+        "_rn_a": F.row_number().over(w_blk),
+        "_rn_d": F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc())),
+        "_in": F.collect_list("_pl").over(w_blk.rowsBetween(-n, -1)),
+    })
     ctx = d.where((F.col("_rn_a") == 1) | (F.col("_rn_d") <= n)).select(*key, "_blk", order, "_rn_a", "_pl")
     w_ctx = Window.partitionBy(*key).orderBy(order).rowsBetween(-n, -1)
     carry = (ctx.withColumn("_carry", F.collect_list("_pl").over(w_ctx))
-             .where(F.col("_rn_a") == 1)
-             .select(*key, "_blk", F.explode("_carry").alias("_pl")))
-    carry = carry.withColumn(order, F.col("_pl").getField(order)).withColumn("_is_ctx", F.lit(True))
-    rows = d.drop("_rn_a", "_rn_d").withColumn("_is_ctx", F.lit(False))
-    for c in rows.columns:
-        if c not in carry.columns:
-            carry = carry.withColumn(c, F.lit(None).cast(rows.schema[c].dataType))
-    u = rows.unionByName(carry.select(*rows.columns))
-    w = Window.partitionBy(*key, "_blk").orderBy(order).rowsBetween(-n, -1)
-    u = u.withColumn(out, F.collect_list("_pl").over(w))
-    return u.where(~F.col("_is_ctx")).drop("_blk", "_pl", "_is_ctx")
+             .where(F.col("_rn_a") == 1).select(*key, "_blk", "_carry"))
+    j = d.join(carry, [*key, "_blk"], "left")
+    both = F.concat(F.coalesce(F.col("_carry"), F.array().cast(j.schema["_in"].dataType)), F.col("_in"))
+    hist = F.when(F.col("_rn_a") <= n, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)).otherwise(F.col("_in"))
+    return j.withColumn(out, hist).drop("_blk", "_pl", "_rn_a", "_rn_d", "_in", "_carry")
 
 
 def _key4(df: DataFrame) -> dict[str, Column]:
