@@ -102,18 +102,18 @@ def performance_summary(rtts: DataFrame, alerts: DataFrame, heur: DataFrame, pac
             .withColumn("tcp_retransmission_ratio_percent", pct).drop("_n", "_r"))
 
 
-def service_overview(flows: DataFrame, rdns: DataFrame | None = None) -> DataFrame:
-    """Flows and bytes per service label (P10). ``rdns``: optional (ip, rdns) dimension."""
+def service_overview(flows: DataFrame, rdns: DataFrame | None = None, guesser=None) -> DataFrame:
+    """Flows and bytes per service label (P10). ``rdns``: optional (ip, rdns) dimension.
+    U3: ``guesser(df) -> Column`` replaces the built-in service guess."""
     dst = first_present(flows, ["destination_ip", "dest_ip", "server_ip"])
     f = flows.withColumn("_dst", dst)
     if rdns is not None:
         f = f.join(rdns.select(F.col("ip").alias("_dst"), F.col("rdns").alias("_rdns")), "_dst", "left")
     port = first_present(f, ["destination_port", "dest_port", "server_port"], "long")
     sni = F.coalesce(first_present(f, ["sni", "sni_hostname"]), opt(f, "server_name_indication"))
-    svc = guess_service(F.col("protocol"), port, sni=sni,
-                        http_host=first_present(f, ["http_request_host_header", "http_host"]),
-                        rdns=F.col("_rdns") if "_rdns" in f.columns else None,
-                        is_quic=opt(f, "is_quic", "boolean"))
+    svc = guesser(f) if guesser is not None else guess_service(
+        F.col("protocol"), port, sni=sni, http_host=first_present(f, ["http_request_host_header", "http_host"]),
+        rdns=F.col("_rdns") if "_rdns" in f.columns else None, is_quic=opt(f, "is_quic", "boolean"))
     return f.groupBy(svc.alias("service")).agg(
         F.count(F.lit(1)).alias("flow_count"),
         F.sum(F.coalesce(opt(f, "bytes_total", "long").cast("long"), F.lit(0))).alias("bytes"))

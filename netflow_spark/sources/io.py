@@ -63,12 +63,29 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     if ext == "csv":
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if ext == "json":
-        return spark.read.option("multiLine", True).json(path)
+        # One JSON array of records (the reference's format) or JSON lines (Spark's own output).
+        return spark.read.option("multiLine", _is_json_array(path)).json(path)
     if ext == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported input file extension: .{ext}. Use .parquet, .csv or .json.")
 
 
+def _is_json_array(path: str) -> bool:
+    """Peek at the first byte of the first file (a few bytes on the driver, never the data)."""
+    first = path
+    if os.path.isdir(path):
+        parts = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
+        if not parts:
+            return False
+        first = os.path.join(path, parts[0])
+    try:
+        with open(first, "rb") as fh:
+            head = fh.read(4096).lstrip()
+        return head.startswith(b"[")
+    except OSError:
+        return False
+
+
 def write_flows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Flow table by extension (CSV with header, no index)."""
     ext = _ext(path)
