@@ -79,12 +79,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+PACKETS_PATH_CONF = "netflow.packets.path"
+
+
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``packets`` view over ``{sf_dir}/events.parquet`` (lazy; one projection over the scan)."""
+    """The ``packets`` view over ``{sf_dir}/events.parquet`` (lazy; one projection over the scan).
+
+    When the session sets ``netflow.packets.path``, the packets are read from that stored
+    Parquet table instead (the same rows, written once by ``store_packets``)."""
+    stored = spark.conf.get(PACKETS_PATH_CONF, None)
+    if stored:
+        return spark.read.parquet(stored)
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
     return spark.sql(PACKETS_VIEW_SQL)
 
 
+def store_packets(spark: SparkSession, sf_dir: str, path: str, files: int | None = None) -> None:
+    """Write the ``packets`` view once as a Parquet table (what an ingest job would produce):
+    files range-partitioned by frame number, so frame-range filters skip files and row groups."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    n = files or spark.sparkContext.defaultParallelism
+    (spark.sql(PACKETS_VIEW_SQL).repartitionByRange(n, "frame_number").sortWithinPartitions("frame_number")
+     .write.mode("overwrite").parquet(path))
+
+
 def oracle_with_packets(body_sql: str) -> str:
     """Prefix an oracle query with the shared ``packets`` CTE (DuckDB side)."""
     body = body_sql.strip()

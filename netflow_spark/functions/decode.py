@@ -7,6 +7,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .normalize import parse_int_text
 
@@ -39,46 +40,48 @@ TLS_ALERT_DESCRIPTIONS = {
 # ---------------------------------------------------------------------------------------------
 
 
-def lookup(code: Column, table: dict[int, str]) -> Column:
-    """Name for an integer code; an unknown code yields its own text; null stays null."""
+def lookup(code: Column, table: dict[int, str], text: bool = True) -> Column:
+    """Name for a code; an unknown code yields its own text; null stays null. Text codes
+    (``"0x0303"``, ``"1,234"``) are parsed first; pass ``text=False`` for integer columns."""
     m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
-    return F.coalesce(m[parse_int_text(code)], code.cast("string"))
+    key = parse_int_text(code) if text else code.cast("long")
+    return F.coalesce(m[key], code.cast("string"))
 
 
-def ip_protocol_name(c: Column, ipv6: Column | None = None) -> Column:
+def ip_protocol_name(c: Column, ipv6: Column | None = None, text: bool = True) -> Column:
     """IPv4 protocol number, or IPv6 next header when ``ipv6`` is true."""
-    v4 = lookup(c, IP_PROTOCOL_NAMES)
+    v4 = lookup(c, IP_PROTOCOL_NAMES, text)
     if ipv6 is None:
         return v4
-    return F.when(F.coalesce(ipv6, F.lit(False)), lookup(c, IPV6_NEXT_HEADER_NAMES)).otherwise(v4)
+    return F.when(F.coalesce(ipv6, F.lit(False)), lookup(c, IPV6_NEXT_HEADER_NAMES, text)).otherwise(v4)
 
 
-def dns_query_type_name(c: Column) -> Column:
-    return lookup(c, DNS_QUERY_TYPES)
+def dns_query_type_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, DNS_QUERY_TYPES, text)
 
 
-def dns_rcode_name(c: Column) -> Column:
-    return lookup(c, DNS_RCODES)
+def dns_rcode_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, DNS_RCODES, text)
 
 
-def dhcp_message_type_name(c: Column) -> Column:
-    return lookup(c, DHCP_MESSAGE_TYPES)
+def dhcp_message_type_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, DHCP_MESSAGE_TYPES, text)
 
 
-def tls_handshake_type_name(c: Column) -> Column:
-    return lookup(c, TLS_HANDSHAKE_TYPES)
+def tls_handshake_type_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, TLS_HANDSHAKE_TYPES, text)
 
 
-def tls_version_name(c: Column) -> Column:
-    return lookup(c, TLS_VERSIONS)
+def tls_version_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, TLS_VERSIONS, text)
 
 
-def tls_alert_level_name(c: Column) -> Column:
-    return lookup(c, TLS_ALERT_LEVELS)
+def tls_alert_level_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, TLS_ALERT_LEVELS, text)
 
 
-def tls_alert_description_name(c: Column) -> Column:
-    return lookup(c, TLS_ALERT_DESCRIPTIONS)
+def tls_alert_description_name(c: Column, text: bool = True) -> Column:
+    return lookup(c, TLS_ALERT_DESCRIPTIONS, text)
 
 
 def effective_tls_version(handshake_version: Column, record_version: Column) -> Column:
@@ -105,7 +108,8 @@ def decode_names(df: DataFrame) -> DataFrame:
     out = {}
     for code_col, (name_col, fn) in _DECODERS.items():
         if code_col in df.columns:
-            out[name_col] = fn(F.col(code_col))
+            is_text = isinstance(df.schema[code_col].dataType, T.StringType)
+            out[name_col] = fn(F.col(code_col), text=is_text)
     df = df.withColumns(out) if out else df
     if "tls_handshake_version" in df.columns or "tls_record_version" in df.columns:
         hv = F.col("tls_handshake_version") if "tls_handshake_version" in df.columns else F.lit(None).cast("string")
