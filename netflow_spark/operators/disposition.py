@@ -96,6 +96,15 @@ def tag_flows(packets: DataFrame, keys: Sequence[str] = (), flow_id: str = "dens
         # Without frame numbers the reference's row order is the only order: number rows as read.
         packets = packets.withColumn("frame_number", F.monotonically_increasing_id() + 1)
     flows = flow_signals(packets, keys)
+    if with_app_fields and ("http_response_code" in packets.columns or "http_status" in packets.columns):
+        # Carry the HTTP status evidence so R2 (proxy 407) can fire on flows.
+        from ..functions.columns import all_not_null, bool_any, with_oriented_key
+        o = with_oriented_key(packets)
+        status = first_present(o, ["http_status", "http_response_code"], "long")
+        ev = o.where(all_not_null([*keys, *FLOW_KEY])).groupBy(*keys, *FLOW_KEY).agg(
+            bool_any(status == 407).alias("_any_407"))
+        flows = flows.join(ev, [*keys, *FLOW_KEY], "left").withColumn(
+            "http_status", F.when(F.coalesce(F.col("_any_407"), F.lit(False)), F.lit(407))).drop("_any_407")
     counts = icmp_error_counts(packets, keys, block)
     flows = flows.join(counts, [*keys, *FLOW_KEY], "left").fillna({"icmp_error_count": 0})
     tagged = flow_disposition(flows)
@@ -106,6 +115,8 @@ def tag_flows(packets: DataFrame, keys: Sequence[str] = (), flow_id: str = "dens
         tagged = tagged.join(mm, [*keys, *FLOW_KEY], "left")
         mismatch_col = "_mismatch"
     tagged = apply_overrides(tagged, mismatch_col)
+    if "http_status" in tagged.columns:
+        tagged = tagged.drop("http_status")
     id_cols = [*keys, *FLOW_KEY]
     tagged = dense_id(tagged, id_cols) if flow_id == "dense" else hash_id(tagged, id_cols)
     return tagged.select(*keys, *TAGGED_COLUMNS)

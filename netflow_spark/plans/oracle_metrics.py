@@ -401,3 +401,32 @@ j AS (
 SELECT second, rank, src_ip, dest_ip, src_port, dest_port, protocol, bytes_total FROM j WHERE rank <= 5""")
 
 _unused = (_ORIENTED,)
+
+oracle("tag_flows_app", f"""
+WITH t AS {nested('tag_flows')},
+m AS {nested('dns_sni_mismatch')},
+mm AS (
+  SELECT DISTINCT CASE WHEN p.is_source_client THEN p.source_ip ELSE p.destination_ip END AS client_ip,
+    CASE WHEN p.is_source_client THEN p.destination_ip ELSE p.source_ip END AS server_ip,
+    CASE WHEN p.is_source_client THEN p.source_port ELSE p.destination_port END AS client_port,
+    CASE WHEN p.is_source_client THEN p.destination_port ELSE p.source_port END AS server_port,
+    p.protocol
+  FROM packets p JOIN m ON m.frame_number = p.frame_number WHERE m.mismatch),
+x AS (
+  SELECT t.*, mm.client_ip IS NOT NULL AS is_mm,
+    (t.protocol = 'HTTP' AND EXISTS (SELECT 1 FROM packets q WHERE q.http_response_code = 407
+       AND (CASE WHEN q.is_source_client THEN q.source_ip ELSE q.destination_ip END) = t.client_ip
+       AND (CASE WHEN q.is_source_client THEN q.destination_ip ELSE q.source_ip END) = t.server_ip
+       AND (CASE WHEN q.is_source_client THEN q.source_port ELSE q.destination_port END) = t.client_port
+       AND (CASE WHEN q.is_source_client THEN q.destination_port ELSE q.source_port END) = t.server_port
+       AND q.protocol = t.protocol)) AS is_407
+  FROM t LEFT JOIN mm USING (client_ip, server_ip, client_port, server_port, protocol))
+SELECT flow_id, client_ip, server_ip, client_port, server_port, protocol,
+  CASE WHEN flow_cause IN ('Undetermined', 'Downstream ICMP errors') AND is_407 THEN 'Blocked'
+       WHEN flow_cause IN ('Undetermined', 'Downstream ICMP errors') AND is_mm THEN 'Mis-routed'
+       ELSE flow_disposition END AS flow_disposition,
+  CASE WHEN flow_cause IN ('Undetermined', 'Downstream ICMP errors') AND is_407 THEN 'Proxy Authentication Failed'
+       WHEN flow_cause IN ('Undetermined', 'Downstream ICMP errors') AND is_mm THEN 'DNS answer set doesn’t include TLS target'
+       ELSE flow_cause END AS flow_cause,
+  icmp_error_count, tls_handshake_ok, first_alert_time, time_to_alert
+FROM x""")

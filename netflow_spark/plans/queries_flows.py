@@ -59,6 +59,12 @@ def q_flow_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ft.flow_summary(tag(rule_input(spark, sf), default_rules()))
 
 
+@query("tag_flows_app")
+def q_tag_flows_app(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.disposition import tag_flows
+    return tag_flows(packets(spark, sf), with_app_fields=True)
+
+
 @query("icmp_correlate")
 def q_icmp_correlate(spark: SparkSession, sf: str) -> DataFrame:
     return icmp.icmp_error_counts(packets(spark, sf))
