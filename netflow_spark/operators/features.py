@@ -24,9 +24,12 @@ RULE_FEATURES = ["tcp_handshake_successful", "tcp_fin_both_sides", "tcp_retransm
 def rule_features(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
     group = [*keys, *FLOW_KEY]
-    heur = tcp_heuristics(packets, keys).select(*keys, "frame_number", "heuristic_retransmission")
+    # Retransmissions per flow straight from W1 (oriented key carried through, no join by frame).
+    oriented = with_oriented_key(packets)
+    heur = tcp_heuristics(oriented, keys, carry=FLOW_KEY)
+    rt = heur.where(all_not_null(group)).groupBy(*group).agg(
+        F.count_if(F.col("heuristic_retransmission")).alias("_rt"))
     p = with_oriented_key(packets.withColumn("_reason", packet_error_reason(packets)))
-    p = p.join(heur, [*keys, "frame_number"], "left")
     c, s = is_client(p), is_server(p)
     fin = flag(p, "tcp_flags_fin")
     syn0 = flag(p, "tcp_flags_syn") & ~flag(p, "tcp_flags_ack")
@@ -36,7 +39,6 @@ def rule_features(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     agg = p.where(all_not_null(group)).groupBy(*group).agg(
         (bool_any(c & fin) & bool_any(s & fin)).alias("tcp_fin_both_sides"),
         F.count_if(tcp).alias("_tcp"),
-        F.count_if(tcp & F.coalesce(F.col("heuristic_retransmission"), F.lit(False))).alias("_rt"),
         F.min_by(F.when(c, F.lit("client")).when(s, F.lit("server")),
                  F.when(syn0 & (c | s), F.col("frame_number"))).alias("tcp_initiator"),
         F.min_by(rc, F.when(rc.isNotNull(), F.col("frame_number"))).alias("dns_rcode_name"),
@@ -45,8 +47,8 @@ def rule_features(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     sig = flow_signals(packets, keys).select(*group, F.col("handshake_complete").alias("tcp_handshake_successful"),
                                              F.col("tls_handshake_ok").alias("tls_handshake_successful"))
     rtt = handshake_rtt(packets, keys).groupBy(*group).agg(F.avg("rtt_ms").alias("flow_avg_rtt_ms"))
-    out = agg.join(sig, group, "inner").join(rtt, group, "left")
-    pct = F.when(F.col("_tcp") > 0, F.col("_rt") * 100.0 / F.col("_tcp"))
+    out = agg.join(sig, group, "inner").join(rtt, group, "left").join(rt, group, "left")
+    pct = F.when(F.col("_tcp") > 0, F.coalesce(F.col("_rt"), F.lit(0)) * 100.0 / F.col("_tcp"))
     return out.select(*group, "tcp_handshake_successful", "tcp_fin_both_sides",
                       pct.alias("tcp_retransmission_rate_percent"), "flow_avg_rtt_ms", "tls_handshake_successful",
                       "tcp_initiator", "dns_rcode_name", "packet_error_reason")

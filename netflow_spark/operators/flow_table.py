@@ -144,7 +144,9 @@ def flow_summary(tagged_packets: DataFrame, keys: Sequence[str] = ()) -> DataFra
         F.min_by(F.col("_tt"), F.when(F.col("_tt").isNotNull(),
                                       F.struct(_rank(F.col("_tt"), TRAFFIC_TYPE_ORDER), F.col("frame_number"))))
         .alias("primary_traffic_type_guess"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(tokens)))).alias("_obs_set"),
+        # collect_set dedupes map-side: the buffer is bounded by distinct observation strings,
+        # not by the flow's packet count.
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(tokens)))).alias("_obs_set"),
         _first_by_frame(F.col("_sni")).alias("sni_hostname"),
         _first_by_frame(F.col("_host")).alias("http_host"),
         _first_by_frame(F.col("_uri")).alias("http_path"),

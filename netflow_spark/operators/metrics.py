@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import guess_service, is_plaintext_http, packet_error_reason, split_port_key
 from ..functions.columns import first_present, flag, opt
+from .quantiles import exact_quantiles
 
 # Fixed values.
 SPIKE_SIGMA = 3.0
@@ -77,12 +78,18 @@ def spikes(tl: DataFrame, value: str = "bytes", sigma: float = SPIKE_SIGMA, keys
     return j.where((F.col("_nd") > 1) & (F.col("_std") > 0) & (F.col(value) > thr)).drop("_mean", "_std", "_nd")
 
 
+def _one_row_left(base: DataFrame, other: DataFrame) -> DataFrame:
+    """Attach a 0/1-row frame to a one-row frame (both sizes are proven: broadcast)."""
+    return base.withColumn("_k", F.lit(1)).join(F.broadcast(other.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
+
+
 def rtt_stats(samples: DataFrame, col: str = "rtt_ms") -> DataFrame:
-    """Median, p95 (linear interpolation), min, max, sample count; ``reason`` when empty."""
-    q = F.percentile(F.col(col), F.array(F.lit(0.5), F.lit(0.95)))
-    a = samples.agg(q.alias("_q"), F.min(col).alias("min"), F.max(col).alias("max"),
-                    F.count(col).alias("samples"))
-    return a.select(F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), "min", "max", "samples",
+    """Median, p95 (linear interpolation, exact and distributed), min, max, sample count;
+    ``reason`` when empty."""
+    a = samples.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("samples"))
+    q = exact_quantiles(samples, col, [0.5, 0.95]).select(F.col("q0").alias("median"), F.col("q1").alias("p95"))
+    j = _one_row_left(a, q)
+    return j.select("median", "p95", "min", "max", "samples",
                     F.when(F.col("samples") == 0, F.lit("insufficient_syn_ack_pairs")).alias("reason"))
 
 
@@ -94,7 +101,9 @@ def performance_summary(rtts: DataFrame, alerts: DataFrame, heur: DataFrame, pac
                                F.col("samples").alias("rtt_samples"),
                                F.col("median").alias("tcp_syn_rtt_ms"),
                                (F.col("samples") == 0).alias("rtt_limited_data"))
-    a = alerts.agg(F.median("time_to_alert_ms").alias("tls_time_to_alert_ms"))
+    a = _one_row_left(alerts.agg(F.count(F.lit(1)).alias("_na")),
+                      exact_quantiles(alerts, "time_to_alert_ms", [0.5]).select(F.col("q0").alias("tls_time_to_alert_ms"))
+                      ).drop("_na")
     tcp = packets.where(F.upper(F.col("protocol")) == "TCP").agg(F.count(F.lit(1)).alias("_n"))
     rt = heur.agg(F.sum(F.col("heuristic_retransmission").cast("int")).alias("_r"))
     pct = F.when(F.col("_n") > 0, F.coalesce(F.col("_r"), F.lit(0)) * 100.0 / F.col("_n")).otherwise(F.lit(0.0))

@@ -58,12 +58,14 @@ def _key4(df: DataFrame) -> dict[str, Column]:
 
 
 def tcp_heuristics(packets: DataFrame, keys: Sequence[str] = (), history: int = TCP_HISTORY,
-                   block: int = DEFAULT_BLOCK) -> DataFrame:
+                   block: int = DEFAULT_BLOCK, carry: Sequence[str] = ()) -> DataFrame:
     """Per TCP packet, heuristic retransmission / duplicate ACK / out-of-order / zero-window
-    flags from the previous ``history`` packets of the same directional 4-tuple."""
+    flags from the previous ``history`` packets of the same directional 4-tuple. ``carry``
+    columns are passed through (so callers can aggregate without joining back by frame)."""
     keys = list(keys)
+    carry = list(carry)
     tcp = packets.where(F.col("protocol") == "TCP")
-    base = tcp.select(*keys, "frame_number", *[v.alias(k) for k, v in _key4(tcp).items()],
+    base = tcp.select(*keys, "frame_number", *carry, *[v.alias(k) for k, v in _key4(tcp).items()],
                       opt(tcp, "tcp_sequence_number", "long").cast("long").alias("seq"),
                       opt(tcp, "tcp_acknowledgment_number", "long").cast("long").alias("ack"),
                       opt(tcp, "tcp_window_size", "long").cast("long").alias("win"),
@@ -79,7 +81,7 @@ def tcp_heuristics(packets: DataFrame, keys: Sequence[str] = (), history: int =
     expected = F.coalesce(last["seq"], F.lit(0)) + F.coalesce(last["len"], F.lit(0))
     ooo = has & F.coalesce((F.col("seq") < expected) & ~seen, F.lit(False))
     zero = has & F.coalesce((F.col("win") == 0) & (last["win"] != 0), F.lit(False))
-    return h.select(*keys, "frame_number", retrans.alias("heuristic_retransmission"),
+    return h.select(*keys, "frame_number", *carry, retrans.alias("heuristic_retransmission"),
                     dup.alias("heuristic_duplicate_ack"), ooo.alias("heuristic_out_of_order"),
                     zero.alias("heuristic_zero_window"))
 

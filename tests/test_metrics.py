@@ -130,3 +130,21 @@ def test_enrichment_lookups(spark):
     assert (a["1.2.3.4"].asn_number, a["1.2.3.4"].asn_organization) == (12345, "TestOrg")
     rd = enrich.ip_rdns(ips, spark.createDataFrame([("1.2.3.4", "host.example")], "ip string, rdns string"))
     assert {r.ip: r.rdns for r in rd.collect()} == {"1.2.3.4": "host.example", "9.9.9.9": None}
+
+
+def test_exact_quantiles_grouped_matches_numpy(spark):
+    import random
+
+    import numpy as np
+
+    from netflow_spark.operators.quantiles import exact_quantiles
+    rnd = random.Random(7)
+    rows = [(g, rnd.random() * 100) for g in ("a", "b", "c") for _ in range(rnd.randint(1, 60))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.q0, r.q1, r.q2) for r in exact_quantiles(df, "v", [0.5, 0.95, 0.0], keys=["g"]).collect()}
+    for g in ("a", "b", "c"):
+        vals = np.array([v for k, v in rows if k == g])
+        assert got[g][0] == len(vals)
+        assert got[g][1] == pytest.approx(np.percentile(vals, 50))
+        assert got[g][2] == pytest.approx(np.percentile(vals, 95))
+        assert got[g][3] == pytest.approx(vals.min())
