@@ -1,11 +1,13 @@
 """IP enrichment from supplied dimension tables (no live lookups).
 
-Longest-prefix matching is a range join; to keep it an equi-join we cut the IPv4 space into
-/16 buckets: each network is exploded into the buckets it covers (at most 65,536 for a /0,
-one for anything /16 or longer) and each *distinct* address probes its own bucket, then the
-range predicate and ``max_by(prefix length)`` pick the most specific network. Addresses are
-de-duplicated before the join, so the work grows with the number of distinct IPs, not packets.
-AQE broadcasts the network side when its runtime size is small; otherwise it is a shuffle join.
+Longest-prefix matching is a range join; to keep it an equi-join with a bounded fan-out, every
+network is filed in exactly one bucket: at level L = the largest of 0/8/16/24 not above its
+prefix length, under the address bits above L (a network of prefix ≥ L fits in one such
+bucket). Each *distinct* address probes its four buckets (one per level); the range predicate
+and ``max_by(prefix length)`` pick the most specific match. An address can only meet networks
+of its own /24, /16, /8 and /0 buckets at their levels — at most 4 × 511 candidates — however
+large the network table is. Addresses are de-duplicated first, so the work grows with distinct
+IPs, not packets. AQE broadcasts the network side when it is small at runtime.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.net import ipv4_to_long
 
-BUCKET_BITS = 16
+LEVELS = (0, 8, 16, 24)
 
 # Test dimension (our own invented values): network → index into the ``nation`` table (for the
 # country name) plus ISO code, city, coordinates and AS number.
@@ -56,21 +58,34 @@ def networks_table(spark: SparkSession, nation: DataFrame | None = None,
     return df.drop("nation_idx")
 
 
+def _level(prefix: F.Column) -> F.Column:
+    return (F.when(prefix >= 24, F.lit(24)).when(prefix >= 16, F.lit(16)).when(prefix >= 8, F.lit(8))
+            .otherwise(F.lit(0)))
+
+
+def _above(v: F.Column, level: F.Column) -> F.Column:
+    """Address bits above ``level`` (``v >> (32 - level)``; exact: values < 2^32)."""
+    return F.floor(v / F.pow(F.lit(2.0), F.lit(32) - level)).cast("long")
+
+
 def _bucketed(networks: DataFrame) -> DataFrame:
-    shift = 32 - BUCKET_BITS
-    return networks.withColumn(
-        "_bucket", F.explode(F.sequence(F.shiftright(F.col("lo"), shift), F.shiftright(F.col("hi"), shift))))
+    lvl = _level(F.col("prefix_len"))
+    return networks.withColumns({"_level": lvl, "_bucket": _above(F.col("lo"), lvl)})
 
 
 def longest_prefix(ips: DataFrame, networks: DataFrame, ip_col: str = "ip") -> DataFrame:
     """For each distinct IPv4 address in ``ips[ip_col]``: the most specific covering network's
     columns (left join: unmatched or non-IPv4 addresses get nulls)."""
     d = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct()
-    d = d.withColumn("_v", ipv4_to_long(F.col("ip"))).withColumn("_bucket", F.shiftright(F.col("_v"), 32 - BUCKET_BITS))
+    d = d.withColumn("_v", ipv4_to_long(F.col("ip")))
+    probes = d.where(F.col("_v").isNotNull()).select(
+        "ip", "_v", F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("_level"))
+    probes = probes.withColumn("_bucket", _above(F.col("_v"), F.col("_level")))
     nb = _bucketed(networks)
     cols = [c for c in networks.columns if c not in ("lo", "hi")]
-    m = d.join(nb, (d["_bucket"] == nb["_bucket"]) & d["_v"].between(nb["lo"], nb["hi"]), "inner")
-    best = m.groupBy(d["ip"]).agg(F.max_by(F.struct(*[nb[c] for c in cols]), nb["prefix_len"]).alias("_n"))
+    m = probes.join(nb, (probes["_level"] == nb["_level"]) & (probes["_bucket"] == nb["_bucket"])
+                    & probes["_v"].between(nb["lo"], nb["hi"]), "inner")
+    best = m.groupBy(probes["ip"]).agg(F.max_by(F.struct(*[nb[c] for c in cols]), nb["prefix_len"]).alias("_n"))
     out = d.select("ip").join(best, "ip", "left")
     return out.select("ip", *[F.col(f"_n.{c}").alias(c) for c in cols])
 

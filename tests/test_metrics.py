@@ -148,3 +148,30 @@ def test_exact_quantiles_grouped_matches_numpy(spark):
         assert got[g][1] == pytest.approx(np.percentile(vals, 50))
         assert got[g][2] == pytest.approx(np.percentile(vals, 95))
         assert got[g][3] == pytest.approx(vals.min())
+
+
+def test_longest_prefix_matches_brute_force(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(11)
+    nets = set()
+    while len(nets) < 60:
+        p = rnd.choice([0, 4, 8, 12, 15, 16, 20, 23, 24, 27, 30, 32])
+        a = rnd.choice([10, 172, 192]) << 24 | rnd.getrandbits(24) if p >= 8 else rnd.getrandbits(32)
+        nets.add(str(ipaddress.ip_network((a, p), strict=False)))
+    rows = [(n, i, "XX", f"c{i}", 0.0, 0.0, i, f"o{i}") for i, n in enumerate(sorted(nets))]
+    ips = [str(ipaddress.ip_address(rnd.choice([10, 172, 192]) << 24 | rnd.getrandbits(24))) for _ in range(300)]
+    ips += [str(ipaddress.ip_network(n).network_address) for n in list(nets)[:20]] + ["not-an-ip", "::1"]
+    got = {r.ip: r.network for r in enrich.longest_prefix(spark.createDataFrame([(i,) for i in ips], "ip string"),
+                                                          enrich.networks_table(spark, rows=rows)).collect()}
+    parsed = [ipaddress.ip_network(n) for n in nets]
+    for ip in ips:
+        try:
+            a = ipaddress.IPv4Address(ip)
+        except ValueError:
+            assert got[ip] is None
+            continue
+        cands = [n for n in parsed if a in n]
+        exp = str(max(cands, key=lambda n: n.prefixlen)) if cands else None
+        assert got[ip] == exp, ip
