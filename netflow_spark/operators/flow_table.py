@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import guess_l7
-from ..functions.columns import first_present, flag, is_client, opt, orient_col
-from ..schema import FLOW_KEY
+from ..functions.columns import first_present, opt, orient_col
 
 TABLE_KEY = ["src_ip", "dest_ip", "src_port", "dest_port", "protocol"]
 

@@ -7,7 +7,7 @@ import ipaddress
 from ..functions.decode import (DHCP_MESSAGE_TYPES, DNS_QUERY_TYPES, DNS_RCODES, IP_PROTOCOL_NAMES,
                                 TLS_ALERT_DESCRIPTIONS, TLS_ALERT_LEVELS, TLS_HANDSHAKE_TYPES, TLS_VERSIONS)
 from ..operators.enrich import DEMO_NETWORKS
-from .oracle import _ORIENTED, _SIGNALS, nested, oracle
+from .oracle import _SIGNALS, nested, oracle
 from .oracle_flows import _FLOW_KEY
 from .oracle_rules import in_net, v4
 
@@ -400,8 +400,6 @@ j AS (
   FROM sp JOIN f ON f.start_ts <= sp.second AND f.end_ts >= sp.second)
 SELECT second, rank, src_ip, dest_ip, src_port, dest_port, protocol, bytes_total FROM j WHERE rank <= 5""")
 
-_unused = (_ORIENTED,)
-
 oracle("tag_flows_app", f"""
 WITH t AS {nested('tag_flows')},
 m AS {nested('dns_sni_mismatch')},

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..fixtures import packets
 from ..operators import flows as fl
@@ -94,5 +93,3 @@ def q_tls_time_to_alert(spark: SparkSession, sf: str) -> DataFrame:
 def q_rtt_samples(spark: SparkSession, sf: str) -> DataFrame:
     return ordered.rtt_samples(packets(spark, sf))
 
-
-_ = F  # keep import for extensions

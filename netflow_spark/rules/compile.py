@@ -20,7 +20,6 @@ Semantics kept from the reference (see SURVEY §8):
 
 from __future__ import annotations
 
-import ipaddress
 import logging
 import os
 import re

@@ -1,6 +1,5 @@
 """End to end on the reference's golden capture CSV, and the driver contract."""
 
-from pyspark.sql import functions as F
 
 from netflow_spark.fixtures import FAILURE_CAPTURE_CSV
 from netflow_spark.operators import metrics
@@ -61,4 +60,3 @@ def test_tag_flows_independent_of_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(a) == sorted(b)
-    _ = F
