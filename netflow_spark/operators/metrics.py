@@ -107,7 +107,8 @@ def performance_summary(rtts: DataFrame, alerts: DataFrame, heur: DataFrame, pac
     tcp = packets.where(F.upper(F.col("protocol")) == "TCP").agg(F.count(F.lit(1)).alias("_n"))
     rt = heur.agg(F.sum(F.col("heuristic_retransmission").cast("int")).alias("_r"))
     pct = F.when(F.col("_n") > 0, F.coalesce(F.col("_r"), F.lit(0)) * 100.0 / F.col("_n")).otherwise(F.lit(0.0))
-    return (r.crossJoin(a).crossJoin(tcp).crossJoin(rt)
+    # Each side is a one-row aggregate: broadcasting it is a proven-size choice.
+    return (r.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(tcp)).crossJoin(F.broadcast(rt))
             .withColumn("tcp_retransmission_ratio_percent", pct).drop("_n", "_r"))
 
 
@@ -195,7 +196,7 @@ def security_total(findings: DataFrame, unusual: DataFrame) -> DataFrame:
     """Total security issues = all finding counts + unusual-country flows."""
     a = findings.agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("_a"))
     b = unusual.agg(F.count(F.lit(1)).alias("_b"))
-    return a.crossJoin(b).select((F.col("_a") + F.col("_b")).cast("long").alias("security_issues"))
+    return a.crossJoin(F.broadcast(b)).select((F.col("_a") + F.col("_b")).cast("long").alias("security_issues"))
 
 
 def plaintext_flows(packets: DataFrame) -> DataFrame:
