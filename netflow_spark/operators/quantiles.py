@@ -5,6 +5,10 @@ Spark's exact ``percentile`` merges a map of every distinct value of a group in
 cluster, each gets its global position (per-partition offsets, see ``ids.dense_id``), and only
 the one or two positions each quantile needs are fetched back with an equi-join on position.
 Interpolation is linear between closest ranks (numpy's default): v[lo] + (v[hi] − v[lo])·frac.
+
+A size check picks the plan: when the largest group holds at most ``small`` values (one scalar
+count job decides), Spark's exact ``percentile`` aggregate is used — its per-group buffer is
+then provably bounded; beyond that, the distributed path. Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -17,11 +21,20 @@ from pyspark.sql import functions as F
 from .ids import dense_id
 
 
+SMALL_GROUP = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    prefix: str = "q") -> DataFrame:
+                    prefix: str = "q", small: int | None = SMALL_GROUP) -> DataFrame:
     """One row per key group (only groups with values): ``n`` and ``{prefix}{i}`` per prob."""
     keys = list(keys)
     v = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if small is not None:
+        biggest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= small:
+            q = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
+            return v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("_q")).select(
+                *keys, "n", *[F.col("_q")[i].alias(f"{prefix}{i}") for i in range(len(probs))])
     idx = dense_id(v, [*keys, "_v"], name="_pos")
     stats = idx.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("_start"))
     wanted = []

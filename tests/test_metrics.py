@@ -141,8 +141,10 @@ def test_exact_quantiles_grouped_matches_numpy(spark):
     rnd = random.Random(7)
     rows = [(g, rnd.random() * 100) for g in ("a", "b", "c") for _ in range(rnd.randint(1, 60))]
     df = spark.createDataFrame(rows, "g string, v double").repartition(5)
-    got = {r.g: (r.n, r.q0, r.q1, r.q2) for r in exact_quantiles(df, "v", [0.5, 0.95, 0.0], keys=["g"]).collect()}
+    got = {r.g: (r.n, r.q0, r.q1, r.q2) for r in exact_quantiles(df, "v", [0.5, 0.95, 0.0], keys=["g"], small=None).collect()}
+    small = {r.g: (r.n, r.q0, r.q1, r.q2) for r in exact_quantiles(df, "v", [0.5, 0.95, 0.0], keys=["g"]).collect()}
     for g in ("a", "b", "c"):
+        assert small[g] == pytest.approx(got[g])
         vals = np.array([v for k, v in rows if k == g])
         assert got[g][0] == len(vals)
         assert got[g][1] == pytest.approx(np.percentile(vals, 50))
