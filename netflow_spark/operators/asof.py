@@ -16,15 +16,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BLOCK = 1 << 20
 
 
 def asof_latest(probe: DataFrame, build: DataFrame, key: Sequence[str], order: str, value: str,
-                block: int = DEFAULT_BLOCK, strict: bool = True) -> DataFrame:
+                block: int = DEFAULT_BLOCK, strict: bool = True, materialize: bool = True) -> DataFrame:
     """Return ``probe`` with column ``value`` = build[value] of the build row with the largest
     ``order`` < probe[order] (``<=`` when ``strict`` is false) and a null-safe equal ``key``.
 
-    ``probe`` must not already have a column named ``value``; ``order`` must be integral.
+    ``probe`` must not already have a column named ``value``. With ``materialize`` the union of
+    probe and build rows (callers prune the build side to keys some probe asks for, so it is
+    small next to the scanned table) is checkpointed once, so the two consumers below do not
+    scan and shuffle the source twice.
     """
     key = list(key)
     vtype = build.schema[value].dataType
@@ -34,25 +39,26 @@ def asof_latest(probe: DataFrame, build: DataFrame, key: Sequence[str], order: s
     for c in extra:
         b = b.withColumn(c, F.lit(None).cast(p.schema[c].dataType))
     u = p.unionByName(b.select(*p.columns)).withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    if materialize:
+        u = cut_lineage(u)
 
-    # One exchange on (key, block) feeds everything below (Spark reuses it): the running last
-    # build value inside the block, and the block's own last build value (for later blocks).
+    # Inside a (key, block): running last build value strictly before (or at) this row. Build
+    # rows sort before probes of the same order value when not strict.
     tie = F.when(F.col("_is_probe"), F.lit(1)).otherwise(F.lit(0))
     frame_end = -1 if strict else 0
-    w_part = Window.partitionBy(*key, "_blk").orderBy(F.col(order), tie if not strict else F.lit(0))
+    w_in = (Window.partitionBy(*key, "_blk").orderBy(F.col(order), tie if not strict else F.lit(0))
+            .rowsBetween(Window.unboundedPreceding, frame_end))
     bval = F.when(~F.col("_is_probe"), F.col(value))
-    uw = u.withColumns({
-        "_in_blk": F.last(bval, ignorenulls=True).over(w_part.rowsBetween(Window.unboundedPreceding, frame_end)),
-        "_blk_last": F.last(bval, ignorenulls=True).over(
-            w_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
-    # Carry-in from earlier blocks: one summary row per (key, block) — already partitioned, so
-    # this aggregate needs no shuffle; the running window is over that tiny table only.
-    summary = uw.groupBy(*key, "_blk").agg(F.first("_blk_last", ignorenulls=True).alias("_blk_last"))
+    probes = (u.withColumn("_in_blk", F.last(bval, ignorenulls=True).over(w_in))
+              .where(F.col("_is_probe")))
+
+    # Carry-in from earlier blocks: a partial aggregate to one row per (key, block), then a
+    # running window per key over that small table.
+    summary = u.groupBy(*key, "_blk").agg(
+        F.max_by(bval, F.when(~F.col("_is_probe"), F.col(order))).alias("_blk_last"))
     w_blk = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*key, "_blk", F.last("_blk_last", ignorenulls=True).over(w_blk).alias("_carry"))
 
-    probes = uw.where(F.col("_is_probe"))
     cond = F.lit(True)
     for c in [*key, "_blk"]:
         cond = cond & probes[c].eqNullSafe(summary[c])

@@ -61,9 +61,9 @@ def dns_sni_checks(rows: DataFrame, keys: Sequence[str] = (), id_col: str = "fra
     per_ip = dns.select(*keys, "_src", F.col("_q").alias("_name"), "_t", F.explode("_ans").alias("_ip")) \
         .select(*keys, "_src", "_name", "_ip", "_t", F.col("_t").alias("_hit_t"))
     probe = tls.select(*keys, "_id", "_src", F.col("_sni").alias("_name"), "_dst", "_t")
-    a = asof_latest(probe, answered, k, "_t", "_any_t", block=block, strict=False)
+    a = asof_latest(probe, answered, k, "_t", "_any_t", block=block, strict=False, materialize=False)
     a = a.withColumn("_ip", F.col("_dst"))
-    b = asof_latest(a, per_ip, [*k, "_ip"], "_t", "_hit_t", block=block, strict=False)
+    b = asof_latest(a, per_ip, [*k, "_ip"], "_t", "_hit_t", block=block, strict=False, materialize=False)
     in_window = F.col("_any_t").isNotNull() & ((F.col("_t") - F.col("_any_t")) <= max_age)
     hit = F.col("_hit_t").isNotNull() & ((F.col("_t") - F.col("_hit_t")) <= max_age)
     return b.where(in_window).select(*keys, F.col("_id").alias(id_col), F.col("_src").alias("client"),

@@ -27,26 +27,29 @@ def with_history(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[s
     """Add ``out`` = array of struct(order, cols) of the ``n`` previous rows of the same key
     (oldest first), ordered by ``order`` (integral, unique within a key).
 
-    One shuffle on (key, block) computes the in-block history; rows among the first ``n`` of a
-    block prepend the carry-in, i.e. the last ``n`` rows before the block, taken from a context
-    table that holds only each block's first row and last ``n`` rows."""
+    All rows are shuffled once, on (key, block), for the in-block history. Rows among the first
+    ``n`` of a block prepend the carry-in — the last ``n`` rows before the block — taken from a
+    context table of each block's first row (a partial ``min_by`` aggregate) and last ``n`` rows
+    (``row_number <= n``, limited map-side before its shuffle), so the context side ships at
+    most ``n + 1`` rows per block and map task."""
     key = list(key)
     payload = F.struct(*[F.col(c) for c in [order, *cols]])
     d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block))).withColumn("_pl", payload)
     w_blk = Window.partitionBy(*key, "_blk").orderBy(order)
-    d = d.withColumns({
-        "_rn_a": F.row_number().over(w_blk),
-        "_rn_d": F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc())),
-        "_in": F.collect_list("_pl").over(w_blk.rowsBetween(-n, -1)),
-    })
-    ctx = d.where((F.col("_rn_a") == 1) | (F.col("_rn_d") <= n)).select(*key, "_blk", order, "_rn_a", "_pl")
-    w_ctx = Window.partitionBy(*key).orderBy(order).rowsBetween(-n, -1)
+    main = d.withColumns({"_rn_a": F.row_number().over(w_blk),
+                          "_in": F.collect_list("_pl").over(w_blk.rowsBetween(-n, -1))})
+    firsts = d.groupBy(*key, "_blk").agg(F.min_by("_pl", F.col(order)).alias("_pl")).withColumn("_first", F.lit(True))
+    lasts = (d.withColumn("_rn_d", F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc())))
+             .where(F.col("_rn_d") <= n).select(*key, "_blk", "_pl").withColumn("_first", F.lit(False)))
+    ctx = (firsts.unionByName(lasts).groupBy(*key, "_blk", "_pl").agg(F.max("_first").alias("_first"))
+           .withColumn("_o", F.col("_pl").getField(order)))
+    w_ctx = Window.partitionBy(*key).orderBy("_o").rowsBetween(-n, -1)
     carry = (ctx.withColumn("_carry", F.collect_list("_pl").over(w_ctx))
-             .where(F.col("_rn_a") == 1).select(*key, "_blk", "_carry"))
-    j = d.join(carry, [*key, "_blk"], "left")
+             .where(F.col("_first")).select(*key, "_blk", "_carry"))
+    j = main.join(carry, [*key, "_blk"], "left")
     both = F.concat(F.coalesce(F.col("_carry"), F.array().cast(j.schema["_in"].dataType)), F.col("_in"))
     hist = F.when(F.col("_rn_a") <= n, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)).otherwise(F.col("_in"))
-    return j.withColumn(out, hist).drop("_blk", "_pl", "_rn_a", "_rn_d", "_in", "_carry")
+    return j.withColumn(out, hist).drop("_blk", "_pl", "_rn_a", "_in", "_carry")
 
 
 def _key4(df: DataFrame) -> dict[str, Column]:
