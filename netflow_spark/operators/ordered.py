@@ -1,10 +1,10 @@
 """Sequence-dependent analytics re-expressed as windows and aggregates.
 
-All windows are partitioned by a flow key *and* kept small: W2–W4 first filter to the few
-rows that matter (SYN/SYN-ACK, TLS handshake/alert), and W1 — which needs every TCP packet —
-uses ``with_history``: the order axis is cut into blocks so one task never holds more than one
-block of one key, with the previous ``n`` rows carried into each block from a per-block
-summary. Results are exact; nothing is dropped or capped.
+No operator here gives a whole flow to one task: W2–W4 first filter to the few rows that
+matter (SYN/SYN-ACK, TLS handshake/alert) and then use the blocked as-of lookup (``asof``);
+W1, which needs every TCP packet, uses ``with_history``: the order axis is cut into blocks so
+one task never holds more than one block of one key, with the previous ``n`` rows carried into
+each block. Results are exact; nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import all_not_null, flag, is_client, opt, with_oriented_key
 from ..schema import FLOW_KEY
-from .asof import DEFAULT_BLOCK
+from .asof import DEFAULT_BLOCK, asof_latest
 
 TCP_HISTORY = 64            # fixed value: packets of history per directional 4-tuple
 RTT_TIMEOUT_SECONDS = 3.0   # fixed value: SYN→SYN-ACK pairs slower than this are discarded
@@ -106,8 +106,9 @@ def with_heuristic_flags(packets: DataFrame, keys: Sequence[str] = ()) -> DataFr
             "heuristic_zero_window")
 
 
-def packet_rtt(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """On each SYN-ACK, ms since the latest unmatched SYN of the reverse 4-tuple."""
+def packet_rtt(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
+    """On each SYN-ACK, ms since the latest unmatched SYN of the reverse 4-tuple — i.e. when
+    the previous handshake packet of that 4-tuple (by frame) is a SYN. Blocked as-of lookup."""
     keys = list(keys)
     syn, ack = flag(packets, "tcp_flags_syn"), flag(packets, "tcp_flags_ack")
     tcp = packets.where((F.col("protocol") == "TCP") & syn)
@@ -119,16 +120,18 @@ def packet_rtt(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(is_syn, F.col("source_port")).otherwise(F.col("destination_port")).alias("_a_port"),
         F.when(is_syn, F.col("destination_ip")).otherwise(F.col("source_ip")).alias("_b_ip"),
         F.when(is_syn, F.col("destination_port")).otherwise(F.col("source_port")).alias("_b_port"))
-    w = Window.partitionBy(*keys, "_a_ip", "_a_port", "_b_ip", "_b_port").orderBy("frame_number")
-    prev = F.lag(F.struct(F.col("_is_syn").alias("s"), F.col("ts").alias("t")), 1).over(w)
-    r = rows.withColumn("_prev", prev)
-    return r.where(~F.col("_is_syn") & F.coalesce(F.col("_prev.s"), F.lit(False))).select(
+    key = [*keys, "_a_ip", "_a_port", "_b_ip", "_b_port"]
+    build = rows.select(*key, "frame_number", F.struct(F.col("_is_syn").alias("s"), F.col("ts").alias("t")).alias("_prev"))
+    probe = rows.where(~F.col("_is_syn")).select(*key, "frame_number", "ts")
+    r = asof_latest(probe, build, key, "frame_number", "_prev", block=block, materialize=False)
+    return r.where(F.coalesce(F.col("_prev.s"), F.lit(False))).select(
         *keys, "frame_number", ((F.col("ts") - F.col("_prev.t")) * 1000.0).alias("tcp_rtt_ms"))
 
 
-def handshake_rtt(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per oriented flow, SYN-ACK (server) matched to the latest client SYN when
-    ack = SYN seq + 1; each SYN is matched at most once. One row per sample (ms)."""
+def handshake_rtt(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Per oriented flow, a server SYN-ACK is matched to the latest client SYN before it when
+    ack = SYN seq + 1; each SYN is matched at most once (by its first matching SYN-ACK). One row
+    per sample (ms). Blocked as-of lookup + a partial aggregate — no per-flow window."""
     keys = list(keys)
     syn, ack = flag(packets, "tcp_flags_syn"), flag(packets, "tcp_flags_ack")
     c = is_client(packets)
@@ -139,21 +142,25 @@ def handshake_rtt(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
                  F.coalesce(opt(tcp, "tcp_sequence_number", "long").cast("long"), F.lit(0).cast("long")).alias("_seq"),
                  F.coalesce(opt(tcp, "tcp_acknowledgment_number", "long").cast("long"), F.lit(-1).cast("long")).alias("_ack"))
     part = [*keys, *FLOW_KEY]
-    w = Window.partitionBy(*part).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)
-    o = o.withColumns({
-        "_syn_no": F.sum(F.col("_is_syn").cast("int")).over(w),
-        "_syn_ts": F.last(F.when(F.col("_is_syn"), F.col("ts")), ignorenulls=True).over(w),
-        "_syn_seq": F.last(F.when(F.col("_is_syn"), F.col("_seq")), ignorenulls=True).over(w),
-    })
-    cand = o.where(~F.col("_is_syn") & F.col("_syn_ts").isNotNull() & (F.col("_ack") == F.col("_syn_seq") + 1))
-    w1 = Window.partitionBy(*part, "_syn_no").orderBy("frame_number")
-    cand = cand.withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") == 1)
-    return cand.select(*part, "frame_number", ((F.col("ts") - F.col("_syn_ts")) * 1000).alias("rtt_ms"))
-
-
-def tls_time_to_alert(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    syns = o.where("_is_syn").select(*part, "frame_number", F.struct(
+        F.col("frame_number").alias("f"), F.col("ts").alias("t"), F.col("_seq").alias("seq")).alias("_syn"))
+    acks = o.where(~F.col("_is_syn")).select(*part, "frame_number", "ts", "_ack")
+    m = asof_latest(acks, syns, part, "frame_number", "_syn", block=block, materialize=False)
+    cand = m.where(F.col("_syn").isNotNull() & (F.col("_ack") == F.col("_syn.seq") + 1))
+    first = cand.groupBy(*part, F.col("_syn.f").alias("_sf")).agg(
+        F.min_by(F.struct("frame_number", "ts"), F.col("frame_number")).alias("_a"),
+        F.first("_syn.t").alias("_st"))
+    return first.select(*part, F.col("_a.frame_number").alias("frame_number"),
+                        ((F.col("_a.ts") - F.col("_st")) * 1000).alias("rtt_ms"))
+
+
+def tls_time_to_alert(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
     """Per oriented flow, ms from the first TLS handshake packet after the previous alert to
-    the next alert (kept when ≥ 0). One row per alert with a handshake before it."""
+    the next alert (kept when ≥ 0). One row per alert with a handshake before it.
+
+    Every handshake or alert row looks up the latest alert strictly before it (blocked as-of);
+    handshakes grouped by that alert give each segment's start, which joins to the alert whose
+    own previous alert is the same."""
     keys = list(keys)
     hs = F.coalesce(opt(packets, "tls_handshake_type") != "", F.lit(False))
     al = F.coalesce(opt(packets, "tls_alert_message_description") != "", F.lit(False))
@@ -161,15 +168,14 @@ def tls_time_to_alert(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame
         *keys, *FLOW_KEY, "frame_number", F.col("timestamp").cast("double").alias("ts"),
         hs.alias("_hs"), al.alias("_al"))
     part = [*keys, *FLOW_KEY]
-    w = Window.partitionBy(*part).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, -1)
-    o = o.withColumn("_seg", F.coalesce(F.sum(F.col("_al").cast("int")).over(w), F.lit(0)))
-    g = o.groupBy(*part, "_seg").agg(
-        F.min_by(F.col("ts"), F.when(F.col("_hs"), F.col("frame_number"))).alias("_start"),
-        F.max(F.when(F.col("_al"), F.col("ts"))).alias("_alert"),
-        F.max(F.when(F.col("_al"), F.col("frame_number"))).alias("frame_number"))
+    alerts = o.where("_al").select(*part, "frame_number", F.col("frame_number").alias("_prev_alert"))
+    seg = asof_latest(o, alerts, part, "frame_number", "_prev_alert", block=block, materialize=False)
+    seg = seg.withColumn("_seg", F.coalesce(F.col("_prev_alert"), F.lit(-1).cast("long")))
+    starts = seg.where("_hs").groupBy(*part, "_seg").agg(F.min_by("ts", F.col("frame_number")).alias("_start"))
+    ends = seg.where("_al").select(*part, "_seg", "frame_number", F.col("ts").alias("_alert"))
+    j = ends.join(starts, [*part, "_seg"], "inner")
     d = (F.col("_alert") - F.col("_start")) * 1000.0
-    return g.where(F.col("_alert").isNotNull() & F.col("_start").isNotNull() & (d >= 0)).select(
-        *part, "frame_number", d.alias("time_to_alert_ms"))
+    return j.where(d >= 0).select(*part, "frame_number", d.alias("time_to_alert_ms"))
 
 
 def rtt_samples(packets: DataFrame, keys: Sequence[str] = (), timeout: float = RTT_TIMEOUT_SECONDS) -> DataFrame:

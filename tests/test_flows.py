@@ -200,3 +200,15 @@ def test_flow_summary_golden(spark):
     nodir = df.withColumn("is_src_client", F.lit(None).cast("boolean"))
     s2 = flow_table.flow_summary(nodir).collect()
     assert len(s2) == 2 and sum(r.pkts_total for r in s2) == 4 and sum(r.pkts_c2s for r in s2) == 0
+
+
+def test_ordered_small_blocks_match_default(spark):
+    """W2–W4 give the same rows whatever the block size (carry-in across blocks)."""
+    from tests.conftest import SF_SMALL
+    from netflow_spark.fixtures import packets
+    p = packets(spark, SF_SMALL)
+    for fn in (ordered.packet_rtt, ordered.handshake_rtt, ordered.tls_time_to_alert):
+        a = fn(p)
+        b = fn(p, block=5).select(*a.columns)
+        assert a.count() > 0
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, fn.__name__
