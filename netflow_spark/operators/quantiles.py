@@ -6,9 +6,10 @@ cluster, each gets its global position (per-partition offsets, see ``ids.dense_i
 the one or two positions each quantile needs are fetched back with an equi-join on position.
 Interpolation is linear between closest ranks (numpy's default): v[lo] + (v[hi] − v[lo])·frac.
 
-A size check picks the plan: when the largest group holds at most ``small`` values (one scalar
-count job decides), Spark's exact ``percentile`` aggregate is used — its per-group buffer is
-then provably bounded; beyond that, the distributed path. Both give the same numbers.
+A size check picks the plan: the samples are checkpointed once, and when the largest group holds
+at most ``small`` values (a count over that narrow table decides), Spark's exact ``percentile``
+aggregate is used — its per-group buffer is then provably bounded; beyond that, the distributed
+path. Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ids import dense_id
 
 
@@ -30,6 +32,9 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], keys: Seque
     keys = list(keys)
     v = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     if small is not None:
+        # Samples are evaluated once into the checkpoint folder; the size check and the
+        # quantiles then read that narrow table instead of re-running the upstream plan.
+        v = cut_lineage(v)
         biggest = v.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         if biggest <= small:
             q = F.percentile(F.col("_v"), F.array(*[F.lit(float(p)) for p in probs]))
