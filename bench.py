@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["tag_flows", "flow_table", "flow_summary", "rules_disposition", "tcp_heuristics",
             "icmp_correlate", "dns_sni_mismatch", "performance_summary", "timeline_spikes", "enrich_ips",
-            "top_flows", "rule_features"]
+            "top_flows", "rule_features", "rtt_samples", "packet_rtt"]
 
 
 def main() -> None:
