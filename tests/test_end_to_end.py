@@ -38,12 +38,16 @@ def test_entry_contract(spark):
 
 
 def test_every_query_runs_small(spark):
+    """Every registered query runs; its executed plan has no Python UDF and no Cartesian product."""
     import __spark_entry__ as e
     from tests.conftest import SF_SMALL
     for name, fn in sorted(e.queries().items()):
         df = fn(spark, SF_SMALL)
         df.write.format("noop").mode("overwrite").save()
         assert len(df.columns) > 0, name
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+        assert "CartesianProduct" not in plan, name
 
 
 def test_tag_flows_independent_of_partitions(spark):
