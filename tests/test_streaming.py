@@ -64,3 +64,19 @@ def test_streaming_flow_table_runs(spark, stream_dir):
     out = run(spark, jobs.streaming_flow_table(source(spark, stream_dir)), "st2")
     assert out.count() > 0
     assert out.agg(F.sum("pkts_total")).first()[0] == 1000
+
+
+def test_streaming_rule_tagging_matches_batch(spark, stream_dir):
+    """Stateless projections (rule pack, vendor flags, error reason) run unchanged on a stream."""
+    from netflow_spark.functions.classify import packet_error_reason
+    from netflow_spark.functions.net import vendor_ip_flags
+    from netflow_spark.rules import default_rules, tag
+
+    def project(df):
+        df = vendor_ip_flags(df).withColumn("packet_error_reason", packet_error_reason(df))
+        return tag(df, default_rules()).select("frame_number", "flow_disposition", "traffic_type_guess",
+                                               "zscaler_specific_finding", "packet_error_reason")
+    out = run(spark, project(source(spark, stream_dir)), "st_rules")
+    batch = project(packets(spark, SF_SMALL))
+    assert out.where("frame_number < 10000000").exceptAll(batch).count() == 0
+    assert batch.exceptAll(out).count() == 0
