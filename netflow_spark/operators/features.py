@@ -14,7 +14,7 @@ from ..functions.classify import packet_error_reason
 from ..functions.columns import all_not_null, bool_any, flag, is_client, is_server, opt, with_oriented_key
 from ..schema import FLOW_KEY
 from .flows import flow_signals
-from .ordered import handshake_rtt, tcp_heuristics
+from .ordered import handshake_rtt, retransmissions
 
 RULE_FEATURES = ["tcp_handshake_successful", "tcp_fin_both_sides", "tcp_retransmission_rate_percent",
                  "flow_avg_rtt_ms", "tls_handshake_successful", "tcp_initiator", "dns_rcode_name",
@@ -26,7 +26,7 @@ def rule_features(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     group = [*keys, *FLOW_KEY]
     # Retransmissions per flow straight from W1 (oriented key carried through, no join by frame).
     oriented = with_oriented_key(packets)
-    heur = tcp_heuristics(oriented, keys, carry=FLOW_KEY)
+    heur = retransmissions(oriented, keys, carry=FLOW_KEY)
     rt = heur.where(all_not_null(group)).groupBy(*group).agg(
         F.count_if(F.col("heuristic_retransmission")).alias("_rt"))
     p = with_oriented_key(packets.withColumn("_reason", packet_error_reason(packets)))

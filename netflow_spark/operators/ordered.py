@@ -89,6 +89,19 @@ def tcp_heuristics(packets: DataFrame, keys: Sequence[str] = (), history: int =
                     zero.alias("heuristic_zero_window"))
 
 
+def retransmissions(packets: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Per TCP packet: ``heuristic_retransmission`` = the dissector's retransmission flags when
+    the table carries them (non-empty list), else the W1 heuristic (as the parser does when a
+    capture has no analysis layer)."""
+    keys, carry = list(keys), list(carry)
+    if "tcp_analysis_retransmission_flags" in packets.columns:
+        flags = F.col("tcp_analysis_retransmission_flags")
+        return packets.where(F.col("protocol") == "TCP").select(
+            *keys, "frame_number", *carry,
+            (F.coalesce(F.size(flags), F.lit(0)) > 0).alias("heuristic_retransmission"))
+    return tcp_heuristics(packets, keys, carry=carry).select(*keys, "frame_number", *carry, "heuristic_retransmission")
+
+
 def with_heuristic_flags(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Packets with the four ``tcp_analysis_*_flags`` token arrays filled from W1 (TCP rows)."""
     keys = list(keys)

@@ -42,7 +42,7 @@ def metrics_bundle(packets: DataFrame, rules=None, networks: DataFrame | None =
         "service_overview": metrics.service_overview(summary, rdns=rdns, guesser=service_guesser),
         "error_summary": metrics.error_summary(tagged),
         "performance_metrics": metrics.performance_summary(
-            ordered.handshake_rtt(p, keys), ordered.tls_time_to_alert(p, keys), ordered.tcp_heuristics(p, keys), p),
+            ordered.handshake_rtt(p, keys), ordered.tls_time_to_alert(p, keys), ordered.retransmissions(p, keys), p),
         "security_findings": metrics.security_findings(tagged),
         "timeline_data": tl.join(spikes.select(*keys, "second", F.lit(True).alias("spike")), [*keys, "second"], "left")
                            .fillna({"spike": False}),

@@ -233,7 +233,7 @@ def q_rtt_stats(spark: SparkSession, sf: str) -> DataFrame:
 def q_performance_summary(spark: SparkSession, sf: str) -> DataFrame:
     p = packets(spark, sf)
     return metrics.performance_summary(ordered.handshake_rtt(p), ordered.tls_time_to_alert(p),
-                                       ordered.tcp_heuristics(p), p)
+                                       ordered.retransmissions(p), p)
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:

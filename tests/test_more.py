@@ -84,3 +84,11 @@ def test_capture_key_prefix(spark):
     assert both.count() == 2 * one
     per = {r.capture_id: r["count"] for r in both.groupBy("capture_id").count().collect()}
     assert per == {1: one, 2: one}
+
+
+def test_retransmissions_prefer_dissector_flags(spark):
+    from netflow_spark.operators.ordered import retransmissions
+    df = spark.createDataFrame([(1, "TCP", ["retransmission"]), (2, "TCP", []), (3, "TCP", None), (4, "UDP", ["x"])],
+                               "frame_number long, protocol string, tcp_analysis_retransmission_flags array<string>")
+    got = {r.frame_number: r.heuristic_retransmission for r in retransmissions(df).collect()}
+    assert got == {1: True, 2: False, 3: False}
