@@ -135,3 +135,21 @@ def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
         F.max((F.col("d_answer") == F.col("t_dst")).cast("int")).alias("_hit"))
     return g.select(F.col("t_frame").alias("frame_number"), F.col("t_src").alias("client"),
                     F.col("t_sni").alias("sni"), F.col("t_dst").alias("server"), (F.col("_hit") == 0).alias("mismatch"))
+
+
+def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "append",
+                     available_now: bool = False, processing_time: str | None = None):
+    """Start a streaming job into a Parquet folder. Its checkpoint lives under the cluster's
+    shared ``spark.checkpoint.dir`` (``<dir>/streams/<name>``), so a restarted driver resumes
+    exactly where it stopped; a local folder is only chosen when the setting is unset (tests)."""
+    import os
+
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(sdf.sparkSession)
+    w = (sdf.writeStream.format("parquet").outputMode(mode).option("path", out_path)
+         .option("checkpointLocation", os.path.join(base, "streams", name)).queryName(name))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()

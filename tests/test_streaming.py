@@ -80,3 +80,15 @@ def test_streaming_rule_tagging_matches_batch(spark, stream_dir):
     batch = project(packets(spark, SF_SMALL))
     assert out.where("frame_number < 10000000").exceptAll(batch).count() == 0
     assert batch.exceptAll(out).count() == 0
+
+
+def test_start_to_parquet_resumes(spark, stream_dir, tmp_path):
+    out = str(tmp_path / "timeline")
+    q = jobs.start_to_parquet(jobs.streaming_timeline(source(spark, stream_dir)), out, "tl_parquet",
+                              available_now=True)
+    q.awaitTermination(300)
+    assert spark.read.parquet(out).count() == 63
+    q2 = jobs.start_to_parquet(jobs.streaming_timeline(source(spark, stream_dir)), out, "tl_parquet",
+                               available_now=True)
+    q2.awaitTermination(300)
+    assert spark.read.parquet(out).count() == 63  # resumed from the checkpoint: nothing re-emitted
