@@ -153,3 +153,84 @@ def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "appe
     elif processing_time:
         w = w.trigger(processingTime=processing_time)
     return w.start()
+
+
+_DNS_OUT = T.StructType([T.StructField("frame_number", T.LongType()), T.StructField("client", T.StringType()),
+                         T.StructField("sni", T.StringType()), T.StructField("server", T.StringType()),
+                         T.StructField("mismatch", T.BooleanType())])
+_DNS_STATE = T.StructType([
+    T.StructField("any_t", T.DoubleType()),
+    T.StructField("hit_ip", T.ArrayType(T.StringType())), T.StructField("hit_t", T.ArrayType(T.DoubleType())),
+    T.StructField("p_t", T.ArrayType(T.DoubleType())), T.StructField("p_kind", T.ArrayType(T.IntegerType())),
+    T.StructField("p_frame", T.ArrayType(T.LongType())), T.StructField("p_dst", T.ArrayType(T.StringType())),
+    T.StructField("p_ans", T.ArrayType(T.StringType()))])
+
+
+def _dns_state_fn(max_age: float):
+    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        client, name = key
+        if state.exists:
+            any_t, hit_ip, hit_t, p_t, p_kind, p_frame, p_dst, p_ans = state.get
+            hits = dict(zip(hit_ip or [], hit_t or []))
+            pending = list(zip(p_t or [], p_kind or [], p_frame or [], p_dst or [], p_ans or []))
+        else:
+            any_t, hits, pending = None, {}, []
+        if not state.hasTimedOut:
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    pending.append((float(r.t), int(r.kind), int(r.frame), r.dst, r.answers))
+        wm = state.getCurrentWatermarkMs() / 1000.0
+        ready = sorted((p for p in pending if p[0] <= wm), key=lambda p: (p[0], p[1], p[2]))
+        pending = [p for p in pending if p[0] > wm]
+        out = []
+        for t, kind, frame, dst, answers in ready:
+            if kind == 0:  # DNS row: answers as a comma-joined text
+                ips = [a for a in (answers or "").split(",") if a]
+                if ips:
+                    any_t = t if any_t is None else max(any_t, t)
+                for ip in ips:
+                    hits[ip] = max(hits.get(ip, t), t)
+            elif any_t is not None and t - any_t <= max_age:
+                hit = dst in hits and t - hits[dst] <= max_age
+                out.append((frame, client, name, dst, not hit))
+        frontier = max([p[0] for p in ready], default=wm)
+        hits = {ip: ht for ip, ht in hits.items() if frontier - ht <= max_age}
+        if any_t is not None and frontier - any_t > max_age:
+            any_t = None
+        if pending or hits or any_t is not None:
+            state.update((any_t, list(hits), list(hits.values()), [p[0] for p in pending], [p[1] for p in pending],
+                          [p[2] for p in pending], [p[3] for p in pending], [p[4] for p in pending]))
+            nxt = min([p[0] for p in pending], default=frontier + max_age)
+            state.setTimeoutTimestamp(int(max(nxt, wm) * 1000) + 1)
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in _DNS_OUT.fields])
+    return fn
+
+
+def streaming_dns_sni_stateful(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
+                               max_age: int = DNS_TLS_MAX_AGE_SECONDS) -> DataFrame:
+    """ST4 without pairs: per (client, name), rows are handled in event-time order once the
+    watermark passes them; the state keeps the latest answered time and the latest time of each
+    distinct answer address (evicted after ``max_age``) — never DNS×TLS pairs. Same rows as the
+    batch check (update mode)."""
+    if "dns_response_addresses" in packets.columns:
+        ans = dns_answers(F.col("dns_response_addresses"), is_array=True)
+    else:
+        ans = dns_answers(F.col("dns_response_addresses_csv"))
+    d = with_event_time(packets)
+    dns = d.where((F.col("destination_port") == 53) & F.col("dns_query_name").isNotNull() & F.col("source_ip").isNotNull()
+                  ).select(F.col("source_ip").alias("client"), F.col("dns_query_name").alias("name"), "event_time",
+                           F.col("timestamp").cast("double").alias("t"), F.lit(0).alias("kind"),
+                           F.col("frame_number").cast("long").alias("frame"), F.lit(None).cast("string").alias("dst"),
+                           F.array_join(ans, ",").alias("answers"))
+    tls = d.where((F.col("destination_port") == 443) & F.col("sni").isNotNull() & F.col("source_ip").isNotNull()
+                  ).select(F.col("source_ip").alias("client"), F.col("sni").alias("name"), "event_time",
+                           F.col("timestamp").cast("double").alias("t"), F.lit(1).alias("kind"),
+                           F.col("frame_number").cast("long").alias("frame"), F.col("destination_ip").alias("dst"),
+                           F.lit(None).cast("string").alias("answers"))
+    u = dns.unionByName(tls).withWatermark("event_time", watermark)
+    return u.groupBy("client", "name").applyInPandasWithState(
+        _dns_state_fn(float(max_age)), outputStructType=_DNS_OUT, stateStructType=_DNS_STATE,
+        outputMode="update", timeoutConf=GroupStateTimeout.EventTimeTimeout)

@@ -92,3 +92,10 @@ def test_start_to_parquet_resumes(spark, stream_dir, tmp_path):
                                available_now=True)
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == 63  # resumed from the checkpoint: nothing re-emitted
+
+
+def test_streaming_dns_sni_stateful_matches_batch(spark, stream_dir):
+    out = run(spark, jobs.streaming_dns_sni_stateful(source(spark, stream_dir)), "st4s", mode="update")
+    batch = dns.dns_sni_checks(packets(spark, SF_SMALL))
+    assert out.count() == batch.count() == 26
+    assert out.select(*batch.columns).exceptAll(batch).count() == 0
