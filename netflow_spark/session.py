@@ -39,7 +39,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the cluster.
 
     The cluster names it in ``spark.checkpoint.dir``; we only pick a folder of our own when
-    nothing is set (local runs and tests).
+    nothing is set and Spark runs in local mode (tests); on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +52,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # not set
             conf_dir = None
     if not conf_dir:
+        master = sc.master or ""
+        if not master.startswith("local"):
+            # A machine-local folder is wrong on a cluster: executors could not read it back.
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/...)")
         conf_dir = tempfile.mkdtemp(prefix="netflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
