@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import first_present, opt
 from ..schema import FLOW_KEY
 from .asof import DEFAULT_BLOCK
-from .flows import flow_signals
+from .flows import flow_signals, signals_from_facts
 from .icmp import icmp_error_counts
 from .ids import dense_id, hash_id
 
@@ -84,18 +84,19 @@ def apply_overrides(tagged: DataFrame, mismatch_col: str | None = None) -> DataF
 
 
 def tag_flows(packets: DataFrame, keys: Sequence[str] = (), flow_id: str = "dense",
-              with_app_fields: bool = False, block: int = DEFAULT_BLOCK) -> DataFrame:
+              with_app_fields: bool = False, block: int = DEFAULT_BLOCK, facts: DataFrame | None = None) -> DataFrame:
     """R4 (flagship): packets → per-flow disposition, cause and TLS/ICMP evidence.
 
     ``flow_id="dense"`` reproduces the reference's 0-based rank of the sorted flow key;
     ``"hash"`` is a shuffle-free 64-bit id for very large inputs.
     With ``with_app_fields`` the DNS/SNI mismatch override (J3) can fire on packet evidence.
+    ``facts``: a precomputed ``flows.flow_facts`` table to share with the flow table.
     """
     keys = list(keys)
     if "frame_number" not in packets.columns:
         # Without frame numbers the reference's row order is the only order: number rows as read.
         packets = packets.withColumn("frame_number", F.monotonically_increasing_id() + 1)
-    flows = flow_signals(packets, keys)
+    flows = signals_from_facts(facts, keys) if facts is not None else flow_signals(packets, keys)
     if with_app_fields and ("http_response_code" in packets.columns or "http_status" in packets.columns):
         # Carry the HTTP status evidence so R2 (proxy 407) can fire on flows.
         from ..functions.columns import all_not_null, bool_any, with_oriented_key

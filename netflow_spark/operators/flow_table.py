@@ -41,17 +41,31 @@ def keyed(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return packets.select(*keys, *[v.alias(k) for k, v in cols.items()])
 
 
-def flow_table(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per oriented flow."""
+def table_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """G5 from flow facts: null key parts read ""/0, so the raw-key groups that coincide after
+    that substitution are merged by a second, per-flow-sized aggregate (no packet shuffle)."""
     keys = list(keys)
-    k = keyed(packets, keys)
-    c2s = F.col("_c2s")
+    k = facts.select(
+        *keys, F.coalesce(F.col("client_ip"), F.lit("")).alias("src_ip"),
+        F.coalesce(F.col("server_ip"), F.lit("")).alias("dest_ip"),
+        F.coalesce(F.col("client_port").try_cast("double").try_cast("long"), F.lit(0).cast("long")).alias("src_port"),
+        F.coalesce(F.col("server_port").try_cast("double").try_cast("long"), F.lit(0).cast("long")).alias("dest_port"),
+        F.coalesce(F.col("protocol"), F.lit("")).alias("protocol"),
+        "bytes_c2s", "bytes_s2c", "pkts_c2s", "pkts_s2c", "start_ts", "end_ts")
     agg = k.groupBy(*keys, *TABLE_KEY).agg(
-        F.sum(F.when(c2s, F.col("_len")).otherwise(0)).alias("bytes_c2s"),
-        F.sum(F.when(~c2s, F.col("_len")).otherwise(0)).alias("bytes_s2c"),
-        F.sum(F.when(c2s, 1).otherwise(0)).cast("long").alias("pkts_c2s"),
-        F.sum(F.when(~c2s, 1).otherwise(0)).cast("long").alias("pkts_s2c"),
-        F.min("_ts").alias("start_ts"), F.max("_ts").alias("end_ts"))
+        F.sum("bytes_c2s").alias("bytes_c2s"), F.sum("bytes_s2c").alias("bytes_s2c"),
+        F.sum("pkts_c2s").cast("long").alias("pkts_c2s"), F.sum("pkts_s2c").cast("long").alias("pkts_s2c"),
+        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+    return _finish_table(agg, keys)
+
+
+def flow_table(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per oriented flow (via the shared flow facts aggregate)."""
+    from .flows import flow_facts
+    return table_from_facts(flow_facts(packets, keys), keys)
+
+
+def _finish_table(agg: DataFrame, keys: list[str]) -> DataFrame:
     agg = agg.withColumns({"bytes_total": F.col("bytes_c2s") + F.col("bytes_s2c"),
                            "pkts_total": F.col("pkts_c2s") + F.col("pkts_s2c")})
     agg = agg.withColumn("l7_protocol_guess", guess_l7(agg))

@@ -49,14 +49,33 @@ def _signal_aggs(df: DataFrame) -> list[Column]:
     ]
 
 
-def flow_signals(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """G7 + G9: one row per oriented flow with handshake/data/RST/ICMP/TLS signals.
+def _table_aggs(df: DataFrame) -> list[Column]:
+    """Flow-table sums (null length → 0, null time → 0.0) in the same aggregate as the signals."""
+    c2s = F.coalesce(F.col("is_source_client"), F.lit(False))
+    ln = F.coalesce(opt(df, "packet_length", "long").try_cast("double").try_cast("long"), F.lit(0).cast("long"))
+    ts = F.coalesce(opt(df, "timestamp", "double").cast("double"), F.lit(0.0))
+    return [F.sum(F.when(c2s, ln).otherwise(0)).alias("bytes_c2s"),
+            F.sum(F.when(~c2s, ln).otherwise(0)).alias("bytes_s2c"),
+            F.sum(F.when(c2s, 1).otherwise(0)).cast("long").alias("pkts_c2s"),
+            F.sum(F.when(~c2s, 1).otherwise(0)).cast("long").alias("pkts_s2c"),
+            F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts")]
 
-    Rows whose oriented key has a null part are dropped (the reference's group-by does that).
-    """
+
+def flow_facts(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One aggregate per raw oriented 5-tuple (null parts kept as their own groups) carrying
+    everything the signals (G7), TLS outcome (G9) and flow table (G5) need — one shuffle of the
+    packets for all three. Unused aggregates are pruned by Catalyst when a caller needs less."""
+    from ..functions.columns import orient_col
     df = oriented(packets)
+    if orient_col(df) != "is_source_client":
+        df = df.withColumn("is_source_client", F.col(orient_col(df)))
+    return df.groupBy(*keys, *FLOW_KEY).agg(*_signal_aggs(df), *_table_aggs(df))
+
+
+def signals_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """G7 + G9 from flow facts: complete keys only (the reference's group-by drops null keys)."""
     group = [*keys, *FLOW_KEY]
-    agg = df.where(all_not_null(group)).groupBy(*group).agg(*_signal_aggs(df))
+    agg = facts.where(all_not_null(group))
     syn, sh, ch, alert, rst = (F.col(n) for n in ("first_syn_time", "first_server_hello_time",
                                                   "first_client_hello_time", "first_alert_time",
                                                   "first_rst_time"))
@@ -78,6 +97,14 @@ def flow_signals(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def flow_signals(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """G7 + G9: one row per oriented flow with handshake/data/RST/ICMP/TLS signals.
+
+    Rows whose oriented key has a null part are dropped (the reference's group-by does that).
+    """
+    return signals_from_facts(flow_facts(packets, keys), keys)
+
+
 def tls_outcome(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """G9 on its own: TLS handshake outcome per oriented flow."""
     return flow_signals(packets, keys).select(

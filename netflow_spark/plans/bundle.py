@@ -1,7 +1,8 @@
 """The metrics bundle — every report of a full analysis as a dict of lazy DataFrames.
 
-The packets are oriented once and (optionally) persisted; the rule-tagged packets and the
-flow table are the two shared inputs of the reports. Persisting is cache, not a checkpoint:
+The packets are (optionally) persisted; one per-flow "facts" aggregate feeds the flow table,
+the flow signals and the TLS outcome (one packet shuffle for the three); the rule-tagged packets
+and the flow table are the shared inputs of the reports. Persisting is cache, not a checkpoint:
 a lost executor's blocks are recomputed from lineage, which is deterministic here.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich, flow_table, metrics, ordered
 from ..operators.disposition import tag_flows
+from ..operators.flows import flow_facts
 from ..operators.joins import spike_top_flows
 from ..operators.orient import flow_key
 from ..rules import default_rules, tag
@@ -28,7 +30,11 @@ def metrics_bundle(packets: DataFrame, rules=None, networks: DataFrame | None =
     p = packets.persist(StorageLevel.MEMORY_AND_DISK) if persist else packets
     tagged = tag(p, rules or default_rules())
     tagged = tagged.withColumn("flow_id", flow_key(tagged))
-    ft = flow_table.flow_table(p, keys)
+    # One packet shuffle for the flow table, the signals and the TLS outcome (shared facts).
+    facts = flow_facts(p, keys)
+    if persist:
+        facts = facts.persist(StorageLevel.MEMORY_AND_DISK)
+    ft = flow_table.table_from_facts(facts, keys)
     summary = flow_table.flow_summary(tagged, keys)
     tl = metrics.timeline(p, keys)
     spikes = metrics.spikes(tl, keys=keys)
@@ -48,7 +54,7 @@ def metrics_bundle(packets: DataFrame, rules=None, networks: DataFrame | None =
                            .fillna({"spike": False}),
         "spike_top_flows": spike_top_flows(spikes, ft, flow_table.TABLE_KEY),
         "top_flows": metrics.top_flows(summary, flow_table.TABLE_KEY),
-        "flow_dispositions": tag_flows(p, keys, flow_id="hash"),
+        "flow_dispositions": tag_flows(p, keys, flow_id="hash", facts=facts),
     }
     if networks is not None:
         with_c = enrich.with_dest_country(ft.withColumn("flow_id", F.concat_ws("|", *flow_table.TABLE_KEY)),
