@@ -1,3 +1,32 @@
-"""Spark-native network-capture analytics: flows, rules, dispositions and metrics over DataFrames."""
+"""Spark-native analytics for network captures: flows, rules, dispositions and metrics as
+DataFrame → DataFrame operators (batch and Structured Streaming)."""
 
 __version__ = "0.1.0"
+
+__all__ = ["tag_flows", "tag", "load_rules", "default_rules", "read_packets", "read_flows", "write_flows",
+           "flow_table", "flow_summary", "orient_packets", "metrics_bundle", "Pipeline"]
+
+
+def __getattr__(name):  # lazy: importing the package does not start or touch Spark
+    if name == "tag_flows":
+        from .operators.disposition import tag_flows
+        return tag_flows
+    if name in ("tag", "load_rules", "default_rules"):
+        from . import rules
+        return getattr(rules, name)
+    if name in ("read_packets", "read_flows", "write_flows"):
+        from .sources import io
+        return getattr(io, name)
+    if name in ("flow_table", "flow_summary"):
+        from .operators import flow_table
+        return getattr(flow_table, name)
+    if name == "orient_packets":
+        from .operators.orient import orient_packets
+        return orient_packets
+    if name == "metrics_bundle":
+        from .plans.bundle import metrics_bundle
+        return metrics_bundle
+    if name == "Pipeline":
+        from .plans.pipeline import Pipeline
+        return Pipeline
+    raise AttributeError(name)

@@ -71,3 +71,20 @@ def test_slice_frames_and_save(spark, tmp_path):
     io.save_packets(p, str(tmp_path / "store"))
     io.save_packets(p, str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2000
+
+
+def test_command_line(spark, tmp_path):
+    from netflow_spark.__main__ import main
+    from netflow_spark.fixtures import FAILURE_CAPTURE_CSV
+    src = tmp_path / "in.csv"
+    src.write_text(FAILURE_CAPTURE_CSV)
+    out = str(tmp_path / "tagged.parquet")
+    assert main(["tag", "--in", str(src), "--out", out], spark=spark) == 0
+    t = spark.read.parquet(out)
+    assert "Blocked - Proxy Authentication Failed" in {r.flow_disposition for r in t.collect()}
+    bad = tmp_path / "bad.yaml"
+    bad.write_text(":- bad")
+    assert main(["tag", "--rules", str(bad), "--in", str(src), "--out", out], spark=spark) == 1
+    assert main(["flows", "--in", str(tmp_path / "tagged.parquet"), "--out", str(tmp_path / "f.parquet")], spark=spark) == 0
+    import netflow_spark
+    assert callable(netflow_spark.tag_flows) and callable(netflow_spark.Pipeline)
