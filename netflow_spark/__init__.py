@@ -27,6 +27,6 @@ def __getattr__(name):  # lazy: importing the package does not start or touch Sp
         from .plans.bundle import metrics_bundle
         return metrics_bundle
     if name == "Pipeline":
-        from .plans.pipeline import Pipeline
+        from .plans.steps import Pipeline
         return Pipeline
     raise AttributeError(name)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netflow_spark.fixtures import packets
 from netflow_spark.plans.bundle import metrics_bundle
-from netflow_spark.plans.pipeline import Pipeline
+from netflow_spark.plans.steps import Pipeline
 from netflow_spark.sources import io
 from tests.conftest import SF_SMALL
 
