@@ -130,10 +130,21 @@ def _kind(dt: T.DataType) -> str:
     return "other"
 
 
+def _is_float(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.FloatType, T.DoubleType))
+
+
+def _present(c: Column, dt: T.DataType) -> Column:
+    """Not missing — pandas counts NaN as missing, Spark does not."""
+    return (c.isNotNull() & ~F.isnan(c)) if _is_float(dt) else c.isNotNull()
+
+
 def _as_text(c: Column, dt: T.DataType) -> Column:
     """Column rendered the way Python's ``str()`` renders the value (null stays null)."""
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if _is_float(dt):
+        return F.when(~F.isnan(c), c.cast("string"))
     if isinstance(dt, T.ArrayType):
         return F.array_join(c.cast("array<string>"), ",")
     return c.cast("string")
@@ -180,9 +191,12 @@ def _isin(c: Column, dt: T.DataType, values: Any) -> Column | None:
 
 
 def _numeric(c: Column, dt: T.DataType) -> Column:
+    """Numeric view for gt/lt/gte/lte; NaN reads as missing (Spark orders NaN above every value,
+    pandas compares it false)."""
     if isinstance(dt, T.BooleanType):
         return c.cast("int").cast("double")
-    return c.try_cast("double")
+    n = c.try_cast("double")
+    return F.when(~F.isnan(n), n)
 
 
 def _regex(pattern: Any) -> str:
@@ -235,9 +249,9 @@ def compile_condition(df: DataFrame, cond: Any, warn: set | None = None) -> Colu
             cmp = {"gt": n > value, "lt": n < value, "gte": n >= value, "lte": n <= value}[op]
             return F.coalesce(cmp, false)
         if op == "exists":
-            return c.isNotNull()
+            return _present(c, dt)
         if op == "not_exists":
-            return c.isNull()
+            return ~_present(c, dt)
         if op == "starts_with":
             return F.coalesce(_as_text(c, dt).startswith(str(value)), false)
         if op == "ends_with":
