@@ -80,3 +80,19 @@ def test_pcap_and_pcapng_ingest(spark, tmp_path):
     assert v6.protocol_l3 == "IPv6" and v6.protocol == "UDP" and v6.destination_port == 53
     assert v6.source_ip == "2001:db8:0:0:0:0:0:1"
     assert b[0].timestamp == 2000.0 and b[1].tcp_flags_ack
+
+
+def test_split_reading_matches_whole_file(spark, tmp_path):
+    from netflow_spark.sources.capture import read_capture_frames_split
+    d = tmp_path / "big"
+    d.mkdir()
+    frames = _frames() * 40
+    write_pcap(d / "a.pcap", frames)
+    write_pcapng(d / "b.pcapng", frames[:60])
+    whole = read_capture_frames(spark, str(d))
+    split = read_capture_frames_split(spark, str(d), split_bytes=1500)
+    cols = ["capture_file", "frame_number", "timestamp", "source_ip", "destination_ip", "source_port",
+            "destination_port", "protocol", "tcp_flags_syn", "icmp_original_ip_id", "packet_length"]
+    a, b = whole.select(*cols), split.select(*cols)
+    assert a.count() == 260 and b.count() == 260
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
