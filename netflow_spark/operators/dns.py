@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.classify import dns_answers
 from ..functions.columns import first_present
 from ..schema import FLOW_KEY
+from ..session import cut_lineage
 from .asof import asof_latest
 
 DNS_TLS_MAX_AGE_SECONDS = 60  # fixed value
@@ -38,7 +39,8 @@ def _answers(df: DataFrame):
 
 
 def dns_sni_checks(rows: DataFrame, keys: Sequence[str] = (), id_col: str = "frame_number",
-                   max_age: float = DNS_TLS_MAX_AGE_SECONDS, block: float = _TIME_BLOCK_SECONDS) -> DataFrame:
+                   max_age: float = DNS_TLS_MAX_AGE_SECONDS, block: float = _TIME_BLOCK_SECONDS,
+                   materialize: bool = True) -> DataFrame:
     """Per TLS row (port 443 with SNI) that has a DNS answer for its (client, name) within
     ``max_age`` seconds before it: ``id_col``, client, sni, server and ``mismatch``."""
     keys = list(keys)
@@ -53,8 +55,14 @@ def dns_sni_checks(rows: DataFrame, keys: Sequence[str] = (), id_col: str = "fra
             [], f"{id_col} long, client string, sni string, server string, mismatch boolean")
     base = rows.select(*keys, F.col(id_col).alias("_id"), src.alias("_src"), dst.alias("_dst"), port.alias("_port"),
                        ts.alias("_t"), sni.alias("_sni"), F.col("dns_query_name").alias("_q"), ans.alias("_ans"))
-    dns = base.where((F.col("_port") == 53) & F.col("_q").isNotNull() & F.col("_t").isNotNull() & F.col("_src").isNotNull())
-    tls = base.where((F.col("_port") == 443) & F.col("_sni").isNotNull() & F.col("_t").isNotNull())
+    is_dns = (F.col("_port") == 53) & F.col("_q").isNotNull() & F.col("_t").isNotNull() & F.col("_src").isNotNull()
+    is_tls = (F.col("_port") == 443) & F.col("_sni").isNotNull() & F.col("_t").isNotNull()
+    if materialize:
+        # The narrow DNS+TLS subset is written once; both as-of lookups read it (the packet
+        # table is scanned once instead of four times).
+        base = cut_lineage(base.where(is_dns | is_tls))
+    dns = base.where(is_dns)
+    tls = base.where(is_tls)
     k = [*keys, "_src", "_name"]
     answered = dns.where(F.size("_ans") > 0).select(*keys, "_src", F.col("_q").alias("_name"), "_t",
                                                     F.col("_t").alias("_any_t"))
