@@ -136,7 +136,7 @@ def packet_rtt(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAUL
     key = [*keys, "_a_ip", "_a_port", "_b_ip", "_b_port"]
     build = rows.select(*key, "frame_number", F.struct(F.col("_is_syn").alias("s"), F.col("ts").alias("t")).alias("_prev"))
     probe = rows.where(~F.col("_is_syn")).select(*key, "frame_number", "ts")
-    r = asof_latest(probe, build, key, "frame_number", "_prev", block=block, materialize=False)
+    r = asof_latest(probe, build, key, "frame_number", "_prev", block=block)
     return r.where(F.coalesce(F.col("_prev.s"), F.lit(False))).select(
         *keys, "frame_number", ((F.col("ts") - F.col("_prev.t")) * 1000.0).alias("tcp_rtt_ms"))
 
@@ -158,7 +158,7 @@ def handshake_rtt(packets: DataFrame, keys: Sequence[str] = (), block: int = DEF
     syns = o.where("_is_syn").select(*part, "frame_number", F.struct(
         F.col("frame_number").alias("f"), F.col("ts").alias("t"), F.col("_seq").alias("seq")).alias("_syn"))
     acks = o.where(~F.col("_is_syn")).select(*part, "frame_number", "ts", "_ack")
-    m = asof_latest(acks, syns, part, "frame_number", "_syn", block=block, materialize=False)
+    m = asof_latest(acks, syns, part, "frame_number", "_syn", block=block)
     cand = m.where(F.col("_syn").isNotNull() & (F.col("_ack") == F.col("_syn.seq") + 1))
     first = cand.groupBy(*part, F.col("_syn.f").alias("_sf")).agg(
         F.min_by(F.struct("frame_number", "ts"), F.col("frame_number")).alias("_a"),
@@ -182,7 +182,7 @@ def tls_time_to_alert(packets: DataFrame, keys: Sequence[str] = (), block: int =
         hs.alias("_hs"), al.alias("_al"))
     part = [*keys, *FLOW_KEY]
     alerts = o.where("_al").select(*part, "frame_number", F.col("frame_number").alias("_prev_alert"))
-    seg = asof_latest(o, alerts, part, "frame_number", "_prev_alert", block=block, materialize=False)
+    seg = asof_latest(o, alerts, part, "frame_number", "_prev_alert", block=block)
     seg = seg.withColumn("_seg", F.coalesce(F.col("_prev_alert"), F.lit(-1).cast("long")))
     starts = seg.where("_hs").groupBy(*part, "_seg").agg(F.min_by("ts", F.col("frame_number")).alias("_start"))
     ends = seg.where("_al").select(*part, "_seg", "frame_number", F.col("ts").alias("_alert"))
