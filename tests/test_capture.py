@@ -96,3 +96,21 @@ def test_split_reading_matches_whole_file(spark, tmp_path):
     a, b = whole.select(*cols), split.select(*cols)
     assert a.count() == 260 and b.count() == 260
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_pcap_byte_orders_and_nanoseconds(spark, tmp_path):
+    from netflow_spark.sources.capture import read_capture_frames_split
+    d = tmp_path / "variants"
+    d.mkdir()
+    frames = _frames()[:3]
+    for name, e, magic, frac, div in [("be.pcap", ">", 0xA1B2C3D4, 250000, 1e6), ("ns.pcap", "<", 0xA1B23C4D, 250000000, 1e9)]:
+        with open(d / name, "wb") as fh:
+            fh.write(struct.pack(e + "IHHiIII", magic, 2, 4, 0, 0, 65535, 1))
+            for i, f in enumerate(frames):
+                fh.write(struct.pack(e + "IIII", 1000 + i, frac, len(f), len(f)) + f)
+    for reader in (read_capture_frames, lambda s, p: read_capture_frames_split(s, p, split_bytes=100)):
+        rows = reader(spark, str(d)).orderBy("capture_file", "frame_number").collect()
+        assert len(rows) == 6
+        for r in rows:
+            assert r.timestamp == 1000.25 + (r.frame_number - 1)
+        assert [r.tcp_flags_syn for r in rows[:3]] == [True, True, False]
