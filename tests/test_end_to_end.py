@@ -64,3 +64,21 @@ def test_tag_flows_independent_of_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(a) == sorted(b)
+
+
+def test_stored_packets_match_view(spark, tmp_path):
+    """The bench reads a stored packets table; results must equal the view-based queries."""
+    import __spark_entry__ as e
+    from netflow_spark.fixtures import PACKETS_PATH_CONF, store_packets
+    from tests.conftest import SF_SMALL
+    q = e.queries()
+    names = ["tag_flows", "flow_summary", "tcp_heuristics", "rtt_stats", "dns_sni_mismatch"]
+    view = {n: q[n](spark, SF_SMALL).collect() for n in names}
+    store_packets(spark, SF_SMALL, str(tmp_path / "packets"), files=3)
+    spark.conf.set(PACKETS_PATH_CONF, str(tmp_path / "packets"))
+    try:
+        stored = {n: q[n](spark, SF_SMALL).collect() for n in names}
+    finally:
+        spark.conf.unset(PACKETS_PATH_CONF)
+    for n in names:
+        assert sorted(map(tuple, view[n])) == sorted(map(tuple, stored[n])), n
