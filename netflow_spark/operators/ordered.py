@@ -186,9 +186,12 @@ def tls_time_to_alert(packets: DataFrame, keys: Sequence[str] = (), block: int =
     seg = seg.withColumn("_seg", F.coalesce(F.col("_prev_alert"), F.lit(-1).cast("long")))
     starts = seg.where("_hs").groupBy(*part, "_seg").agg(F.min_by("ts", F.col("frame_number")).alias("_start"))
     ends = seg.where("_al").select(*part, "_seg", "frame_number", F.col("ts").alias("_alert"))
-    j = ends.join(starts, [*part, "_seg"], "inner")
+    cond = F.lit(True)
+    for c in [*part, "_seg"]:
+        cond = cond & ends[c].eqNullSafe(starts[c])  # a flow key may hold nulls (null-safe, as grouping)
+    j = ends.join(starts, cond, "inner")
     d = (F.col("_alert") - F.col("_start")) * 1000.0
-    return j.where(d >= 0).select(*part, "frame_number", d.alias("time_to_alert_ms"))
+    return j.where(d >= 0).select(*[ends[c] for c in part], ends["frame_number"], d.alias("time_to_alert_ms"))
 
 
 def rtt_samples(packets: DataFrame, keys: Sequence[str] = (), timeout: float = RTT_TIMEOUT_SECONDS) -> DataFrame:
