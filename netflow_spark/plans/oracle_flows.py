@@ -21,12 +21,11 @@ WITH k AS (
   FROM packets),
 f AS (
   SELECT flow_key, min(frame_number) FILTER (WHERE q) AS qf,
-    arg_min(source_ip, frame_number) FILTER (WHERE q) AS cip,
-    arg_min(source_port, frame_number) FILTER (WHERE q) AS cport
+    arg_min(struct_pack(ip := source_ip, port := source_port), frame_number) FILTER (WHERE q) AS c
   FROM k GROUP BY flow_key)
 SELECT k.frame_number, k.flow_key,
   CASE WHEN f.qf IS NULL OR k.frame_number <= f.qf THEN true
-       ELSE (k.source_ip IS NOT DISTINCT FROM f.cip AND k.source_port IS NOT DISTINCT FROM f.cport) END AS is_source_client
+       ELSE (k.source_ip IS NOT DISTINCT FROM f.c.ip AND k.source_port IS NOT DISTINCT FROM f.c.port) END AS is_source_client
 FROM k JOIN f USING (flow_key)""")
 
 oracle("orient_parser", """
@@ -143,8 +142,8 @@ g AS (
     arg_min(http_request_uri, frame_number) FILTER (WHERE http_request_uri IS NOT NULL) AS http_path,
     arg_min(dns_query_name, frame_number) FILTER (WHERE dns_query_name IS NOT NULL) AS q_first,
     arg_min(dns_response_code, frame_number) FILTER (WHERE dns_response_code IS NOT NULL) AS rc_first,
-    arg_max(dns_query_name, (timestamp, -frame_number)) FILTER (WHERE hit) AS q_hit,
-    arg_max(dns_response_code, (timestamp, -frame_number)) FILTER (WHERE hit) AS rc_hit,
+    arg_max(struct_pack(q := dns_query_name, rc := dns_response_code), (timestamp, -frame_number))
+      FILTER (WHERE hit) AS dns_hit,
     bool_or(hit) AS any_hit
   FROM k
   WHERE s_ip IS NOT NULL AND d_ip IS NOT NULL AND s_port IS NOT NULL AND d_port IS NOT NULL AND protocol IS NOT NULL
@@ -155,8 +154,8 @@ SELECT g.s_ip AS src_ip, g.d_ip AS dest_ip, g.s_port AS src_port, g.d_port AS de
   bytes_c2s, bytes_s2c, bytes_c2s + bytes_s2c AS bytes_total,
   flow_disposition, primary_traffic_type_guess, o.security_observations,
   sni_hostname, http_host, http_path,
-  CASE WHEN any_hit THEN q_hit ELSE q_first END AS dns_query,
-  CASE WHEN any_hit THEN rc_hit ELSE rc_first END AS dns_response_code
+  CASE WHEN any_hit THEN dns_hit.q ELSE q_first END AS dns_query,
+  CASE WHEN any_hit THEN dns_hit.rc ELSE rc_first END AS dns_response_code
 FROM g LEFT JOIN obs_join o
   ON o.s_ip = g.s_ip AND o.d_ip = g.d_ip AND o.s_port = g.s_port AND o.d_port = g.d_port AND o.protocol = g.protocol""")
 
