@@ -83,8 +83,32 @@ def generate(n: int, seed: int) -> pa.Table:
         c["http_request_uri"].append("/x" if http else None)
         c["http_response_code"].append(rnd.choice([200, 407, None]) if http else None)
         c["is_quic"].append(rnd.choice([True, False]) if proto == "UDP" else False)
+        # Correlated rows: a client resolves a name, then opens TLS to an answer (or elsewhere).
+        r = rnd.random()
+        if r < 0.12:
+            _overwrite(c, src=rnd.choice(CLIENTS), dst="8.8.8.8", sport=rnd.choice([40000, 40001]), dport=53,
+                       proto="UDP", name=rnd.choice(NAMES), answers=rnd.choice(ANSWERS), client=True)
+        elif r < 0.24:
+            _overwrite(c, src=rnd.choice(CLIENTS), dst=rnd.choice(["203.0.113.5", "198.51.100.7", "203.0.113.40"]),
+                       sport=rnd.choice([40000, 40001]), dport=443, proto="TCP", sni=rnd.choice(NAMES), client=True)
     return pa.table(cols, schema=SCHEMA)
 
 
+CLIENTS = ["10.0.0.1", "10.0.0.2"]
+ANSWERS = ["203.0.113.5", "203.0.113.5,198.51.100.7", "198.51.100.7", ""]
+
+
+def _overwrite(c, src, dst, sport, dport, proto, client, name=None, answers=None, sni=None):
+    """Turn the last generated row into a DNS query or a TLS row (other fields kept)."""
+    c["source_ip"][-1], c["destination_ip"][-1] = src, dst
+    c["source_port"][-1], c["destination_port"][-1], c["protocol"][-1] = sport, dport, proto
+    c["is_source_client"][-1] = client
+    if name is not None:
+        c["dns_query_name"][-1], c["dns_response_addresses_csv"][-1] = name, answers
+    if sni is not None:
+        c["sni"][-1] = sni
+        c["tls_handshake_type"][-1] = "ClientHello"
+
+
 def write(path: str, n: int, seed: int) -> None:
     pq.write_table(generate(n, seed), path)

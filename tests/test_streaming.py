@@ -99,3 +99,28 @@ def test_streaming_dns_sni_stateful_matches_batch(spark, stream_dir):
     batch = dns.dns_sni_checks(packets(spark, SF_SMALL))
     assert out.count() == batch.count() == 26
     assert out.select(*batch.columns).exceptAll(batch).count() == 0
+
+
+def test_stateful_streaming_matches_batch_on_random_packets(spark, tmp_path):
+    """ST3 and the pair-free ST4 equal their batch operators on a random packet table."""
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
+    from random_packets import write
+    src = str(tmp_path / "rand.parquet")
+    write(src, 800, 5)
+    p = spark.read.parquet(src)
+    base = str(tmp_path / "in")
+    p.coalesce(1).write.parquet(base)
+    mx = p.agg(F.max("timestamp")).first()[0] + 7200
+    closing = p.orderBy("frame_number").limit(50).withColumn("timestamp", F.lit(mx)).withColumn(
+        "frame_number", F.col("frame_number") + 10_000_000)
+    closing.coalesce(1).write.mode("append").parquet(base)
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    st3 = run(spark, jobs.streaming_handshake_rtt(stream), "st3_rand", mode="update").where("frame_number < 10000000")
+    b3 = ordered.handshake_rtt(p)
+    assert st3.select(*b3.columns).exceptAll(b3).count() == 0 and b3.exceptAll(st3.select(*b3.columns)).count() == 0
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    st4 = run(spark, jobs.streaming_dns_sni_stateful(stream), "st4_rand", mode="update")
+    b4 = dns.dns_sni_checks(p)
+    assert b4.count() > 0
+    assert st4.select(*b4.columns).exceptAll(b4).count() == 0 and b4.exceptAll(st4.select(*b4.columns)).count() == 0
