@@ -35,6 +35,7 @@ def generate(n: int, seed: int) -> pa.Table:
     rnd = random.Random(seed)
     cols = {f.name: [] for f in SCHEMA}
     t = 1_700_000_000.0
+    pending = None
     for i in range(1, n + 1):
         t += rnd.choice([0.0, 0.125, 0.5, 1.0, 3.0, 40.0])
         proto = rnd.choice(["TCP"] * 6 + ["UDP"] * 2 + ["ICMP", "HTTP", None])
@@ -91,9 +92,30 @@ def generate(n: int, seed: int) -> pa.Table:
         elif r < 0.24:
             _overwrite(c, src=rnd.choice(CLIENTS), dst=rnd.choice(["203.0.113.5", "198.51.100.7", "203.0.113.40"]),
                        sport=rnd.choice([40000, 40001]), dport=443, proto="TCP", sni=rnd.choice(NAMES), client=True)
+        elif pending is not None:
+            # SYN-ACK answering the previous SYN (sometimes acknowledging the wrong number).
+            src, dst, sport, dport, seq = pending
+            _overwrite(c, src=dst, dst=src, sport=dport, dport=sport, proto="TCP", client=False)
+            _flags(c, syn=True, ack=True, seq=500, ackn=rnd.choice([seq + 1, seq + 1, seq + 7]))
+            pending = None
+            continue
+        elif r < 0.32:
+            src, dst = rnd.choice(CLIENTS), rnd.choice(["203.0.113.5", "198.51.100.7"])
+            sport, seq = rnd.choice([40002, 40003]), rnd.choice([100, 200])
+            _overwrite(c, src=src, dst=dst, sport=sport, dport=443, proto="TCP", client=True)
+            _flags(c, syn=True, ack=False, seq=seq, ackn=None)
+            pending = (src, dst, sport, 443, seq)
+            continue
+        pending = None
     return pa.table(cols, schema=SCHEMA)
 
 
+def _flags(c, syn, ack, seq, ackn):
+    c["tcp_flags_syn"][-1], c["tcp_flags_ack"][-1] = syn, ack
+    c["tcp_flags_psh"][-1], c["tcp_flags_rst"][-1] = False, False
+    c["tcp_sequence_number"][-1], c["tcp_acknowledgment_number"][-1] = seq, ackn
+
+
 CLIENTS = ["10.0.0.1", "10.0.0.2"]
 ANSWERS = ["203.0.113.5", "203.0.113.5,198.51.100.7", "198.51.100.7", ""]
 
