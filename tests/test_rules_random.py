@@ -171,3 +171,35 @@ def test_random_rule_packs_match_direct_evaluation(spark):
             data = {c: row[c] for c in ("s", "n", "b", "t")}
             exp = evaluate(data, rules, "D")
             assert got[row["frame_number"]] == exp, (k, row, rules)
+
+
+def evaluate_outcome(row, rules, default):
+    for r in rules:
+        conds = r.get("conditions")
+        if isinstance(conds, str) and conds:
+            return "engine_error"
+        if rule_ok(row, r):
+            return r.get("value", "")
+    return default
+
+
+def test_random_outcome_rules_match_direct_evaluation(spark):
+    rnd = random.Random(77)
+    rows = [{"frame_number": i, "s": rnd.choice([None, "alpha", "beta", "42"]), "n": rnd.choice([None, 0, 7, 42]),
+             "b": rnd.choice([None, True, False]), "t": rnd.choice([None, "True", "e"])} for i in range(1, 81)]
+    df = spark.createDataFrame([(r["frame_number"], r["s"], r["n"], r["b"], r["t"]) for r in rows], SCHEMA).cache()
+    for k in range(15):
+        outcome = []
+        for i in range(rnd.randint(1, 4)):
+            if rnd.random() < 0.15:
+                outcome.append({"name": f"bad{i}", "value": "BAD", "conditions": "oops"})
+            else:
+                r = random_rule(rnd, i)
+                outcome.append({"name": r["name"], "value": f"V{i}",
+                                **{kk: v for kk, v in r.items() if kk in ("conditions", "conditions_any")}})
+        pack = {"target_column_map": {"g": "dummy"}, "default_values": {"dummy": "", "flow_outcome": "Analyzed"},
+                "g": [], "flow_outcome_rules": outcome}
+        got = {r.frame_number: r.flow_outcome for r in tag(df, pack).select("frame_number", "flow_outcome").collect()}
+        for row in rows:
+            exp = evaluate_outcome({c: row[c] for c in ("s", "n", "b", "t")}, outcome, "Analyzed")
+            assert got[row["frame_number"]] == exp, (k, row, outcome)
