@@ -118,3 +118,19 @@ def test_key_prefix_isolates_captures_on_random_data(spark, tmp_path):
             alone = op(p, []).withColumn("capture_id", F.lit(cid))
             mine = together.where(F.col("capture_id") == cid).select(*alone.columns)
             assert mine.exceptAll(alone).count() == 0 and alone.exceptAll(mine).count() == 0
+
+
+def test_decode_text_codes(spark):
+    from netflow_spark.functions.decode import decode_names
+    df = spark.createDataFrame([("0x0303", "1", "0x0301", "40", "3"), ("771", None, "772", "2,000", "abc")],
+                               "tls_handshake_version_code string, tls_handshake_type_code string, "
+                               "tls_record_version_code string, tls_alert_description_code string, dns_rcode string")
+    r = decode_names(df).collect()
+    assert (r[0].tls_handshake_version, r[0].tls_handshake_type, r[0].tls_effective_version) == ("TLS 1.2", "ClientHello", "TLS 1.2")
+    assert (r[0].tls_alert_message_description, r[0].dns_response_code) == ("handshake_failure", "NXDOMAIN")
+    assert (r[1].tls_handshake_version, r[1].tls_handshake_type, r[1].tls_effective_version) == ("TLS 1.2", None, "TLS 1.2")
+    assert (r[1].tls_alert_message_description, r[1].dns_response_code) == ("2,000", "abc")
+    ip = spark.createDataFrame([(6, False), (58, True), (58, False), (99, None)], "p long, v6 boolean")
+    from netflow_spark.functions.decode import ip_protocol_name
+    assert [x.n for x in ip.select(ip_protocol_name(F.col("p"), F.col("v6"), text=False).alias("n")).collect()] == \
+        ["TCP", "ICMPv6", "58", "99"]
