@@ -88,3 +88,18 @@ def test_command_line(spark, tmp_path):
     assert main(["flows", "--in", str(tmp_path / "tagged.parquet"), "--out", str(tmp_path / "f.parquet")], spark=spark) == 0
     import netflow_spark
     assert callable(netflow_spark.tag_flows) and callable(netflow_spark.Pipeline)
+
+
+def test_read_packets_json(spark, tmp_path):
+    p = tmp_path / "pk.json"
+    p.write_text('{"frame_number": 1, "timestamp": 1.5, "source_ip": "10.0.0.1", "destination_ip": "8.8.8.8", '
+                 '"source_port": 5000, "destination_port": 53, "protocol": "UDP", '
+                 '"dns_response_addresses": ["1.2.3.4", "5.6.7.8"], "tcp_flags_syn": null}\n'
+                 '{"frame_number": 2, "timestamp": 2.0, "source_ip": "8.8.8.8", "destination_ip": "10.0.0.1", '
+                 '"protocol": "UDP", "extra_field": "kept"}\n')
+    df = io.read_packets(spark, str(p))
+    types = dict(df.dtypes)
+    assert types["dns_response_addresses"] == "array<string>" and types["frame_number"] == "bigint"
+    assert types["http_response_code"] == "bigint" and "extra_field" in df.columns
+    rows = df.orderBy("frame_number").collect()
+    assert rows[0].dns_response_addresses == ["1.2.3.4", "5.6.7.8"] and rows[1].source_port is None
