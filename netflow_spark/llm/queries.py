@@ -29,3 +29,9 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
