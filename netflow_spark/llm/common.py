@@ -43,20 +43,21 @@ def _positions(key: Column, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bits)) + seed * bits for seed in (0, 1)]
 
 
-def repeated_words(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """First pass of two: the Bloom filter of ``key`` values that may occur more than once.
+def bloom_words(keys: DataFrame, key: str, bits: int = FILTER_BITS, repeated: bool = False) -> DataFrame:
+    """First pass of two: a Bloom filter of the ``key`` values, or of those that may occur more than once.
 
-    Each key sets one bit in either half; a bit set by one row only can't belong to a repeated key
-    and is left out. Returns 64-bit words ``(_word, _bits)``, at most ``2 * bits / 64`` rows.
+    Each key sets one bit in either half; for repeated keys, a bit set by one row only is left out.
+    Returns 64-bit words ``(_word, _bits)``, at most ``2 * bits / 64`` rows.
     """
     pos = keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("_pos"))
-    twice = pos.groupBy("_pos").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return (twice.groupBy(F.shiftright("_pos", 6).alias("_word"))
+    if repeated:
+        pos = pos.groupBy("_pos").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return (pos.groupBy(F.shiftright("_pos", 6).alias("_word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, cast(_pos & 63 as int))")).alias("_bits")))
 
 
-def mark_repeated(df: DataFrame, key: Column, words: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Second pass: adds ``flag``, true where ``key`` may occur more than once; never false where it does.
+def mark_members(df: DataFrame, key: Column, words: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Second pass: adds ``flag``, true where ``key`` may be in the filter; never false where it is.
 
     The words have a proven size bound, so they are broadcast and no row moves.
     """

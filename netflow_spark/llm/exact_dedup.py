@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, id_and_text, mark_repeated, repeated_words, written
+from .common import FILTER_BITS, bloom_words, id_and_text, mark_members, written
 
 
 def content_hash(text: Column) -> Column:
@@ -34,8 +34,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 normalize: Callable[[Column], Column] | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id`` (the id that stays), ``group_size``, ``kept``, ``text_sha256``."""
     rows = written(hashed(docs, id_col, text_col, normalize), "hashes")
-    words = written(repeated_words(rows, "_sha", filter_bits), "bloom")
-    marked = mark_repeated(rows, F.col("_sha"), words, "_maybe", filter_bits)
+    words = written(bloom_words(rows, "_sha", filter_bits, repeated=True), "bloom")
+    marked = mark_members(rows, F.col("_sha"), words, "_maybe", filter_bits)
     alone = marked.where(~F.col("_maybe")).select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
     maybe = marked.where("_maybe").select("_id", "_sha")
     # written, so that both sides of the join are shuffled anew and a hot hash can be split
@@ -50,12 +50,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that stay, with all their columns; whole rows move only if they may be repeated."""
     cols = docs.columns
     rows = written(hashed(docs, id_col, text_col, None), "hashes")
-    words = written(repeated_words(rows, "_sha", filter_bits), "bloom")
-    maybe = mark_repeated(rows, F.col("_sha"), words, "_maybe", filter_bits).where("_maybe")
+    words = written(bloom_words(rows, "_sha", filter_bits, repeated=True), "bloom")
+    maybe = mark_members(rows, F.col("_sha"), words, "_maybe", filter_bits).where("_maybe")
     keep = written(maybe.groupBy("_sha").agg(F.max("_id").alias("_keep")), "keepers")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
                         content_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_sha"))
-    marked = mark_repeated(whole, F.col("_sha"), words, "_maybe", filter_bits)
+    marked = mark_members(whole, F.col("_sha"), words, "_maybe", filter_bits)
     row_id = F.col(f"_row.`{id_col}`")
     # a keeper is met by its own id, so no text that has many copies gathers in one task
     kept = (marked.where("_maybe").select("_row", "_sha", row_id.alias("_keep")).alias("l")

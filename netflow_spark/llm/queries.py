@@ -35,3 +35,51 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _spans_sql(kind: str, number: int, pattern: str, test: str) -> str:
+    """Spans of a kind from the lengths of what lies between the matches and of the matches."""
+    return f"""
+  SELECT doc_id, {number} AS number, '{kind}' AS kind, unnest(list_filter(list_transform(range(1, len(hits) + 1), lambda i: struct_pack(
+    ok := {test},
+    first := coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0),
+    size := length(hits[i]))), lambda s: s.ok)) AS s
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {pattern}) AS hits, regexp_split_to_array(coalesce(text, ''), {pattern}) AS gaps FROM documents)"""
+
+
+_ASSIGN = """'((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+
+
+@query("op9_secret_scan", f"""
+WITH spans AS ({_spans_sql("assign", 0, _ASSIGN, f"length(regexp_extract(hits[i], {_ASSIGN}, 2)) >= 6")}
+  UNION ALL {_spans_sql("access", 1, "'AKIA[A-Z0-9]+'", "length(hits[i]) >= 20")}
+  UNION ALL {_spans_sql("hex", 2, "'[0-9a-f]+'", "length(hits[i]) >= 24")}),
+found AS (
+  SELECT doc_id, count(*) FILTER (number = 0) AS n_assign, count(*) FILTER (number = 1) AS n_access, count(*) FILTER (number = 2) AS n_hex,
+         string_agg(kind || ':' || s.first::BIGINT || ':' || (s.first + s.size)::BIGINT, ',' ORDER BY s.first, number) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f USING (doc_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import RULES, find_secrets
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == F.lit(r.kind))).cast("long").alias(f"n_{r.kind}") for r in RULES]
+    joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return (found.select("doc_id", *counts, joined.alias("spans"))
+            .select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans"))
+
+
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+    found = jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
