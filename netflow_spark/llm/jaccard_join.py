@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bloom_words, components, id_and_text, mark_members, written
+from .common import FILTER_BITS, bloom_words, id_and_text, mark_members, written
+from .regions import link_regions
 from .words import mix, text_chunks, words_of
 
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,10 +151,6 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                          (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("linked"))
 
 
-def _sizes_allow(a: str, b: str, percent: int):
-    return ((100 * F.least(F.col(a), F.col(b))) >= percent * F.greatest(F.col(a), F.col(b)))
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
                        filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``class_id`` (smallest id with the same set) and
@@ -186,51 +183,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = mark_members(texts, F.col("_id"), some, "_met", filter_bits).where("_met").select("_id", "_text")
     sets = written(met.join(members, "_id", "left_semi").mapInArrow(_sets(size), "_id long, grams array<long>"), "sets")
 
-    sizes = regions.select(F.col("x").alias("_id"), "n").distinct()
-
-    def around(pivots: DataFrame) -> DataFrame:
-        """Distances to the pivots of (g, x, n, pivot) rows, written: each pair once, if sizes allow a link."""
-        pairs = pivots.where("x <> pivot").select("x", "n", "pivot").distinct()
-        pn = sizes.select(F.col("_id").alias("pivot"), F.col("n").alias("pn"))
-        pairs = written(pairs.join(pn, "pivot").where(_sizes_allow("n", "pn", percent)).select(F.col("x").alias("a"), F.col("pivot").alias("b")), "pairs")
-        return written(_compare(pairs, sets, percent), "distances")
-
-    def with_components(edges: DataFrame, rest: DataFrame) -> DataFrame:
-        """``rest`` with the component of each x, only regions that still hold several components."""
-        comp = written(components(edges), "components")
-        named = written(rest.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
-                        .withColumn("c", F.coalesce("c", "x")), "named")
-        mixed = named.groupBy("g").agg(F.min("c").alias("_c1"), F.max("c").alias("_c2")).where("_c1 <> _c2").select("g")
-        return written(named.join(written(mixed, "mixed"), "g", "left_semi"), "rest")
-
-    one = around(regions)
-    edges = one.where("linked").select("a", "b")
-    rest = with_components(edges, regions)
-    # the second pivot of a region: the first document outside of the first pivot's component
-    pc = rest.where("x = pivot").select("g", F.col("c").alias("pc"))
-    second = written(rest.join(pc, "g").where("c <> pc").groupBy("g").agg(F.min("x").alias("pivot2")), "pivots")
-    rest2 = rest.join(second, "g")
-    two = around(rest2.join(rest.select(F.col("g"), F.col("x").alias("pivot2"), F.col("c").alias("c2")), ["g", "pivot2"])
-                 .where("c <> c2").select("g", "x", "n", F.col("pivot2").alias("pivot")))
-    edges = written(edges.unionByName(two.where("linked").select("a", "b")), "links")
-    last = with_components(edges, rest2.drop("c"))
-    # windows: distances to both pivots where they are known, else any
-    d1 = one.select(F.col("a").alias("x"), F.col("b").alias("pivot"), F.col("d").alias("d1"))
-    d2 = two.select(F.col("a").alias("x"), F.col("b").alias("pivot2"), F.col("d").alias("d2"))
-    last = written(last.join(d1, ["x", "pivot"], "left").join(d2, ["x", "pivot2"], "left")
-                   .withColumn("d1", F.when(F.col("x") == F.col("pivot"), 0.0).otherwise(F.col("d1")))
-                   .withColumn("d2", F.when(F.col("x") == F.col("pivot2"), 0.0).otherwise(F.col("d2"))), "last")
-    r = 1 - percent / 100 + 1e-9
-    left, right = (last.where("x <> pivot and x <> pivot2").select("g", *[F.col(c).alias(f"{c}{s}") for c in ("x", "n", "place", "c", "d1", "d2")]) for s in "ab")
-    known = (F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")))  # most they can share from here on
-    open_pairs = (left.join(right, "g").where("ca <> cb and xa < xb").where(_sizes_allow("na", "nb", percent))
-                  .where((100 + percent) * known >= percent * (F.col("na") + F.col("nb")))
-                  .where(" and ".join(f"coalesce(abs({d}a - {d}b) <= {r}, true)" for d in ("d1", "d2")))
-                  .select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct())
-    done = one.select("a", "b").unionByName(two.select("a", "b"))
-    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    three = _compare(written(open_pairs.join(done, ["a", "b"], "left_anti"), "pairs"), sets, percent).where("linked").select("a", "b")
-    comp = components(written(edges.unionByName(three), "links"))
+    comp = written(link_regions(regions, lambda pairs: _compare(pairs, sets, percent), percent), "components")
 
     # back to all documents: by set, so that copies get their class's component
     by_class = classes.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")

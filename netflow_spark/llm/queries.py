@@ -78,8 +78,74 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans"))
 
 
-@query("op1_ngram_jaccard_join")
+@query("op1_ngram_jaccard_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' '))) END AS grams FROM w),
+t AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a)
+SELECT doc_id, len(grams)::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
     found = jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_url_filter")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query("op3_embedding_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.vec_id = l.a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_license_scan", r"""
+WITH known(sentence, id, license) AS (VALUES
+  ('released under the mit license', 'mit-name', 'MIT'), ('licensed under the apache license version 2 0', 'apache2-name', 'Apache-2.0'),
+  ('this work is licensed under the gnu general public license version 3', 'gpl3-name', 'GPL-3.0-only'),
+  ('licensed under cc by nc 4 0', 'ccbync4-name', 'CC-BY-NC-4.0')),
+rule(license, number) AS (VALUES ('GPL-3.0-only', 1), ('MIT', 2), ('Apache-2.0', 3), ('CC-BY-NC-4.0', 4)),
+cut AS (SELECT doc_id, regexp_replace(translate(
+    regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:][ \t\r\n\f]+', chr(1), 'g'), '[ \t\r\f]*\n[ \t\r\n\f]*([^a-z \t\r\n\f])', chr(1) || '\1', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x01\x{80}-\x{10FFFF}]+', ' ', 'g') AS t FROM documents),
+part AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM cut),
+hit AS (SELECT doc_id, i, id, license, number FROM part JOIN known ON trim(s) = sentence JOIN rule USING (license))
+SELECT d.doc_id, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids,
+  coalesce((SELECT string_agg(license, ',' ORDER BY number) FROM (SELECT DISTINCT license, number FROM hit h WHERE h.doc_id = d.doc_id)), '') AS licenses,
+  0::BIGINT AS n_left_over
+FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
+                        F.size("left_over").cast("long").alias("n_left_over"))
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_components
+    return line_components(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepieces import encode_and_decode
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
