@@ -18,6 +18,8 @@ one global order (rare n-grams first, so that common passages separate nothing):
   finished, however large. The others recurse around a pivot outside of the first one's component.
   What is then still in different components is compared pair by pair, if sizes, places
   in the order and distances to the region's pivots (triangle inequality) allow a link at all.
+* All comparisons are screened first by the documents' distances to fixed parts of the set of all
+  n-grams, which by the triangle inequality can't differ by more than the documents themselves.
 
 Identical sets are one class from the start, so copies are neither shuffled nor compared.
 Null text is empty text. Rows with a null id have a null component and link nothing; rows that
@@ -33,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, bloom_words, id_and_text, mark_members, written
-from .regions import link_regions
+from .common import FILTER_BITS, bloom_words, id_and_text, is_empty, mark_members, written
+from .regions import link_regions, sizes_allow
 from .words import mix, text_chunks, words_of
 
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-HEAVY_PER_TASK, HEAVY_TOTAL = 1 << 14, 1 << 16
+HEAVY_PER_TASK, HEAVY_TOTAL = 1 << 17, 1 << 19
+SKETCH = 128
 
 
 def shingle_sets(texts: pa.Array, size: int):
@@ -91,7 +94,7 @@ def _count_frequent(size: int):
                     more, waiting = [], 0
         if waiting:
             keys, counts = merge(keys, counts, more)
-        keep = counts >= 4
+        keep = counts >= 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "n"])
     return run
 
@@ -102,8 +105,13 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     They only set the order of the pivots; any order gives the same links.
     """
     parts = docs.select("_text").mapInArrow(_count_frequent(size), "g long, n long")
-    top = (parts.groupBy("g").agg(F.sum("n").alias("n")).where("n >= 16")
-           .orderBy(F.desc("n"), "g").limit(HEAVY_TOTAL).toPandas())
+    counts = written(parts.groupBy("g").agg(F.sum("n").alias("n")), "frequent")
+    least, room = 1 << 62, HEAVY_TOTAL
+    for n, times in sorted(((r["m"], r["k"]) for r in counts.groupBy(F.least("n", F.lit(1 << 16)).alias("m")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True):
+        if times > room:
+            break
+        least, room = n, room - times
+    top = counts.where(F.col("n") >= least).toPandas()
     g, n = top["g"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     order = np.argsort(g)
     return g[order], n[order]
@@ -113,10 +121,11 @@ def _windows(size: int, percent: int, heavy: np.ndarray, times: np.ndarray):
     def run(batches):
         for batch in batches:
             for first, texts in text_chunks(batch.column(1)):
-                n, prints, windows = [], [], []
+                n, prints, windows, sketches = [], [], [], []
                 for s in shingle_sets(texts, size):
                     n.append(len(s))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    sketches.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes())
                     if len(s) and len(heavy):
                         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
                         rank = np.where(heavy[at] == s, times[at], 0)
@@ -124,31 +133,69 @@ def _windows(size: int, percent: int, heavy: np.ndarray, times: np.ndarray):
                     windows.append(s[:window_size(len(s), percent)] if len(s) else s)
                 off = np.concatenate([[0], np.cumsum([len(w) for w in windows])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()),
+                    [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(windows).view(np.int64)))],
-                    names=["_id", "n", "print", "grams"])
+                    names=["_id", "n", "print", "sketch", "grams"])
     return run
 
 
-def _sets(size: int):
+def _screen(percent: int):
+    """Leaves out pairs whose sketches differ by more than linked sets can: the sketch counts the set's
+    members in ``SKETCH`` parts of all n-grams, and the counts differ by no more than the sets do."""
     def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH).astype(np.int64) for i in (2, 3))
+            sizes = b.column(4).to_numpy() + b.column(5).to_numpy()
+            # |x and y| >= p (|x| + |y|) / (100 + p), so the sets differ in (100 - p) (|x| + |y|) / (100 + p) members at most
+            near = np.abs(x - y).sum(axis=1) * (100 + percent) <= (100 - percent) * sizes
+            yield b.select([0, 1]).filter(pa.array(near))
+    return run
+
+
+def _compare(size: int, percent: int):
+    """Exact distances of rows (a, b, text of a, text of b), sorted by b."""
+    def one(column, i):
+        return next(shingle_sets(next(text_chunks(column.slice(i, 1)))[1], size))
+
+    def run(batches):
+        last, kept = None, None
         for batch in batches:
-            for first, texts in text_chunks(batch.column(1)):
-                sets = list(shingle_sets(texts, size))
-                off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(sets).view(np.int64)))], names=["_id", "grams"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            d, linked = [], []
+            for i in range(batch.num_rows):
+                if b[i] != last:
+                    last, kept = b[i], one(batch.column(3), i)
+                mine = one(batch.column(2), i)
+                both = len(np.intersect1d(mine, kept, assume_unique=True))
+                union = len(mine) + len(kept) - both
+                d.append(1 - both / union)
+                linked.append(100 * both >= percent * union)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
+                                             names=["a", "b", "d", "linked"])
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact distances of ``pairs`` (a, b): ``(a, b, d, linked)``."""
-    sa, sb = (sets.select(F.col("_id").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ga", "gb"))
-    joined = pairs.join(sa, "a").join(sb, "b").select("a", "b", both.alias("i"), (F.size("ga") + F.size("gb")).alias("t"))
-    return joined.select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d"),
-                         (100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).alias("linked"))
+def _comparer(texts: DataFrame, rows: DataFrame, size: int, percent: int, filter_bits: int):
+    """Exact distances of the pairs (a, b) whose sketches allow a link: ``(a, b, d, linked)``.
+
+    Only texts of documents in such pairs move; they are smaller than the sets made of them.
+    """
+    def compare(pairs: DataFrame) -> DataFrame:
+        ka, kb = (rows.select(F.col("_id").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
+        screened = written(pairs.join(ka, "a").join(kb, "b").select("a", "b", "sa", "sb", "na", "nb")
+                           .mapInArrow(_screen(percent), "a long, b long").distinct(), "screened")
+        if is_empty(screened):
+            return screened.select("a", "b", F.lit(1.0).alias("d"), F.lit(False).alias("linked"))
+        ids = written(screened.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "members")
+        some = written(bloom_words(ids, "_id", filter_bits), "bloom")
+        met = mark_members(texts, F.col("_id"), some, "_met", filter_bits).where("_met").select("_id", "_text")
+        whole = written(met.join(ids, "_id", "left_semi"), "texts")
+        ta, tb = (whole.select(F.col("_id").alias(c), F.col("_text").alias(f"t{c}")) for c in "ab")
+        both = screened.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+        return both.mapInArrow(_compare(size, percent), "a long, b long, d double, linked boolean")
+    return compare
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
@@ -157,7 +204,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` (smallest id reachable by links)."""
     texts = id_and_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
     heavy, times = frequent_shingles(texts, size)
-    rows = written(texts.mapInArrow(_windows(size, percent, heavy, times), "_id long, n long, print binary, grams array<long>"), "windows")
+    rows = written(texts.mapInArrow(_windows(size, percent, heavy, times), "_id long, n long, print binary, sketch binary, grams array<long>"), "windows")
     linkable = rows.where("n > 0 and _id is not null")
 
     # classes of identical sets; only sets that may be repeated are shuffled
@@ -171,19 +218,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # regions: place in the order and size travel as one number
     tokens = reps.select(F.col("_id").alias("x"), "n", F.posexplode("grams").alias("place", "g")).select(
         "g", "x", (F.shiftleft(F.col("n"), 24) + F.col("place")).alias("np"))
+    size_of, place_of = F.shiftright("np", 24), F.col("np").bitwiseAND((1 << 24) - 1)
+    held = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("_k"), F.min("x").alias("pivot"), F.max("x").alias("_last"),
+                                   F.min(size_of).alias("_n1"), F.max(size_of).alias("_n2"), F.min(size_of - place_of).alias("_most"))
+    # a region of two documents whose sizes or places rule out a link (the first n-gram they share is tried in its own region)
+    apart = (F.col("_k") == 2) & (~sizes_allow("_n1", "_n2", percent) | ((100 + percent) * F.col("_most") < percent * (F.col("_n1") + F.col("_n2"))))
     # written, so that both sides of the join are shuffled anew and a common n-gram's region can be split
-    shared = written(tokens.groupBy("g").agg(F.min("x").alias("pivot"), F.max("x").alias("_last"))
-                     .where("pivot <> _last").select("g", "pivot"), "shared")
-    regions = written(tokens.join(shared, "g").select("g", "x", F.shiftright("np", 24).alias("n"),
-                                                      F.col("np").bitwiseAND((1 << 24) - 1).alias("place"), "pivot"), "regions")
-
-    # whole sets of the documents that share a region, read again from their texts
-    members = written(regions.select(F.col("x").alias("_id")).distinct(), "members")
-    some = written(bloom_words(members, "_id", filter_bits), "bloom")
-    met = mark_members(texts, F.col("_id"), some, "_met", filter_bits).where("_met").select("_id", "_text")
-    sets = written(met.join(members, "_id", "left_semi").mapInArrow(_sets(size), "_id long, grams array<long>"), "sets")
-
-    comp = written(link_regions(regions, lambda pairs: _compare(pairs, sets, percent), percent), "components")
+    shared = written(held.where(F.col("pivot") != F.col("_last")).where(~apart).select("g", "pivot"), "shared")
+    common = written(bloom_words(shared, "g", filter_bits), "bloom")
+    met = mark_members(tokens, F.col("g"), common, "_met", filter_bits).where("_met").drop("_met")
+    regions = written(met.join(shared, "g").select("g", "x", size_of.alias("n"), place_of.alias("place"), "pivot"), "regions")
+    compare = _comparer(texts, rows.where("n > 0 and _id is not null"), size, percent, filter_bits)
+    comp = written(link_regions(regions, compare, percent), "components")
 
     # back to all documents: by set, so that copies get their class's component
     by_class = classes.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")

@@ -119,16 +119,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH known(sentence, id, license) AS (VALUES
   ('released under the mit license', 'mit-name', 'MIT'), ('licensed under the apache license version 2 0', 'apache2-name', 'Apache-2.0'),
   ('this work is licensed under the gnu general public license version 3', 'gpl3-name', 'GPL-3.0-only'),
-  ('licensed under cc by nc 4 0', 'ccbync4-name', 'CC-BY-NC-4.0')),
+  ('licensed under cc by nc 4 0', 'ccbync4-name', 'CC-BY-NC-4.0'), ('all rights reserved', 'reserved', NULL)),
 rule(license, number) AS (VALUES ('GPL-3.0-only', 1), ('MIT', 2), ('Apache-2.0', 3), ('CC-BY-NC-4.0', 4)),
 cut AS (SELECT doc_id, regexp_replace(translate(
     regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;:][ \t\r\n\f]+', chr(1), 'g'), '[ \t\r\f]*\n[ \t\r\n\f]*([^a-z \t\r\n\f])', chr(1) || '\1', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\x01\x{80}-\x{10FFFF}]+', ' ', 'g') AS t FROM documents),
 part AS (SELECT doc_id, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS i FROM cut),
-hit AS (SELECT doc_id, i, id, license, number FROM part JOIN known ON trim(s) = sentence JOIN rule USING (license))
+hit AS (SELECT doc_id, i, id, license, number FROM part JOIN known ON trim(s) = sentence LEFT JOIN rule USING (license))
 SELECT d.doc_id, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids,
-  coalesce((SELECT string_agg(license, ',' ORDER BY number) FROM (SELECT DISTINCT license, number FROM hit h WHERE h.doc_id = d.doc_id)), '') AS licenses,
-  0::BIGINT AS n_left_over
+  coalesce((SELECT string_agg(license, ',' ORDER BY number) FROM (SELECT DISTINCT license, number FROM hit h WHERE h.doc_id = d.doc_id AND number IS NOT NULL)), '') AS licenses,
+  count(id) FILTER (number IS NULL) AS n_left_over
 FROM documents d LEFT JOIN hit USING (doc_id) GROUP BY d.doc_id""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
