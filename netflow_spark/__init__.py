@@ -4,7 +4,7 @@ DataFrame → DataFrame operators (batch and Structured Streaming)."""
 __version__ = "0.1.0"
 
 __all__ = ["tag_flows", "tag", "load_rules", "default_rules", "read_packets", "read_flows", "write_flows",
-           "flow_table", "flow_summary", "orient_packets", "metrics_bundle", "Pipeline"]
+           "flow_table", "flow_summary", "orient_packets", "ensure_direction", "metrics_bundle", "bundle_json", "read_steps", "parse_steps", "run_steps"]
 
 
 def __getattr__(name):  # lazy: importing the package does not start or touch Spark
@@ -20,13 +20,13 @@ def __getattr__(name):  # lazy: importing the package does not start or touch Sp
     if name in ("flow_table", "flow_summary"):
         from .operators import flow_table
         return getattr(flow_table, name)
-    if name == "orient_packets":
-        from .operators.orient import orient_packets
-        return orient_packets
-    if name == "metrics_bundle":
-        from .plans.bundle import metrics_bundle
-        return metrics_bundle
-    if name == "Pipeline":
-        from .plans.steps import Pipeline
-        return Pipeline
+    if name in ("orient_packets", "ensure_direction"):
+        from .operators import orient
+        return getattr(orient, name)
+    if name in ("metrics_bundle", "bundle_json"):
+        from .plans import bundle
+        return getattr(bundle, name)
+    if name in ("read_steps", "parse_steps", "run_steps"):
+        from .plans import steps
+        return getattr(steps, name)
     raise AttributeError(name)

@@ -30,9 +30,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             df = read_flows(spark, args.inp)
             write_flows(tag(df, args.rules or default_rules()), args.out)
         else:
+            from pyspark.sql import functions as F
+
             from .operators.disposition import tag_flows
+            from .operators.orient import ensure_direction
             keys = [k for k in args.keys.split(",") if k]
-            write_flows(tag_flows(read_packets(spark, args.inp), keys=keys), args.out)
+            packets = read_packets(spark, args.inp)
+            if "frame_number" not in packets.columns:
+                packets = packets.withColumn("frame_number", F.monotonically_increasing_id() + 1)
+            write_flows(tag_flows(ensure_direction(packets, keys), keys=keys), args.out)
     except (RuleFileError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

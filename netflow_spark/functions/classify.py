@@ -88,6 +88,14 @@ def guess_service(protocol: Column, port: Column, sni: Column | None = None, htt
             .otherwise(F.lit("Unknown Service")))
 
 
+def service_open(protocol: Column, port: Column, sni: Column, http_host: Column, is_quic: Column) -> Column:
+    """P10's rows that neither SNI, host, QUIC nor the port table decide: those an rDNS name may label."""
+    p = F.upper(F.nullif(protocol.cast("string"), F.lit("")))
+    known = _pair_map(SERVICE_PORTS)[F.concat(p, F.lit("/"), port.cast("long").cast("string"))]
+    quic = F.coalesce(is_quic.cast("boolean"), F.lit(False)) & F.coalesce(port.cast("long") == 443, F.lit(False))
+    return F.nullif(sni, F.lit("")).isNull() & F.nullif(http_host, F.lit("")).isNull() & ~quic & known.isNull()
+
+
 def retransmission_severity(ratio: Column) -> Column:
     """struct(status, color) — <1 Healthy, ≤3 Warning, else Critical."""
     (t1, s1, c1), (t2, s2, c2), (_, s3, c3) = RETRANS_SEVERITY

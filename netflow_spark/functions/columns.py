@@ -19,10 +19,10 @@ def opt(df: DataFrame, name: str, dtype: str | T.DataType = "string") -> Column:
 
 
 def first_present(df: DataFrame, names: Sequence[str], dtype: str | T.DataType = "string") -> Column:
-    for n in names:
-        if n in df.columns:
-            return F.col(n)
-    return F.lit(None).cast(dtype)
+    """Per row, the first of the columns ``names`` that holds a value (not the first that exists:
+    a table conformed to the packet schema has them all)."""
+    found = [F.col(n) for n in names if n in df.columns]
+    return F.coalesce(*found) if found else F.lit(None).cast(dtype)
 
 
 def flag(df: DataFrame, name: str) -> Column:
@@ -30,25 +30,34 @@ def flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def orient_col(df: DataFrame) -> str:
-    for n in ("is_source_client", "is_src_client"):
-        if n in df.columns:
-            return n
-    raise ValueError("is_source_client column required")
+def first_column(df: DataFrame, names: Sequence[str], dtype: str | T.DataType = "string") -> Column:
+    """The first of the columns ``names`` that exists: for names of which a table has one family only."""
+    return next((F.col(n) for n in names if n in df.columns), F.lit(None).cast(dtype))
+
+
+def has_direction(df: DataFrame) -> bool:
+    return "is_source_client" in df.columns or "is_src_client" in df.columns
+
+
+def direction(df: DataFrame) -> Column:
+    """Packet goes client→server, chosen per row from ``is_source_client`` and ``is_src_client``."""
+    if not has_direction(df):
+        raise ValueError("packets have no direction: add is_source_client, e.g. with orient_packets")
+    return first_present(df, ["is_source_client", "is_src_client"], "boolean").cast("boolean")
 
 
 def is_client(df: DataFrame) -> Column:
     """Packet goes client→server (null direction is neither)."""
-    return F.col(orient_col(df)).eqNullSafe(F.lit(True))
+    return direction(df).eqNullSafe(F.lit(True))
 
 
 def is_server(df: DataFrame) -> Column:
-    return F.col(orient_col(df)).eqNullSafe(F.lit(False))
+    return direction(df).eqNullSafe(F.lit(False))
 
 
 def with_oriented_key(df: DataFrame) -> DataFrame:
     """Add ``client_ip, server_ip, client_port, server_port``; a null direction reads server→client."""
-    o = F.col(orient_col(df))
+    o = direction(df)
     return df.withColumns({
         "client_ip": F.when(o, F.col("source_ip")).otherwise(F.col("destination_ip")),
         "server_ip": F.when(o, F.col("destination_ip")).otherwise(F.col("source_ip")),

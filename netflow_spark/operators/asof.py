@@ -22,14 +22,14 @@ DEFAULT_BLOCK = 1 << 20
 
 
 def asof_latest(probe: DataFrame, build: DataFrame, key: Sequence[str], order: str, value: str,
-                block: int = DEFAULT_BLOCK, strict: bool = True, materialize: bool = True) -> DataFrame:
+                block: int = DEFAULT_BLOCK, strict: bool = True, materialize: bool = False) -> DataFrame:
     """Return ``probe`` with column ``value`` = build[value] of the build row with the largest
     ``order`` < probe[order] (``<=`` when ``strict`` is false) and a null-safe equal ``key``.
 
-    ``probe`` must not already have a column named ``value``. With ``materialize`` the union of
-    probe and build rows (callers prune the build side to keys some probe asks for, so it is
-    small next to the scanned table) is checkpointed once, so the two consumers below do not
-    scan and shuffle the source twice.
+    ``probe`` must not already have a column named ``value``. The result is lazy. With
+    ``materialize`` the union of probe and build rows (callers prune the build side to keys some
+    probe asks for, so it is small next to the scanned table) is checkpointed at once, so that the
+    two consumers below do not scan and shuffle the source twice; that runs a job right away.
     """
     key = list(key)
     vtype = build.schema[value].dataType

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import first_present, opt
 from ..schema import FLOW_KEY
 from .asof import DEFAULT_BLOCK
-from .flows import flow_signals, signals_from_facts
+from .flows import flow_facts, signals_from_facts
 from .icmp import icmp_error_counts
 from .ids import dense_id, hash_id
 
@@ -96,16 +96,11 @@ def tag_flows(packets: DataFrame, keys: Sequence[str] = (), flow_id: str = "dens
     if "frame_number" not in packets.columns:
         # Without frame numbers the reference's row order is the only order: number rows as read.
         packets = packets.withColumn("frame_number", F.monotonically_increasing_id() + 1)
-    flows = signals_from_facts(facts, keys) if facts is not None else flow_signals(packets, keys)
-    if with_app_fields and ("http_response_code" in packets.columns or "http_status" in packets.columns):
-        # Carry the HTTP status evidence so R2 (proxy 407) can fire on flows.
-        from ..functions.columns import all_not_null, bool_any, with_oriented_key
-        o = with_oriented_key(packets)
-        status = first_present(o, ["http_status", "http_response_code"], "long")
-        ev = o.where(all_not_null([*keys, *FLOW_KEY])).groupBy(*keys, *FLOW_KEY).agg(
-            bool_any(status == 407).alias("_any_407"))
-        flows = flows.join(ev, [*keys, *FLOW_KEY], "left").withColumn(
-            "http_status", F.when(F.coalesce(F.col("_any_407"), F.lit(False)), F.lit(407))).drop("_any_407")
+    facts = facts if facts is not None else flow_facts(packets, keys)
+    flows = signals_from_facts(facts, keys, ["_any_407"] if with_app_fields else [])
+    if with_app_fields:
+        # The HTTP status evidence, so that R2 (proxy 407) can fire on flows.
+        flows = flows.withColumn("http_status", F.when(F.col("_any_407"), F.lit(407))).drop("_any_407")
     counts = icmp_error_counts(packets, keys, block)
     flows = flows.join(counts, [*keys, *FLOW_KEY], "left").fillna({"icmp_error_count": 0})
     tagged = flow_disposition(flows)

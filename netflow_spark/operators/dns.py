@@ -8,7 +8,8 @@ does not hold the server. Both halves are as-of lookups, so we never emit DNS×T
 * server among the answers ⇔ the latest DNS row at or before t whose answers contain the
   server (answers exploded to one row per address) is ≥ t−60.
 
-Both use the skew-safe blocked as-of join (time axis cut into ``block`` second buckets).
+Both use the skew-safe blocked as-of join (time axis cut into ``block`` second buckets; the carry
+from earlier buckets is one row per key and second with rows).
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import dns_answers
-from ..functions.columns import first_present
+from ..functions.columns import first_column, first_present, with_oriented_key
 from ..schema import FLOW_KEY
 from ..session import cut_lineage
 from .asof import asof_latest
 
 DNS_TLS_MAX_AGE_SECONDS = 60  # fixed value
-_TIME_BLOCK_SECONDS = 3600
+# A task holds at most what one client and name send in this many seconds.
+_TIME_BLOCK_SECONDS = 1
 
 
 def _answers(df: DataFrame):
@@ -40,20 +42,21 @@ def _answers(df: DataFrame):
 
 def dns_sni_checks(rows: DataFrame, keys: Sequence[str] = (), id_col: str = "frame_number",
                    max_age: float = DNS_TLS_MAX_AGE_SECONDS, block: float = _TIME_BLOCK_SECONDS,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Per TLS row (port 443 with SNI) that has a DNS answer for its (client, name) within
-    ``max_age`` seconds before it: ``id_col``, client, sni, server and ``mismatch``."""
-    keys = list(keys)
-    src = first_present(rows, ["src_ip", "source_ip", "client_ip"])
-    dst = first_present(rows, ["dest_ip", "destination_ip", "server_ip"])
-    port = first_present(rows, ["dest_port", "destination_port", "server_port"], "long")
-    ts = first_present(rows, ["timestamp", "start_time", "first_syn_time"], "double").cast("double")
+    ``max_age`` seconds before it: ``id_col``, client, sni, server and ``mismatch`` (and the
+    ``carry`` columns of the row)."""
+    keys, carry = list(keys), list(carry)
+    src = first_column(rows, ["src_ip", "source_ip", "client_ip"])
+    dst = first_column(rows, ["dest_ip", "destination_ip", "server_ip"])
+    port = first_column(rows, ["dest_port", "destination_port", "server_port"], "long")
+    ts = first_column(rows, ["timestamp", "start_time", "first_syn_time"], "double").cast("double")
     sni = first_present(rows, ["sni", "server_name_indication"])
     ans = _answers(rows)
     if ans is None or "dns_query_name" not in rows.columns:
         return rows.sparkSession.createDataFrame(
             [], f"{id_col} long, client string, sni string, server string, mismatch boolean")
-    base = rows.select(*keys, F.col(id_col).alias("_id"), src.alias("_src"), dst.alias("_dst"), port.alias("_port"),
+    base = rows.select(*keys, *[F.col(c).alias(f"_carry_{c}") for c in carry], F.col(id_col).alias("_id"), src.alias("_src"), dst.alias("_dst"), port.alias("_port"),
                        ts.alias("_t"), sni.alias("_sni"), F.col("dns_query_name").alias("_q"), ans.alias("_ans"))
     is_dns = (F.col("_port") == 53) & F.col("_q").isNotNull() & F.col("_t").isNotNull() & F.col("_src").isNotNull()
     is_tls = (F.col("_port") == 443) & F.col("_sni").isNotNull() & F.col("_t").isNotNull()
@@ -68,20 +71,20 @@ def dns_sni_checks(rows: DataFrame, keys: Sequence[str] = (), id_col: str = "fra
                                                     F.col("_t").alias("_any_t"))
     per_ip = dns.select(*keys, "_src", F.col("_q").alias("_name"), "_t", F.explode("_ans").alias("_ip")) \
         .select(*keys, "_src", "_name", "_ip", "_t", F.col("_t").alias("_hit_t"))
-    probe = tls.select(*keys, "_id", "_src", F.col("_sni").alias("_name"), "_dst", "_t")
+    carried = [f"_carry_{c}" for c in carry]
+    probe = tls.select(*keys, *carried, "_id", "_src", F.col("_sni").alias("_name"), "_dst", "_t")
     a = asof_latest(probe, answered, k, "_t", "_any_t", block=block, strict=False, materialize=False)
     a = a.withColumn("_ip", F.col("_dst"))
     b = asof_latest(a, per_ip, [*k, "_ip"], "_t", "_hit_t", block=block, strict=False, materialize=False)
     in_window = F.col("_any_t").isNotNull() & ((F.col("_t") - F.col("_any_t")) <= max_age)
     hit = F.col("_hit_t").isNotNull() & ((F.col("_t") - F.col("_hit_t")) <= max_age)
-    return b.where(in_window).select(*keys, F.col("_id").alias(id_col), F.col("_src").alias("client"),
+    return b.where(in_window).select(*keys, *[F.col(f"_carry_{c}").alias(c) for c in carry], F.col("_id").alias(id_col), F.col("_src").alias("client"),
                                      F.col("_name").alias("sni"), F.col("_dst").alias("server"),
                                      (~hit).alias("mismatch"))
 
 
 def dns_sni_mismatch_flows(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Oriented flows that contain a mis-routed TLS packet (for ``tag_flows(with_app_fields=True)``)."""
-    from ..functions.columns import with_oriented_key
-    o = with_oriented_key(packets)
-    checks = dns_sni_checks(packets, keys).where("mismatch").select(*keys, "frame_number")
-    return (o.join(checks, [*keys, "frame_number"], "left_semi").select(*keys, *FLOW_KEY).distinct())
+    # The flow key travels with the row, so that no join has to find it again by frame.
+    checks = dns_sni_checks(with_oriented_key(packets), keys, carry=FLOW_KEY)
+    return checks.where("mismatch").select(*keys, *FLOW_KEY).distinct()

@@ -1,13 +1,13 @@
 """IP enrichment from supplied dimension tables (no live lookups).
 
-Longest-prefix matching is a range join; to keep it an equi-join with a bounded fan-out, every
-network is filed in exactly one bucket: at level L = the largest of 0/8/16/24 not above its
-prefix length, under the address bits above L (a network of prefix ≥ L fits in one such
-bucket). Each *distinct* address probes its four buckets (one per level); the range predicate
-and ``max_by(prefix length)`` pick the most specific match. An address can only meet networks
-of its own /24, /16, /8 and /0 buckets at their levels — at most 4 × 511 candidates — however
-large the network table is. Addresses are de-duplicated first, so the work grows with distinct
-IPs, not packets. AQE broadcasts the network side when it is small at runtime.
+Longest-prefix matching is a range join; to keep it an equi-join with a bounded fan-out, addresses
+and networks are written as hexadecimal text (8 digits for IPv4, 32 for IPv6) and every network is
+filed in exactly one bucket: at level L = the largest step (8 bits for IPv4, 16 for IPv6) not above
+its prefix length, under the digits above L. Each *distinct* address probes one bucket per level;
+the range predicate and ``max_by(prefix length)`` pick the most specific match. However large the
+network table, an address meets only networks that share its digits above their level. Addresses are
+de-duplicated first, so the work grows with distinct addresses, not packets. AQE broadcasts the
+network side when it is small at runtime.
 """
 
 from __future__ import annotations
@@ -15,41 +15,29 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.net import ipv4_to_long
-
-LEVELS = (0, 8, 16, 24)
-
-# Test dimension (our own invented values): network → index into the ``nation`` table (for the
-# country name) plus ISO code, city, coordinates and AS number.
-DEMO_NETWORKS = [
-    ("203.0.113.0/24", 0, "US", "Springfield", 39.78, -89.65, 64500, "Example Transit"),
-    ("203.0.113.0/26", 1, "DE", "Musterstadt", 50.11, 8.68, 64501, "Muster Hosting"),
-    ("203.0.113.32/27", 2, "IR", "Tehran", 35.69, 51.39, 64502, "Persia Net"),
-    ("198.51.100.0/24", 3, "GB", "London", 51.51, -0.13, 64503, "Albion Cloud"),
-    ("8.8.8.0/24", 4, "US", "Mountain View", 37.39, -122.08, 64504, "Resolver Org"),
-    ("165.225.0.0/17", 5, "CN", "Shanghai", 31.23, 121.47, 64505, "Edge Proxy"),
-    ("100.64.0.0/10", 6, "NL", "Amsterdam", 52.37, 4.90, 64506, "Carrier NAT"),
-    ("10.1.0.0/16", 7, "FR", "Paris", 48.86, 2.35, 64507, "Campus LAN"),
-    ("9.9.9.0/24", 8, "BR", "Sao Paulo", -23.55, -46.63, 64508, "Quad Resolver"),
-    ("192.0.2.0/24", 9, "RU", "Moscow", 55.76, 37.62, 64509, "Doc Range"),
-]
-
-
-def networks_table(spark: SparkSession, nation: DataFrame | None = None,
-                   rows: Sequence[tuple] = DEMO_NETWORKS) -> DataFrame:
-    """Network dimension: (network, prefix_len, lo, hi, country_iso, country, city, latitude,
-    longitude, asn, asn_org). Country names come from ``nation`` when given."""
+from ..functions.net import ipv4_to_long, ipv6_hextets, let
+
+# (address bits, bits of a step, highest level)
+_FAMILIES = ((32, 8, 24), (128, 16, 112))
+
+NETWORK_SCHEMA = ("network string, prefix_len int, bits int, lo string, hi string, nation_idx int, country_iso string, "
+                  "city string, latitude double, longitude double, asn long, asn_org string")
+
+
+def networks_table(spark: SparkSession, rows: Sequence[tuple], nation: DataFrame | None = None) -> DataFrame:
+    """Network dimension from rows (CIDR, index into ``nation``, ISO code, city, latitude, longitude,
+    AS number, AS organisation): (network, prefix_len, bits, lo, hi, country_iso, country, city,
+    latitude, longitude, asn, asn_org). Country names come from ``nation`` when given."""
     data = []
     for cidr, idx, iso, city, lat, lon, asn, org in rows:
         net = ipaddress.ip_network(cidr, strict=False)
-        data.append((cidr, net.prefixlen, int(net.network_address), int(net.broadcast_address), idx, iso,
-                     city, float(lat), float(lon), int(asn), org))
-    df = spark.createDataFrame(data, "network string, prefix_len int, lo long, hi long, nation_idx int, "
-                                     "country_iso string, city string, latitude double, longitude double, "
-                                     "asn long, asn_org string")
+        digits = net.max_prefixlen // 4
+        data.append((cidr, net.prefixlen, net.max_prefixlen, f"{int(net.network_address):0{digits}x}",
+                     f"{int(net.broadcast_address):0{digits}x}", idx, iso, city, float(lat), float(lon), int(asn), org))
+    df = spark.createDataFrame(data, NETWORK_SCHEMA)
     if nation is not None:
         n = nation.select(F.col("n_nationkey").cast("int").alias("nation_idx"), F.col("n_name").alias("country"))
         df = df.join(n, "nation_idx", "left")
@@ -58,33 +46,31 @@ def networks_table(spark: SparkSession, nation: DataFrame | None = None,
     return df.drop("nation_idx")
 
 
-def _level(prefix: F.Column) -> F.Column:
-    return (F.when(prefix >= 24, F.lit(24)).when(prefix >= 16, F.lit(16)).when(prefix >= 8, F.lit(8))
-            .otherwise(F.lit(0)))
-
-
-def _above(v: F.Column, level: F.Column) -> F.Column:
-    """Address bits above ``level`` (``v >> (32 - level)``; exact: values < 2^32)."""
-    return F.floor(v / F.pow(F.lit(2.0), F.lit(32) - level)).cast("long")
+def ip_hex(c: Column) -> Column:
+    """Address as 8 (IPv4) or 32 (IPv6) hexadecimal digits; null when the text is neither."""
+    v4 = F.lower(F.lpad(F.hex(ipv4_to_long(c)), 8, "0"))
+    v6 = let(ipv6_hextets(c), lambda h: F.when(h.isNotNull(), F.array_join(F.transform(h, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")))
+    return F.when(F.coalesce(c.contains(":"), F.lit(False)), v6).otherwise(v4)
 
 
 def _bucketed(networks: DataFrame) -> DataFrame:
-    lvl = _level(F.col("prefix_len"))
-    return networks.withColumns({"_level": lvl, "_bucket": _above(F.col("lo"), lvl)})
+    level = F.lit(None).cast("int")
+    for bits, step, top in _FAMILIES:
+        level = F.when(F.col("bits") == bits, F.least(F.floor(F.col("prefix_len") / step) * step, F.lit(top)).cast("int")).otherwise(level)
+    return networks.withColumn("_level", level).withColumn("_bucket", F.expr("substring(lo, 1, _level div 4)"))
 
 
 def longest_prefix(ips: DataFrame, networks: DataFrame, ip_col: str = "ip") -> DataFrame:
-    """For each distinct IPv4 address in ``ips[ip_col]``: the most specific covering network's
-    columns (left join: unmatched or non-IPv4 addresses get nulls)."""
-    d = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct()
-    d = d.withColumn("_v", ipv4_to_long(F.col("ip")))
-    probes = d.where(F.col("_v").isNotNull()).select(
-        "ip", "_v", F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("_level"))
-    probes = probes.withColumn("_bucket", _above(F.col("_v"), F.col("_level")))
+    """For each distinct address in ``ips[ip_col]``: the most specific covering network's columns
+    (left join: unmatched or invalid addresses get nulls)."""
+    d = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct().withColumn("_h", ip_hex(F.col("ip")))
+    levels = F.when(F.length("_h") == 8, F.array(*[F.lit(x) for x in range(0, 25, 8)])).otherwise(F.array(*[F.lit(x) for x in range(0, 113, 16)]))
+    probes = d.where(F.col("_h").isNotNull()).select("ip", "_h", (F.length("_h") * 4).alias("_bits"), F.explode(levels).alias("_level"))
+    probes = probes.withColumn("_bucket", F.expr("substring(_h, 1, _level div 4)"))
     nb = _bucketed(networks)
-    cols = [c for c in networks.columns if c not in ("lo", "hi")]
-    m = probes.join(nb, (probes["_level"] == nb["_level"]) & (probes["_bucket"] == nb["_bucket"])
-                    & probes["_v"].between(nb["lo"], nb["hi"]), "inner")
+    cols = [c for c in networks.columns if c not in ("bits", "lo", "hi")]
+    m = probes.join(nb, (probes["_bits"] == nb["bits"]) & (probes["_level"] == nb["_level"]) & (probes["_bucket"] == nb["_bucket"])
+                    & probes["_h"].between(nb["lo"], nb["hi"]), "inner")
     best = m.groupBy(probes["ip"]).agg(F.max_by(F.struct(*[nb[c] for c in cols]), nb["prefix_len"]).alias("_n"))
     out = d.select("ip").join(best, "ip", "left")
     return out.select("ip", *[F.col(f"_n.{c}").alias(c) for c in cols])

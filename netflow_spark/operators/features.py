@@ -1,7 +1,8 @@
 """G11 (extension): the per-flow fields the default rule pack asks for but no reference step
 computes — handshake success, FIN from both sides, retransmission %, mean handshake RTT, TLS
-success, initiator side, DNS response code name, first packet error. One aggregate over the
-oriented packets plus two small per-flow joins (W1 flags by frame, W3 RTT means)."""
+success, initiator side, DNS response code name, first packet error — and the flow evidence that the
+pack's error and security rules read. All come from the one shared aggregate over the packets
+(``flows.flow_facts``), plus two small per-flow joins (W1 flags, W3 RTT means)."""
 
 from __future__ import annotations
 
@@ -10,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import packet_error_reason
-from ..functions.columns import all_not_null, bool_any, flag, is_client, is_server, opt, with_oriented_key
+from ..functions.columns import all_not_null, with_oriented_key
 from ..schema import FLOW_KEY
-from .flows import flow_signals
+from .flows import flow_facts, signals_from_facts
 from .ordered import handshake_rtt, retransmissions
 
 RULE_FEATURES = ["tcp_handshake_successful", "tcp_fin_both_sides", "tcp_retransmission_rate_percent",
@@ -21,34 +21,45 @@ RULE_FEATURES = ["tcp_handshake_successful", "tcp_fin_both_sides", "tcp_retransm
                  "packet_error_reason"]
 
 
-def rule_features(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def rule_features(packets: DataFrame, keys: Sequence[str] = (), facts: DataFrame | None = None) -> DataFrame:
     keys = list(keys)
     group = [*keys, *FLOW_KEY]
+    facts = facts if facts is not None else flow_facts(packets, keys)
     # Retransmissions per flow straight from W1 (oriented key carried through, no join by frame).
-    oriented = with_oriented_key(packets)
-    heur = retransmissions(oriented, keys, carry=FLOW_KEY)
+    heur = retransmissions(with_oriented_key(packets), keys, carry=FLOW_KEY)
     rt = heur.where(all_not_null(group)).groupBy(*group).agg(
         F.count_if(F.col("heuristic_retransmission")).alias("_rt"))
-    p = with_oriented_key(packets.withColumn("_reason", packet_error_reason(packets)))
-    c, s = is_client(p), is_server(p)
-    fin = flag(p, "tcp_flags_fin")
-    syn0 = flag(p, "tcp_flags_syn") & ~flag(p, "tcp_flags_ack")
-    tcp = F.upper(F.col("protocol")) == "TCP"
-    rc = opt(p, "dns_response_code")
-    err = F.col("_reason") != "no_error_detected"
-    agg = p.where(all_not_null(group)).groupBy(*group).agg(
-        (bool_any(c & fin) & bool_any(s & fin)).alias("tcp_fin_both_sides"),
-        F.count_if(tcp).alias("_tcp"),
-        F.min_by(F.when(c, F.lit("client")).when(s, F.lit("server")),
-                 F.when(syn0 & (c | s), F.col("frame_number"))).alias("tcp_initiator"),
-        F.min_by(rc, F.when(rc.isNotNull(), F.col("frame_number"))).alias("dns_rcode_name"),
-        F.coalesce(F.min_by(F.col("_reason"), F.when(err, F.col("frame_number"))),
-                   F.lit("no_error_detected")).alias("packet_error_reason"))
-    sig = flow_signals(packets, keys).select(*group, F.col("handshake_complete").alias("tcp_handshake_successful"),
-                                             F.col("tls_handshake_ok").alias("tls_handshake_successful"))
     rtt = handshake_rtt(packets, keys).groupBy(*group).agg(F.avg("rtt_ms").alias("flow_avg_rtt_ms"))
-    out = agg.join(sig, group, "inner").join(rtt, group, "left").join(rt, group, "left")
+    signals = signals_from_facts(facts, keys, ["tcp_fin_both_sides", "_tcp", "tcp_initiator", "dns_rcode_name",
+                                               "packet_error_reason"])
+    out = signals.join(rtt, group, "left").join(rt, group, "left")
     pct = F.when(F.col("_tcp") > 0, F.coalesce(F.col("_rt"), F.lit(0)) * 100.0 / F.col("_tcp"))
-    return out.select(*group, "tcp_handshake_successful", "tcp_fin_both_sides",
-                      pct.alias("tcp_retransmission_rate_percent"), "flow_avg_rtt_ms", "tls_handshake_successful",
+    return out.select(*group, F.col("handshake_complete").alias("tcp_handshake_successful"), "tcp_fin_both_sides",
+                      pct.alias("tcp_retransmission_rate_percent"), "flow_avg_rtt_ms",
+                      F.col("tls_handshake_ok").alias("tls_handshake_successful"),
                       "tcp_initiator", "dns_rcode_name", "packet_error_reason")
+
+
+def flow_evidence(packets: DataFrame, keys: Sequence[str] = (), facts: DataFrame | None = None) -> DataFrame:
+    """One row per complete oriented flow with the fields the rule pack's error and security rules
+    read, filled from the flow's packets: any RST, the first fatal alert, the first ICMP error, the
+    sender of the first RST or ICMP error, the first HTTP method and TLS version, any self-signed
+    certificate. ``flow_id`` is the key as text."""
+    keys = list(keys)
+    facts = facts if facts is not None else flow_facts(packets, keys)
+    f = facts.where(all_not_null([*keys, *FLOW_KEY]))
+    return f.select(
+        *keys, *FLOW_KEY, F.concat_ws("|", *FLOW_KEY).alias("flow_id"),
+        F.coalesce("_error_source", "client_ip").alias("source_ip"), F.col("server_ip").alias("destination_ip"),
+        F.col("client_port").alias("source_port"), F.col("server_port").alias("destination_port"),
+        F.col("_any_rst").alias("tcp_flags_rst"), F.col("_fatal.level").alias("tls_alert_level"),
+        F.col("_fatal.alert").alias("tls_alert_message_description"), F.col("_icmp.type").alias("icmp_type"),
+        F.col("_icmp.code").alias("icmp_code"), F.col("_method").alias("http_request_method"),
+        F.col("_tls_version").alias("tls_effective_version"), F.col("_self_signed").alias("tls_cert_is_self_signed"),
+        (F.col("bytes_c2s") + F.col("bytes_s2c")).alias("bytes_total"))
+
+
+def tagged_flows(packets: DataFrame, rules=None, keys: Sequence[str] = (), facts: DataFrame | None = None) -> DataFrame:
+    """Flows tagged by the rule pack on their evidence (one row per flow; input of A9–A13)."""
+    from ..rules import default_rules, tag
+    return tag(flow_evidence(packets, keys, facts), rules or default_rules())

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import guess_l7
-from ..functions.columns import first_present, opt, orient_col
+from ..functions.columns import direction, first_present, opt
 
 TABLE_KEY = ["src_ip", "dest_ip", "src_port", "dest_port", "protocol"]
 
@@ -24,7 +24,7 @@ TABLE_KEY = ["src_ip", "dest_ip", "src_port", "dest_port", "protocol"]
 def _table_key(df: DataFrame) -> dict[str, Column]:
     """Oriented key with the flow table's defaults (missing ip/proto → "", port → 0); a null
     direction reads server→client."""
-    o = F.coalesce(F.col(orient_col(df)), F.lit(False))
+    o = F.coalesce(direction(df), F.lit(False))
     sip = F.coalesce(F.col("source_ip"), F.lit(""))
     dip = F.coalesce(F.col("destination_ip"), F.lit(""))
     sp = F.coalesce(F.col("source_port").try_cast("double").try_cast("long"), F.lit(0).cast("long"))
@@ -73,10 +73,9 @@ def _finish_table(agg: DataFrame, keys: list[str]) -> DataFrame:
                       "pkts_c2s", "pkts_s2c", "pkts_total", "start_ts", "end_ts")
 
 
-def flow_sparklines(packets: DataFrame, keys: Sequence[str] = (), max_bins: int | None = None) -> DataFrame:
+def flow_sparklines(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per flow, comma-joined bytes per second from the start second to the end second for
-    each direction ("" when a direction was never seen). ``max_bins`` optionally keeps only
-    the first bins of very long flows (default: all)."""
+    each direction ("" when a direction was never seen)."""
     keys = list(keys)
     k = keyed(packets, keys).withColumn("_sec", F.col("_ts").cast("long"))
     per_sec = k.groupBy(*keys, *TABLE_KEY, "_c2s", "_sec").agg(F.sum("_len").alias("_b"))
@@ -84,8 +83,7 @@ def flow_sparklines(packets: DataFrame, keys: Sequence[str] = (), max_bins: int
         F.map_from_entries(F.collect_list(F.when(F.col("_c2s"), F.struct("_sec", "_b")))).alias("_m_c2s"),
         F.map_from_entries(F.collect_list(F.when(~F.col("_c2s"), F.struct("_sec", "_b")))).alias("_m_s2c"),
         F.min("_sec").alias("_lo"), F.max("_sec").alias("_hi"))
-    hi = F.col("_hi") if max_bins is None else F.least(F.col("_hi"), F.col("_lo") + F.lit(max_bins - 1))
-    secs = F.sequence(F.col("_lo"), hi)
+    secs = F.sequence(F.col("_lo"), F.col("_hi"))
 
     def line(m: str) -> Column:
         filled = F.transform(secs, lambda s: F.coalesce(F.col(m)[s], F.lit(0).cast("long")).cast("string"))
@@ -121,7 +119,7 @@ def flow_summary(tagged_packets: DataFrame, keys: Sequence[str] = ()) -> DataFra
     observations, first SNI/host/URI, and the DNS answer that names the server."""
     keys = list(keys)
     df = tagged_packets
-    o = F.col(orient_col(df))
+    o = direction(df)
     c2s = F.coalesce(o, F.lit(False))
     src, dst = F.col("source_ip"), F.col("destination_ip")
     sp, dp = F.col("source_port"), F.col("destination_port")

@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (all_not_null, bool_any, flag, is_client, is_server, min_when, opt,
-                                 with_oriented_key)
+from ..functions.classify import packet_error_reason
+from ..functions.columns import (all_not_null, bool_any, direction, first_present, flag, is_client, is_server,
+                                 min_when, opt, with_oriented_key)
 from ..schema import FLOW_KEY
 
 # Fixed values of the reference's heuristics.
@@ -61,19 +62,50 @@ def _table_aggs(df: DataFrame) -> list[Column]:
             F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts")]
 
 
+def _evidence_aggs(df: DataFrame) -> list[Column]:
+    """What single packets of the flow show, in the same aggregate: rule features (G11), the HTTP
+    407 evidence (R2) and the evidence of the rule pack's error and security rules (A9–A13)."""
+    c, s, frame = is_client(df), is_server(df), opt(df, "frame_number", "long")
+    syn0 = flag(df, "tcp_flags_syn") & ~flag(df, "tcp_flags_ack")
+    rst, fin = flag(df, "tcp_flags_rst"), flag(df, "tcp_flags_fin")
+    rc, reason = opt(df, "dns_response_code"), F.col("_reason")
+    level, alert = opt(df, "tls_alert_level"), opt(df, "tls_alert_message_description")
+    kind, code = opt(df, "icmp_type", "long"), opt(df, "icmp_code", "long")
+    fatal = F.coalesce((level == "fatal") & alert.isNotNull(), F.lit(False))
+    icmp_error = F.coalesce(F.upper(F.col("protocol")).isin(ICMP_PROTOCOLS) & kind.isin(ICMP_ERROR_TYPES), F.lit(False))
+
+    def first(value: Column, when: Column) -> Column:
+        return F.min_by(value, F.when(when, frame))
+
+    return [
+        (bool_any(c & fin) & bool_any(s & fin)).alias("tcp_fin_both_sides"),
+        F.count_if(F.upper(F.col("protocol")) == "TCP").alias("_tcp"),
+        first(F.when(c, F.lit("client")).when(s, F.lit("server")), syn0 & (c | s)).alias("tcp_initiator"),
+        first(rc, rc.isNotNull()).alias("dns_rcode_name"),
+        F.coalesce(first(reason, reason != "no_error_detected"), F.lit("no_error_detected")).alias("packet_error_reason"),
+        bool_any(first_present(df, ["http_status", "http_response_code"], "long") == 407).alias("_any_407"),
+        bool_any(rst).alias("_any_rst"),
+        first(F.struct(level.alias("level"), alert.alias("alert")), fatal).alias("_fatal"),
+        first(F.struct(kind.alias("type"), code.alias("code")), icmp_error).alias("_icmp"),
+        first(F.col("source_ip"), rst | icmp_error).alias("_error_source"),
+        first(opt(df, "http_request_method"), opt(df, "http_request_method").isNotNull()).alias("_method"),
+        first(opt(df, "tls_effective_version"), opt(df, "tls_effective_version").isNotNull()).alias("_tls_version"),
+        bool_any(flag(df, "tls_cert_is_self_signed")).alias("_self_signed"),
+    ]
+
+
 def flow_facts(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """One aggregate per raw oriented 5-tuple (null parts kept as their own groups) carrying
-    everything the signals (G7), TLS outcome (G9) and flow table (G5) need — one shuffle of the
-    packets for all three. Unused aggregates are pruned by Catalyst when a caller needs less."""
-    from ..functions.columns import orient_col
+    everything the signals (G7), TLS outcome (G9), flow table (G5), rule features (G11) and flow
+    evidence need — one shuffle of the packets for all of them. Unused aggregates are pruned by Catalyst when a caller needs less."""
     df = oriented(packets)
-    if orient_col(df) != "is_source_client":
-        df = df.withColumn("is_source_client", F.col(orient_col(df)))
-    return df.groupBy(*keys, *FLOW_KEY).agg(*_signal_aggs(df), *_table_aggs(df))
+    df = df.withColumn("is_source_client", direction(df)).withColumn("_reason", packet_error_reason(df))
+    return df.groupBy(*keys, *FLOW_KEY).agg(*_signal_aggs(df), *_table_aggs(df), *_evidence_aggs(df))
 
 
-def signals_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """G7 + G9 from flow facts: complete keys only (the reference's group-by drops null keys)."""
+def signals_from_facts(facts: DataFrame, keys: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """G7 + G9 from flow facts: complete keys only (the reference's group-by drops null keys).
+    ``extra`` facts are passed through."""
     group = [*keys, *FLOW_KEY]
     agg = facts.where(all_not_null(group))
     syn, sh, ch, alert, rst = (F.col(n) for n in ("first_syn_time", "first_server_hello_time",
@@ -94,6 +126,7 @@ def signals_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(ch.isNotNull(), tls_ok).alias("tls_handshake_ok"),
         alert.alias("first_alert_time"),
         (alert - ch).alias("time_to_alert"),
+        *extra,
     )
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_not_null, opt, orient_col, with_oriented_key
+from ..functions.columns import all_not_null, direction, opt, with_oriented_key
 from ..schema import FLOW_KEY
 from .asof import DEFAULT_BLOCK, asof_latest
 from .flows import ICMP_ERROR_TYPES, ICMP_PROTOCOLS
@@ -22,8 +22,10 @@ from .flows import ICMP_ERROR_TYPES, ICMP_PROTOCOLS
 _QKEY = ["_q_ip", "_q_port", "_q_proto", "_q_ipid"]
 
 
-def icmp_error_matches(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
-    """One row per ICMP error: its frame and the oriented flow key it was matched to (null if none)."""
+def icmp_error_matches(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK,
+                       materialize: bool = False) -> DataFrame:
+    """One row per ICMP error: its frame and the oriented flow key it was matched to (null if none).
+    ``materialize``: checkpoint the small as-of input once (see ``asof_latest``)."""
     keys = list(keys)
     proto_u = F.upper(F.col("protocol"))
     is_icmp = proto_u.isin(ICMP_PROTOCOLS)
@@ -37,8 +39,7 @@ def icmp_error_matches(packets: DataFrame, keys: Sequence[str] = (), block: int
         F.when(orig_proto != "", F.upper(orig_proto)).alias("_q_proto"),
         opt(packets, "icmp_original_ip_id", "long").cast("long").alias("_q_ipid"),
     )
-    o = orient_col(packets)
-    cand = with_oriented_key(packets.where(~F.coalesce(is_icmp, F.lit(False)) & F.col(o).isNotNull()))
+    cand = with_oriented_key(packets.where(~F.coalesce(is_icmp, F.lit(False)) & direction(packets).isNotNull()))
     cand = cand.where(all_not_null(FLOW_KEY)).select(
         *keys,
         F.col("frame_number"),
@@ -54,11 +55,12 @@ def icmp_error_matches(packets: DataFrame, keys: Sequence[str] = (), block: int
     for c in [*keys, *_QKEY]:
         cond = cond & cand[c].eqNullSafe(quoted[c])
     cand = cand.join(quoted, cond, "left_semi")
-    return asof_latest(errors, cand, [*keys, *_QKEY], "frame_number", "_flow", block=block)
+    return asof_latest(errors, cand, [*keys, *_QKEY], "frame_number", "_flow", block=block, materialize=materialize)
 
 
-def icmp_error_counts(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK) -> DataFrame:
+def icmp_error_counts(packets: DataFrame, keys: Sequence[str] = (), block: int = DEFAULT_BLOCK,
+                      materialize: bool = False) -> DataFrame:
     """Per oriented flow: number of downstream ICMP errors that quote one of its packets."""
-    m = icmp_error_matches(packets, keys, block).where(F.col("_flow").isNotNull())
+    m = icmp_error_matches(packets, keys, block, materialize).where(F.col("_flow").isNotNull())
     return m.groupBy(*keys, *[F.col(f"_flow.{c}").alias(c) for c in FLOW_KEY]).agg(
         F.count(F.lit(1)).alias("icmp_error_count"))

@@ -2,7 +2,8 @@
 
 The interval predicate is turned into an equi-join on time buckets: each flow is exploded into
 the ``bucket``-second buckets its [start, end] spans (rows per flow = duration/bucket + 1), the
-spike probes its own bucket, and the exact range predicate filters. Top ``n`` per spike uses
+spike probes its own bucket, and the exact range predicate filters. ``keys`` (e.g. a capture id) are
+part of the join and of the ranking. Top ``n`` per spike uses
 ``row_number() <= n`` (partial group limit before the shuffle)."""
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ BUCKET_SECONDS = 60
 
 def spike_top_flows(spikes_df: DataFrame, flows: DataFrame, key: Sequence[str], n: int = SPIKE_TOP_FLOWS,
                     bucket: int = BUCKET_SECONDS, start: str = "start_ts", end: str = "end_ts",
-                    second: str = "second") -> DataFrame:
-    key = list(key)
-    f = flows.select(*key, start, end, "bytes_total").withColumn(
+                    second: str = "second", keys: Sequence[str] = ()) -> DataFrame:
+    key, keys = list(key), list(keys)
+    f = flows.select(*keys, *key, start, end, "bytes_total").withColumn(
         "_b", F.explode(F.sequence(F.floor(F.col(start) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long"))))
-    s = spikes_df.select(F.col(second).alias("second")).withColumn("_b", F.floor(F.col("second") / bucket).cast("long"))
-    j = s.join(f, "_b", "inner").where((F.col(start) <= F.col("second")) & (F.col(end) >= F.col("second")))
-    w = Window.partitionBy("second").orderBy(F.col("bytes_total").desc(), *[F.col(c).asc() for c in key])
+    s = spikes_df.select(*keys, F.col(second).alias("second")).withColumn("_b", F.floor(F.col("second") / bucket).cast("long"))
+    j = s.join(f, [*keys, "_b"], "inner").where((F.col(start) <= F.col("second")) & (F.col(end) >= F.col("second")))
+    w = Window.partitionBy(*keys, "second").orderBy(F.col("bytes_total").desc(), *[F.col(c).asc() for c in key])
     return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
-            .select("second", "rank", *key, "bytes_total"))
+            .select(*keys, "second", "rank", *key, "bytes_total"))

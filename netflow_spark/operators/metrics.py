@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import guess_service, is_plaintext_http, packet_error_reason, split_port_key
+from ..functions.classify import (guess_service, is_plaintext_http, packet_error_reason, service_open,
+                                   split_port_key)
 from ..functions.columns import first_present, flag, opt
 from .quantiles import exact_quantiles
 
-# Fixed values.
+# Fixed values (limits and weights that must equal the reference's for equal results).
 SPIKE_SIGMA = 3.0
 TOP_PORTS = 10
 TOP_TALKERS = 20
@@ -45,12 +46,19 @@ def port_counts(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("packets")))
 
 
-def top_ports(packets: DataFrame, n: int = TOP_PORTS) -> DataFrame:
+def _top(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in ``order``, per ``keys`` group if there are keys."""
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def top_ports(packets: DataFrame, n: int = TOP_PORTS, keys: Sequence[str] = ()) -> DataFrame:
     """A2 (+P16): the ``n`` busiest ports; ties by key ascending."""
-    pc = port_counts(packets)
-    top = pc.orderBy(F.col("packets").desc(), F.col("port_key").asc()).limit(n)
+    top = _top(port_counts(packets, keys), [F.col("packets").desc(), F.col("port_key").asc()], n, keys)
     sp = split_port_key(F.col("port_key"))
-    return top.select("port_key", sp["protocol"].alias("protocol"), sp["port"].alias("port"), "packets")
+    return top.select(*keys, "port_key", sp["protocol"].alias("protocol"), sp["port"].alias("port"), "packets")
 
 
 def tls_versions(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -78,153 +86,171 @@ def spikes(tl: DataFrame, value: str = "bytes", sigma: float = SPIKE_SIGMA, keys
     return j.where((F.col("_nd") > 1) & (F.col("_std") > 0) & (F.col(value) > thr)).drop("_mean", "_std", "_nd")
 
 
-def _one_row_left(base: DataFrame, other: DataFrame) -> DataFrame:
-    """Attach a 0/1-row frame to a one-row frame (both sizes are proven: broadcast)."""
+def _beside(base: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``other`` (at most one row per ``keys`` group) beside ``base`` (one row per group). Without
+    keys both are one row: a proven size."""
+    if keys:
+        return base.join(other, list(keys), "left")
     return base.withColumn("_k", F.lit(1)).join(F.broadcast(other.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
 
 
-def rtt_stats(samples: DataFrame, col: str = "rtt_ms") -> DataFrame:
+def rtt_stats(samples: DataFrame, col: str = "rtt_ms", keys: Sequence[str] = ()) -> DataFrame:
     """Median, p95 (linear interpolation, exact and distributed), min, max, sample count;
-    ``reason`` when empty."""
-    a = samples.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("samples"))
-    q = exact_quantiles(samples, col, [0.5, 0.95]).select(F.col("q0").alias("median"), F.col("q1").alias("p95"))
-    j = _one_row_left(a, q)
-    return j.select("median", "p95", "min", "max", "samples",
-                    F.when(F.col("samples") == 0, F.lit("insufficient_syn_ack_pairs")).alias("reason"))
-
-
-def performance_summary(rtts: DataFrame, alerts: DataFrame, heur: DataFrame, packets: DataFrame) -> DataFrame:
-    """One row — RTT stats, SYN RTT median, TLS time-to-alert median, retransmission % of
-    TCP packets, limited-data flag. Four one-row aggregates side by side."""
-    r = rtt_stats(rtts).select(F.col("median").alias("rtt_median_ms"), F.col("p95").alias("rtt_p95_ms"),
-                               F.col("min").alias("rtt_min_ms"), F.col("max").alias("rtt_max_ms"),
-                               F.col("samples").alias("rtt_samples"),
-                               F.col("median").alias("tcp_syn_rtt_ms"),
-                               (F.col("samples") == 0).alias("rtt_limited_data"))
-    a = _one_row_left(alerts.agg(F.count(F.lit(1)).alias("_na")),
-                      exact_quantiles(alerts, "time_to_alert_ms", [0.5]).select(F.col("q0").alias("tls_time_to_alert_ms"))
-                      ).drop("_na")
-    tcp = packets.where(F.upper(F.col("protocol")) == "TCP").agg(F.count(F.lit(1)).alias("_n"))
-    rt = heur.agg(F.sum(F.col("heuristic_retransmission").cast("int")).alias("_r"))
+    ``reason`` when empty. With ``keys``, one row per group that has samples."""
+    a = samples.groupBy(*keys).agg(F.min(col).alias("min"), F.max(col).alias("max"), F.count(col).alias("samples"))
+    q = exact_quantiles(samples, col, [0.5, 0.95], keys).select(*keys, F.col("q0").alias("median"), F.col("q1").alias("p95"))
+    return _beside(a, q, keys).select(
+        *keys, "median", "p95", "min", "max", "samples",
+        F.when(F.col("samples") == 0, F.lit("insufficient_syn_ack_pairs")).alias("reason"))
+
+
+def performance_summary(rtts: DataFrame, alerts: DataFrame, heur: DataFrame, packets: DataFrame,
+                        keys: Sequence[str] = ()) -> DataFrame:
+    """Per ``keys`` group (or one row) — RTT stats, SYN RTT median, TLS time-to-alert median,
+    retransmission % of TCP packets, limited-data flag."""
+    tcp = F.upper(F.col("protocol")) == "TCP"
+    base = packets.groupBy(*keys).agg(F.count_if(tcp).alias("_n"))
+    r = rtt_stats(rtts, keys=keys).select(
+        *keys, F.col("median").alias("rtt_median_ms"), F.col("p95").alias("rtt_p95_ms"), F.col("min").alias("rtt_min_ms"),
+        F.col("max").alias("rtt_max_ms"), F.col("samples").alias("_samples"))
+    a = exact_quantiles(alerts, "time_to_alert_ms", [0.5], keys).select(*keys, F.col("q0").alias("tls_time_to_alert_ms"))
+    rt = heur.groupBy(*keys).agg(F.sum(F.col("heuristic_retransmission").cast("int")).alias("_r"))
+    j = _beside(_beside(_beside(base, r, keys), a, keys), rt, keys)
+    samples = F.coalesce("_samples", F.lit(0).cast("long"))
     pct = F.when(F.col("_n") > 0, F.coalesce(F.col("_r"), F.lit(0)) * 100.0 / F.col("_n")).otherwise(F.lit(0.0))
-    # Each side is a one-row aggregate: broadcasting it is a proven-size choice.
-    return (r.crossJoin(F.broadcast(a)).crossJoin(F.broadcast(tcp)).crossJoin(F.broadcast(rt))
-            .withColumn("tcp_retransmission_ratio_percent", pct).drop("_n", "_r"))
-
-
-def service_overview(flows: DataFrame, rdns: DataFrame | None = None, guesser=None) -> DataFrame:
+    return j.select(*keys, "rtt_median_ms", "rtt_p95_ms", "rtt_min_ms", "rtt_max_ms", samples.alias("rtt_samples"),
+                    F.col("rtt_median_ms").alias("tcp_syn_rtt_ms"), (samples == 0).alias("rtt_limited_data"),
+                    "tls_time_to_alert_ms", pct.alias("tcp_retransmission_ratio_percent"))
+
+
+def with_service(flows: DataFrame, rdns: DataFrame | None = None, guesser=None, out: str = "service") -> DataFrame:
+    """P10 as a column: only rows that SNI, host, QUIC and port leave undecided meet ``rdns`` (an
+    (ip, rdns) dimension), so a busy server with a known service is no hot join key."""
+    if guesser is not None:
+        return flows.withColumn(out, guesser(flows))
+    port = first_present(flows, ["destination_port", "dest_port", "server_port"], "long")
+    parts = {"sni": first_present(flows, ["sni", "sni_hostname", "server_name_indication"]),
+             "http_host": first_present(flows, ["http_request_host_header", "http_host"]),
+             "is_quic": opt(flows, "is_quic", "boolean")}
+    if rdns is None:
+        return flows.withColumn(out, guess_service(F.col("protocol"), port, **parts))
+    f = flows.withColumn("_svc", guess_service(F.col("protocol"), port, **parts))
+    f = f.withColumn("_open", service_open(F.col("protocol"), port, **parts))
+    f = f.withColumn("_dst", F.when(F.col("_open"), first_present(flows, ["destination_ip", "dest_ip", "server_ip"])))
+    names = rdns.select(F.col("ip").alias("_dst"), F.nullif(F.split("rdns", r"\.")[0], F.lit("")).alias("_label"))
+    asked = f.where(F.col("_dst").isNotNull()).join(names, "_dst", "left").withColumn(out, F.coalesce("_label", "_svc"))
+    rest = f.where(F.col("_dst").isNull()).withColumn(out, F.col("_svc"))
+    keep = [*[c for c in flows.columns if c != out], out]
+    return rest.select(*keep).unionByName(asked.select(*keep))
+
+
+def service_overview(flows: DataFrame, rdns: DataFrame | None = None, guesser=None, keys: Sequence[str] = ()) -> DataFrame:
     """Flows and bytes per service label (P10). ``rdns``: optional (ip, rdns) dimension.
     U3: ``guesser(df) -> Column`` replaces the built-in service guess."""
-    dst = first_present(flows, ["destination_ip", "dest_ip", "server_ip"])
-    f = flows.withColumn("_dst", dst)
-    if rdns is not None:
-        f = f.join(rdns.select(F.col("ip").alias("_dst"), F.col("rdns").alias("_rdns")), "_dst", "left")
-    port = first_present(f, ["destination_port", "dest_port", "server_port"], "long")
-    sni = F.coalesce(first_present(f, ["sni", "sni_hostname"]), opt(f, "server_name_indication"))
-    svc = guesser(f) if guesser is not None else guess_service(
-        F.col("protocol"), port, sni=sni, http_host=first_present(f, ["http_request_host_header", "http_host"]),
-        rdns=F.col("_rdns") if "_rdns" in f.columns else None, is_quic=opt(f, "is_quic", "boolean"))
-    return f.groupBy(svc.alias("service")).agg(
+    f = with_service(flows, rdns, guesser, "_service")
+    return f.groupBy(*keys, F.col("_service").alias("service")).agg(
         F.count(F.lit(1)).alias("flow_count"),
         F.sum(F.coalesce(opt(f, "bytes_total", "long").cast("long"), F.lit(0))).alias("bytes"))
 
 
-def error_summary(tagged: DataFrame, id_col: str = "flow_id", k: int = ERROR_SAMPLE_IDS) -> DataFrame:
-    """Per (type, detail) — or per type when there is no detail column — the row count and
-    up to ``k`` distinct sample ids (ascending)."""
+def error_summary(tagged: DataFrame, id_col: str = "flow_id", k: int = ERROR_SAMPLE_IDS, keys: Sequence[str] = ()) -> DataFrame:
+    """Per (type, detail) — or per type when there is no detail column — the number of tagged
+    flows and up to ``k`` distinct sample ids (ascending). One aggregate to (type, detail, id) feeds both."""
+    keys = list(keys)
     if "flow_error_type" not in tagged.columns:
         return tagged.sparkSession.createDataFrame(
-            [], "error_type string, error_detail string, count long, sample_flow_ids array<string>")
+            [], ", ".join([*[f"{c} {tagged.schema[c].dataType.simpleString()}" for c in keys],
+                           "error_type string, error_detail string, count long, sample_flow_ids array<string>"]))
     has_detail = "flow_error_details" in tagged.columns
     d = tagged.where(F.col("flow_error_type").isNotNull())
     detail = F.col("flow_error_details") if has_detail else F.lit(None).cast("string")
     if has_detail:
         d = d.where(F.col("flow_error_details").isNotNull())
-    ids = opt(d, id_col).cast("string")
-    g = ["error_type", "error_detail"]
-    base = d.select(F.col("flow_error_type").cast("string").alias("error_type"), detail.alias("error_detail"),
-                    ids.alias("_id"))
-    counts = base.groupBy(*g).agg(F.count(F.lit(1)).alias("count"))
-    distinct_ids = base.where(F.col("_id").isNotNull()).select(*g, "_id").distinct()
+    g = [*keys, "error_type", "error_detail"]
+    per_id = d.groupBy(*keys, F.col("flow_error_type").cast("string").alias("error_type"), detail.alias("error_detail"),
+                       opt(d, id_col).cast("string").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = per_id.groupBy(*g).agg(F.sum("_n").alias("count"))
     w = Window.partitionBy(*g).orderBy("_id")
-    sample = (distinct_ids.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    sample = (per_id.where(F.col("_id").isNotNull()).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
               .groupBy(*g).agg(F.array_sort(F.collect_list("_id")).alias("sample_flow_ids")))
-    cond = counts["error_type"].eqNullSafe(sample["error_type"]) & counts["error_detail"].eqNullSafe(sample["error_detail"])
+    cond = F.lit(True)
+    for c in g:
+        cond = cond & counts[c].eqNullSafe(sample[c])
     return counts.join(sample, cond, "left").select(
-        counts["error_type"], counts["error_detail"], counts["count"],
+        *[counts[c] for c in g], counts["count"],
         F.coalesce(sample["sample_flow_ids"], F.array().cast("array<string>")).alias("sample_flow_ids"))
 
 
-def error_rows(summary: DataFrame) -> DataFrame:
+def error_rows(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(Type, Description, Count) rows; Description is "" when there are no details."""
-    return summary.select(F.col("error_type").alias("Type"),
+    return summary.select(*keys, F.col("error_type").alias("Type"),
                           F.coalesce(F.col("error_detail"), F.lit("")).alias("Description"),
                           F.col("count").alias("Count"))
 
 
-def error_total(summary: DataFrame) -> DataFrame:
+def error_total(summary: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A10: total error count."""
-    return summary.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_errors"))
+    return summary.groupBy(*keys).agg(F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("total_errors"))
 
 
-def security_findings(tagged: DataFrame) -> DataFrame:
-    """(finding, detail, flows) rows — plaintext HTTP, self-signed certificates, outdated
-    TLS versions per version."""
+def security_findings(tagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(finding, detail, flows) rows over tagged flows — plaintext HTTP, self-signed
+    certificates, outdated TLS versions per version."""
     plain = flag(tagged, "security_flag_plaintext_http")
     selfs = flag(tagged, "security_flag_self_signed_cert")
     outdated = opt(tagged, "security_flag_outdated_tls_version")
-    counts = tagged.agg(F.count_if(plain).alias("p"), F.count_if(selfs).alias("s"))
-    fixed = counts.select(F.explode(F.array(
+    counts = tagged.groupBy(*keys).agg(F.count_if(plain).alias("p"), F.count_if(selfs).alias("s"))
+    fixed = counts.select(*keys, F.explode(F.array(
         F.struct(F.lit("plaintext_http_flows").alias("finding"), F.lit("").alias("detail"), F.col("p").alias("flows")),
         F.struct(F.lit("self_signed_certificate_flows").alias("finding"), F.lit("").alias("detail"), F.col("s").alias("flows")),
-    )).alias("r")).select("r.*")
+    )).alias("r")).select(*keys, "r.*")
     versions = (tagged.where(outdated.isNotNull())
-                .groupBy(F.lit("outdated_tls_version_counts").alias("finding"), outdated.cast("string").alias("detail"))
+                .groupBy(*keys, F.lit("outdated_tls_version_counts").alias("finding"), outdated.cast("string").alias("detail"))
                 .agg(F.count(F.lit(1)).alias("flows")))
     return fixed.unionByName(versions)
 
 
-def unusual_countries(flows_with_country: DataFrame, id_col: str = "flow_id",
-                      country_col: str = "dest_country", common: Sequence[str] = COMMON_COUNTRIES) -> DataFrame:
+def unusual_countries(flows_with_country: DataFrame, id_col: str = "flow_id", country_col: str = "dest_country",
+                      common: Sequence[str] = COMMON_COUNTRIES, keys: Sequence[str] = ()) -> DataFrame:
     """Flows whose destination country is known and not a common one."""
     c = F.col(country_col)
     return (flows_with_country.where(c.isNotNull() & ~c.isin(list(common)))
-            .select(F.col(id_col).cast("string").alias("flow_id"), c.alias("country")))
+            .select(*keys, F.col(id_col).cast("string").alias("flow_id"), c.alias("country")))
 
 
-def security_total(findings: DataFrame, unusual: DataFrame) -> DataFrame:
+def security_total(findings: DataFrame, unusual: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Total security issues = all finding counts + unusual-country flows."""
-    a = findings.agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("_a"))
-    b = unusual.agg(F.count(F.lit(1)).alias("_b"))
-    return a.crossJoin(F.broadcast(b)).select((F.col("_a") + F.col("_b")).cast("long").alias("security_issues"))
+    a = findings.groupBy(*keys).agg(F.coalesce(F.sum("flows"), F.lit(0)).alias("_a"))
+    b = unusual.groupBy(*keys).agg(F.count(F.lit(1)).alias("_b"))
+    return _beside(a, b, keys).select(*keys, (F.col("_a") + F.coalesce("_b", F.lit(0))).cast("long").alias("security_issues"))
 
 
-def plaintext_flows(packets: DataFrame) -> DataFrame:
+def plaintext_flows(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of distinct directional 5-tuples carrying plaintext HTTP."""
     proto = F.upper(F.coalesce(F.col("protocol"), F.lit("")))
     d = packets.where(is_plaintext_http(packets)).select(
-        "source_ip", "destination_ip", "source_port", "destination_port", proto.alias("p")).distinct()
-    return d.agg(F.count(F.lit(1)).alias("plaintext_flows"))
+        *keys, "source_ip", "destination_ip", "source_port", "destination_port", proto.alias("p")).distinct()
+    return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("plaintext_flows"))
 
 
-def outcome_by_protocol(tagged: DataFrame) -> DataFrame:
+def outcome_by_protocol(tagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Flows per (protocol, flow_outcome)."""
-    return tagged.groupBy("protocol", "flow_outcome").agg(F.count(F.lit(1)).alias("flows"))
+    return tagged.groupBy(*keys, "protocol", "flow_outcome").agg(F.count(F.lit(1)).alias("flows"))
 
 
 def errors_by_reason(rows: DataFrame, id_col: str = "flow_id", bytes_col: str = "total_bytes",
-                     ts_col: str = "first_ts") -> DataFrame:
+                     ts_col: str = "first_ts", keys: Sequence[str] = ()) -> DataFrame:
     """Per packet error reason — distinct flows, bytes, first seen."""
     r = F.col("packet_error_reason")
-    return rows.where(r.isNotNull()).groupBy(r.alias("packet_error_reason")).agg(
+    return rows.where(r.isNotNull()).groupBy(*keys, r.alias("packet_error_reason")).agg(
         F.count_distinct(id_col).alias("affected_flows"), F.sum(bytes_col).alias("total_bytes"),
         F.min(ts_col).alias("first_seen"))
 
 
-def capture_info(packets: DataFrame) -> DataFrame:
-    """One row — packets, first/last time, duration, QUIC vs TLS packet counts."""
+def capture_info(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per capture — packets, first/last time, duration, QUIC vs TLS packet counts."""
     tls = opt(packets, "tls_effective_version").isNotNull() | opt(packets, "tls_handshake_type").isNotNull()
-    a = packets.agg(F.count(F.lit(1)).alias("total_packets"), F.min("timestamp").alias("first_timestamp"),
+    a = packets.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_packets"), F.min("timestamp").alias("first_timestamp"),
                     F.max("timestamp").alias("last_timestamp"), F.count_if(flag(packets, "is_quic")).alias("quic_packets"),
                     F.count_if(tls).alias("tls_packets"))
     return a.withColumn("capture_duration", F.col("last_timestamp") - F.col("first_timestamp"))
@@ -247,15 +273,15 @@ def diagnostic_score(flows: DataFrame) -> Column:
     return (F.lit(0.0) + disp.cast("double") + (F.lit(SCORE_PER_OBSERVATION) * n_obs).cast("double")) + b
 
 
-def top_flows(flows: DataFrame, tie_cols: Sequence[str], n: int = TOP_TALKERS) -> DataFrame:
-    """The ``n`` most diagnostically relevant flows (score desc, ties by key)."""
-    return (flows.withColumn("score", diagnostic_score(flows))
-            .orderBy(F.col("score").desc(), *[F.col(c).asc() for c in tie_cols]).limit(n))
+def top_flows(flows: DataFrame, tie_cols: Sequence[str], n: int = TOP_TALKERS, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` most diagnostically relevant flows (score desc, ties by key), per ``keys`` group."""
+    return _top(flows.withColumn("score", diagnostic_score(flows)),
+                [F.col("score").desc(), *[F.col(c).asc() for c in tie_cols]], n, keys)
 
 
-def top_by(flows: DataFrame, col: str, tie_cols: Sequence[str], n: int = TOP_TALKERS) -> DataFrame:
-    """Top ``n`` by ``col`` (TakeOrderedAndProject: a per-partition top-n, then a merge)."""
-    return flows.orderBy(F.col(col).desc(), *[F.col(c).asc() for c in tie_cols]).limit(n)
+def top_by(flows: DataFrame, col: str, tie_cols: Sequence[str], n: int = TOP_TALKERS, keys: Sequence[str] = ()) -> DataFrame:
+    """Top ``n`` by ``col``, per ``keys`` group (a per-partition top-n, then a merge)."""
+    return _top(flows, [F.col(col).desc(), *[F.col(c).asc() for c in tie_cols]], n, keys)
 
 
 def errors_input(packets: DataFrame) -> DataFrame:

@@ -22,63 +22,66 @@ TCP_HISTORY = 64            # fixed value: packets of history per directional 4-
 RTT_TIMEOUT_SECONDS = 3.0   # fixed value: SYN→SYN-ACK pairs slower than this are discarded
 
 
-def with_history(df: DataFrame, key: Sequence[str], order: str, cols: Sequence[str], n: int,
-                 block: int = DEFAULT_BLOCK, out: str = "_hist") -> DataFrame:
-    """Add ``out`` = array of struct(order, cols) of the ``n`` previous rows of the same key
-    (oldest first), ordered by ``order`` (integral, unique within a key).
-
-    All rows are shuffled once, on (key, block), for the in-block history. Rows among the first
-    ``n`` of a block prepend the carry-in — the last ``n`` rows before the block — taken from a
-    context table of each block's first row (a partial ``min_by`` aggregate) and last ``n`` rows
-    (``row_number <= n``, limited map-side before its shuffle), so the context side ships at
-    most ``n + 1`` rows per block and map task."""
+def with_history(df: DataFrame, key: Sequence[str], order: str, value: str, last: Sequence[str], n: int,
+                 block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Add ``_hist`` = the non-null ``value``s of the ``n`` previous rows of the same key, and
+    ``_last`` = struct(``last``) of the previous row (null for the key's first row). Rows are ordered
+    by ``order`` (integral, unique within a key).
+
+    All rows are shuffled once, on (key, block). The first ``n`` rows of a block prepend the
+    carry-in: the last ``n`` rows of the blocks before it, taken from one row per (key, block) that
+    holds the block's last ``n`` rows (``row_number <= n``, limited map-side before its shuffle).
+    Only keys that span blocks have any."""
     key = list(key)
-    payload = F.struct(*[F.col(c) for c in [order, *cols]])
-    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block))).withColumn("_pl", payload)
-    w_blk = Window.partitionBy(*key, "_blk").orderBy(order)
-    main = d.withColumns({"_rn_a": F.row_number().over(w_blk),
-                          "_in": F.collect_list("_pl").over(w_blk.rowsBetween(-n, -1))})
-    firsts = d.groupBy(*key, "_blk").agg(F.min_by("_pl", F.col(order)).alias("_pl")).withColumn("_first", F.lit(True))
-    lasts = (d.withColumn("_rn_d", F.row_number().over(Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc())))
-             .where(F.col("_rn_d") <= n).select(*key, "_blk", "_pl").withColumn("_first", F.lit(False)))
-    ctx = (firsts.unionByName(lasts).groupBy(*key, "_blk", "_pl").agg(F.max("_first").alias("_first"))
-           .withColumn("_o", F.col("_pl").getField(order)))
-    w_ctx = Window.partitionBy(*key).orderBy("_o").rowsBetween(-n, -1)
-    carry = (ctx.withColumn("_carry", F.collect_list("_pl").over(w_ctx))
-             .where(F.col("_first")).select(*key, "_blk", "_carry"))
+    d = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    w = Window.partitionBy(*key, "_blk").orderBy(order)
+    main = d.withColumns({"_rn": F.row_number().over(w), "_in": F.collect_list(value).over(w.rowsBetween(-n, -1)),
+                          "_prev": F.lag(F.struct(*last)).over(w)})
+    row = F.struct(F.col(order).alias("o"), F.col(value).alias("v"), F.struct(*last).alias("l"))
+    down = Window.partitionBy(*key, "_blk").orderBy(F.col(order).desc())
+    tails = (d.select(*key, "_blk", order, row.alias("_row")).withColumn("_rn", F.row_number().over(down)).where(F.col("_rn") <= n)
+             .groupBy(*key, "_blk").agg(F.array_sort(F.collect_list("_row")).alias("_tail")))
+    before = Window.partitionBy(*key).orderBy("_blk").rowsBetween(-n, -1)
+    rows = F.flatten(F.collect_list("_tail").over(before))
+    carry = tails.withColumn("_carry", rows).where(F.size("_carry") > 0).select(
+        *key, "_blk", F.slice("_carry", F.greatest(F.size("_carry") - n + 1, F.lit(1)), n).alias("_carry"))
     j = main.join(carry, [*key, "_blk"], "left")
-    both = F.concat(F.coalesce(F.col("_carry"), F.array().cast(j.schema["_in"].dataType)), F.col("_in"))
-    hist = F.when(F.col("_rn_a") <= n, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n)).otherwise(F.col("_in"))
-    return j.withColumn(out, hist).drop("_blk", "_pl", "_rn_a", "_in", "_carry")
+    # The rn-th row of a block has rn - 1 rows before it there; the other n - rn + 1 come from the carry.
+    want = F.greatest(F.lit(n + 1) - F.col("_rn"), F.lit(0))
+    earlier = F.slice("_carry", F.greatest(F.size("_carry") - want + 1, F.lit(1)), want)
+    values = F.filter(F.transform(earlier, lambda x: x["v"]), lambda x: x.isNotNull())
+    return j.withColumns({
+        "_hist": F.when(F.col("_carry").isNotNull() & (want > 0), F.concat(values, F.col("_in"))).otherwise(F.col("_in")),
+        "_last": F.when(F.col("_rn") == 1, F.try_element_at(F.col("_carry"), F.lit(-1))["l"]).otherwise(F.col("_prev")),
+    }).drop("_blk", "_rn", "_in", "_prev", "_carry")
 
 
 def _key4(df: DataFrame) -> dict[str, Column]:
     def port(c):
-        v = F.col(c).try_cast("double").try_cast("long")
+        v = opt(df, c, "long").try_cast("double").try_cast("long")
         return F.when(F.coalesce(v, F.lit(0)) == 0, F.lit(-1).cast("long")).otherwise(v)
-    return {"_k_src": F.coalesce(F.col("source_ip"), F.lit("")), "_k_sport": port("source_port"),
-            "_k_dst": F.coalesce(F.col("destination_ip"), F.lit("")), "_k_dport": port("destination_port")}
+    return {"_k_src": F.coalesce(opt(df, "source_ip"), F.lit("")), "_k_sport": port("source_port"),
+            "_k_dst": F.coalesce(opt(df, "destination_ip"), F.lit("")), "_k_dport": port("destination_port")}
 
 
 def tcp_heuristics(packets: DataFrame, keys: Sequence[str] = (), history: int = TCP_HISTORY,
-                   block: int = DEFAULT_BLOCK, carry: Sequence[str] = ()) -> DataFrame:
+                   block: int = DEFAULT_BLOCK, carry: Sequence[str] = (), any_case: bool = False) -> DataFrame:
     """Per TCP packet, heuristic retransmission / duplicate ACK / out-of-order / zero-window
     flags from the previous ``history`` packets of the same directional 4-tuple. ``carry``
-    columns are passed through (so callers can aggregate without joining back by frame)."""
+    columns are passed through (so callers can aggregate without joining back by frame).
+    ``any_case``: also packets whose protocol is written ``tcp``."""
     keys = list(keys)
     carry = list(carry)
-    tcp = packets.where(F.col("protocol") == "TCP")
+    tcp = packets.where((F.upper("protocol") if any_case else F.col("protocol")) == "TCP")
     base = tcp.select(*keys, "frame_number", *carry, *[v.alias(k) for k, v in _key4(tcp).items()],
                       opt(tcp, "tcp_sequence_number", "long").cast("long").alias("seq"),
                       opt(tcp, "tcp_acknowledgment_number", "long").cast("long").alias("ack"),
                       opt(tcp, "tcp_window_size", "long").cast("long").alias("win"),
                       F.coalesce(opt(tcp, "tcp_payload_length", "long").cast("long"), F.lit(0).cast("long")).alias("len"))
     key = [*keys, "_k_src", "_k_sport", "_k_dst", "_k_dport"]
-    h = with_history(base, key, "frame_number", ["seq", "ack", "win", "len"], history, block)
-    seqs = F.transform(F.filter(F.col("_hist"), lambda x: x["seq"].isNotNull()), lambda x: x["seq"])
-    has = F.size("_hist") > 0
-    last = F.try_element_at(F.col("_hist"), F.lit(-1))
-    seen = F.coalesce(F.array_contains(seqs, F.col("seq")), F.lit(False))
+    h = with_history(base, key, "frame_number", "seq", ["seq", "ack", "win", "len"], history, block)
+    has, last = F.col("_last").isNotNull(), F.col("_last")
+    seen = F.coalesce(F.array_contains("_hist", F.col("seq")), F.lit(False))
     retrans = F.col("seq").isNotNull() & seen
     dup = has & F.coalesce((F.col("ack") == last["ack"]) & (F.col("len") == 0), F.lit(False))
     expected = F.coalesce(last["seq"], F.lit(0)) + F.coalesce(last["len"], F.lit(0))
@@ -90,16 +93,14 @@ def tcp_heuristics(packets: DataFrame, keys: Sequence[str] = (), history: int =
 
 
 def retransmissions(packets: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Per TCP packet: ``heuristic_retransmission`` = the dissector's retransmission flags when
-    the table carries them (non-empty list), else the W1 heuristic (as the parser does when a
-    capture has no analysis layer)."""
+    """Per TCP packet: ``heuristic_retransmission`` = whether the dissector's retransmission flags
+    name any, where the packet carries such flags (a non-null list), else the W1 heuristic."""
     keys, carry = list(keys), list(carry)
-    if "tcp_analysis_retransmission_flags" in packets.columns:
-        flags = F.col("tcp_analysis_retransmission_flags")
-        return packets.where(F.col("protocol") == "TCP").select(
-            *keys, "frame_number", *carry,
-            (F.coalesce(F.size(flags), F.lit(0)) > 0).alias("heuristic_retransmission"))
-    return tcp_heuristics(packets, keys, carry=carry).select(*keys, "frame_number", *carry, "heuristic_retransmission")
+    flags = opt(packets, "tcp_analysis_retransmission_flags", "array<string>")
+    seen = packets.withColumn("_dissected", F.when(flags.isNotNull(), F.size(flags) > 0))
+    heur = tcp_heuristics(seen, keys, carry=[*carry, "_dissected"], any_case=True)
+    return heur.select(*keys, "frame_number", *carry,
+                       F.coalesce("_dissected", "heuristic_retransmission").alias("heuristic_retransmission"))
 
 
 def with_heuristic_flags(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import flag, opt
+from ..functions.columns import direction, flag, has_direction, opt
 
 
 def _port0(c: Column) -> Column:
@@ -54,6 +54,15 @@ def orient_packets(packets: DataFrame, keys: Sequence[str] = (), out: str = "is_
     return j.withColumn(out, F.when(early, F.lit(True)).otherwise(same)).drop("_qframe", "_client")
 
 
+def ensure_direction(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Packets with ``is_source_client``: as dissected where a packet says so, else by G2."""
+    if not has_direction(packets):
+        return orient_packets(packets, keys)
+    known = packets.withColumn("_known", direction(packets))
+    out = orient_packets(known, keys, out="_guess")
+    return out.withColumn("is_source_client", F.coalesce("_known", "_guess")).drop("_known", "_guess")
+
+
 def orient_parser(packets: DataFrame, keys: Sequence[str] = (), out: str = "is_src_client") -> DataFrame:
     """The parser's variant — TCP only, keyed by stream index else by the *directional*
     4-tuple; null until the key's first SYN-without-ACK, then source == that SYN's source."""

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-from ..functions.decode import (DHCP_MESSAGE_TYPES, DNS_QUERY_TYPES, DNS_RCODES, IP_PROTOCOL_NAMES,
-                                TLS_ALERT_DESCRIPTIONS, TLS_ALERT_LEVELS, TLS_HANDSHAKE_TYPES, TLS_VERSIONS)
-from ..operators.enrich import DEMO_NETWORKS
-from .oracle import _SIGNALS, nested, oracle
+from .oracle import _SIGNALS, RAW, nested, oracle
 from .oracle_flows import _FLOW_KEY
 from .oracle_rules import in_net, v4
 
 _COMMON = "('US', 'CA', 'GB', 'DE', 'FR', 'NL', 'JP', 'AU')"
 
 
-def _case(col: str, table: dict[int, str]) -> str:
-    whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in table.items())
+# Fixed values, written out so that the oracle does not share the Spark side's tables: code=name.
+IP_PROTOCOL_NAMES = """
+1=ICMP, 6=TCP, 17=UDP, 47=GRE, 50=ESP
+"""
+DNS_QUERY_TYPES = """
+1=A, 2=NS, 5=CNAME, 6=SOA, 12=PTR, 15=MX, 16=TXT, 28=AAAA, 33=SRV, 43=DS, 46=RRSIG, 47=NSEC,
+48=DNSKEY, 255=ANY, 257=CAA
+"""
+DNS_RCODES = """
+0=NOERROR, 1=FORMERR, 2=SERVFAIL, 3=NXDOMAIN, 4=NOTIMP, 5=REFUSED
+"""
+DHCP_MESSAGE_TYPES = """
+1=Discover, 2=Offer, 3=Request, 4=Decline, 5=Ack, 6=Nak, 7=Release, 8=Inform
+"""
+TLS_HANDSHAKE_TYPES = """
+0=HelloRequest, 1=ClientHello, 2=ServerHello, 4=NewSessionTicket, 5=EndOfEarlyData,
+8=EncryptedExtensions, 11=Certificate, 12=ServerKeyExchange, 13=CertificateRequest,
+14=ServerHelloDone, 15=CertificateVerify, 16=ClientKeyExchange, 20=Finished, 24=CertificateStatus,
+25=KeyUpdate
+"""
+TLS_VERSIONS = """
+768=SSL 3.0, 769=TLS 1.0, 770=TLS 1.1, 771=TLS 1.2, 772=TLS 1.3
+"""
+TLS_ALERT_LEVELS = """
+1=warning, 2=fatal
+"""
+TLS_ALERT_DESCRIPTIONS = """
+0=close_notify, 10=unexpected_message, 20=bad_record_mac, 21=decryption_failed_RESERVED,
+22=record_overflow, 30=decompression_failure, 40=handshake_failure, 41=no_certificate_RESERVED,
+42=bad_certificate, 43=unsupported_certificate, 44=certificate_revoked, 45=certificate_expired,
+46=certificate_unknown, 47=illegal_parameter, 48=unknown_ca, 49=access_denied, 50=decode_error,
+51=decrypt_error, 60=export_restriction_RESERVED, 70=protocol_version, 71=insufficient_security,
+80=internal_error, 86=inappropriate_fallback, 90=user_canceled, 100=no_renegotiation_RESERVED,
+110=missing_extension, 111=unsupported_extension, 112=unrecognized_name,
+113=bad_certificate_status_response, 114=unknown_psk_identity, 115=certificate_required,
+116=no_application_protocol
+"""
+
+
+def _case(col: str, table: str) -> str:
+    pairs = [p.strip().split("=") for p in table.replace("\n", " ").split(",")]
+    whens = " ".join(f"WHEN {k.strip()} THEN '{v.strip()}'" for k, v in pairs)
     return f"CASE {col} {whens} ELSE CAST({col} AS VARCHAR) END"
 
 
@@ -211,24 +246,47 @@ FROM pairs GROUP BY frame_number, src, sni, dst""")
 # ---- enrichment ---------------------------------------------------------------------------------
 
 
-def _networks_values() -> str:
-    rows = []
-    for cidr, idx, iso, city, lat, lon, asn, org in DEMO_NETWORKS:
-        n = ipaddress.ip_network(cidr, strict=False)
-        rows.append(f"('{cidr}', {n.prefixlen}, {int(n.network_address)}, {int(n.broadcast_address)}, {idx}, "
-                    f"'{iso}', '{city}', {float(lat)}::DOUBLE, {float(lon)}::DOUBLE, {asn}::BIGINT, '{org}')")
-    return ("nets AS (SELECT v.*, nation.n_name AS country FROM (VALUES " + ", ".join(rows)
-            + ") v(network, prefix_len, lo, hi, idx, country_iso, city, latitude, longitude, asn, asn_org) "
-            "LEFT JOIN nation ON nation.n_nationkey = v.idx)")
-
-
-_LPM = _networks_values() + f""",
-ips AS (SELECT DISTINCT destination_ip AS ip FROM packets WHERE destination_ip IS NOT NULL),
+# The test networks with their first and last address in hexadecimal, written out.
+_NETS = """nets AS (SELECT v.*, nation.n_name AS country FROM (VALUES
+  ('203.0.113.0/24', 24, 'cb007100', 'cb0071ff', 0, 'US', 'Springfield', 39.78::DOUBLE, -89.65::DOUBLE, 64500::BIGINT, 'Example Transit'),
+  ('203.0.113.0/26', 26, 'cb007100', 'cb00713f', 1, 'DE', 'Musterstadt', 50.11, 8.68, 64501, 'Muster Hosting'),
+  ('203.0.113.32/27', 27, 'cb007120', 'cb00713f', 2, 'IR', 'Tehran', 35.69, 51.39, 64502, 'Persia Net'),
+  ('198.51.100.0/24', 24, 'c6336400', 'c63364ff', 3, 'GB', 'London', 51.51, -0.13, 64503, 'Albion Cloud'),
+  ('8.8.8.0/24', 24, '08080800', '080808ff', 4, 'US', 'Mountain View', 37.39, -122.08, 64504, 'Resolver Org'),
+  ('165.225.0.0/17', 17, 'a5e10000', 'a5e17fff', 5, 'CN', 'Shanghai', 31.23, 121.47, 64505, 'Edge Proxy'),
+  ('100.64.0.0/10', 10, '64400000', '647fffff', 6, 'NL', 'Amsterdam', 52.37, 4.90, 64506, 'Carrier NAT'),
+  ('10.1.0.0/16', 16, '0a010000', '0a01ffff', 7, 'FR', 'Paris', 48.86, 2.35, 64507, 'Campus LAN'),
+  ('9.9.9.0/24', 24, '09090900', '090909ff', 8, 'BR', 'Sao Paulo', -23.55, -46.63, 64508, 'Quad Resolver'),
+  ('192.0.2.0/24', 24, 'c0000200', 'c00002ff', 9, 'RU', 'Moscow', 55.76, 37.62, 64509, 'Doc Range'),
+  ('2001:db8::/32', 32, '20010db8000000000000000000000000', '20010db8ffffffffffffffffffffffff', 10, 'US', 'Sixville', 40.0, -90.0, 64510, 'Six Transit'),
+  ('2001:db8:cb00::/48', 48, '20010db8cb0000000000000000000000', '20010db8cb00ffffffffffffffffffff', 11, 'DE', 'Sechsdorf', 51.0, 9.0, 64511, 'Sechs Hosting'),
+  ('2001:db8:cb00:7100::/59', 59, '20010db8cb0071000000000000000000', '20010db8cb00711fffffffffffffffff', 12, 'IR', 'Shesh', 36.0, 52.0, 64512, 'Shesh Net'),
+  ('2001:db8:808::/47', 47, '20010db8080800000000000000000000', '20010db80809ffffffffffffffffffff', 13, 'GB', 'Sixford', 52.0, -1.0, 64513, 'Six Cloud')
+  ) v(network, prefix_len, lo, hi, idx, country_iso, city, latitude, longitude, asn, asn_org)
+  LEFT JOIN nation ON nation.n_nationkey = v.idx)"""
+
+
+def _octet(col: str, i: int) -> str:
+    return f"CAST(split_part({col}, '.', {i}) AS BIGINT)"
+
+
+def _hex4(col: str) -> str:
+    """The eight digits of an IPv4 address."""
+    return " || ".join(f"lpad(lower(to_hex({_octet(col, i)})), 2, '0')" for i in range(1, 5))
+
+
+_LPM = _NETS + f""",
+ips AS (
+  SELECT DISTINCT destination_ip AS ip, {_hex4('destination_ip')} AS h FROM packets WHERE destination_ip IS NOT NULL
+  UNION
+  SELECT '2001:db8:' || lower(to_hex({_octet('destination_ip', 1)} * 256 + {_octet('destination_ip', 2)})) || ':'
+      || lower(to_hex({_octet('destination_ip', 3)} * 256 + {_octet('destination_ip', 4)})) || '::1',
+    '20010db8' || {_hex4('destination_ip')} || '0000000000000001' FROM packets WHERE destination_ip IS NOT NULL),
 m AS (
   SELECT ips.ip, arg_max(struct_pack(country := nets.country, city := nets.city, latitude := nets.latitude,
       longitude := nets.longitude, asn := nets.asn, asn_org := nets.asn_org, country_iso := nets.country_iso),
       nets.prefix_len) AS n
-  FROM ips JOIN nets ON {v4('ips.ip')} BETWEEN nets.lo AND nets.hi GROUP BY ips.ip),
+  FROM ips JOIN nets ON length(ips.h) = length(nets.lo) AND ips.h BETWEEN nets.lo AND nets.hi GROUP BY ips.ip),
 lpm AS (SELECT ips.ip, m.n FROM ips LEFT JOIN m USING (ip))"""
 
 oracle("ip_geo", "WITH " + _LPM + """
@@ -246,11 +304,11 @@ SELECT lpm.ip, n.country AS country, n.city AS city, n.latitude AS latitude, n.l
   n.asn AS asn_number, n.asn_org AS asn_organization, rdns.rdns
 FROM lpm LEFT JOIN rdns USING (ip)""")
 
-_UNUSUAL = _networks_values() + f""",
+_UNUSUAL = _NETS + f""",
 ft AS {nested('flow_table')},
 ftc AS (
   SELECT ft.*, (SELECT arg_max(nets.country_iso, nets.prefix_len) FROM nets
-                WHERE {v4('ft.dest_ip')} BETWEEN nets.lo AND nets.hi) AS dest_country
+                WHERE length(nets.lo) = 8 AND {_hex4('ft.dest_ip')} BETWEEN nets.lo AND nets.hi) AS dest_country
   FROM ft),
 unusual AS (
   SELECT src_ip, dest_ip, src_port, dest_port, protocol, dest_country FROM ftc
@@ -312,32 +370,48 @@ SELECT {_service('fs.protocol', 'fs.dest_port', 'fs.sni_hostname', 'fs.http_host
   count(*) AS flow_count, sum(coalesce(bytes_total, 0))::BIGINT AS bytes
 FROM fs LEFT JOIN rdns ON rdns.ip = fs.dest_ip GROUP BY 1""")
 
-_ERR = f"""
-e AS {nested('rules_errors')},
-d AS (
-  SELECT e.flow_error_type AS error_type, e.flow_error_details AS error_detail, {_FLOW_KEY} AS id
-  FROM e JOIN packets USING (frame_number)
-  WHERE e.flow_error_type IS NOT NULL AND e.flow_error_details IS NOT NULL),
+# Flows tagged on their evidence: any RST, first fatal alert, first ICMP error, its sender, first
+# method and TLS version, any self-signed certificate.
+_FLOWS = _SIGNALS.split(""",
+sig AS""")[0].strip() + """,
+ev AS (
+  SELECT client_ip, server_ip, client_port, server_port, protocol, bool_or(rst) AS any_rst,
+    arg_min(tls_alert_message_description, frame_number) FILTER (WHERE tls_alert_level = 'fatal' AND tls_alert_message_description IS NOT NULL) AS fatal,
+    arg_min(struct_pack(t := icmp_type, c := icmp_code), frame_number) FILTER (WHERE upper(protocol) IN ('ICMP', 'ICMPV6') AND icmp_type IN (3, 11)) AS icmp,
+    arg_min(source_ip, frame_number) FILTER (WHERE rst OR (upper(protocol) IN ('ICMP', 'ICMPV6') AND icmp_type IN (3, 11))) AS sender,
+    arg_min(http_request_method, frame_number) FILTER (WHERE http_request_method IS NOT NULL) AS method,
+    arg_min(tls_effective_version, frame_number) FILTER (WHERE tls_effective_version IS NOT NULL) AS version,
+    bool_or(tls_cert_is_self_signed IS TRUE) AS self_signed
+  FROM op
+  WHERE client_ip IS NOT NULL AND server_ip IS NOT NULL AND client_port IS NOT NULL AND server_port IS NOT NULL AND protocol IS NOT NULL
+  GROUP BY client_ip, server_ip, client_port, server_port, protocol),
+tf AS (
+  SELECT *, client_ip || '|' || server_ip || '|' || client_port || '|' || server_port || '|' || protocol AS flow_id,
+    CASE WHEN protocol = 'TCP' AND any_rst THEN 'TCP_RESET'
+         WHEN fatal IS NOT NULL THEN 'TLS_FATAL_' || fatal
+         WHEN protocol IN ('ICMP', 'ICMPv6') AND icmp.t = 3 AND icmp.c = 1 THEN 'ICMP_DEST_UNREACHABLE_HOST' END AS error_type,
+    CASE WHEN protocol = 'TCP' AND any_rst THEN 'Source: ' || coalesce(sender, client_ip)
+         WHEN fatal IS NOT NULL THEN fatal
+         WHEN protocol IN ('ICMP', 'ICMPv6') AND icmp.t = 3 AND icmp.c = 1 THEN 'Source: ' || coalesce(sender, client_ip) END AS error_detail
+  FROM ev)"""
+
+_ERR = _FLOWS + """,
 summ AS (
-  SELECT c.error_type, c.error_detail, c.count, coalesce(s.ids, []::VARCHAR[]) AS sample_flow_ids FROM
-    (SELECT error_type, error_detail, count(*) AS count FROM d GROUP BY ALL) c
-  LEFT JOIN (SELECT error_type, error_detail, list_slice(list_sort(list(DISTINCT id)), 1, 3) AS ids
-             FROM d WHERE id IS NOT NULL GROUP BY ALL) s USING (error_type, error_detail))"""
+  SELECT error_type, error_detail, count(*) AS count, list_slice(list_sort(list(DISTINCT flow_id)), 1, 3) AS sample_flow_ids
+  FROM tf WHERE error_type IS NOT NULL AND error_detail IS NOT NULL GROUP BY error_type, error_detail)"""
 
 oracle("error_summary", "WITH " + _ERR + " SELECT * FROM summ")
 oracle("error_rows", "WITH " + _ERR + """
 SELECT error_type AS "Type", coalesce(error_detail, '') AS "Description", count AS "Count" FROM summ""")
 oracle("error_total", "WITH " + _ERR + " SELECT coalesce(sum(count), 0)::BIGINT AS total_errors FROM summ")
 
-_FIND = f"""
-fl AS {nested('rules_flags')},
+_FIND = _FLOWS + """,
 findings AS (
-  SELECT 'plaintext_http_flows' AS finding, '' AS detail, count(*) FILTER (WHERE security_flag_plaintext_http) AS flows FROM fl
+  SELECT 'plaintext_http_flows' AS finding, '' AS detail, count(*) FILTER (WHERE server_port = 80 AND method IS NOT NULL) AS flows FROM tf
   UNION ALL
-  SELECT 'self_signed_certificate_flows', '', count(*) FILTER (WHERE security_flag_self_signed_cert) FROM fl
+  SELECT 'self_signed_certificate_flows', '', count(*) FILTER (WHERE self_signed) FROM tf
   UNION ALL
-  SELECT 'outdated_tls_version_counts', security_flag_outdated_tls_version, count(*) FROM fl
-  WHERE security_flag_outdated_tls_version IS NOT NULL GROUP BY 2)"""
+  SELECT 'outdated_tls_version_counts', version, count(*) FROM tf WHERE version IN ('TLS 1.0', 'TLS 1.1') GROUP BY 2)"""
 
 oracle("security_findings", "WITH " + _FIND + " SELECT * FROM findings")
 oracle("security_total", "WITH " + _FIND + "," + _UNUSUAL + """
@@ -428,3 +502,54 @@ SELECT flow_id, client_ip, server_ip, client_port, server_port, protocol,
        ELSE flow_cause END AS flow_cause,
   icmp_error_count, tls_handshake_ok, first_alert_time, time_to_alert
 FROM x""")
+
+# ---- T4, and dispositions on input where every rule fires ------------------------------------------
+oracle("summary_sorted", f"""
+WITH fs AS {nested('flow_summary')}
+SELECT (row_number() OVER (ORDER BY start_time, src_ip, dest_ip, src_port, dest_port, protocol) - 1)::BIGINT AS place,
+  start_time, src_ip, dest_ip, src_port, dest_port, protocol FROM fs""")
+
+_HTTP = """hp AS (
+  SELECT * REPLACE (CASE WHEN http_request_method IS NOT NULL OR http_response_code IS NOT NULL THEN 'HTTP' ELSE protocol END AS protocol)
+  FROM packets)"""
+
+oracle("proxy_407", f"""
+WITH {_HTTP}
+SELECT frame_number, coalesce(protocol = 'HTTP' AND http_response_code = 407, false) AS is_proxy_407 FROM hp""")
+
+oracle("flow_disposition", f"WITH {_HTTP}," + _SIGNALS.replace("FROM packets", "FROM hp") + """,
+h AS (SELECT client_ip, server_ip, client_port, server_port, protocol, coalesce(bool_or(http_response_code = 407), false) AS is_407
+      FROM op GROUP BY client_ip, server_ip, client_port, server_port, protocol)
+SELECT f.client_ip, f.server_ip, f.client_port, f.server_port, f.protocol,
+  CASE WHEN handshake_complete AND data_both THEN 'Allowed' WHEN rst_after_syn THEN 'Blocked' WHEN icmp_error THEN 'Degraded'
+       WHEN f.protocol = 'HTTP' AND is_407 THEN 'Blocked' ELSE 'Unknown' END AS flow_disposition,
+  CASE WHEN handshake_complete AND data_both THEN 'Completed TCP session with data exchange'
+       WHEN rst_after_syn THEN 'TCP RST from destination after SYN'
+       WHEN icmp_error THEN 'ICMP Destination Unreachable/Time Exceeded in flow'
+       WHEN f.protocol = 'HTTP' AND is_407 THEN 'Proxy Authentication Failed' ELSE 'Undetermined' END AS flow_cause
+FROM flows f JOIN h USING (client_ip, server_ip, client_port, server_port, protocol)""")
+
+# ---- several captures in one table: each report, computed on each capture by itself -----------------
+
+
+def _one_capture(name: str, rows: str) -> str:
+    body = RAW[name]
+    rest = "," + body[5:] if body.upper().startswith("WITH ") else body
+    return f"(WITH packets AS ({rows}){rest if rest.startswith(',') else ' ' + rest})"
+
+
+for _name in ("capture_info", "top_ports", "timeline_spikes", "spike_top_flows", "top_by_bytes", "performance_summary", "rtt_stats",
+              "error_summary", "error_total", "security_findings", "plaintext_flows", "rule_features", "tcp_heuristics"):
+    oracle(f"{_name}_by_capture", f"""
+WITH every AS (SELECT * FROM packets)
+SELECT 'a' AS capture_id, * FROM {_one_capture(_name, "SELECT * FROM every")}
+UNION ALL
+SELECT 'b' AS capture_id, * FROM {_one_capture(_name, "SELECT * REPLACE (packet_length + frame_number % 7 AS packet_length) FROM every WHERE frame_number % 40 < 30")}""")
+
+# ---- conformed input --------------------------------------------------------------------------------
+oracle("conformed_tag_flows", RAW["tag_flows"])
+
+oracle("conformed_retransmissions", f"""
+WITH h AS {nested('tcp_heuristics')}
+SELECT frame_number, CASE frame_number % 50 WHEN 3 THEN true WHEN 4 THEN false ELSE heuristic_retransmission END AS heuristic_retransmission
+FROM h""")

@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import packets, table
+from ..fixtures import addresses, http_packets, networks, packets, table, two_captures
 from ..functions import classify as cl
 from ..functions.decode import decode_names
 from ..functions.net import anonymize_ip, vendor_ip_flags
 from ..functions.normalize import fill_int_columns
 from ..operators import dns, enrich, metrics, ordered
 from ..operators import flow_table as ft
+from ..operators import disposition as disp
 from ..operators.disposition import tag_flows
-from ..operators.features import rule_features
+from ..operators.features import rule_features, tagged_flows
+from ..operators.flows import flow_facts, signals_from_facts
+from ..operators.ids import dense_id
+from ..operators.joins import spike_top_flows
 from ..operators.orient import flow_key
 from ..rules import default_rules, tag
 from ..schema import FLOW_KEY
-from ..sources.io import slice_frames
+from ..sources.io import conform, slice_frames
 from .queries_rules import rule_input
 from .registry import query
 
@@ -79,18 +83,14 @@ def q_l7_guess(spark: SparkSession, sf: str) -> DataFrame:
 @query("service_guess")
 def q_service_guess(spark: SparkSession, sf: str) -> DataFrame:
     p = packets(spark, sf)
-    rd = enrich.passive_rdns(p).select(F.col("ip").alias("destination_ip"), "rdns")
-    j = p.join(rd, "destination_ip", "left")
-    svc = cl.guess_service(F.col("protocol"), F.col("destination_port"), sni=F.col("sni"),
-                           http_host=F.col("http_request_host_header"), rdns=F.col("rdns"), is_quic=F.col("is_quic"))
-    return j.select("frame_number", svc.alias("service"))
+    return metrics.with_service(p, enrich.passive_rdns(p)).select("frame_number", "service")
 
 
 @query("anonymize_ip")
 def q_anonymize_ip(spark: SparkSession, sf: str) -> DataFrame:
     p = packets(spark, sf)
-    return p.select("frame_number", anonymize_ip(F.col("source_ip")).alias("source_network"),
-                    anonymize_ip(F.col("destination_ip")).alias("destination_network"))
+    return p.select("frame_number", anonymize_ip(F.col("source_ip"), on_invalid="null").alias("source_network"),
+                    anonymize_ip(F.col("destination_ip"), on_invalid="null").alias("destination_network"))
 
 
 @query("retrans_severity")
@@ -154,22 +154,14 @@ def q_dns_sni_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return dns.dns_sni_checks(packets(spark, sf))
 
 
-def _networks(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.networks_table(spark, table(spark, sf, "nation"))
-
-
-def _dest_ips(spark: SparkSession, sf: str) -> DataFrame:
-    return packets(spark, sf).select(F.col("destination_ip").alias("ip"))
-
-
 @query("ip_geo")
 def q_ip_geo(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.ip_geo(_dest_ips(spark, sf), _networks(spark, sf))
+    return enrich.ip_geo(addresses(spark, sf), networks(spark, sf))
 
 
 @query("ip_asn")
 def q_ip_asn(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.ip_asn(_dest_ips(spark, sf), _networks(spark, sf))
+    return enrich.ip_asn(addresses(spark, sf), networks(spark, sf))
 
 
 @query("ip_rdns")
@@ -180,21 +172,14 @@ def q_ip_rdns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("enrich_ips")
 def q_enrich_ips(spark: SparkSession, sf: str) -> DataFrame:
-    p = packets(spark, sf)
-    return enrich.enrich_ips(p.select(F.col("destination_ip").alias("ip")), _networks(spark, sf),
-                             enrich.passive_rdns(p))
+    return enrich.enrich_ips(addresses(spark, sf), networks(spark, sf), enrich.passive_rdns(packets(spark, sf)))
 
 
 @query("spike_top_flows")
 def q_spike_top_flows(spark: SparkSession, sf: str) -> DataFrame:
     p = packets(spark, sf)
     sp = metrics.spikes(metrics.timeline(p))
-    return metrics_spike_flows(sp, ft.flow_table(p))
-
-
-def metrics_spike_flows(spikes_df: DataFrame, flows: DataFrame, n: int = 5) -> DataFrame:
-    from ..operators.joins import spike_top_flows
-    return spike_top_flows(spikes_df, flows, TABLE_KEY, n)
+    return spike_top_flows(sp, ft.flow_table(p), TABLE_KEY)
 
 
 # ---- aggregations ------------------------------------------------------------------------------
@@ -246,34 +231,29 @@ def q_service_overview(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.service_overview(_summary(spark, sf), rdns=enrich.passive_rdns(p))
 
 
-def tagged_packets(spark: SparkSession, sf: str) -> DataFrame:
-    t = tag(rule_input(spark, sf), default_rules())
-    return t.withColumn("flow_id", flow_key(t))
-
-
 @query("error_summary")
 def q_error_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_summary(tagged_packets(spark, sf))
+    return metrics.error_summary(tagged_flows(packets(spark, sf)))
 
 
 @query("error_rows")
 def q_error_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_rows(metrics.error_summary(tagged_packets(spark, sf)))
+    return metrics.error_rows(metrics.error_summary(tagged_flows(packets(spark, sf))))
 
 
 @query("error_total")
 def q_error_total(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.error_total(metrics.error_summary(tagged_packets(spark, sf)))
+    return metrics.error_total(metrics.error_summary(tagged_flows(packets(spark, sf))))
 
 
 @query("security_findings")
 def q_security_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.security_findings(tagged_packets(spark, sf))
+    return metrics.security_findings(tagged_flows(packets(spark, sf)))
 
 
 def _unusual(spark: SparkSession, sf: str) -> DataFrame:
     f = ft.flow_table(packets(spark, sf))
-    f = enrich.with_dest_country(f, _networks(spark, sf), "dest_ip")
+    f = enrich.with_dest_country(f, networks(spark, sf), "dest_ip")
     return f.where("is_unusual_country").select(*TABLE_KEY, "dest_country")
 
 
@@ -284,7 +264,7 @@ def q_unusual_countries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("security_total")
 def q_security_total(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.security_total(metrics.security_findings(tagged_packets(spark, sf)), _unusual(spark, sf))
+    return metrics.security_total(metrics.security_findings(tagged_flows(packets(spark, sf))), _unusual(spark, sf))
 
 
 @query("plaintext_flows")
@@ -326,3 +306,73 @@ def q_top_by_packets(spark: SparkSession, sf: str) -> DataFrame:
 def q_top_flows(spark: SparkSession, sf: str) -> DataFrame:
     t = metrics.top_flows(_summary(spark, sf), TABLE_KEY)
     return t.select(*TABLE_KEY, "flow_disposition", "security_observations", "bytes_total", "score")
+
+
+@query("summary_sorted")
+def q_summary_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: the summary with each row's place in start-time order."""
+    order = ["start_time", *TABLE_KEY]
+    return dense_id(_summary(spark, sf), order, name="place").select("place", *order)
+
+
+# ---- dispositions on input where every rule fires ------------------------------------------------
+
+@query("proxy_407")
+def q_proxy_407(spark: SparkSession, sf: str) -> DataFrame:
+    p = http_packets(spark, sf)
+    return p.select("frame_number", disp.proxy_407(p).alias("is_proxy_407"))
+
+
+@query("flow_disposition")
+def q_flow_disposition(spark: SparkSession, sf: str) -> DataFrame:
+    flows = signals_from_facts(flow_facts(http_packets(spark, sf)), extra=["_any_407"])
+    flows = flows.withColumn("http_status", F.when(F.col("_any_407"), F.lit(407)))
+    return disp.flow_disposition(flows).select(*FLOW_KEY, "flow_disposition", "flow_cause")
+
+
+# ---- several captures in one table: nothing may mix ------------------------------------------------
+
+CAPTURE = ["capture_id"]
+
+
+def _performance(p: DataFrame) -> DataFrame:
+    return metrics.performance_summary(ordered.handshake_rtt(p, CAPTURE), ordered.tls_time_to_alert(p, CAPTURE),
+                                       ordered.retransmissions(p, CAPTURE), p, CAPTURE)
+
+
+BY_CAPTURE = {
+    "capture_info": lambda p: metrics.capture_info(p, CAPTURE),
+    "top_ports": lambda p: metrics.top_ports(p, keys=CAPTURE),
+    "timeline_spikes": lambda p: metrics.spikes(metrics.timeline(p, CAPTURE), keys=CAPTURE),
+    "spike_top_flows": lambda p: spike_top_flows(metrics.spikes(metrics.timeline(p, CAPTURE), keys=CAPTURE),
+                                                 ft.flow_table(p, CAPTURE), TABLE_KEY, keys=CAPTURE),
+    "top_by_bytes": lambda p: metrics.top_by(ft.flow_table(p, CAPTURE), "bytes_total", TABLE_KEY, keys=CAPTURE),
+    "performance_summary": _performance,
+    "rtt_stats": lambda p: metrics.rtt_stats(ordered.handshake_rtt(p, CAPTURE), keys=CAPTURE),
+    "error_summary": lambda p: metrics.error_summary(tagged_flows(p, keys=CAPTURE), keys=CAPTURE),
+    "error_total": lambda p: metrics.error_total(metrics.error_summary(tagged_flows(p, keys=CAPTURE), keys=CAPTURE), CAPTURE),
+    "security_findings": lambda p: metrics.security_findings(tagged_flows(p, keys=CAPTURE), CAPTURE),
+    "plaintext_flows": lambda p: metrics.plaintext_flows(p, CAPTURE),
+    "rule_features": lambda p: rule_features(p, CAPTURE),
+    "tcp_heuristics": lambda p: ordered.tcp_heuristics(p, CAPTURE),
+}
+
+for _name, _report in BY_CAPTURE.items():
+    query(f"{_name}_by_capture")(lambda spark, sf, report=_report: report(two_captures(spark, sf)))
+
+
+@query("conformed_tag_flows")
+def q_conformed_tag_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship on a table conformed to the whole packet schema, with the direction in the
+    parser's column only."""
+    p = packets(spark, sf).withColumnRenamed("is_source_client", "is_src_client").drop("dns_response_addresses_csv")
+    return tag_flows(conform(p, fill=True))
+
+
+@query("conformed_retransmissions")
+def q_conformed_retransmissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Retransmissions of a conformed table: the dissector's flags on some packets, W1 on the rest."""
+    p = packets(spark, sf)
+    p = p.withColumn("tcp_analysis_retransmission_flags", F.expr(
+        "CASE frame_number % 50 WHEN 3 THEN array('retransmission') WHEN 4 THEN cast(array() AS array<string>) END"))
+    return ordered.retransmissions(conform(p, fill=True))

@@ -19,7 +19,10 @@ def rule_input(spark: SparkSession, sf: str) -> DataFrame:
     packet error reason."""
     p = packets(spark, sf)
     p = vendor_ip_flags(p).withColumn("dns_response_addresses", F.split("dns_response_addresses_csv", ","))
-    return p.withColumn("packet_error_reason", packet_error_reason(p))
+    p = p.withColumn("packet_error_reason", packet_error_reason(p))
+    # The row count keeps the view's wide projection and the rule pack's in stages of their own: as
+    # one, their generated code exceeds the JVM's method size and Spark falls back to interpreting.
+    return p.observe("rule_input", F.count(F.lit(1)).alias("rows"))
 
 
 def _one(rules: list[dict], default="DEFAULT") -> dict:

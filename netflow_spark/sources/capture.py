@@ -1,12 +1,11 @@
 """Capture-file ingest.
 
-``spark.read.format("capture")`` is a Python data source with one input partition per
-capture file; ``read_capture_frames_split`` adds an index pass (headers only, one task per
-file) that cuts large files into record-aligned byte ranges read in parallel. Readers stream
-records with a buffered file handle — a file is never loaded whole, and the only per-record
-Python is the record framing. Header decoding
-(Ethernet / VLAN / IPv4 / IPv6 / TCP / UDP / ICMP and the packet an ICMP error quotes) is done
-afterwards with native column expressions on the ``data`` bytes.
+``read_capture_frames`` runs an index pass (headers only, one task per file) that cuts large files
+into record-aligned byte ranges, read in parallel; ``spark.read.format("capture")`` is a Python data
+source with one input partition per file. Both stream records, and the only per-record Python is the
+record framing. Header decoding (Ethernet, VLAN, raw IP, loopback, Linux cooked, IPv4, IPv6 with
+extension headers, TCP, UDP, ICMP and the packet an ICMP error quotes) is done afterwards with native
+column expressions on the ``data`` bytes. Broken and unknown files raise, unless asked to be skipped.
 
 Supported containers: classic pcap (both byte orders, micro- and nanosecond stamps) and
 pcapng (section, interface, enhanced and simple packet blocks).
@@ -15,6 +14,8 @@ pcapng (section, interface, enhanced and simple packet blocks).
 from __future__ import annotations
 
 import glob
+import io
+import json
 import os
 import struct
 
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.net import let
+
 # Accepted capture magic numbers (first four bytes of the file).
 MAGIC_PCAP_LE = "d4c3b2a1"
 MAGIC_PCAP_BE = "a1b2c3d4"
@@ -46,27 +49,42 @@ class _FilePartition(InputPartition):
         self.path = path
 
 
-def _read_pcap(fh, path, magic):
-    little = magic in (MAGIC_PCAP_LE, MAGIC_PCAP_NS_LE)
-    nano = magic in (MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE)
-    e = "<" if little else ">"
-    hdr = fh.read(20)
-    if len(hdr) < 20:
-        return
-    linktype = struct.unpack(e + "HHiIII", hdr)[5] & 0x0FFFFFFF
-    div = 1e9 if nano else 1e6
-    n = 0
+# ---- reading -----------------------------------------------------------------------------------
+
+class CaptureError(ValueError):
+    """A file that is no capture, or a capture that breaks off inside a record."""
+
+
+def _exactly(fh, n: int, path: str, what: str) -> bytes:
+    data = fh.read(n)
+    if len(data) < n:
+        raise CaptureError(f"{path}: ends inside {what}")
+    return data
+
+
+def _pcap_header(fh, path: str) -> tuple[str, float, int]:
+    """(byte order, time units per second, link type) of a classic capture; the magic is still to be read."""
+    magic = _exactly(fh, 4, path, "the file header").hex()
+    if magic not in (MAGIC_PCAP_LE, MAGIC_PCAP_BE, MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE):
+        raise CaptureError(f"{path}: not a capture file (it starts with {magic or 'nothing'})")
+    e = "<" if magic in (MAGIC_PCAP_LE, MAGIC_PCAP_NS_LE) else ">"
+    fields = struct.unpack(e + "HHiIII", _exactly(fh, 20, path, "the file header"))
+    return e, 1e9 if magic in (MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE) else 1e6, fields[5] & 0x0FFFFFFF
+
+
+def _pcap_records(fh, path: str, e: str, units: float, link: int, end: int | None, number: int):
+    """Records from where ``fh`` stands up to the byte ``end`` (None: to the end of the file)."""
     rec = struct.Struct(e + "IIII")
-    while True:
-        h = fh.read(16)
-        if len(h) < 16:
-            return
-        sec, frac, incl, orig = rec.unpack(h)
-        data = fh.read(incl)
-        if len(data) < incl:
+    while end is None or fh.tell() < end:
+        head = fh.read(16)
+        if not head and end is None:
             return
-        n += 1
-        yield (path, n, sec + frac / div, incl, orig, linktype, data)
+        if len(head) < 16:
+            raise CaptureError(f"{path}: ends inside a record header")
+        sec, frac, incl, orig = rec.unpack(head)
+        data = _exactly(fh, incl, path, "a record")
+        number += 1
+        yield (path, number, sec + frac / units, incl, orig, link, data)
 
 
 def _parse_idb(body: bytes, e: str) -> tuple[int, float]:
@@ -84,58 +102,81 @@ def _parse_idb(body: bytes, e: str) -> tuple[int, float]:
     return linktype, resol
 
 
-def _read_pcapng(fh, path):
-    e = "<"
-    links: list[tuple[int, float]] = []
-    n = 0
-    while True:
-        h = fh.read(8)
-        if len(h) < 8:
+_SECTION = b"\x0a\x0d\x0d\x0a"
+
+
+def _pcapng_blocks(fh, path: str, e: str, end: int | None, skim: bool = False):
+    """(position, block type, byte order, body) of each block; a section header sets the byte order.
+    ``skim``: step over the bodies of packet blocks."""
+    while end is None or fh.tell() < end:
+        at = fh.tell()
+        head = fh.read(8)
+        if not head and end is None:
             return
-        btype_raw = h[:4]
-        if btype_raw == b"\x0a\x0d\x0d\x0a":  # section header: byte order from its magic
-            blen_le = struct.unpack("<I", h[4:8])[0]
-            body = fh.read(4)
-            e = "<" if body == b"\x4d\x3c\x2b\x1a" else ">"
-            blen = struct.unpack(e + "I", h[4:8])[0] if e == ">" else blen_le
-            fh.read(blen - 12)
-            links = []
+        if len(head) < 8:
+            raise CaptureError(f"{path}: ends inside a block header")
+        first = b""
+        if head[:4] == _SECTION:
+            first = _exactly(fh, 4, path, "a section header")
+            e = "<" if first == b"\x4d\x3c\x2b\x1a" else ">"
+        btype, size = struct.unpack(e + "II", head)
+        if size < 12 + len(first):
+            raise CaptureError(f"{path}: a block of {size} bytes")
+        if skim and btype in (3, 6) and not first:
+            fh.seek(at + size)
+            yield at, btype, e, b""
             continue
-        btype, blen = struct.unpack(e + "II", h)
-        body = fh.read(blen - 8)
-        if len(body) < blen - 8:
-            return
-        if btype == 1:  # interface description: link type and timestamp resolution
+        yield at, (0x0A0D0D0A if first else btype), e, first + _exactly(fh, size - 8 - len(first), path, "a block")
+
+
+def _pcapng_records(fh, path: str, e: str, links: list, end: int | None, number: int):
+    for _, btype, e, body in _pcapng_blocks(fh, path, e, end):
+        if btype == 0x0A0D0D0A:
+            links = []
+        elif btype == 1:
             links.append(_parse_idb(body, e))
         elif btype == 6:  # enhanced packet
             iface, hi, lo, incl, orig = struct.unpack(e + "IIIII", body[:20])
-            lt, resol = links[iface] if iface < len(links) else (1, 1e6)
-            n += 1
-            yield (path, n, ((hi << 32) | lo) / resol, incl, orig, lt, body[20:20 + incl])
+            link, resol = links[iface] if iface < len(links) else (1, 1e6)
+            number += 1
+            yield (path, number, ((hi << 32) | lo) / resol, incl, orig, link, body[20:20 + incl])
         elif btype == 3:  # simple packet
             orig = struct.unpack(e + "I", body[:4])[0]
-            lt = links[0][0] if links else 1
             data = body[4:4 + min(orig, len(body) - 8)]
-            n += 1
-            yield (path, n, None, len(data), orig, lt, data)
+            number += 1
+            yield (path, number, None, len(data), orig, links[0][0] if links else 1, data)
+
+
+def _read_stream(fh, path: str):
+    """All records of one capture, from a seekable stream."""
+    start = fh.read(4)
+    fh.seek(0)
+    if start == _SECTION:
+        yield from _pcapng_records(fh, path, "<", [], None, 0)
+    else:
+        e, units, link = _pcap_header(fh, path)
+        yield from _pcap_records(fh, path, e, units, link, None, 0)
+
+
+def _guarded(records, on_bad: str):
+    """``records``; with ``on_bad`` "skip" what can be read of a broken file, else its error."""
+    try:
+        yield from records
+    except CaptureError:
+        if on_bad != "skip":
+            raise
 
 
 class _CaptureReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, on_bad: str):
+        self.path, self.on_bad = path, on_bad
 
     def partitions(self):
         return [_FilePartition(p) for p in _files(self.path)]
 
     def read(self, partition):
-        path = partition.path
-        with open(path, "rb", buffering=1 << 20) as fh:
-            magic = fh.read(4).hex()
-            if magic in (MAGIC_PCAP_LE, MAGIC_PCAP_BE, MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE):
-                yield from _read_pcap(fh, path, magic)
-            elif magic == MAGIC_PCAPNG:
-                fh.seek(0)
-                yield from _read_pcapng(fh, path)
+        with open(partition.path, "rb", buffering=1 << 20) as fh:
+            yield from _guarded(_read_stream(fh, partition.path), self.on_bad)
 
 
 class CaptureDataSource(DataSource):
@@ -149,7 +190,7 @@ class CaptureDataSource(DataSource):
         return FRAME_SCHEMA
 
     def reader(self, schema):
-        return _CaptureReader(self.options.get("path", ""))
+        return _CaptureReader(self.options.get("path", ""), self.options.get("on_bad", "raise"))
 
 
 class _MagicReader(DataSourceReader):
@@ -192,221 +233,259 @@ def valid_captures(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- native header decoding ---------------------------------------------------------------------
 
+# Link types (pcap registry) and how their link-layer header is laid out: bytes before
+# the network layer, and where the 16-bit protocol type stands (1-based; None: none, the IP version tells).
+LINK_LAYERS = {
+    0: (4, None),       # BSD loopback
+    1: (14, 13),        # Ethernet
+    12: (0, None),      # raw IP
+    14: (0, None),      # raw IP
+    101: (0, None),     # raw IP
+    108: (4, None),     # OpenBSD loopback
+    113: (16, 15),      # Linux cooked
+    228: (0, None),     # raw IPv4
+    229: (0, None),     # raw IPv6
+    276: (20, 1),       # Linux cooked, version 2
+}
+_ETH = 1
+_IPV6_EXTENSIONS = (0, 43, 60, 135)   # hop-by-hop, routing, destination options, mobility
+_IPV6_FRAGMENT, _IPV6_AUTH = 44, 51
+_MAX_EXTENSIONS = 16
+
+
 def _u(data: Column, pos: Column | int, n: int) -> Column:
-    """Unsigned big-endian integer of ``n`` bytes at 1-based ``pos``."""
+    """Unsigned big-endian integer of ``n`` bytes at 1-based ``pos``; null where the frame is shorter."""
     p = pos if isinstance(pos, Column) else F.lit(pos)
-    return F.conv(F.hex(F.substring(data, p, F.lit(n))), 16, 10).cast("long")
+    return F.when(F.length(data) >= p + (n - 1), F.conv(F.hex(F.substring(data, p, F.lit(n))), 16, 10).cast("long"))
 
 
 def _ipv4(data: Column, pos: Column) -> Column:
-    return F.concat_ws(".", *[_u(data, pos + i, 1).cast("string") for i in range(4)])
+    parts = [_u(data, pos + i, 1).cast("string") for i in range(4)]
+    return F.concat(parts[0], F.lit("."), parts[1], F.lit("."), parts[2], F.lit("."), parts[3])
+
+
+def ipv6_text(digits: Column) -> Column:
+    """Canonical text of an address given as 32 hexadecimal digits: lower case, no leading zeros, the
+    first of the longest runs of two or more zero groups as ``::``."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.conv(F.substring(digits, i * 4 + 1, F.lit(4)), 16, 16)))
+    plain = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+
+    def squeeze(t: Column) -> Column:
+        out = F.substring(t, F.lit(2), F.length(t) - 2)
+        for run in range(2, 9):  # the longest run is tried last, so it is what counts
+            zeros = ":0" * run + ":"
+            at = F.instr(t, zeros)
+            head = F.substring(t, F.lit(2), F.greatest(at - 2, F.lit(0)))
+            tail = F.substring(t, at + len(zeros), F.greatest(F.length(t) - at - len(zeros), F.lit(0)))
+            out = F.when(at > 0, F.concat(head, F.lit("::"), tail)).otherwise(out)
+        return out
+    return let(plain, squeeze)
 
 
 def _ipv6(data: Column, pos: Column) -> Column:
-    return F.concat_ws(":", *[F.lower(F.conv(F.hex(F.substring(data, pos + 2 * i, F.lit(2))), 16, 16))
-                              for i in range(8)])
+    return F.when(F.length(data) >= pos + 15, ipv6_text(F.hex(F.substring(data, pos, F.lit(16)))))
+
+
+def _past_extensions(data: Column, first: Column, pos: Column) -> Column:
+    """struct(proto, pos, fragment) behind the IPv6 extension headers: the upper protocol, where its
+    header starts, and whether the frame is a later fragment (which holds no such header)."""
+    start = F.struct(first.alias("proto"), pos.cast("int").alias("pos"), F.lit(False).alias("fragment"))
+
+    def step(s: Column, _: Column) -> Column:
+        nxt, size = _u(data, s["pos"], 1), _u(data, s["pos"] + 1, 1)
+        plain = s["proto"].isin(*_IPV6_EXTENSIONS)
+        frag, auth = s["proto"] == _IPV6_FRAGMENT, s["proto"] == _IPV6_AUTH
+        later = F.coalesce(_u(data, s["pos"] + 2, 2).bitwiseAND(F.lit(0xFFF8)) != 0, F.lit(False))
+        jump = F.when(frag, F.lit(8)).when(auth, (size + 2) * 4).otherwise((size + 1) * 8)
+        moved = F.struct(nxt.alias("proto"), (s["pos"] + jump).cast("int").alias("pos"), (s["fragment"] | (frag & later)).alias("fragment"))
+        return F.when((plain | frag | auth) & nxt.isNotNull() & ~s["fragment"], moved).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_MAX_EXTENSIONS)), start, step)
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
-    """L2–L4 fixed headers → packet columns (Ethernet with one optional 802.1Q tag)."""
+    """L2–L4 fixed headers → packet columns. Ethernet (with 802.1Q and 802.1ad tags), raw IP, loopback
+    and Linux cooked frames; frames of other link types keep only number, time and lengths. Fields
+    that a short frame or a later fragment does not hold are null."""
     d = F.col("data")
-    eth = frames.withColumns({
-        "source_mac": F.lower(F.regexp_replace(F.hex(F.substring(d, 7, 6)), "(..)(?!$)", "$1:")),
-        "destination_mac": F.lower(F.regexp_replace(F.hex(F.substring(d, 1, 6)), "(..)(?!$)", "$1:")),
-        "_et0": _u(d, 13, 2),
+    eth = F.col("linktype") == _ETH
+    skip, kind = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for link, (size, at) in LINK_LAYERS.items():
+        skip = F.when(F.col("linktype") == link, F.lit(size)).otherwise(skip)
+        if at is not None:
+            kind = F.when(F.col("linktype") == link, F.lit(at)).otherwise(kind)
+    mac = "(..)(?!$)"
+    out = frames.withColumns({
+        "source_mac": F.when(eth & (F.length(d) >= 12), F.lower(F.regexp_replace(F.hex(F.substring(d, 7, 6)), mac, "$1:"))),
+        "destination_mac": F.when(eth & (F.length(d) >= 6), F.lower(F.regexp_replace(F.hex(F.substring(d, 1, 6)), mac, "$1:"))),
+        "_kind": kind, "_l3": skip + 1,
     })
-    vlan = F.col("_et0") == 0x8100
-    eth = eth.withColumns({"_et": F.when(vlan, _u(d, 17, 2)).otherwise(F.col("_et0")),
-                           "_l3": F.when(vlan, F.lit(19)).otherwise(F.lit(15))})
+    tagged = F.lit(False)
+    for _ in range(2):  # one or two VLAN tags of four bytes
+        tagged = eth & F.coalesce(_u(d, F.col("_kind"), 2).isin(0x8100, 0x88A8), F.lit(False))
+        out = out.withColumns({"_kind": F.when(tagged, F.col("_kind") + 4).otherwise(F.col("_kind")),
+                               "_l3": F.when(tagged, F.col("_l3") + 4).otherwise(F.col("_l3"))})
     l3 = F.col("_l3")
-    v4 = F.col("_et") == 0x0800
-    v6 = F.col("_et") == 0x86DD
-    ihl = F.when(v4, F.col("_b0").bitwiseAND(F.lit(15)) * 4)
-    ip = eth.withColumn("_b0", _u(d, l3, 1)).withColumns({
+    version = F.shiftright(_u(d, l3, 1), 4)
+    told = F.when(version == 4, F.lit(0x0800)).when(version == 6, F.lit(0x86DD))
+    out = out.withColumn("_et", F.when(F.col("_kind").isNotNull(), _u(d, F.col("_kind"), 2)).otherwise(told))
+    v4, v6 = F.col("_et") == 0x0800, F.col("_et") == 0x86DD
+    out = out.withColumns({
         "protocol_l3": F.when(v4, F.lit("IPv4")).when(v6, F.lit("IPv6")).when(F.col("_et") == 0x0806, F.lit("ARP")),
-        "_ihl": ihl,
-        "_proto": F.when(v4, _u(d, l3 + 9, 1)).when(v6, _u(d, l3 + 6, 1)),
+        "_ihl": F.when(v4, _u(d, l3, 1).bitwiseAND(F.lit(15)) * 4),
+        "_next": F.when(v6, _past_extensions(d, _u(d, l3 + 6, 1), l3 + 40)),
         "source_ip": F.when(v4, _ipv4(d, l3 + 12)).when(v6, _ipv6(d, l3 + 8)),
         "destination_ip": F.when(v4, _ipv4(d, l3 + 16)).when(v6, _ipv6(d, l3 + 24)),
         "ip_ttl": F.when(v4, _u(d, l3 + 8, 1)).when(v6, _u(d, l3 + 7, 1)),
         "ip_id": F.when(v4, _u(d, l3 + 4, 2)),
         "ip_flags_df": F.when(v4, _u(d, l3 + 6, 1).bitwiseAND(F.lit(0x40)) != 0),
-        "_ip_len": F.when(v4, _u(d, l3 + 2, 2)).when(v6, _u(d, l3 + 4, 2) + 40),
     })
-    l4 = F.when(F.col("_et") == 0x0800, l3 + F.col("_ihl")).otherwise(l3 + 40)
-    proto_name = (F.when(F.col("_proto") == 6, F.lit("TCP")).when(F.col("_proto") == 17, F.lit("UDP"))
-                  .when(v4 & (F.col("_proto") == 1), F.lit("ICMP")).when(v6 & (F.col("_proto") == 58), F.lit("ICMPv6"))
-                  .when(F.col("_proto") == 47, F.lit("GRE")).when(F.col("_proto") == 50, F.lit("ESP"))
-                  .otherwise(F.col("_proto").cast("string")))
-    out = ip.withColumns({"_l4": l4, "protocol": proto_name})
-    L4 = F.col("_l4")
-    tcp, udp = F.col("protocol") == "TCP", F.col("protocol") == "UDP"
-    icmp = F.col("protocol").isin("ICMP", "ICMPv6")
-    fl = _u(d, L4 + 13, 1)
-    thl = F.shiftright(_u(d, L4 + 12, 1), 4) * 4
+    later = F.when(v4, _u(d, l3 + 6, 2).bitwiseAND(F.lit(0x1FFF)) != 0).otherwise(F.col("_next.fragment"))
+    out = out.withColumns({
+        "_proto": F.when(v4, _u(d, l3 + 9, 1)).when(v6, F.col("_next.proto")),
+        # a later fragment holds payload where the first one has its L4 header
+        "_l4": F.when(F.coalesce(later, F.lit(True)), F.lit(None)).when(v4, l3 + F.col("_ihl")).when(v6, F.col("_next.pos")).cast("int"),
+        "_end": F.when(v4, l3 + _u(d, l3 + 2, 2)).when(v6, l3 + 40 + _u(d, l3 + 4, 2)),
+    })
+    proto = F.col("_proto")
+    out = out.withColumn("protocol", F.when(proto == 6, F.lit("TCP")).when(proto == 17, F.lit("UDP"))
+                         .when(v4 & (proto == 1), F.lit("ICMP")).when(v6 & (proto == 58), F.lit("ICMPv6"))
+                         .when(proto == 47, F.lit("GRE")).when(proto == 50, F.lit("ESP")).otherwise(proto.cast("string")))
+    l4 = F.col("_l4")
+    tcp, udp, icmp = F.col("protocol") == "TCP", F.col("protocol") == "UDP", F.col("protocol").isin("ICMP", "ICMPv6")
+    flags = _u(d, l4 + 13, 1)
 
     def bit(m):
-        return F.when(tcp, fl.bitwiseAND(F.lit(m)) != 0)
+        return F.when(tcp, flags.bitwiseAND(F.lit(m)) != 0)
     out = out.withColumns({
-        "source_port": F.when(tcp | udp, _u(d, L4, 2)),
-        "destination_port": F.when(tcp | udp, _u(d, L4 + 2, 2)),
-        "tcp_sequence_number": F.when(tcp, _u(d, L4 + 4, 4)),
-        "tcp_acknowledgment_number": F.when(tcp, _u(d, L4 + 8, 4)),
+        "source_port": F.when(tcp | udp, _u(d, l4, 2)),
+        "destination_port": F.when(tcp | udp, _u(d, l4 + 2, 2)),
+        "tcp_sequence_number": F.when(tcp, _u(d, l4 + 4, 4)),
+        "tcp_acknowledgment_number": F.when(tcp, _u(d, l4 + 8, 4)),
         "tcp_flags_fin": bit(0x01), "tcp_flags_syn": bit(0x02), "tcp_flags_rst": bit(0x04),
         "tcp_flags_psh": bit(0x08), "tcp_flags_ack": bit(0x10), "tcp_flags_urg": bit(0x20),
         "tcp_flags_ece": bit(0x40), "tcp_flags_cwr": bit(0x80),
-        "tcp_window_size": F.when(tcp, _u(d, L4 + 14, 2)),
-        "tcp_payload_length": F.when(tcp, F.col("_ip_len") - F.when(v4, F.col("_ihl")).otherwise(F.lit(40)) - thl),
-        "icmp_type": F.when(icmp, _u(d, L4, 1)),
-        "icmp_code": F.when(icmp, _u(d, L4 + 1, 1)),
+        "tcp_window_size": F.when(tcp, _u(d, l4 + 14, 2)),
+        "tcp_payload_length": F.when(tcp, F.col("_end") - l4 - F.shiftright(_u(d, l4 + 12, 1), 4) * 4),
+        "icmp_type": F.when(icmp, _u(d, l4, 1)),
+        "icmp_code": F.when(icmp, _u(d, l4 + 1, 1)),
     })
     # The IPv4 packet an ICMPv4 error quotes starts 8 bytes into the ICMP message.
-    q = L4 + 8
-    qihl = _u(d, q, 1).bitwiseAND(F.lit(15)) * 4
-    quoted = (F.col("protocol") == "ICMP") & F.col("icmp_type").isin(3, 11) & (F.length(d) >= q + 20)
-    qproto = _u(d, q + 9, 1)
+    q = l4 + 8
+    quoted = (F.col("protocol") == "ICMP") & F.col("icmp_type").isin(3, 11)
+    qproto = F.when(quoted, _u(d, q + 9, 1))
     out = out.withColumns({
         "icmp_original_destination_ip": F.when(quoted, _ipv4(d, q + 16)),
-        "icmp_original_protocol": F.when(quoted, F.when(qproto == 6, F.lit("TCP")).when(qproto == 17, F.lit("UDP"))
-                                          .when(qproto == 1, F.lit("ICMP")).otherwise(qproto.cast("string"))),
+        "icmp_original_protocol": F.when(qproto == 6, F.lit("TCP")).when(qproto == 17, F.lit("UDP"))
+                                   .when(qproto == 1, F.lit("ICMP")).otherwise(qproto.cast("string")),
         "icmp_original_ip_id": F.when(quoted, _u(d, q + 4, 2)),
-        "icmp_original_destination_port": F.when(quoted & qproto.isin(6, 17), _u(d, q + qihl + 2, 2)),
+        "icmp_original_destination_port": F.when(qproto.isin(6, 17), _u(d, q + _u(d, q, 1).bitwiseAND(F.lit(15)) * 4 + 2, 2)),
         "packet_length": F.col("orig_len").cast("long"),
     })
-    return out.drop("_et0", "_et", "_l3", "_b0", "_ihl", "_proto", "_ip_len", "_l4")
-
-
-def read_capture_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Capture files → one decoded row per frame (frame numbers restart per file)."""
-    register(spark)
-    return decode_frames(spark.read.format("capture").load(path))
+    return out.drop("_kind", "_l3", "_et", "_ihl", "_next", "_proto", "_end", "_l4")
 
 
 # ---- splittable reading: index pass + byte-range read pass ----------------------------------------
 
-_INDEX_SCHEMA = "path string, fmt string, start long, end long, first_frame long, links string"
+_INDEX_SCHEMA = "path string, fmt string, start long, end long, first_frame long, meta string"
+_BATCH_BYTES = 8 << 20
 
 
 def _index_ranges(path: str, split_bytes: int):
-    """Record-boundary byte ranges of one capture file (headers only; payloads are skipped)."""
-    import json
+    """Record-boundary byte ranges of one capture file (headers only; payloads are skipped). A range
+    carries what a reader has to know at its start: byte order, and link types or interfaces so far."""
     size = os.path.getsize(path)
     with open(path, "rb", buffering=1 << 16) as fh:
-        magic = fh.read(4).hex()
-        if magic in (MAGIC_PCAP_LE, MAGIC_PCAP_BE, MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE):
-            e = "<" if magic in (MAGIC_PCAP_LE, MAGIC_PCAP_NS_LE) else ">"
-            hdr = fh.read(20)
-            if len(hdr) < 20:
-                return
-            linktype = struct.unpack(e + "HHiIII", hdr)[5] & 0x0FFFFFFF
-            meta = json.dumps({"magic": magic, "linktype": linktype})
-            pos, start, frame, first = 24, 24, 0, 1
-            while pos + 16 <= size:
+        png = fh.read(4) == _SECTION
+        fh.seek(0)
+        frame = 0
+        if not png:
+            e, units, link = _pcap_header(fh, path)
+            meta = json.dumps({"e": e, "units": units, "link": link})
+            pos, start, first = 24, 24, 1
+            while pos < size:
                 fh.seek(pos)
-                h = fh.read(16)
-                incl = struct.unpack(e + "I", h[8:12])[0]
+                incl = struct.unpack(e + "I", _exactly(fh, 16, path, "a record header")[8:12])[0]
                 if pos - start >= split_bytes:
                     yield (path, "pcap", start, pos, first, meta)
                     start, first = pos, frame + 1
                 pos += 16 + incl
                 frame += 1
             if frame >= first:
-                yield (path, "pcap", start, min(pos, size), first, meta)
-        elif magic == MAGIC_PCAPNG:
-            # Ranges start at block boundaries; each carries the section's interface table so far.
-            e, links, pos, start, frame, first = "<", [], 0, 0, 0, 1
-            links_at_start = []
-            while pos + 12 <= size:
-                fh.seek(pos)
-                h = fh.read(12)
-                if h[:4] == b"\x0a\x0d\x0d\x0a":
-                    e = "<" if h[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
-                    links = []
-                btype, blen = struct.unpack(e + "II", h[:8])
-                if btype == 1:
-                    fh.seek(pos + 8)
-                    links.append(_parse_idb(fh.read(blen - 8), e))
-                if pos - start >= split_bytes and btype in (3, 6):
-                    yield (path, "pcapng", start, pos, first, json.dumps({"e": e, "links": links_at_start}))
-                    start, first, links_at_start = pos, frame + 1, list(links)
-                if btype in (3, 6):
-                    frame += 1
-                if start == pos and btype not in (3, 6):
-                    links_at_start = list(links)
-                pos += max(blen, 12)
-            if frame >= first:
-                yield (path, "pcapng", start, min(pos, size), first, json.dumps({"e": e, "links": links_at_start}))
+                yield (path, "pcap", start, size, first, meta)
+            return
+        e, links, start, first = "<", [], 0, 1
+        meta = json.dumps({"e": e, "links": links})
+        for pos, btype, e, body in _pcapng_blocks(fh, path, e, size, skim=True):
+            if btype in (3, 6):
+                if pos - start >= split_bytes:
+                    yield (path, "pcapng", start, pos, first, meta)
+                    start, first, meta = pos, frame + 1, json.dumps({"e": e, "links": links})
+                frame += 1
+            elif btype == 0x0A0D0D0A:
+                links = []
+            elif btype == 1:
+                links.append(_parse_idb(body, e))
+        if frame >= first:
+            yield (path, "pcapng", start, size, first, meta)
 
 
-def _read_range(path, fmt, start, end, first, meta):
-    import json
+def _read_range(path: str, fmt: str, start: int, end: int, first: int, meta: str):
     m = json.loads(meta)
     with open(path, "rb", buffering=1 << 20) as fh:
         fh.seek(start)
-        n = first - 1
         if fmt == "pcap":
-            magic = m["magic"]
-            e = "<" if magic in (MAGIC_PCAP_LE, MAGIC_PCAP_NS_LE) else ">"
-            div = 1e9 if magic in (MAGIC_PCAP_NS_LE, MAGIC_PCAP_NS_BE) else 1e6
-            rec = struct.Struct(e + "IIII")
-            pos = start
-            while pos + 16 <= end:
-                sec, frac, incl, orig = rec.unpack(fh.read(16))
-                data = fh.read(incl)
-                pos += 16 + incl
-                n += 1
-                yield (path, n, sec + frac / div, incl, orig, m["linktype"], data)
+            yield from _pcap_records(fh, path, m["e"], m["units"], m["link"], end, first - 1)
         else:
-            e, links, pos = m["e"], [tuple(x) for x in m["links"]], start
-            while pos + 8 <= end:
-                h = fh.read(8)
-                if len(h) < 8:
-                    return
-                if h[:4] == b"\x0a\x0d\x0d\x0a":
-                    bo = fh.read(4)
-                    e = "<" if bo == b"\x4d\x3c\x2b\x1a" else ">"
-                    blen = struct.unpack(e + "I", h[4:8])[0]
-                    fh.read(blen - 12)
-                    pos += blen
-                    links = []
-                    continue
-                btype, blen = struct.unpack(e + "II", h)
-                body = fh.read(blen - 8)
-                pos += blen
-                if btype == 1:
-                    links.append(_parse_idb(body, e))
-                elif btype == 6:
-                    iface, hi, lo, incl, orig = struct.unpack(e + "IIIII", body[:20])
-                    lt, resol = links[iface] if iface < len(links) else (1, 1e6)
-                    n += 1
-                    yield (path, n, ((hi << 32) | lo) / resol, incl, orig, lt, body[20:20 + incl])
-                elif btype == 3:
-                    orig = struct.unpack(e + "I", body[:4])[0]
-                    data = body[4:4 + min(orig, len(body) - 8)]
-                    n += 1
-                    yield (path, n, None, len(data), orig, links[0][0] if links else 1, data)
-
-
-def read_capture_frames_split(spark: SparkSession, path: str, split_bytes: int = 128 << 20) -> DataFrame:
-    """S2 for large captures: an index pass (one task per file, headers only) cuts every file
-    into ~``split_bytes`` ranges at record boundaries, then the ranges are read in parallel
-    (``mapInPandas``) and decoded natively. Frame numbers are global within each file."""
+            yield from _pcapng_records(fh, path, m["e"], [tuple(x) for x in m["links"]], end, first - 1)
+
+
+_COLUMNS = ["capture_file", "frame_number", "timestamp", "caplen", "orig_len", "linktype", "data"]
+
+
+def _batched(records):
+    """Records as data frames of about ``_BATCH_BYTES``: a range is never held whole."""
+    import pandas as pd
+    rows, size = [], 0
+    for r in records:
+        rows.append(r)
+        size += len(r[6]) + 64
+        if size >= _BATCH_BYTES:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
+def read_capture_frames(spark: SparkSession, path: str, split_bytes: int = 128 << 20, on_bad: str = "raise") -> DataFrame:
+    """Capture files → one decoded row per frame (frame numbers restart per file).
+
+    An index pass (one task per file, headers only) cuts every file into ranges of about
+    ``split_bytes`` at record boundaries; the ranges are read in parallel and decoded natively. Files
+    in a store that only Spark reaches (a path with a scheme other than ``file``) are read whole, one
+    per task, through Spark's own file access. A file that is no capture or breaks off inside a record
+    raises ``CaptureError``; with ``on_bad="skip"`` what comes before that is kept.
+    """
     import pandas as pd
-    files = _files(path)
-    cols = ["capture_file", "frame_number", "timestamp", "caplen", "orig_len", "linktype", "data"]
+    if "://" in path and not path.startswith("file://"):
+        def whole(it):
+            for pdf in it:
+                for p, content in zip(pdf["path"], pdf["content"]):
+                    yield from _batched(_guarded(_read_stream(io.BytesIO(content), p), on_bad))
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+        return decode_frames(files.mapInPandas(whole, FRAME_SCHEMA))
 
     def index_fn(it):
         for pdf in it:
-            rows = [r for p in pdf["path"] for r in _index_ranges(p, split_bytes)]
-            yield pd.DataFrame(rows, columns=["path", "fmt", "start", "end", "first_frame", "links"])
+            rows = [r for p in pdf["path"] for r in _guarded(_index_ranges(p, split_bytes), on_bad)]
+            yield pd.DataFrame(rows, columns=["path", "fmt", "start", "end", "first_frame", "meta"])
 
     def read_fn(it):
         for pdf in it:
             for r in pdf.itertuples(index=False):
-                batch = list(_read_range(r.path, r.fmt, int(r.start), int(r.end), int(r.first_frame), r.links))
-                if batch:
-                    yield pd.DataFrame(batch, columns=cols)
+                yield from _batched(_guarded(_read_range(r.path, r.fmt, int(r.start), int(r.end), int(r.first_frame), r.meta), on_bad))
 
+    files = _files(path.removeprefix("file://"))
     listing = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
     ranges = listing.mapInPandas(index_fn, _INDEX_SCHEMA)
     ranges = ranges.repartition(spark.sparkContext.defaultParallelism * 4, "path", "start")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.normalize import normalize_packets
-from ..schema import PACKET_SCHEMA
+from ..schema import PACKET_SCHEMA, WIRE_KEY
 
 _ARRAY_COLS = [f.name for f in PACKET_SCHEMA.fields if isinstance(f.dataType, T.ArrayType)]
 
@@ -23,8 +23,13 @@ def _ext(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
 
 
-def conform(df: DataFrame, schema: T.StructType = PACKET_SCHEMA, keep_extra: bool = True) -> DataFrame:
-    """Cast to the packet schema; absent columns become typed nulls; text lists → arrays."""
+# Columns that operators name without asking whether they are there.
+_ALWAYS = {"timestamp", "packet_length", *WIRE_KEY}
+
+
+def conform(df: DataFrame, schema: T.StructType = PACKET_SCHEMA, keep_extra: bool = True, fill: bool = False) -> DataFrame:
+    """Cast to the packet schema; text lists → arrays. Of absent columns only the wire key, time and
+    length are added as typed nulls, or all of them with ``fill``."""
     cols = []
     for f in schema.fields:
         if f.name in df.columns:
@@ -37,14 +42,14 @@ def conform(df: DataFrame, schema: T.StructType = PACKET_SCHEMA, keep_extra: boo
             else:
                 c = F.col(f.name).try_cast(f.dataType) if not isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast(f.dataType)
             cols.append(c.alias(f.name))
-        else:
+        elif fill or f.name in _ALWAYS:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     extra = [F.col(c) for c in df.columns if c not in schema.fieldNames()] if keep_extra else []
     return df.select(*cols, *extra)
 
 
-def read_packets(spark: SparkSession, path: str, fmt: str | None = None, normalize: bool = True) -> DataFrame:
-    """Dissected packet table from CSV / JSON / Parquet in ``PACKET_SCHEMA``."""
+def read_packets(spark: SparkSession, path: str, fmt: str | None = None, normalize: bool = True, fill: bool = False) -> DataFrame:
+    """Dissected packet table from CSV / JSON / Parquet, conformed to ``PACKET_SCHEMA``."""
     fmt = (fmt or _ext(path) or "parquet").lower()
     if fmt == "csv":
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -54,7 +59,7 @@ def read_packets(spark: SparkSession, path: str, fmt: str | None = None, normali
         raw = spark.read.json(path)
     else:
         raw = spark.read.parquet(path)
-    return conform(raw)
+    return conform(raw, fill=fill)
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -64,26 +69,16 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.option("header", True).option("inferSchema", True).csv(path)
     if ext == "json":
         # One JSON array of records (the reference's format) or JSON lines (Spark's own output).
-        return spark.read.option("multiLine", _is_json_array(path)).json(path)
+        return spark.read.option("multiLine", _is_json_array(spark, path)).json(path)
     if ext == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported input file extension: .{ext}. Use .parquet, .csv or .json.")
 
 
-def _is_json_array(path: str) -> bool:
-    """Peek at the first byte of the first file (a few bytes on the driver, never the data)."""
-    first = path
-    if os.path.isdir(path):
-        parts = sorted(f for f in os.listdir(path) if not f.startswith((".", "_")))
-        if not parts:
-            return False
-        first = os.path.join(path, parts[0])
-    try:
-        with open(first, "rb") as fh:
-            head = fh.read(4096).lstrip()
-        return head.startswith(b"[")
-    except OSError:
-        return False
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that isn't blank opens an array; read by Spark, so any store will do."""
+    first = spark.read.text(path).where("trim(value) <> ''").take(1)
+    return bool(first) and first[0].value.lstrip().startswith("[")
 
 
 def write_flows(df: DataFrame, path: str, mode: str = "overwrite") -> None:

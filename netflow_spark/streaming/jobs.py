@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.columns import all_not_null, flag, is_client, opt, with_oriented_key
+from ..functions.columns import all_not_null, direction, flag, is_client, opt, with_oriented_key
 from ..functions.classify import dns_answers
 from ..schema import FLOW_KEY
 from ..operators.dns import DNS_TLS_MAX_AGE_SECONDS
@@ -41,7 +41,7 @@ def streaming_timeline(packets: DataFrame, watermark: str = DEFAULT_WATERMARK) -
 def streaming_flow_table(packets: DataFrame, gap: str = "5 minutes", watermark: str = DEFAULT_WATERMARK) -> DataFrame:
     """ST2: per oriented flow and activity session (``session_window`` with ``gap``): bytes and
     packets per direction, start and end (append mode: a session is emitted once closed)."""
-    o = F.coalesce(F.col("is_source_client"), F.lit(False))
+    o = F.coalesce(direction(packets), F.lit(False))
     d = with_event_time(packets).withWatermark("event_time", watermark)
     d = d.select(
         "event_time", F.col("timestamp").cast("double").alias("ts"),
@@ -66,37 +66,57 @@ _RTT_OUT = T.StructType([*(T.StructField(c, t) for c, t in [
     ("client_ip", T.StringType()), ("server_ip", T.StringType()), ("client_port", T.LongType()),
     ("server_port", T.LongType()), ("protocol", T.StringType()), ("frame_number", T.LongType()),
     ("rtt_ms", T.DoubleType())])])
-_RTT_STATE = T.StructType([T.StructField("syn_ts", T.DoubleType()), T.StructField("syn_seq", T.LongType()),
-                           T.StructField("last_frame", T.LongType())])
-
-
-def _rtt_state_fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per oriented flow: remember the latest client SYN; a server SYN-ACK acknowledging
-    SYN seq + 1 yields one sample and clears it. Idle flows expire on the event-time timeout."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    syn_ts, syn_seq, last = (state.get if state.exists else (None, None, -1))
-    rows = pd.concat(list(batches)).sort_values("frame_number")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.frame_number <= last:
-            continue
-        last = r.frame_number
-        if r.is_syn:
-            syn_ts, syn_seq = float(r.ts), int(r.seq)
-        elif syn_ts is not None and int(r.ack) == syn_seq + 1:
-            out.append((*key, int(r.frame_number), (float(r.ts) - syn_ts) * 1000.0))
+_RTT_STATE = T.StructType([
+    T.StructField("syn_ts", T.DoubleType()), T.StructField("syn_seq", T.LongType()),
+    *(T.StructField(f"p_{c}", T.ArrayType(t)) for c, t in [
+        ("ts", T.DoubleType()), ("frame", T.LongType()), ("is_syn", T.BooleanType()), ("seq", T.LongType()), ("ack", T.LongType())])])
+
+
+def _watermark(state: GroupState) -> float:
+    return state.getCurrentWatermarkMs() / 1000.0
+
+
+def _wake(state: GroupState, seconds: float) -> None:
+    """Ask to be called once the watermark passes ``seconds`` (event time)."""
+    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs()) + 1)
+
+
+def _rtt_state_fn(max_wait: float):
+    """Per oriented flow: rows wait until the watermark passes them and are then taken in frame
+    order, whichever micro-batch brought them. The latest client SYN is kept; a server SYN-ACK that
+    acknowledges SYN seq + 1 yields one sample and clears it. A SYN without an answer goes
+    ``max_wait`` seconds after its own event time."""
+    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        syn_ts, syn_seq, *waiting = state.get if state.exists else (None, None, [], [], [], [], [])
+        rows = list(zip(*waiting))
+        if not state.hasTimedOut:
+            for b in batches:
+                rows += [(float(r.ts), int(r.frame_number), bool(r.is_syn), int(r.seq), int(r.ack)) for r in b.itertuples(index=False)]
+        mark = _watermark(state)
+        out = []
+        for ts, frame, is_syn, seq, ack in sorted((r for r in rows if r[0] <= mark), key=lambda r: r[1]):
+            if is_syn:
+                syn_ts, syn_seq = ts, seq
+            elif syn_ts is not None and ack == syn_seq + 1:
+                out.append((*key, frame, (ts - syn_ts) * 1000.0))
+                syn_ts, syn_seq = None, None
+        rows = [r for r in rows if r[0] > mark]
+        if syn_ts is not None and syn_ts + max_wait < mark:
             syn_ts, syn_seq = None, None
-    state.update((syn_ts, syn_seq, last))
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 3_600_000)
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in _RTT_OUT.fields])
+        if rows or syn_ts is not None:
+            state.update((syn_ts, syn_seq, *(list(c) for c in zip(*rows))) if rows else (syn_ts, syn_seq, [], [], [], [], []))
+            _wake(state, min([r[0] for r in rows], default=(syn_ts or 0.0) + max_wait))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in _RTT_OUT.fields])
+    return fn
 
 
-def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMARK, max_wait: float = 3600.0) -> DataFrame:
     """ST3: handshake RTT samples with per-flow state (``applyInPandasWithState``, update mode).
-    Only SYN / SYN-ACK rows reach the Python state function."""
+    Only SYN / SYN-ACK rows reach the Python state function; ``max_wait`` bounds how long a SYN
+    without an answer is kept."""
     syn, ack = flag(packets, "tcp_flags_syn"), flag(packets, "tcp_flags_ack")
     c = is_client(packets)
     d = with_event_time(packets).where((F.upper(F.col("protocol")) == "TCP")
@@ -107,36 +127,10 @@ def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMA
                  F.coalesce(opt(packets, "tcp_sequence_number", "long").cast("long"), F.lit(0).cast("long")).alias("seq"),
                  F.coalesce(opt(packets, "tcp_acknowledgment_number", "long").cast("long"), F.lit(-1).cast("long")).alias("ack"))
     return d.groupBy(*FLOW_KEY).applyInPandasWithState(
-        _rtt_state_fn, outputStructType=_RTT_OUT, stateStructType=_RTT_STATE, outputMode="update",
+        _rtt_state_fn(max_wait), outputStructType=_RTT_OUT, stateStructType=_RTT_STATE, outputMode="update",
         timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
-def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
-                      max_age: int = DNS_TLS_MAX_AGE_SECONDS) -> DataFrame:
-    """ST4: TLS rows joined to the DNS answers of the same (client, name) in the previous
-    ``max_age`` seconds (stream–stream interval inner join), then per TLS packet on a 1-second
-    window of its time: mismatch when no answer names the server (append mode)."""
-    if "dns_response_addresses" in packets.columns:
-        ans = dns_answers(F.col("dns_response_addresses"), is_array=True)
-    else:
-        ans = dns_answers(F.col("dns_response_addresses_csv"))
-    d = with_event_time(packets)
-    dns = (d.where((F.col("destination_port") == 53) & F.col("dns_query_name").isNotNull() & F.col("source_ip").isNotNull())
-           .select(F.col("source_ip").alias("d_src"), F.col("dns_query_name").alias("d_name"),
-                   F.col("event_time").alias("d_time"), F.explode(ans).alias("d_answer"))
-           .withWatermark("d_time", watermark))
-    tls = (d.where((F.col("destination_port") == 443) & F.col("sni").isNotNull())
-           .select(F.col("frame_number").alias("t_frame"), F.col("source_ip").alias("t_src"), F.col("sni").alias("t_sni"),
-                   F.col("destination_ip").alias("t_dst"), F.col("event_time").alias("t_time"))
-           .withWatermark("t_time", watermark))
-    j = tls.join(dns, F.expr(f"""t_src = d_src AND t_sni = d_name AND d_time <= t_time
-                                 AND d_time >= t_time - INTERVAL {int(max_age)} SECONDS"""), "inner")
-    g = j.groupBy(F.window("t_time", "1 second"), "t_frame", "t_src", "t_sni", "t_dst").agg(
-        F.max((F.col("d_answer") == F.col("t_dst")).cast("int")).alias("_hit"))
-    return g.select(F.col("t_frame").alias("frame_number"), F.col("t_src").alias("client"),
-                    F.col("t_sni").alias("sni"), F.col("t_dst").alias("server"), (F.col("_hit") == 0).alias("mismatch"))
-
-
 def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "append",
                      available_now: bool = False, processing_time: str | None = None):
     """Start a streaming job into a Parquet folder. Its checkpoint lives under the cluster's
@@ -158,79 +152,59 @@ def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "appe
 _DNS_OUT = T.StructType([T.StructField("frame_number", T.LongType()), T.StructField("client", T.StringType()),
                          T.StructField("sni", T.StringType()), T.StructField("server", T.StringType()),
                          T.StructField("mismatch", T.BooleanType())])
-_DNS_STATE = T.StructType([
-    T.StructField("any_t", T.DoubleType()),
-    T.StructField("hit_ip", T.ArrayType(T.StringType())), T.StructField("hit_t", T.ArrayType(T.DoubleType())),
-    T.StructField("p_t", T.ArrayType(T.DoubleType())), T.StructField("p_kind", T.ArrayType(T.IntegerType())),
-    T.StructField("p_frame", T.ArrayType(T.LongType())), T.StructField("p_dst", T.ArrayType(T.StringType())),
-    T.StructField("p_ans", T.ArrayType(T.StringType()))])
+_DNS_STATE = T.StructType([T.StructField(f"p_{c}", T.ArrayType(t)) for c, t in [
+    ("t", T.DoubleType()), ("kind", T.IntegerType()), ("frame", T.LongType()), ("dst", T.StringType()), ("answers", T.StringType())]])
 
 
 def _dns_state_fn(max_age: float):
+    """Per client, name and slot of ``max_age`` seconds: rows wait until the watermark passes the
+    slot's end and are then taken once, in event-time order (answers before connections of the same
+    time); the state goes. A state row holds the DNS rows of two slots and the connections of one."""
     def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        client, name = key
-        if state.exists:
-            any_t, hit_ip, hit_t, p_t, p_kind, p_frame, p_dst, p_ans = state.get
-            hits = dict(zip(hit_ip or [], hit_t or []))
-            pending = list(zip(p_t or [], p_kind or [], p_frame or [], p_dst or [], p_ans or []))
-        else:
-            any_t, hits, pending = None, {}, []
+        client, name, slot = key
+        rows = list(zip(*state.get)) if state.exists else []
         if not state.hasTimedOut:
             for b in batches:
-                for r in b.itertuples(index=False):
-                    pending.append((float(r.t), int(r.kind), int(r.frame), r.dst, r.answers))
-        wm = state.getCurrentWatermarkMs() / 1000.0
-        ready = sorted((p for p in pending if p[0] <= wm), key=lambda p: (p[0], p[1], p[2]))
-        pending = [p for p in pending if p[0] > wm]
-        out = []
-        for t, kind, frame, dst, answers in ready:
-            if kind == 0:  # DNS row: answers as a comma-joined text
-                ips = [a for a in (answers or "").split(",") if a]
-                if ips:
-                    any_t = t if any_t is None else max(any_t, t)
-                for ip in ips:
-                    hits[ip] = max(hits.get(ip, t), t)
-            elif any_t is not None and t - any_t <= max_age:
-                hit = dst in hits and t - hits[dst] <= max_age
-                out.append((frame, client, name, dst, not hit))
-        frontier = max([p[0] for p in ready], default=wm)
-        hits = {ip: ht for ip, ht in hits.items() if frontier - ht <= max_age}
-        if any_t is not None and frontier - any_t > max_age:
-            any_t = None
-        if pending or hits or any_t is not None:
-            state.update((any_t, list(hits), list(hits.values()), [p[0] for p in pending], [p[1] for p in pending],
-                          [p[2] for p in pending], [p[3] for p in pending], [p[4] for p in pending]))
-            nxt = min([p[0] for p in pending], default=frontier + max_age)
-            state.setTimeoutTimestamp(int(max(nxt, wm) * 1000) + 1)
-        else:
+                rows += [(float(r.t), int(r.kind), int(r.frame), r.dst, r.answers) for r in b.itertuples(index=False)]
+        end = (slot + 1) * max_age
+        if _watermark(state) < end:
+            state.update(tuple(list(c) for c in zip(*rows)))
+            _wake(state, end)
+            return
+        out, latest, seen = [], None, {}
+        for t, kind, frame, dst, answers in sorted(rows, key=lambda r: r[:3]):
+            if kind == 0:
+                for ip in filter(None, (answers or "").split(",")):
+                    latest = seen[ip] = t
+            elif latest is not None and t - latest <= max_age:
+                out.append((frame, client, name, dst, not (dst in seen and t - seen[dst] <= max_age)))
+        if state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(out, columns=[f.name for f in _DNS_OUT.fields])
     return fn
 
 
-def streaming_dns_sni_stateful(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
-                               max_age: int = DNS_TLS_MAX_AGE_SECONDS) -> DataFrame:
-    """ST4 without pairs: per (client, name), rows are handled in event-time order once the
-    watermark passes them; the state keeps the latest answered time and the latest time of each
-    distinct answer address (evicted after ``max_age``) — never DNS×TLS pairs. Same rows as the
-    batch check (update mode)."""
+def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
+                      max_age: int = DNS_TLS_MAX_AGE_SECONDS) -> DataFrame:
+    """ST4: mismatch of each TLS row against the DNS answers of its (client, name) in the previous
+    ``max_age`` seconds, without DNS×TLS pairs. Time is cut into slots of ``max_age``: a connection
+    belongs to its own slot, a DNS row to its own and the next one, so that one slot holds all that
+    its connections need. Same rows as the batch check (update mode)."""
     if "dns_response_addresses" in packets.columns:
         ans = dns_answers(F.col("dns_response_addresses"), is_array=True)
     else:
         ans = dns_answers(F.col("dns_response_addresses_csv"))
-    d = with_event_time(packets)
-    dns = d.where((F.col("destination_port") == 53) & F.col("dns_query_name").isNotNull() & F.col("source_ip").isNotNull()
-                  ).select(F.col("source_ip").alias("client"), F.col("dns_query_name").alias("name"), "event_time",
-                           F.col("timestamp").cast("double").alias("t"), F.lit(0).alias("kind"),
-                           F.col("frame_number").cast("long").alias("frame"), F.lit(None).cast("string").alias("dst"),
-                           F.array_join(ans, ",").alias("answers"))
-    tls = d.where((F.col("destination_port") == 443) & F.col("sni").isNotNull() & F.col("source_ip").isNotNull()
-                  ).select(F.col("source_ip").alias("client"), F.col("sni").alias("name"), "event_time",
-                           F.col("timestamp").cast("double").alias("t"), F.lit(1).alias("kind"),
-                           F.col("frame_number").cast("long").alias("frame"), F.col("destination_ip").alias("dst"),
-                           F.lit(None).cast("string").alias("answers"))
+    d = with_event_time(packets).withColumns({"t": F.col("timestamp").cast("double"), "frame": F.col("frame_number").cast("long")})
+    slot = F.floor(F.col("t") / F.lit(float(max_age))).cast("long")
+    none = F.lit(None).cast("string")
+    dns = d.where((F.col("destination_port") == 53) & F.col("dns_query_name").isNotNull() & F.col("source_ip").isNotNull()).select(
+        F.col("source_ip").alias("client"), F.col("dns_query_name").alias("name"), F.explode(F.array(slot, slot + 1)).alias("slot"),
+        "event_time", "t", F.lit(0).alias("kind"), "frame", none.alias("dst"), F.array_join(ans, ",").alias("answers"))
+    tls = d.where((F.col("destination_port") == 443) & F.col("sni").isNotNull() & F.col("source_ip").isNotNull()).select(
+        F.col("source_ip").alias("client"), F.col("sni").alias("name"), slot.alias("slot"),
+        "event_time", "t", F.lit(1).alias("kind"), "frame", F.col("destination_ip").alias("dst"), none.alias("answers"))
     u = dns.unionByName(tls).withWatermark("event_time", watermark)
-    return u.groupBy("client", "name").applyInPandasWithState(
+    return u.groupBy("client", "name", "slot").applyInPandasWithState(
         _dns_state_fn(float(max_age)), outputStructType=_DNS_OUT, stateStructType=_DNS_STATE,
         outputMode="update", timeoutConf=GroupStateTimeout.EventTimeTimeout)

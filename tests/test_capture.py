@@ -2,7 +2,10 @@
 
 import struct
 
-from netflow_spark.sources.capture import read_capture_frames, valid_captures
+import pytest
+from pyspark.sql import functions as F
+
+from netflow_spark.sources.capture import decode_frames, ipv6_text, read_capture_frames, register, valid_captures
 
 
 def _ip4(s):
@@ -37,39 +40,42 @@ def _frames():
     return [syn, synack, data, icmp, v6]
 
 
-def write_pcap(path, frames):
-    with open(path, "wb") as fh:
-        fh.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
-        for i, f in enumerate(frames):
-            fh.write(struct.pack("<IIII", 1000 + i, 250000, len(f), len(f)) + f)
+def _v6(next_header, payload, src="20010db8000000000000000000000001", dst="20010db8000100000000000000000002"):
+    return struct.pack(">IHBB", 0x60000000, len(payload), next_header, 64) + bytes.fromhex(src) + bytes.fromhex(dst) + payload
+
+
+def pcap(frames, link=1, e="<", magic=0xA1B2C3D4, frac=250000):
+    out = struct.pack(e + "IHHiIII", magic, 2, 4, 0, 0, 65535, link)
+    return out + b"".join(struct.pack(e + "IIII", 1000 + i, frac, len(f), len(f)) + f for i, f in enumerate(frames))
 
 
-def write_pcapng(path, frames):
+def pcapng(frames, e="<", link=1, first=2000):
     def block(btype, body):
-        pad = (-len(body)) % 4
-        blen = 12 + len(body) + pad
-        return struct.pack("<II", btype, blen) + body + b"\0" * pad + struct.pack("<I", blen)
-    with open(path, "wb") as fh:
-        fh.write(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)))
-        fh.write(block(1, struct.pack("<HHI", 1, 0, 65535)))
-        for i, f in enumerate(frames):
-            ts = (2000 + i) * 1_000_000
-            fh.write(block(6, struct.pack("<IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(f), len(f)) + f))
-
-
-def test_pcap_and_pcapng_ingest(spark, tmp_path):
-    d = tmp_path / "caps"
-    d.mkdir()
-    write_pcap(d / "a.pcap", _frames())
-    write_pcapng(d / "b.pcapng", _frames()[:2])
-    (d / "junk.txt").write_bytes(b"not a capture")
-    v = {r.path.rsplit("/", 1)[1]: r.valid for r in valid_captures(spark, str(d)).collect()}
-    assert v == {"a.pcap": True, "b.pcapng": True, "junk.txt": False}
-    rows = read_capture_frames(spark, str(d)).orderBy("capture_file", "frame_number").collect()
-    a = [r for r in rows if r.capture_file.endswith("a.pcap")]
-    b = [r for r in rows if r.capture_file.endswith("b.pcapng")]
-    assert len(a) == 5 and len(b) == 2
-    syn, synack, data, icmp, v6 = a
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack(e + "II", btype, 12 + len(body)) + body + struct.pack(e + "I", 12 + len(body))
+    out = block(0x0A0D0D0A, struct.pack(e + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(e + "HHI", link, 0, 65535))
+    for i, f in enumerate(frames):
+        ts = (first + i) * 1_000_000
+        out += block(6, struct.pack(e + "IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(f), len(f)) + f)
+    return out
+
+
+def read(spark, tmp_path, content, **kw):
+    path = tmp_path / f"c{abs(hash(content))}.cap"
+    path.write_bytes(content)
+    return read_capture_frames(spark, str(path), **kw).orderBy("frame_number").collect()
+
+
+def test_folder_of_captures(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(_frames()))
+    (tmp_path / "b.pcapng").write_bytes(pcapng(_frames()[:2]))
+    (tmp_path / "notes.txt").write_bytes(b"shopping list")
+    valid = {r.path.rsplit("/", 1)[1]: r.valid for r in valid_captures(spark, str(tmp_path)).collect()}
+    assert valid == {"a.pcap": True, "b.pcapng": True, "notes.txt": False}
+    with pytest.raises(Exception, match="not a capture file"):
+        read_capture_frames(spark, str(tmp_path)).collect()
+    rows = read_capture_frames(spark, str(tmp_path), on_bad="skip").orderBy("capture_file", "frame_number").collect()
+    syn, synack, data, icmp, v6, first, second = rows
     assert (syn.source_ip, syn.destination_ip, syn.source_port, syn.destination_port) == ("10.0.0.1", "10.0.0.2", 1234, 80)
     assert syn.protocol == "TCP" and syn.tcp_flags_syn and not syn.tcp_flags_ack and syn.ip_id == 100
     assert synack.tcp_flags_syn and synack.tcp_flags_ack and synack.tcp_acknowledgment_number == 101
@@ -77,40 +83,87 @@ def test_pcap_and_pcapng_ingest(spark, tmp_path):
     assert syn.timestamp == 1000.25 and syn.source_mac == "02:00:00:00:00:01"
     assert (icmp.protocol, icmp.icmp_type, icmp.icmp_original_destination_ip, icmp.icmp_original_ip_id,
             icmp.icmp_original_protocol, icmp.icmp_original_destination_port) == ("ICMP", 11, "10.0.0.2", 100, "TCP", 80)
-    assert v6.protocol_l3 == "IPv6" and v6.protocol == "UDP" and v6.destination_port == 53
-    assert v6.source_ip == "2001:db8:0:0:0:0:0:1"
-    assert b[0].timestamp == 2000.0 and b[1].tcp_flags_ack
+    assert (v6.protocol_l3, v6.protocol, v6.destination_port, v6.source_ip) == ("IPv6", "UDP", 53, "2001:db8::1")
+    assert first.timestamp == 2000.0 and second.tcp_flags_ack
 
 
-def test_split_reading_matches_whole_file(spark, tmp_path):
-    from netflow_spark.sources.capture import read_capture_frames_split
-    d = tmp_path / "big"
-    d.mkdir()
+def test_split_reading_and_the_data_source_agree(spark, tmp_path):
     frames = _frames() * 40
-    write_pcap(d / "a.pcap", frames)
-    write_pcapng(d / "b.pcapng", frames[:60])
-    whole = read_capture_frames(spark, str(d))
-    split = read_capture_frames_split(spark, str(d), split_bytes=1500)
-    cols = ["capture_file", "frame_number", "timestamp", "source_ip", "destination_ip", "source_port",
-            "destination_port", "protocol", "tcp_flags_syn", "icmp_original_ip_id", "packet_length"]
-    a, b = whole.select(*cols), split.select(*cols)
-    assert a.count() == 260 and b.count() == 260
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_pcap_byte_orders_and_nanoseconds(spark, tmp_path):
-    from netflow_spark.sources.capture import read_capture_frames_split
-    d = tmp_path / "variants"
-    d.mkdir()
-    frames = _frames()[:3]
-    for name, e, magic, frac, div in [("be.pcap", ">", 0xA1B2C3D4, 250000, 1e6), ("ns.pcap", "<", 0xA1B23C4D, 250000000, 1e9)]:
-        with open(d / name, "wb") as fh:
-            fh.write(struct.pack(e + "IHHiIII", magic, 2, 4, 0, 0, 65535, 1))
-            for i, f in enumerate(frames):
-                fh.write(struct.pack(e + "IIII", 1000 + i, frac, len(f), len(f)) + f)
-    for reader in (read_capture_frames, lambda s, p: read_capture_frames_split(s, p, split_bytes=100)):
-        rows = reader(spark, str(d)).orderBy("capture_file", "frame_number").collect()
-        assert len(rows) == 6
-        for r in rows:
-            assert r.timestamp == 1000.25 + (r.frame_number - 1)
-        assert [r.tcp_flags_syn for r in rows[:3]] == [True, True, False]
+    (tmp_path / "a.pcap").write_bytes(pcap(frames))
+    (tmp_path / "b.pcapng").write_bytes(pcapng(frames[:60]))
+    # a second section in the other byte order, inside of what one range holds
+    (tmp_path / "c.pcapng").write_bytes(pcapng(frames[:7]) + pcapng(frames[:30], ">", first=3000) + pcapng(frames[:3]))
+    register(spark)
+    whole = decode_frames(spark.read.format("capture").load(str(tmp_path)))
+    cols = ["capture_file", "frame_number", "timestamp", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "packet_length"]
+    for size in (1500, 700, 128 << 20):
+        split = read_capture_frames(spark, str(tmp_path), split_bytes=size)
+        assert split.count() == 300 and whole.select(*cols).exceptAll(split.select(*cols)).count() == 0
+    stored = read_capture_frames(spark, f"file:///{str(tmp_path).lstrip('/')}")
+    assert stored.count() == 300
+
+
+@pytest.mark.parametrize("e,magic,frac", [(">", 0xA1B2C3D4, 250000), ("<", 0xA1B23C4D, 250000000), (">", 0xA1B23C4D, 250000000)])
+def test_byte_orders_and_nanoseconds(spark, tmp_path, e, magic, frac):
+    rows = read(spark, tmp_path, pcap(_frames()[:3], 1, e, magic, frac), split_bytes=100)
+    assert [r.timestamp for r in rows] == [1000.25, 1001.25, 1002.25] and [r.tcp_flags_syn for r in rows] == [True, True, False]
+
+
+def test_later_fragments_have_no_ports(spark, tmp_path):
+    whole = _ipv4("10.9.0.1", "10.9.0.2", 17, _udp(7000, 8000, b"x" * 16))
+    first = whole[:6] + struct.pack(">H", 0x2000) + whole[8:]
+    later = whole[:6] + struct.pack(">H", 0x0002) + whole[8:20] + bytes.fromhex("deadbeef") * 6
+    a, b = read(spark, tmp_path, pcap([_eth(first), _eth(later)]))
+    assert (a.source_port, a.destination_port) == (7000, 8000)
+    assert (b.protocol, b.source_ip, b.source_port, b.destination_port) == ("UDP", "10.9.0.1", None, None)
+    frag6 = _eth(_v6(44, struct.pack(">BBHI", 17, 0, 0, 9) + _udp(7000, 8000)), 0x86DD)
+    later6 = _eth(_v6(44, struct.pack(">BBHI", 17, 0, 16, 9) + b"z" * 16), 0x86DD)
+    c, d = read(spark, tmp_path, pcap([frag6, later6]))
+    assert (c.protocol, c.source_port) == ("UDP", 7000) and (d.protocol, d.source_port) == ("UDP", None)
+
+
+def test_ipv6_extension_headers(spark, tmp_path):
+    options = lambda nxt, blocks: struct.pack(">BB", nxt, blocks) + b"\0" * (6 + 8 * blocks)
+    chain = options(43, 1) + options(60, 0) + options(51, 2) + struct.pack(">BB", 6, 4) + b"\0" * 22 + _tcp(5555, 25, 1, 2, 0x12)
+    r, = read(spark, tmp_path, pcap([_eth(_v6(0, chain), 0x86DD)]))
+    assert (r.protocol, r.source_port, r.destination_port, r.tcp_flags_syn, r.tcp_payload_length) == ("TCP", 5555, 25, True, 0)
+
+
+@pytest.mark.parametrize("link,wrap", [
+    (101, lambda ip: ip), (0, lambda ip: struct.pack("<I", 2) + ip), (113, lambda ip: b"\0" * 14 + struct.pack(">H", 0x0800) + ip),
+    (276, lambda ip: struct.pack(">H", 0x0800) + b"\0" * 18 + ip), (1, lambda ip: _eth(struct.pack(">HH", 7, 0x0800) + ip, 0x8100)),
+    (1, lambda ip: _eth(struct.pack(">HHHH", 7, 0x8100, 9, 0x0800) + ip, 0x88A8))])
+def test_link_types(spark, tmp_path, link, wrap):
+    r, = read(spark, tmp_path, pcap([wrap(_ipv4("10.8.0.1", "10.8.0.2", 6, _tcp(6666, 443, 1, 0, 2)))], link))
+    assert (r.source_ip, r.destination_ip, r.protocol, r.destination_port, r.tcp_flags_syn) == ("10.8.0.1", "10.8.0.2", "TCP", 443, True)
+
+
+def test_unknown_link_type_and_short_frames_give_nulls(spark, tmp_path):
+    r, = read(spark, tmp_path, pcap([b"\x45" + b"\0" * 40], 147))
+    assert (r.source_ip, r.protocol, r.packet_length) == (None, None, 41)
+    whole = _eth(_ipv4("10.0.0.1", "10.0.0.2", 6, _tcp(1234, 80, 100, 0, 0x02)))
+    rows = read(spark, tmp_path, pcap([whole[:n] for n in (0, 10, 20, 28, 33, 36, 40, len(whole))]))
+    assert [r.source_ip for r in rows] == [None] * 3 + [None] + ["10.0.0.1"] * 4
+    assert [r.destination_ip for r in rows] == [None] * 5 + ["10.0.0.2"] * 3
+    assert [r.destination_port for r in rows] == [None] * 6 + [80] * 2 and [r.tcp_flags_syn for r in rows] == [None] * 7 + [True]
+
+
+def test_addresses_as_canonical_text(spark):
+    import ipaddress
+    import random
+    rng = random.Random(8)
+    values = [0, 1, 1 << 127, 0xFFFF << 32, int(ipaddress.ip_address("2001:db8:0:0:1:0:0:1")), int(ipaddress.ip_address("1:0:2:0:3:0:0:4"))]
+    values += [sum(rng.choice((0, 0, 0, rng.getrandbits(16), 1)) << 16 * i for i in range(8)) for _ in range(300)]
+    df = spark.createDataFrame([(f"{v:032X}",) for v in values], "h string")
+    got = [r.t for r in df.select(ipv6_text(F.col("h")).alias("t")).collect()]
+    want = [str(ipaddress.ip_address(v)) for v in values]
+    assert [g for g, w in zip(got, want) if "." not in w] == [w for w in want if "." not in w]
+
+
+def test_truncated_files(spark, tmp_path):
+    for content in (pcap(_frames())[:-5], pcapng(_frames())[:-20]):
+        with pytest.raises(Exception, match="ends inside"):
+            read(spark, tmp_path, content)
+        assert len(read(spark, tmp_path, content, on_bad="skip")) == 4
+    with pytest.raises(Exception, match="ends inside|not a capture"):
+        read(spark, tmp_path, b"\xd4\xc3")

@@ -1,29 +1,20 @@
-"""End to end on the reference's golden capture CSV, and the driver contract."""
+"""End to end on an invented capture read from CSV, and the driver contract."""
 
-
-from netflow_spark.fixtures import FAILURE_CAPTURE_CSV
 from netflow_spark.operators import metrics
 from netflow_spark.operators.orient import orient_packets
 from netflow_spark.rules import default_rules, tag
 from netflow_spark.sources.io import read_packets
+from tests.captures import office
 
 
-def _golden(spark, tmp_path):
-    p = tmp_path / "failure.csv"
-    p.write_text(FAILURE_CAPTURE_CSV)
-    return read_packets(spark, str(p))
-
-
-def test_failure_capture_pipeline(spark, tmp_path):
-    pk = orient_packets(_golden(spark, tmp_path))
-    assert pk.count() == 13
-    assert dict(pk.dtypes)["dns_response_addresses"] == "array<string>"
-    tagged = tag(pk, default_rules())
-    disp = [r.flow_disposition for r in tagged.select("flow_disposition").collect()]
-    assert "Blocked - Proxy Authentication Failed" in disp
-    assert "Mis-routed" not in disp
-    plain = {(r.finding, r.detail): r.flows for r in metrics.security_findings(tagged).collect()}
-    assert plain[("plaintext_http_flows", "")] > 0
+def test_capture_from_csv(spark, tmp_path):
+    path = str(tmp_path / "office.csv")
+    rows = office().frame(spark).drop("is_source_client", "dns_response_addresses")
+    rows.coalesce(1).write.option("header", True).csv(path)
+    pk = orient_packets(read_packets(spark, path, fmt="csv"))
+    assert pk.count() == rows.count() and dict(pk.dtypes)["tcp_flags_syn"] == "boolean"
+    tagged = {r.flow_disposition for r in tag(pk, default_rules()).collect()}
+    assert {"Blocked - Proxy Authentication Failed", "Blocked - Connection Refused (RST from Destination)"} <= tagged
     assert metrics.plaintext_flows(pk).first().plaintext_flows == 2
 
 

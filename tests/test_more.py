@@ -86,14 +86,6 @@ def test_capture_key_prefix(spark):
     assert per == {1: one, 2: one}
 
 
-def test_retransmissions_prefer_dissector_flags(spark):
-    from netflow_spark.operators.ordered import retransmissions
-    df = spark.createDataFrame([(1, "TCP", ["retransmission"]), (2, "TCP", []), (3, "TCP", None), (4, "UDP", ["x"])],
-                               "frame_number long, protocol string, tcp_analysis_retransmission_flags array<string>")
-    got = {r.frame_number: r.heuristic_retransmission for r in retransmissions(df).collect()}
-    assert got == {1: True, 2: False, 3: False}
-
-
 def test_key_prefix_isolates_captures_on_random_data(spark, tmp_path):
     """Two random captures analysed together with keys=["capture_id"] give exactly the per-capture
     results (frame numbers overlap between captures, so any leak across captures would show)."""

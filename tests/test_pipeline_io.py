@@ -6,39 +6,63 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from netflow_spark.fixtures import packets
-from netflow_spark.plans.bundle import metrics_bundle
-from netflow_spark.plans.steps import Pipeline
+from netflow_spark.fixtures import networks, packets, two_captures
+from netflow_spark.plans.bundle import bundle_json, metrics_bundle
+from netflow_spark.plans.steps import StepError, parse_steps, read_steps, run_steps
 from netflow_spark.sources import io
+from tests.captures import PRINTER, office
 from tests.conftest import SF_SMALL
 
 
-def test_pipeline_from_config(spark, tmp_path):
-    cfg = tmp_path / "p.yaml"
-    cfg.write_text("processors:\n  - vendor_ip_flags\n  - packet_error_reason\n"
-                   "analyzers:\n  - name: tag\n"
-                   "reporters:\n  - name: security_findings\n")
-    steps = []
-    out = Pipeline.from_config(str(cfg)).run(packets(spark, SF_SMALL), on_progress=lambda i, n: steps.append((i, n)))
-    assert {r.finding for r in out.collect()} >= {"plaintext_http_flows", "self_signed_certificate_flows"}
-    assert steps == [(1, 4), (2, 4), (3, 4), (4, 4)]
-    bad = tmp_path / "b.json"
-    bad.write_text(json.dumps({"processors": [{"name": "os.system"}]}))
-    with pytest.raises(ValueError):
-        Pipeline.from_config(str(bad))
+def test_steps_from_files(spark, tmp_path):
+    yaml_file, json_file = tmp_path / "run.yml", tmp_path / "run.json"
+    yaml_file.write_text("processors: [vendor_ip_flags, {name: fill_ints}]\nanalyzers:\n- tagged_flows\nreporters:\n- {name: error_summary, params: {k: 1}}\n")
+    json_file.write_text(json.dumps({"analyzers": ["flow_table"], "reporters": [{"name": "top_by_bytes", "params": {"n": 4}}]}))
+    progress = []
+    steps = read_steps(yaml_file)
+    assert [(kind, s.name) for kind, s in steps] == [("processors", "vendor_ip_flags"), ("processors", "fill_ints"), ("analyzers", "tagged_flows"), ("reporters", "error_summary")]
+    out = run_steps(packets(spark, SF_SMALL), steps, lambda done, of: progress.append(f"{done}/{of}"))
+    assert all(len(r.sample_flow_ids) == 1 for r in out.collect()) and progress == ["1/4", "2/4", "3/4", "4/4"]
+    assert run_steps(packets(spark, SF_SMALL), read_steps(str(json_file))).count() == 4
+
+
+@pytest.mark.parametrize("config", [
+    {"processors": ["subprocess.run"]}, {"analyzers": ["vendor_ip_flags"]}, {"reporters": [{"params": {}}]}, {"reporters": [None]},
+    {"reporters": [{"name": "top_by_bytes", "params": {"rows": 3}}]}, ["orient"]])
+def test_step_lists_that_are_refused(config):
+    with pytest.raises(StepError):
+        parse_steps(config)
+
+
+def test_step_file_of_another_kind(tmp_path):
+    other = tmp_path / "run.toml"
+    other.write_text("")
+    with pytest.raises(StepError):
+        read_steps(other)
 
 
 def test_metrics_bundle(spark):
-    from netflow_spark.operators.enrich import networks_table
-    from netflow_spark.fixtures import table
-    b = metrics_bundle(packets(spark, SF_SMALL), networks=networks_table(spark, table(spark, SF_SMALL, "nation")),
+    b = metrics_bundle(packets(spark, SF_SMALL), networks=networks(spark, SF_SMALL),
                        service_guesser=lambda df: F.lit("svc"))
     assert b["timeline_data"].count() == 63 and b["timeline_data"].where("spike").count() == 3
     assert [r.service for r in b["service_overview"].collect()] == ["svc"]
     assert b["top_talkers_by_bytes"].count() == 20
     assert b["connections_to_unusual_countries"].count() > 0
-    for name, df in b.items():
-        df.write.format("noop").mode("overwrite").save()
+    records = bundle_json(b)
+    assert {r.report for r in records.select("report").distinct().collect()} == {k for k, df in b.items() if df.take(1)}
+    spikes = [json.loads(r.record) for r in records.where("report = 'timeline_data'").collect()]
+    assert sum(bool(x.get("top_flows")) for x in spikes) == 3 and all(len(x.get("top_flows", [])) <= 5 for x in spikes)
+
+
+def test_bundle_of_two_captures(spark):
+    """Every report has the capture, and each capture's part equals its own bundle."""
+    both = metrics_bundle(two_captures(spark, SF_SMALL), keys=["capture_id"], networks=networks(spark, SF_SMALL))
+    alone = metrics_bundle(two_captures(spark, SF_SMALL).where("capture_id = 'b'").drop("capture_id"), networks=networks(spark, SF_SMALL))
+    for name, df in alone.items():
+        if name == "flow_dispositions":
+            continue  # hashed ids cover the capture
+        mine = both[name].where("capture_id = 'b'").select(*df.columns)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, df.collect())), name
 
 
 def test_read_write_roundtrip(spark, tmp_path):
@@ -52,7 +76,11 @@ def test_read_write_roundtrip(spark, tmp_path):
     with pytest.raises(ValueError):
         io.write_flows(p, str(tmp_path / "x.xlsx"))
     pk = io.read_packets(spark, str(tmp_path / "flows.csv"))
-    assert pk.count() == 1000 and "tcp_flags_syn" in pk.columns and dict(pk.dtypes)["source_port"] == "bigint"
+    assert pk.count() == 1000 and "tcp_flags_syn" not in pk.columns and dict(pk.dtypes)["source_port"] == "bigint"
+    assert "tcp_flags_syn" in io.read_packets(spark, str(tmp_path / "flows.csv"), fill=True).columns
+    array = tmp_path / "array.json"
+    array.write_text('\n [{"a": 1},\n {"a": 2}]\n')
+    assert sorted(r.a for r in io.read_flows(spark, str(array)).collect()) == [1, 2]
 
 
 def test_export_by_protocol_and_records(spark, tmp_path):
@@ -74,20 +102,19 @@ def test_slice_frames_and_save(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path):
+    import netflow_spark
     from netflow_spark.__main__ import main
-    from netflow_spark.fixtures import FAILURE_CAPTURE_CSV
-    src = tmp_path / "in.csv"
-    src.write_text(FAILURE_CAPTURE_CSV)
-    out = str(tmp_path / "tagged.parquet")
-    assert main(["tag", "--in", str(src), "--out", out], spark=spark) == 0
-    t = spark.read.parquet(out)
-    assert "Blocked - Proxy Authentication Failed" in {r.flow_disposition for r in t.collect()}
+    src, out = str(tmp_path / "in.parquet"), str(tmp_path / "tagged.parquet")
+    office().frame(spark).drop("is_source_client").write.parquet(src)
+    assert main(["tag", "--in", src, "--out", out], spark=spark) == 0
+    assert "Blocked - Proxy Authentication Failed" in {r.flow_disposition for r in spark.read.parquet(out).collect()}
     bad = tmp_path / "bad.yaml"
-    bad.write_text(":- bad")
-    assert main(["tag", "--rules", str(bad), "--in", str(src), "--out", out], spark=spark) == 1
-    assert main(["flows", "--in", str(tmp_path / "tagged.parquet"), "--out", str(tmp_path / "f.parquet")], spark=spark) == 0
-    import netflow_spark
-    assert callable(netflow_spark.tag_flows) and callable(netflow_spark.Pipeline)
+    bad.write_text("labels: [unclosed")
+    assert main(["tag", "--rules", str(bad), "--in", src, "--out", out], spark=spark) == 1
+    assert main(["flows", "--in", src, "--out", str(tmp_path / "f.parquet")], spark=spark) == 0
+    flows = {r.server_ip: r.flow_disposition for r in spark.read.parquet(str(tmp_path / "f.parquet")).collect()}
+    assert flows[PRINTER] == "Allowed"  # directions were found from the packets
+    assert callable(netflow_spark.tag_flows) and callable(netflow_spark.run_steps)
 
 
 def test_read_packets_json(spark, tmp_path):
@@ -100,6 +127,6 @@ def test_read_packets_json(spark, tmp_path):
     df = io.read_packets(spark, str(p))
     types = dict(df.dtypes)
     assert types["dns_response_addresses"] == "array<string>" and types["frame_number"] == "bigint"
-    assert types["http_response_code"] == "bigint" and "extra_field" in df.columns
+    assert "http_response_code" not in types and types["packet_length"] == "bigint" and "extra_field" in df.columns
     rows = df.orderBy("frame_number").collect()
     assert rows[0].dns_response_addresses == ["1.2.3.4", "5.6.7.8"] and rows[1].source_port is None

@@ -29,3 +29,30 @@ def test_group_top_k_is_partial(plans):
     assert "WindowGroupLimit" in plans["error_summary"]
     assert "WindowGroupLimit" in plans["spike_top_flows"]
     assert "TakeOrderedAndProject" in plans["top_by_bytes"]
+
+
+@pytest.mark.parametrize("name", ["flow_summary", "top_flows", "error_summary", "error_total", "security_total", "service_overview", "rules_outcome"])
+def test_generated_code_compiles(spark, name):
+    """Without the fallback, code that exceeds the JVM's method size is an error."""
+    import __spark_entry__ as e
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        e.queries()[name](spark, SF_SMALL).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_operators_are_lazy(spark):
+    """Building a plan runs no job (dense ids aside, which are fixed by one pass)."""
+    from netflow_spark.fixtures import packets
+    from netflow_spark.operators import dns, metrics, ordered
+    from netflow_spark.operators.disposition import tag_flows
+    p = packets(spark, SF_SMALL)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup())
+    spark.sparkContext.setJobGroup("build", "build")
+    metrics.performance_summary(ordered.handshake_rtt(p), ordered.tls_time_to_alert(p), ordered.retransmissions(p), p)
+    dns.dns_sni_checks(p)
+    tag_flows(p, flow_id="hash", with_app_fields=True)
+    assert before >= 0 and list(tracker.getJobIdsForGroup("build")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -45,14 +45,6 @@ def test_streaming_timeline_matches_batch(spark, stream_dir):
     assert out.exceptAll(batch.select(*out.columns)).count() == 0
 
 
-def test_streaming_dns_sni_matches_batch(spark, stream_dir):
-    out = run(spark, jobs.streaming_dns_sni(source(spark, stream_dir)), "st4")
-    batch = dns.dns_sni_checks(packets(spark, SF_SMALL))
-    _, _, mx = stream_dir
-    assert out.count() == batch.count() == 26
-    assert out.where("mismatch").count() == batch.where("mismatch").count() == 5
-
-
 def test_streaming_handshake_rtt_matches_batch(spark, stream_dir):
     out = run(spark, jobs.streaming_handshake_rtt(source(spark, stream_dir)), "st3", mode="update")
     batch = ordered.handshake_rtt(packets(spark, SF_SMALL))
@@ -98,15 +90,15 @@ def test_start_to_parquet_resumes(spark, stream_dir, tmp_path):
     assert spark.read.parquet(out).count() == 63  # resumed from the checkpoint: nothing re-emitted
 
 
-def test_streaming_dns_sni_stateful_matches_batch(spark, stream_dir):
-    out = run(spark, jobs.streaming_dns_sni_stateful(source(spark, stream_dir)), "st4s", mode="update")
+def test_streaming_dns_sni_matches_batch(spark, stream_dir):
+    out = run(spark, jobs.streaming_dns_sni(source(spark, stream_dir)), "st4s", mode="update")
     batch = dns.dns_sni_checks(packets(spark, SF_SMALL))
     assert out.count() == batch.count() == 26
     assert out.select(*batch.columns).exceptAll(batch).count() == 0
 
 
 def test_stateful_streaming_matches_batch_on_random_packets(spark, tmp_path):
-    """ST3 and the pair-free ST4 equal their batch operators on a random packet table."""
+    """ST3 and ST4 equal their batch operators on a random packet table."""
     import sys
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts"))
     from random_packets import write
@@ -124,7 +116,43 @@ def test_stateful_streaming_matches_batch_on_random_packets(spark, tmp_path):
     b3 = ordered.handshake_rtt(p)
     assert st3.select(*b3.columns).exceptAll(b3).count() == 0 and b3.exceptAll(st3.select(*b3.columns)).count() == 0
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
-    st4 = run(spark, jobs.streaming_dns_sni_stateful(stream), "st4_rand", mode="update")
+    st4 = run(spark, jobs.streaming_dns_sni(stream), "st4_rand", mode="update")
     b4 = dns.dns_sni_checks(p)
     assert b4.count() > 0
     assert st4.select(*b4.columns).exceptAll(b4).count() == 0 and b4.exceptAll(st4.select(*b4.columns)).count() == 0
+
+
+def test_samples_across_many_micro_batches(spark, tmp_path):
+    """One file per micro-batch, rows out of order between files: ST3 and ST4 still equal the batch operators."""
+    p = packets(spark, SF_SMALL)
+    base = str(tmp_path / "in")
+    for i in (1, 0, 3, 2, 4, 5):
+        p.where(f"frame_number % 6 = {i}").coalesce(1).write.mode("append").parquet(base)
+    mx = p.agg(F.max("timestamp")).first()[0] + 7200
+    for k in (1, 2):
+        p.where("frame_number IN (1, 24)").withColumn("timestamp", F.lit(mx * 1.0 + k)).withColumn(
+            "frame_number", F.col("frame_number") + 10_000_000 * k).coalesce(1).write.mode("append").parquet(base)
+
+    def stream():
+        return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    b3 = ordered.handshake_rtt(p)
+    st3 = run(spark, jobs.streaming_handshake_rtt(stream()), "st3_many", mode="update").where("frame_number < 10000000").select(*b3.columns)
+    assert b3.count() > 0 and st3.exceptAll(b3).count() == 0 and b3.exceptAll(st3).count() == 0
+    b4 = dns.dns_sni_checks(p)
+    st4 = run(spark, jobs.streaming_dns_sni(stream()), "st4_many", mode="update").where("frame_number < 10000000").select(*b4.columns)
+    assert st4.exceptAll(b4).count() == 0 and b4.exceptAll(st4).count() == 0
+
+
+def test_late_answer_in_a_later_batch(spark, tmp_path):
+    """A SYN in the first file and its SYN-ACK in the fourth give one sample."""
+    schema = ("frame_number long, timestamp double, source_ip string, destination_ip string, source_port long, destination_port long, protocol string, "
+              "is_source_client boolean, tcp_flags_syn boolean, tcp_flags_ack boolean, tcp_sequence_number long, tcp_acknowledgment_number long")
+    base = str(tmp_path / "in")
+    rows = [(1, 500.0, "a", "b", 7, 80, "TCP", True, True, False, 41, None), (2, 501.0, "c", "d", 7, 80, "TCP", True, True, False, 1, None),
+            (3, 502.0, "e", "f", 7, 80, "TCP", True, True, False, 1, None), (4, 502.5, "b", "a", 80, 7, "TCP", False, True, True, 9, 42),
+            (5, 9999.0, "x", "y", 7, 80, "TCP", True, True, False, 1, None), (6, 19999.0, "x", "y", 7, 80, "TCP", True, True, False, 1, None)]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(base)
+    stream = spark.readStream.schema(spark.read.parquet(base).schema).option("maxFilesPerTrigger", 1).parquet(base)
+    got = run(spark, jobs.streaming_handshake_rtt(stream), "st3_late", mode="update").collect()
+    assert [(r.client_ip, r.frame_number, r.rtt_ms) for r in got] == [("a", 4, 2500.0)]
