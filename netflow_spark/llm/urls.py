@@ -76,7 +76,7 @@ def lexical_features() -> dict[str, Column]:
         "digit_ratio": digits / F.greatest(size, F.lit(1)), "hyphens": _count(url, "-"),
         "entropy": F.when(size > 0, F.aggregate(chars, F.lit(0.0), one)).otherwise(0.0),
         "parameters": F.when(query == "", 0.0).otherwise(_count(query, "&") + 1), "values": _count(query, "="),
-        "fragment": F.col("url").contains("#").cast("double"), "https": url.startswith("https://").cast("double"),
+        "fragment": url.contains("#").cast("double"), "https": url.startswith("https://").cast("double"),
     }
 
 
