@@ -488,5 +488,7 @@ def read_capture_frames(spark: SparkSession, path: str, split_bytes: int = 128 <
     files = _files(path.removeprefix("file://"))
     listing = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
     ranges = listing.mapInPandas(index_fn, _INDEX_SCHEMA)
-    ranges = ranges.repartition(spark.sparkContext.defaultParallelism * 4, "path", "start")
+    # about one task per range: a range takes at least split_bytes, but for a file's last one
+    tasks = sum(1 + (os.path.getsize(f) if os.path.exists(f) else 0) // split_bytes for f in files)
+    ranges = ranges.repartition(max(1, min(tasks, 100_000)), "path", "start")
     return decode_frames(ranges.mapInPandas(read_fn, FRAME_SCHEMA))
