@@ -119,9 +119,10 @@ def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMA
     without an answer is kept."""
     syn, ack = flag(packets, "tcp_flags_syn"), flag(packets, "tcp_flags_ack")
     c = is_client(packets)
-    d = with_event_time(packets).where((F.upper(F.col("protocol")) == "TCP")
-                                       & ((c & syn & ~ack) | (~c & syn & ack)))
-    d = with_oriented_key(d).where(all_not_null(FLOW_KEY)).withWatermark("event_time", watermark)
+    d = with_event_time(packets).withWatermark("event_time", watermark)
+    # The filter names the event time, so that it stays above the watermark: all packets move the clock.
+    wanted = (F.upper(F.col("protocol")) == "TCP") & ((c & syn & ~ack) | (~c & syn & ack)) & F.col("event_time").isNotNull()
+    d = with_oriented_key(d).where(F.coalesce(wanted & all_not_null(FLOW_KEY), F.lit(False)))
     d = d.select(*FLOW_KEY, "event_time", F.col("frame_number").cast("long").alias("frame_number"),
                  F.col("timestamp").cast("double").alias("ts"), (is_client(packets) & syn & ~ack).alias("is_syn"),
                  F.coalesce(opt(packets, "tcp_sequence_number", "long").cast("long"), F.lit(0).cast("long")).alias("seq"),
