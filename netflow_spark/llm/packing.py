@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .words import text_chunks, words_of
+from .words import release, text_chunks, words_of
 
 CAPACITY, END_ID = 4096, 1
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 
 
 # How the vocabulary's file splits a word, for words of ASCII and Latin letters.
@@ -129,6 +129,8 @@ def _piece_maker(path: str, capacity: int, end_id: int, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
                     names=["_id", "piece", "start", "length", "ids_crc32", "_task", "_nth", "ids"])
+        del enc
+        release()
     return run
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import text_chunks, words_of
+from .words import release, text_chunks, words_of
 
 BUCKETS, DIM, NONZERO = 1 << 13, 64, 4
 SHAPES, SHAPE_DIM = 64 * 5 * 2, 32
@@ -87,6 +87,7 @@ def _contexts(batches):
     flat = pa.array(rows[used].astype(np.float32).ravel())
     yield pa.RecordBatch.from_arrays(
         [pa.array(used.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, DIM).cast(pa.list_(pa.float32()))], names=["bucket", "v"])
+    release()
 
 
 def _pairs(left: list, right: list) -> np.ndarray:
@@ -135,6 +136,7 @@ def _featurizer(vectors: np.ndarray):
         for b in batches:
             f = pooled(b.column(1), vectors).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in f], pa.binary())], names=["id", "f"])
+        release()
     return run
 
 
@@ -224,5 +226,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             ok = model.score(pooled(b.column(where), model.vectors).astype(np.float16).astype(np.float32)) >= threshold
             yield b.filter(pa.array(ok))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

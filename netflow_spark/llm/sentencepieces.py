@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text
-from .words import _BYTE, _powers, mix, raw, text_chunks
+from .words import _BYTE, _powers, mix, raw, release, text_chunks
 
 _SPACE = "▁"
 _CACHE_WORDS = 400_000
@@ -211,6 +211,8 @@ def _run(path: str, keep: bool):
                      pa.array(blobs if keep else [None] * len(rows), pa.binary()),
                      pa.array([b.decode("utf-8", "replace") for b in back] if keep else [None] * len(rows), pa.string())],
                     names=["_id", "n_ids", "ids_crc32", "decoded_sha256", "ids", "decoded"])
+        del enc
+        release()
     return run
 
 

@@ -7,6 +7,9 @@ sums, then mixed. Null text is empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +25,15 @@ CHUNK_BYTES = 1 << 20
 _POWERS: dict = {}
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system: its worker process lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
