@@ -1,11 +1,13 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences (at sentence punctuation followed by white space, and at line ends
-unless the next line goes on in lower case), sentences are normalised (A-Z lower-cased, everything
-but letters and digits one space) and looked up among known licence sentences. The identifiers a
-text yields, in order, are matched against ordered rules: a rule is a sequence of identifiers that
-must follow each other; the first rules take what they match, later ones see the rest. Known
-sentences that no rule takes are reported as left over.
+A text is cut into pieces (at sentence punctuation followed by white space, and at line ends
+unless the next line goes on in lower case), pieces are normalised (A-Z lower-cased, everything
+but letters and digits one space) and looked up among known licence sentences. A known sentence is
+one piece or several in a row: ``;``, ``:`` and line ends may lie inside it, wherever a notice is
+wrapped, but no ``.``, ``!`` or ``?``; of several that start at one piece the longest counts. The
+identifiers a text yields, in order, are matched against ordered rules: a rule is a sequence of
+identifiers that must follow each other; the first rules take what they match, later ones see the
+rest. Known sentences that no rule takes are reported as left over.
 
 Everything happens inside a row, so nothing is shuffled. Texts without any word that all known
 sentences draw on are not cut at all. Null and empty texts have no licence; null ids and repeated
@@ -77,20 +79,27 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK = "\x01"
+#: A sentence ends at the first; the second may lie inside of one.
+_END, _CUT = "\x01", "\x02"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences, in order."""
-    cut = F.regexp_replace(text, r"[.!?;:][ \t\r\n\f]+", _BREAK)
-    cut = F.regexp_replace(cut, r"[ \t\r\f]*\n[ \t\r\n\f]*([^a-z \t\r\n\f])", _BREAK + "$1")
-    cut = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), r"[^a-z0-9\x01\x{80}-\x{10FFFF}]+", " ")
-    return F.transform(F.split(cut, _BREAK), lambda s: F.trim(s))
+def pieces(text: Column) -> Column:
+    """Normalised pieces, in order, with ``_END`` or ``_CUT`` between them."""
+    cut = F.regexp_replace(F.translate(text, _CUT, ","), r"[.!?][ \t\r\n\f]+", _END)
+    cut = F.regexp_replace(cut, r"[;:][ \t\r\n\f]+", _CUT)
+    cut = F.regexp_replace(cut, r"[ \t\r\f]*\n[ \t\r\n\f]*([^a-z \t\r\n\f])", _CUT + "$1")
+    cut = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), r"[^a-z0-9\x01\x02\x{80}-\x{10FFFF}]+", " ")
+    cut = F.regexp_replace(cut, r" *\x02[ \x02]*", _CUT)
+    return F.trim(F.regexp_replace(cut, r"[ \x02]?\x01[ \x01\x02]*", _END))
 
 
 def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.filter(F.transform(sentences(text), lambda s: F.element_at(table, s)), lambda x: x.isNotNull())
+    longest_first = sorted(known, key=lambda s: (-len(s.split(" ")), s))
+    any_known = "|".join(s.replace(" ", r"[ \x02]") for s in longest_first)
+    # whole pieces only: before and after are a cut or the text's ends
+    found = F.regexp_extract_all(pieces(text), F.lit(rf"(?<![^\x01\x02])(?:{any_known})(?![^\x01\x02])"), F.lit(0))
+    ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, _CUT, " ")))
     hint = F.translate(text, _UPPER, _LOWER).rlike("|".join(WORDS))
     return F.when(hint, ids).otherwise(F.array().cast("array<string>"))
 
