@@ -9,13 +9,15 @@ identifiers a text yields, in order, are matched against ordered rules: a rule i
 identifiers that must follow each other; the first rules take what they match, later ones see the
 rest. Known sentences that no rule takes are reported as left over.
 
-Everything happens inside a row, so nothing is shuffled. Texts without any word that all known
-sentences draw on are not cut at all. Null and empty texts have no licence; null ids and repeated
+Everything happens inside a row, so nothing is shuffled. Texts without any of the single
+words that the known sentences draw on (``hint_words``) are not cut at all. Null and empty texts have no licence; null ids and repeated
 rows are treated like any other; empty tables give empty results. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,19 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
-#: Every known sentence holds one of these.
-WORDS = ("licens", "permi", "warrant", "redistribut", "copyright", "public domain", "liable", "rights reserved", "free software")
+
+
+def hint_words(known: Iterable[str]) -> tuple[str, ...]:
+    """Single words (parts of words), of which every known sentence holds one; a word holds nothing that normalising changes."""
+    words: list[str] = []
+    for s in sorted(known, key=lambda s: (len(s.split(" ")), s)):
+        if not any(w in s for w in words):
+            words.append(max(s.split(" "), key=len))
+    return tuple(words)
+
+
+#: Every known sentence holds one of these.
+WORDS = hint_words(SENTENCES)
 
 # Rules in the order they are tried.
 RULES = (
@@ -94,14 +107,17 @@ def pieces(text: Column) -> Column:
 
 
 def sentence_ids(text: Column, known: dict[str, str] = SENTENCES) -> Column:
+    none = F.array().cast("array<string>")
+    if not known:
+        return none
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     longest_first = sorted(known, key=lambda s: (-len(s.split(" ")), s))
     any_known = "|".join(s.replace(" ", r"[ \x02]") for s in longest_first)
     # whole pieces only: before and after are a cut or the text's ends
     found = F.regexp_extract_all(pieces(text), F.lit(rf"(?<![^\x01\x02])(?:{any_known})(?![^\x01\x02])"), F.lit(0))
     ids = F.transform(found, lambda s: F.element_at(table, F.translate(s, _CUT, " ")))
-    hint = F.translate(text, _UPPER, _LOWER).rlike("|".join(WORDS))
-    return F.when(hint, ids).otherwise(F.array().cast("array<string>"))
+    hint = F.translate(text, _UPPER, _LOWER).rlike("|".join(hint_words(known)))
+    return F.when(hint, ids).otherwise(none)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES,

@@ -2,7 +2,7 @@ import re
 
 from cases import AWKWARD, docs
 
-from netflow_spark.llm.licenses import RULES, SENTENCES, WORDS, scan_licenses
+from netflow_spark.llm.licenses import RULES, SENTENCES, WORDS, hint_words, scan_licenses
 
 MIT = """The MIT License
 
@@ -121,9 +121,32 @@ NOTICES = [
 def test_every_rule_on_its_official_notice(spark):
     assert [r for _, r in NOTICES] == list(RULES)
     layouts = {"wrapped": lambda t: t, "unwrapped": lambda t: re.sub(r"(?<=\S) *\n *(?=\S)", " ", t), "dos": lambda t: t.replace("\n", "\r\n"),
-               "commented": lambda t: "# " + t.replace("\n", "\n# ")}
+               "commented": lambda t: "# " + t.replace("\n", "\n# "),
+               "narrow": lambda t: re.sub(r"(?<=\S) +(?=\S)", "\n", t), "wide": lambda t: re.sub(r"(?<=\S) +(?=\S)", " \t ", t)}
     got = scan(spark, [(100 * k + i, layout(t)) for k, layout in enumerate(layouts.values()) for i, (t, _) in enumerate(NOTICES)])
     for k, name in enumerate(layouts):
         for i, (_, (license, seq)) in enumerate(NOTICES):
             r = got[100 * k + i]
             assert (name, i, r.sentence_ids, r.licenses, r.left_over) == (name, i, list(seq), [license], [])
+
+
+def test_sentence_ends_and_other_words_part_known_sentences(spark):
+    got = scan(spark, [(1, "All rights. Reserved."), (2, "All rights\nare\nReserved."), (3, "Not all rights\nReserved."), (4, "All rights\x02reserved"),
+                       (5, "All; rights:\n\n* Reserved\nMIT License"), (6, "All rights\x01reserved")])
+    assert {i: r.sentence_ids for i, r in got.items()} == {1: [], 2: [], 3: [], 4: ["reserved"], 5: ["reserved", "mit-title"], 6: []}
+
+
+def test_hint_misses_no_known_sentence(spark):
+    gaps = [" ", "  ", "\t", "\n", "-", " -- ", "/"]
+    data = [(100 * k + i, gap.join(s.upper().split(" "))) for k, gap in enumerate(gaps) for i, s in enumerate(SENTENCES)]
+    got = scan(spark, data)
+    for k in range(len(gaps)):
+        assert [got[100 * k + i].sentence_ids for i in range(len(SENTENCES))] == [[i] for i in SENTENCES.values()]
+
+
+def test_known_sentences_of_ones_own(spark):
+    known, rules = {"do what you want": "wtf", "frei f\u00fcr alle": "frei"}, (("WTF", ("wtf",)),)
+    assert all(any(w in s for w in hint_words(known)) for s in known)
+    got = scan_licenses(docs(spark, [(1, "Do what\nyou want."), (2, "Frei f\u00fcr alle!"), (3, "MIT License")]), known=known, rules=rules)
+    assert {r.doc_id: (r.licenses, r.left_over) for r in got.collect()} == {1: (["WTF"], []), 2: ([], ["frei"]), 3: ([], [])}
+    assert {r.doc_id for r in scan_licenses(docs(spark, [(1, "MIT License")]), known={}).where("size(sentence_ids) = 0").collect()} == {1}
