@@ -393,7 +393,8 @@ _BATCH_BYTES = 8 << 20
 
 def _index_ranges(path: str, split_bytes: int):
     """Record-boundary byte ranges of one capture file (headers only; payloads are skipped). A range
-    carries what a reader has to know at its start: byte order, and link types or interfaces so far."""
+    carries what a reader has to know at its start: byte order, and link types or interfaces so far.
+    Before the error of a file that breaks off comes the range of what lies before the break."""
     size = os.path.getsize(path)
     with open(path, "rb", buffering=1 << 16) as fh:
         png = fh.read(4) == _SECTION
@@ -405,7 +406,12 @@ def _index_ranges(path: str, split_bytes: int):
             pos, start, first = 24, 24, 1
             while pos < size:
                 fh.seek(pos)
-                incl = struct.unpack(e + "I", _exactly(fh, 16, path, "a record header")[8:12])[0]
+                try:
+                    incl = struct.unpack(e + "I", _exactly(fh, 16, path, "a record header")[8:12])[0]
+                except CaptureError:
+                    if frame >= first:
+                        yield (path, "pcap", start, pos, first, meta)
+                    raise
                 if pos - start >= split_bytes:
                     yield (path, "pcap", start, pos, first, meta)
                     start, first = pos, frame + 1
@@ -416,16 +422,23 @@ def _index_ranges(path: str, split_bytes: int):
             return
         e, links, start, first = "<", [], 0, 1
         meta = json.dumps({"e": e, "links": links})
-        for pos, btype, e, body in _pcapng_blocks(fh, path, e, size, skim=True):
-            if btype in (3, 6):
-                if pos - start >= split_bytes:
-                    yield (path, "pcapng", start, pos, first, meta)
-                    start, first, meta = pos, frame + 1, json.dumps({"e": e, "links": links})
-                frame += 1
-            elif btype == 0x0A0D0D0A:
-                links = []
-            elif btype == 1:
-                links.append(_parse_idb(body, e))
+        good = 0  # up to here the file holds whole blocks
+        try:
+            for pos, btype, e, body in _pcapng_blocks(fh, path, e, size, skim=True):
+                if btype in (3, 6):
+                    if pos - start >= split_bytes:
+                        yield (path, "pcapng", start, pos, first, meta)
+                        start, first, meta = pos, frame + 1, json.dumps({"e": e, "links": links})
+                    frame += 1
+                elif btype == 0x0A0D0D0A:
+                    links = []
+                elif btype == 1:
+                    links.append(_parse_idb(body, e))
+                good = fh.tell()
+        except CaptureError:
+            if frame >= first:
+                yield (path, "pcapng", start, good, first, meta)
+            raise
         if frame >= first:
             yield (path, "pcapng", start, size, first, meta)
 

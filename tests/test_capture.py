@@ -167,3 +167,18 @@ def test_truncated_files(spark, tmp_path):
         assert len(read(spark, tmp_path, content, on_bad="skip")) == 4
     with pytest.raises(Exception, match="ends inside|not a capture"):
         read(spark, tmp_path, b"\xd4\xc3")
+
+
+def test_files_that_break_off_in_a_header(spark, tmp_path):
+    def frames(rows):
+        return [{**r.asDict(), "capture_file": None} for r in rows]
+
+    other = struct.pack("<II", 5, 32) + b"\0" * 9  # a statistics block, cut short
+    for whole, tails in ((pcap(_frames()), [b"\1", b"\1" * 15]), (pcapng(_frames()), [b"\6" + b"\0" * 6, other])):
+        want = frames(read(spark, tmp_path, whole))
+        assert len(want) == len(_frames())
+        for tail in tails:
+            with pytest.raises(Exception, match="ends inside"):
+                read(spark, tmp_path, whole + tail)
+            for split in (64, 128 << 20):
+                assert frames(read(spark, tmp_path, whole + tail, on_bad="skip", split_bytes=split)) == want
