@@ -2,7 +2,8 @@
 
 Every version of a text is addressed by its content (SHA-256). The ledger holds one row per blob and
 rule version with the spans found; a scan reads only pairs the ledger doesn't hold, each distinct
-blob once, however many paths have it. Findings are then joined back to all paths.
+blob once, however many paths have it. Findings are then joined back to all paths,
+or to the whole rows, by content.
 
 Texts that can't be repeated (Bloom filter of repeated hashes, see ``exact_dedup``) are scanned where
 they are read; of texts that may be, only one copy is scanned. Matches are leftmost and don't
@@ -48,6 +49,10 @@ RULES = (
 _SPANS = "array<struct<start:long,end:long>>"
 
 
+def _blob(text: Column) -> Column:
+    return F.unhex(content_hash(text))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """Spans of one rule: the lengths of what lies between the matches and of the matches, added up."""
     pattern = F.lit(rule.pattern)
@@ -75,7 +80,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
                   text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Scan what ``ledger`` has not seen. Returns the paths ``(_id, blob)`` and the new ledger rows, both written."""
-    texts = id_and_text(docs, id_col, text_col).select("_id", F.unhex(content_hash(F.col("_text"))).alias("blob"), "_text")
+    texts = id_and_text(docs, id_col, text_col).select("_id", _blob(F.col("_text")).alias("blob"), "_text")
     paths = written(texts.select("_id", "blob"), "paths")
     words = written(bloom_words(paths, "blob", filter_bits, repeated=True), "bloom")
     maybe = mark_members(paths, F.col("blob"), words, "_maybe", filter_bits).where("_maybe")
@@ -97,9 +102,9 @@ def extend_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     return paths, written(new, "ledger")
 
 
-def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
-                 text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Per row of ``docs``: id and ``spans`` (array of start, kind number, kind, end; by start, then rule order)."""
+def _findings(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], id_col: str, text_col: str,
+              filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The paths ``(_id, blob)`` and, of every blob with secrets, one row ``(blob, spans)``; both written."""
     paths, new = extend_ledger(docs, ledger, rules, id_col, text_col, filter_bits)
     rows = new if ledger is None else new.unionByName(ledger.select("blob", "rule", "spans"))
     number = F.coalesce(*[F.when(F.col("rule") == r.key, F.lit(i)) for i, r in enumerate(rules)])
@@ -109,7 +114,13 @@ def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
              .select("blob", "_number", spans.alias("spans")).dropDuplicates(["blob", "_number"])
              .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     # written, so that both sides of the join are shuffled anew and a blob on many paths can be split
-    found = written(found, "findings")
+    return paths, written(found, "findings")
+
+
+def find_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id",
+                 text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    """Per row of ``docs``: id and ``spans`` (array of start, kind number, kind, end; by start, then rule order)."""
+    paths, found = _findings(docs, ledger, rules, id_col, text_col, filter_bits)
     none = F.array().cast("array<struct<start:long,number:int,kind:string,end:long>>")
     return paths.join(found, "blob", "left").select(F.col("_id").alias(id_col), F.coalesce("spans", none).alias("spans"))
 
@@ -118,14 +129,16 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text
            rules: tuple[Rule, ...] = RULES, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``docs`` with every secret replaced by ``mask`` and ``length_col``, where there is one, kept true.
 
-    Only rows that may have findings (Bloom filter of their ids) are shuffled.
+    Rows meet the findings by their text, whatever their id. Only rows that may have findings (Bloom
+    filter of the texts with secrets) are shuffled.
     """
     cols = docs.columns
-    found = find_secrets(docs, None, rules, id_col, text_col, filter_bits).where(F.size("spans") > 0)
-    found = written(found.select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"),), "secrets").dropDuplicates(["_id"])
-    words = written(bloom_words(found, "_id", filter_bits), "bloom")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col(id_col).alias("_id"))
-    marked = mark_members(whole, F.col("_id"), words, "_hit", filter_bits)
+    _, found = _findings(docs, None, rules, id_col, text_col, filter_bits)
+    found = found.select("blob", F.col("spans").alias("_spans"))
+    words = written(bloom_words(found, "blob", filter_bits), "bloom")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"),
+                        _blob(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("blob"))
+    marked = mark_members(whole, F.col("blob"), words, "_hit", filter_bits)
     text = F.col(f"_row.`{text_col}`")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -135,7 +148,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text
         return F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), out.alias("out")))
 
     clean = F.aggregate("_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.lit(2 ** 31 - 1))))
-    hits = marked.where("_hit").join(found, "_id", "left").withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    hits = marked.where("_hit").join(found, "blob", "left").withColumn("_clean", F.when(F.col("_spans").isNull(), text).otherwise(clean))
     out = marked.where(~F.col("_hit")).select("_row", text.alias("_clean")).unionByName(hits.select("_row", "_clean"))
 
     def column(c: str) -> Column:

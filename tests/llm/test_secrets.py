@@ -62,6 +62,25 @@ def test_redact(spark):
         assert r.text == want + text[at:] and r.n_chars == len(r.text)
 
 
+def masked(text):
+    out, at = "", 0
+    for start, _, _, end in spans(text):
+        if end > at:
+            out += text[at:start] + "[SECRET]" if start >= at else ""
+            at = end
+    return out + text[at:] if text is not None else None
+
+
+def test_redact_null_ids_and_versions(spark):
+    """Rows without an id, several texts under one id and one text under several ids."""
+    data = rows() + [(None, "token=abcdefgh first"), (None, "x secret: 12345678"), (None, "token=abcdefgh first"), (None, "no finding"),
+                     (100, "api_key: zzzzzzzz"), (100, "another version, passwd=abcdef12 and more"), (100, "a version without"), (101, None),
+                     (2, "deadbeef" * 3 + " hex")]
+    got = redact(docs(spark, data)).collect()
+    want = [(i, masked(t), None if t is None else len(masked(t))) for i, t in data]
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in got), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("call", [find_secrets, redact])
 def test_empty(spark, call):
     assert call(docs(spark, [])).count() == 0
