@@ -17,9 +17,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the document with the largest id stays."""
+    """Of identical texts the document with the largest id stays, in one row."""
     from netflow_spark.llm.exact_dedup import drop_exact_copies
-    return drop_exact_copies(docs)
+    return drop_exact_copies(docs, one_each=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

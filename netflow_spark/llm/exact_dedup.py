@@ -7,8 +7,8 @@ documents than bits more rows are shuffled, and the result stays exact.
 
 Texts are equal when identical after ``normalize`` (nothing by default). Null text counts as empty.
 Of equal texts the row with the largest id stays; null ids lose against any id. Rows that repeat
-both id and text share one decision. Empty tables give empty results. Columns other than the id
-and the text are not read, so their names can't clash.
+both id and text share one decision; ``drop_exact_copies`` can leave one of them. Empty tables give
+empty results. Columns other than the id and the text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -46,8 +46,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      filter_bits: int = FILTER_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; whole rows move only if they may be repeated."""
+                      filter_bits: int = FILTER_BITS, one_each: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; whole rows move only if they may be repeated.
+
+    ``one_each``: of rows that repeat both id and text (null ids count as one id) one stays, any of them.
+    """
     cols = docs.columns
     rows = written(hashed(docs, id_col, text_col, None), "hashes")
     words = written(bloom_words(rows, "_sha", filter_bits, repeated=True), "bloom")
@@ -57,8 +60,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         content_hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_sha"))
     marked = mark_members(whole, F.col("_sha"), words, "_maybe", filter_bits)
     row_id = F.col(f"_row.`{id_col}`")
+    maybe = marked.where("_maybe").select("_row", "_sha", row_id.alias("_keep"))
+    if one_each:
+        # before the join: rows that repeat go where they are read, however many
+        maybe = maybe.dropDuplicates(["_keep", "_sha"])
     # a keeper is met by its own id, so no text that has many copies gathers in one task
-    kept = (marked.where("_maybe").select("_row", "_sha", row_id.alias("_keep")).alias("l")
-            .join(keep.alias("r"), F.expr("l._keep <=> r._keep and l._sha = r._sha"), "left_semi"))
+    kept = maybe.alias("l").join(keep.alias("r"), F.expr("l._keep <=> r._keep and l._sha = r._sha"), "left_semi")
     out = marked.where(~F.col("_maybe")).select("_row").unionByName(kept.select("_row"))
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols])

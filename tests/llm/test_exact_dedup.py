@@ -44,6 +44,16 @@ def test_whole_rows_kept(spark):
     assert sorted(r.doc_id for r in got.collect()) == [2, 4, 5, 6, 7, 8, 9, 10, 10, 11]
 
 
+def test_one_row_each(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    data = AWKWARD + [(None, "only nulls"), (None, "only nulls"), (12, "only nulls?"), (20, "x"), (20, "y"), (20, "x")] + [(30, "often")] * 50
+    want = [(2, "a b c d e f"), (4, ""), (10, AWKWARD[9][1]), (None, "only nulls"), (20, "x"), (20, "y"), (30, "often"), (12, "only nulls?")]
+    want += [r for r in AWKWARD if r[0] in (5, 6, 7, 8, 9, 11)]
+    for got in (drop_exact_copies(docs(spark, data), one_each=True), corpus_pipeline.exact_copies(spark, docs(spark, data), "")):
+        assert sorted(((r.doc_id, r.text or "") for r in got.select("doc_id", F.col("text")).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
     assert drop_exact_copies(docs(spark, [])).count() == 0
