@@ -1,7 +1,8 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest. DataFrame functions and Spark ML only.
 
 A rule fits its host and all subdomains of it if the url's path starts with the rule's; the longest
-rule wins. Urls that a rule decides are the labelled ones; a bounded sample of them (``max_train``)
+rule wins. Urls that a rule decides are the labelled ones; a bounded sample of them (``max_train``,
+of each label by itself and weighted by the labels' shares in all, so that a rare label isn't missed)
 trains the trees on length, depth, digit ratio, character entropy, parameter counts and, for the
 host's last label and last two labels, how often labelled urls with it are blocked. Suffix
 statistics cover all labelled urls and leave the url's own label out.
@@ -111,12 +112,19 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str
         rows = rows.join(stats, s, "left").withColumns({f"{s}_rate": rate, f"{s}_seen": F.log1p(F.greatest(others, F.lit(0)).cast("double"))}).drop("_n", "_b")
     columns = [*feats, *[f"{s}_{k}" for s in _SUFFIXES for k in ("rate", "seen")]]
     rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(rows)
-    share = min(1.0, max_train / n)
-    part = F.pmod(F.xxhash64("_id", "host", "path"), F.lit(1 << 20)) < int(share * (1 << 20))
+    total = {0.0: n - blocked, 1.0: blocked}
+    # half of the sample for either label; what one doesn't need the other takes
+    cap = {x: max(1, max_train // 2, max_train - total[1.0 - x]) for x in total}
+    limit = {x: int(min(1.0, cap[x] / total[x]) * (1 << 40)) for x in total}
+    part = F.pmod(F.xxhash64("_id", "host", "path"), F.lit(1 << 40)) < F.when(F.col("label") == 1.0, F.lit(limit[1.0])).otherwise(F.lit(limit[0.0]))
     train = written(rows.where("label is not null").where(part).select("label", "_features"), "train")
-    if train.agg(F.countDistinct("label")).first()[0] < 2:
-        raise ValueError("max_train is too small to hold both labels")
-    model = GBTClassifier(labelCol="label", featuresCol="_features", maxIter=trees, maxDepth=depth, seed=7, predictionCol="_block").fit(train)
+    counts = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    for x in total.keys() - counts.keys():  # few distinct urls may all miss the sample
+        some = written(rows.where(F.col("label") == x).select("label", "_features").limit(int(cap[x])), "train")
+        train, counts[x] = train.unionByName(some), some.count()
+    weight = {x: total[x] / counts[x] * sum(counts.values()) / n for x in total}
+    train = train.withColumn("_weight", F.when(F.col("label") == 1.0, F.lit(weight[1.0])).otherwise(F.lit(weight[0.0])))
+    model = GBTClassifier(labelCol="label", featuresCol="_features", weightCol="_weight", maxIter=trees, maxDepth=depth, seed=7, predictionCol="_block").fit(train)
     judged = model.transform(rows)
     return judged.select(*keep, F.coalesce("ruled", F.when(F.col("_block") == 1.0, "block").otherwise("allow")).alias("verdict"),
                          F.when(F.col("rule").isNull(), "model").otherwise("rule").alias("by"))

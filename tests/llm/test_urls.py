@@ -55,3 +55,11 @@ def test_labels_of_one_kind_and_none(spark):
     assert {r.verdict for r in url_verdicts(pages(spark, ["http://a.net/x", None])).collect()} == {"allow"}
     assert {r.verdict for r in url_verdicts(pages(spark, ["http://a.com/de/x", "http://b.net/"])).collect()} == {"block"}
     assert url_verdicts(pages(spark, [])).count() == 0
+
+
+def test_rare_label_is_in_a_small_sample(spark):
+    """One blocked url among many; with the sample of the size asked for and far smaller."""
+    urls = [f"http://s{i % 9}.com/fr/{'q' * 20}{i}" for i in range(600)] + [f"http://s1.com/de/{'7' * 30}"]
+    for size in (2, 40):
+        got = {r.page_id: r for r in url_verdicts(pages(spark, urls), max_train=size, trees=2).collect()}
+        assert len(got) == len(urls) and got[600].verdict == "block" and {got[i].verdict for i in range(600)} == {"allow"}
