@@ -41,7 +41,7 @@ def _shingles(texts: pa.Array, size: int):
     data, off = raw(texts)
     h = np.zeros(len(data), dtype=np.uint64)
     for j in range(size):
-        h[:len(data) - j] += _CHAR[j][data[j:]]
+        h[:max(0, len(data) - j)] += _CHAR[j][data[j:]]
     lengths = np.diff(off) - 1  # without the line end
     line = np.repeat(np.arange(len(texts)), lengths + 1)
     at = np.arange(len(data)) - off[:-1][line]
