@@ -149,3 +149,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .sentencepieces import encode_and_decode
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import new_folder
+    from .token_files import read_documents, write_token_files
+    path = new_folder(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, path)
