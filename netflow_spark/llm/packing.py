@@ -21,10 +21,8 @@ like any other row. An empty table gives an empty result. Only the id and the te
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,88 +31,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, written
-from .words import release, text_chunks, words_of
+from .encoding import TextEncoder
+from .words import release, text_chunks
 
 CAPACITY, END_ID = 4096, 1
-_CACHE_WORDS = 150_000
-
-
-# How the vocabulary's file splits a word, for words of ASCII and Latin letters.
-_PLAIN = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u024f]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
-_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
-
-
-class WordEncoder:
-    """Token ids of whole texts, from the ids of their words.
-
-    The tokenizer splits at white space first, so a text's ids are those of its words in a row. Each
-    distinct word of a task is encoded once, by its parts, which the tokenizer's model turns into ids;
-    words with other letters or special tokens go through the tokenizer as a whole.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.base = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
-
-    def _word_ids(self, word: str) -> list[int]:
-        if "<|" in word or not _PLAIN.fullmatch(word):
-            return self.tok.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                shown = part if part.isascii() else "".join([_BYTE_CHARS[b] for b in part.encode()])
-                ids = self.parts[part] = [t.id for t in self.tok.model.tokenize(shown)]
-            out += ids
-        return out
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = [self._word_ids(w) for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.slots.update(zip(keys, range(len(self.size), len(self.size) + len(ids))))
-        self.base = np.concatenate([self.base, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-
-    def encode(self, texts: pa.Array):
-        """Ids of each text of a slice of ``text_chunks``: ``(ids, offsets)``."""
-        data, off, starts, ends, doc, h = words_of(texts, lower=False)
-        if not len(h):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
-        if len(self.slots) > _CACHE_WORDS:
-            self._clear()
-        uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slots]
-        if new:
-            blob, where = data.tobytes(), at[new]
-            words = [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[where].tolist(), ends[where].tolist())]
-            self._learn([keys[i] for i in new], words)
-        slots = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))[inv]
-        n = self.size[slots]
-        ends_at = np.cumsum(n)
-        ids = self.flat[np.repeat(self.base[slots] - (ends_at - n), n) + np.arange(ends_at[-1])]
-        per_text = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_text)])
+_CHUNK_BYTES = 4 << 20
 
 
 def _piece_maker(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
-        enc = WordEncoder(path)
+        enc = TextEncoder(path)
         task = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
-            for first, texts in text_chunks(batch.column(1)):
+            for first, texts in text_chunks(batch.column(1), _CHUNK_BYTES, 8192):
                 ids, off = enc.encode(texts)
                 who = batch.column(0).slice(first, len(texts)).to_pylist()
                 rows = []

@@ -4,15 +4,12 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from cases import AWKWARD, docs
 from tokenizers import Tokenizer
 
-from netflow_spark.llm.packing import WordEncoder, pack, plan_slots, reduce_dominated
-from netflow_spark.llm.words import text_chunks
+from netflow_spark.llm.packing import pack, plan_slots, reduce_dominated
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", "a<|startoftext|>b  <|endoftext|>", "ΑΣ ΟΔΟΣ İstanbul  x y é ́z", "it's don't 'LL\x1c\x1d\x85 q　r 한글 가 ﬁ Å", "😀 힣", "<|startof a_b--c 12x3"]
 
 
 def fewest(items, room):
@@ -34,16 +31,6 @@ def fewest(items, room):
     return best[0]
 
 
-def test_word_ids_are_the_tokenizers(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
-    texts = [r.text for r in rows] + ODD
-    enc, got = WordEncoder(PATH), []
-    for _, part in text_chunks(pa.array(texts)):
-        ids, off = enc.encode(part)
-        got += [ids[off[i]:off[i + 1]].tolist() for i in range(len(part))]
-    assert got == [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-
-
 def test_reduction_keeps_an_optimum():
     rng = random.Random(5)
     for _ in range(1500):
@@ -95,5 +82,15 @@ def test_awkward_rows(spark):
         assert at <= 4096
 
 
+def test_words_that_share_a_hash(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [a, a.translate(str.maketrans("ab", "ba"))]
+    got = {r.doc_id: bytes(r.ids) for r in pack(docs(spark, list(enumerate(texts))), PATH, keep_ids=True).collect()}
+    for i, e in enumerate(Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)):
+        assert got[i] == np.array([*e.ids, 1], dtype="<u4").tobytes()
+
+
 def test_empty(spark):
     assert pack(docs(spark, []), PATH).count() == 0
