@@ -222,3 +222,29 @@ FROM leaves l JOIN climb_end c USING (row) JOIN subroots s ON s.lang = l.tree, (
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import tamper_check
     return tamper_check(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", rf"""
+WITH RECURSIVE {_CRC_TABLE},
+run AS (SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWERED.replace("text", "coalesce(text, '')")}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+marked AS (SELECT run, c, {_crc_sql("list_transform(range(1, strlen(key) + 1), lambda i: ('0x' || substr(hex(key), 2 * i - 1, 2))::BIGINT)")} AS h
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM run), crc_table),
+word AS (SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM marked)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+del AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM del a JOIN word b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM del a JOIN word b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM word w LEFT JOIN best b ON b.word = w.word),
+follow(word, root, step) AS (SELECT word, word, 0 FROM form UNION ALL
+  SELECT f.word, g.form, step + 1 FROM follow f JOIN form g ON g.word = f.root WHERE g.form IS NOT NULL)
+SELECT form.word, form, root, n, n_near, form_n FROM form JOIN (SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word) r ON r.word = form.word""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+    return spelling_variants(table(spark, sf_dir, "documents"))
