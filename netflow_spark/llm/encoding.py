@@ -2,10 +2,10 @@
 
 A vocabulary file whose settings split at white space and then at changes between letters, digits and
 other characters (``_SPLITS``, read from the file) gives a text the ids of its pieces in a row. Pieces of
-ASCII words are cut and lower-cased in numpy, made distinct by Arrow (by their bytes, not by a hash), and
-each new one goes through the file's model. Words with other characters, apostrophes or ``<`` are looked up
-as they stand and encoded one by one. A file with other settings is accepted too: its texts then go
-through the library whole.
+words of ASCII and of letters from U+00C0 to U+00FF are cut and lower-cased in numpy, made distinct by Arrow
+(by their bytes, not by a hash), and each new one goes through the file's model. Words with other characters,
+apostrophes or ``<`` are looked up as they stand and encoded one by one. A file with other settings is accepted
+too: its texts then go through the library whole.
 
 Null text is empty text and has no ids. Very long texts are cut into slices at white space by the caller's
 chunks; a text is never held twice.
@@ -22,7 +22,7 @@ import pyarrow as pa
 
 from .words import raw
 
-_CACHE_PIECES = 400_000
+_CACHE_PIECES = 600_000
 
 # The settings of a vocabulary file that this module cuts by itself.
 _SPLITS = {
@@ -48,6 +48,8 @@ _CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
 _CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 _CLASS[48:58] = _DIGIT
 _CLASS[[ord("'"), ord("<")]] = _ODD
+_LATIN_LEAD, _TIMES, _DIVIDE, _SHARP_S = 0xC3, 0x97, 0xB7, 0x9F  # U+00C0 to U+00FF in UTF-8: the first byte, and second bytes
+_CLASS[_LATIN_LEAD] = _LETTER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -118,7 +120,11 @@ class TextEncoder:
             off = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int64)
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(off[-1])), off
         data, off = raw(texts)
-        kind = _CLASS[data]
+        kind, low = _CLASS[data], _LOWER[data]
+        second = np.flatnonzero(data == _LATIN_LEAD) + 1
+        byte = data[second]
+        kind[second[(byte != _TIMES) & (byte != _DIVIDE)]] = _LETTER
+        low[second[(byte < _SHARP_S) & (byte != _TIMES)]] += 32
         inside = kind != _SPACE
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -132,8 +138,8 @@ class TextEncoder:
         np.not_equal(kind[1:], kind[:-1], out=cut[1:])
         cut |= kind == _DIGIT
         first = np.flatnonzero(cut & inside)
-        kept = np.where(kind == _ODD, data, _LOWER[data])[inside]
-        place = np.cumsum(inside)[first] - 1
+        kept = np.where(kind == _ODD, data, low)[inside]
+        place = np.cumsum(inside, dtype=np.int32)[first] - 1
         bounds = np.append(place, len(kept)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(kept)).dictionary_encode()
         code = pieces.indices.to_numpy()
