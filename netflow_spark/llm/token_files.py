@@ -11,13 +11,13 @@ Every id takes ``width`` bits, the fewest that hold any id of the vocabulary. A
 so that any range of ids is read with two ranged reads (tail and footer, then the blocks that hold it)
 and unpacked by numpy without a loop over ids.
 
-``write_token_files`` encodes once, sorts the packed documents by id over all tasks and lets each task
-write the files of its range; files are named by attempt and count only when the manifest (one row per
+``write_token_files`` sorts the documents by id over all tasks and lets each task encode its range and write
+its files; files are named by attempt and count only when the manifest (one row per
 file, written by Spark) lists them, so a lost or repeated task leaves nothing half done. A file holds
 ``file_ids`` ids or one longer document. ``read_documents`` reads the files back, one task per file.
 
-Documents ascend by id, null ids first; rows that repeat an id follow their length, then their CRC-32, so
-only rows with equal ids may change places. Null text is empty text: its only token is the end id. An
+Documents ascend by id, null ids first; rows that repeat an id follow the 64-bit hash of their text, so only
+equal rows may change places. Null text is empty text: its only token is the end id. An
 empty table gives an empty manifest and no files. Only the id and the text are read.
 """
 
@@ -172,48 +172,32 @@ class FileReader:
         self.file.close()
 
 
-def _encode(tokenizer: str, end_id: int, width: int):
+def _write_files(path: str, tokenizer: str, end_id: int, width: int, block_ids: int, file_ids: int):
     def run(batches):
-        enc, nth = TextEncoder(tokenizer), 0
-        task = TaskContext.get().partitionId()
-        for batch in batches:
-            for first, texts in text_chunks(batch.column(1), _CHUNK_BYTES, 8192):
-                ids, off = enc.encode(texts)
-                who = batch.column(0).slice(first, len(texts))
-                own = [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [who.cast(pa.int64()), pa.array([len(x) for x in own], pa.int64()),
-                     pa.array([zlib.crc32(x.astype("<u4")) for x in own], pa.int64()), pa.array([task] * len(own), pa.int32()),
-                     pa.array(range(nth, nth + len(own)), pa.int64()), pa.array([pack_bits(x, width) for x in own], pa.large_binary())],
-                    names=["_id", "_n", "_crc", "_task", "_nth", "_packed"])
-                nth += len(own)
-        del enc
-        release()
-    return run
+        enc, end = TextEncoder(tokenizer), np.array([end_id], dtype=np.uint32)
+        task, seq, out, rows = TaskContext.get().partitionId(), 0, None, []
 
-
-def _write_files(path: str, width: int, block_ids: int, file_ids: int):
-    def run(batches):
-        task, seq, out = TaskContext.get().partitionId(), 0, None
-        rows = []
-
-        def end():
+        def close():
             out.close()
             rows.append((name, task, seq, out.n_ids, len(out.docs)))
 
         for batch in batches:
-            for doc_id, n, packed in zip(*(batch.column(c) for c in ("_id", "_n", "_packed"))):
-                if out is not None and out.n_ids and out.n_ids + n.as_py() > file_ids:
-                    end()
-                    seq, out = seq + 1, None
-                if out is None:
-                    name = f"{path}/{task:06d}-{seq:05d}-{uuid4().hex}.bits"
-                    out = FileWriter(name, width, block_ids)
-                out.add(doc_id.as_py(), unpack_bits(packed.as_buffer(), width, n.as_py()))
+            for first, texts in text_chunks(batch.column(1), _CHUNK_BYTES, 8192):
+                ids, off = enc.encode(texts)
+                who = batch.column(0).slice(first, len(texts)).to_pylist()
+                for doc_id, a, b in zip(who, off[:-1].tolist(), off[1:].tolist()):
+                    if out is not None and out.n_ids + b - a + 1 > file_ids:
+                        close()
+                        seq, out = seq + 1, None
+                    if out is None:
+                        name = f"{path}/{task:06d}-{seq:05d}-{uuid4().hex}.bits"
+                        out = FileWriter(name, width, block_ids)
+                    out.add(doc_id, np.concatenate([ids[a:b], end]))
         if out is not None:
-            end()
+            close()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["file", "_task", "_seq", "n_ids", "n_docs"])
+        del enc
         release()
     return run
 
@@ -226,14 +210,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     """
     from tokenizers import Tokenizer
     width = bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id))
-    rows = id_and_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text")
-    packed = written(rows.mapInArrow(_encode(tokenizer, end_id, width),
-                                     "_id long, _n long, _crc long, _task int, _nth long, _packed binary"), "packed")
-    order = ["_id", "_n", "_crc", "_task", "_nth"]  # the last two part rows that repeat an id, however many
+    # the hash and the place in the input part rows that repeat an id, however many
+    rows = id_and_text(docs, id_col, text_col).select(F.col("_id").cast("long").alias("_id"), "_text", F.xxhash64("_text").alias("_hash"),
+                                                      F.monotonically_increasing_id().alias("_at"))
+    order = ["_id", "_hash", "_at"]
     where, name = _store(f"{path}/files")
     where.create_dir(name, recursive=True)
-    files = (packed.repartitionByRange(*order).sortWithinPartitions(*order)
-             .mapInArrow(_write_files(f"{path}/files", width, block_ids, file_ids), "file string, _task long, _seq long, n_ids long, n_docs long"))
+    files = (rows.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
+             .mapInArrow(_write_files(f"{path}/files", tokenizer, end_id, width, block_ids, file_ids),
+                         "file string, _task long, _seq long, n_ids long, n_docs long"))
     files = written(files, "files")
     before = Window.orderBy("_task", "_seq").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     listed = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"), "n_ids", "n_docs", F.lit(width).alias("width"))

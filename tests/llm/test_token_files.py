@@ -87,25 +87,23 @@ def test_random_access_and_damage(tmp_path):
         FileReader(bad)
 
 
-def expected(rows, path=PATH, end=2):
+def expected(spark, rows, path=PATH, end=2):
     tok = Tokenizer.from_file(path)
-    out = []
-    for i, t in rows:
+    hashes = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string").selectExpr("k", "xxhash64(t) AS h")
+    hashes = {r.k: r.h for r in hashes.collect()}
+    start, out = 0, []
+    for k, (i, t) in sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, hashes[r[0]])):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [end], dtype="<u4")
-        out.append((i is not None, i or 0, len(ids), zlib.crc32(ids.tobytes()), i, ids.tolist()))
-    out.sort(key=lambda r: r[:4])
-    start, rows = 0, []
-    for _, _, n, crc, i, ids in out:
-        rows.append((i, start, n, crc, ids))
-        start += n
-    return rows
+        out.append((i, start, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
+        start += len(ids)
+    return out
 
 
 @pytest.mark.parametrize("file_ids", [1 << 25, 100])
 def test_awkward_rows(spark, file_ids):
     path = new_folder(spark, "test")
     listed = write_token_files(docs(spark, AWKWARD + [(12, t) for t in ODD]), path, PATH, block_ids=32, file_ids=file_ids)
-    want = expected(AWKWARD + [(12, t) for t in ODD])
+    want = expected(spark, AWKWARD + [(12, t) for t in ODD])
     got = sorted(read_documents(spark, path, with_ids=True).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32, list(r.ids)) for r in got] == want
     flat = [x for w in want for x in w[4]]
@@ -121,7 +119,7 @@ def test_other_vocabulary_and_hot_id(spark):
     rows = [(7, f"x{i % 9}") for i in range(300)] + [(i, "y z") for i in range(20)]
     write_token_files(docs(spark, rows), path, BYTES, end_id=50256, file_ids=40)
     got = sorted(read_documents(spark, path).collect(), key=lambda r: r.start)
-    assert [tuple(r) for r in got] == [r[:4] for r in expected(rows, BYTES, 50256)]
+    assert [tuple(r) for r in got] == [r[:4] for r in expected(spark, rows, BYTES, 50256)]
 
 
 def test_empty(spark):
@@ -135,4 +133,4 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(QUERIES["op11_token_files"](spark, sf).collect())
-    assert [tuple(r) for r in got] == [r[:4] for r in expected(rows)]
+    assert [tuple(r) for r in got] == [r[:4] for r in expected(spark, rows)]
