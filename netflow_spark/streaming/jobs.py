@@ -9,13 +9,12 @@ results appear only once the watermark passes the end of their window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import all_not_null, direction, flag, is_client, opt, with_oriented_key
 from ..functions.classify import dns_answers
@@ -66,57 +65,74 @@ _RTT_OUT = T.StructType([*(T.StructField(c, t) for c, t in [
     ("client_ip", T.StringType()), ("server_ip", T.StringType()), ("client_port", T.LongType()),
     ("server_port", T.LongType()), ("protocol", T.StringType()), ("frame_number", T.LongType()),
     ("rtt_ms", T.DoubleType())])])
-_RTT_STATE = T.StructType([
-    T.StructField("syn_ts", T.DoubleType()), T.StructField("syn_seq", T.LongType()),
-    *(T.StructField(f"p_{c}", T.ArrayType(t)) for c, t in [
-        ("ts", T.DoubleType()), ("frame", T.LongType()), ("is_syn", T.BooleanType()), ("seq", T.LongType()), ("ack", T.LongType())])])
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _watermark(state: GroupState) -> float:
-    return state.getCurrentWatermarkMs() / 1000.0
+def use_rocksdb(spark: SparkSession) -> None:
+    """The stateful jobs keep lists and timers, which Spark offers on the RocksDB state store only."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, "") != _ROCKSDB:
+        spark.conf.set(key, _ROCKSDB)
 
 
-def _wake(state: GroupState, seconds: float) -> None:
-    """Ask to be called once the watermark passes ``seconds`` (event time)."""
-    state.setTimeoutTimestamp(max(int(seconds * 1000), state.getCurrentWatermarkMs()) + 1)
+def _due_ms(seconds: float) -> int:
+    return math.ceil(seconds * 1000)
 
 
-def _rtt_state_fn(max_wait: float):
-    """Per oriented flow: rows wait until the watermark passes them and are then taken in frame
-    order, whichever micro-batch brought them. The latest client SYN is kept; a server SYN-ACK that
-    acknowledges SYN seq + 1 yields one sample and clears it. A SYN without an answer goes
+class HandshakeRtt(StatefulProcessor):
+    """Per oriented flow: rows wait in list state, each with an event-time timer of its own, until the watermark
+    passes them and are then taken in frame order, whichever micro-batch brought them. The latest client SYN is kept;
+    a server SYN-ACK that acknowledges SYN seq + 1 yields one sample and clears it. A SYN without an answer goes
     ``max_wait`` seconds after its own event time."""
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        syn_ts, syn_seq, *waiting = state.get if state.exists else (None, None, [], [], [], [], [])
-        rows = list(zip(*waiting))
-        if not state.hasTimedOut:
-            for b in batches:
-                rows += [(float(r.ts), int(r.frame_number), bool(r.is_syn), int(r.seq), int(r.ack)) for r in b.itertuples(index=False)]
-        mark = _watermark(state)
-        out = []
-        for ts, frame, is_syn, seq, ack in sorted((r for r in rows if r[0] <= mark), key=lambda r: r[1]):
+
+    def __init__(self, max_wait: float):
+        self.max_wait = max_wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts double, frame long, is_syn boolean, seq long, ack long")
+        self.syn = handle.getValueState("syn", "ts double, seq long")
+        self.done = None
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(float(r.ts), int(r.frame_number), bool(r.is_syn), int(r.seq), int(r.ack)) for r in rows]
+        self.waiting.appendList(new)
+        for ms in {_due_ms(r[0]) for r in new}:
+            self.handle.registerTimer(ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.done == (key, mark):  # the first of a flow's timers has taken all rows that are due
+            return
+        self.done = (key, mark)
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((r for r in rows if _due_ms(r[0]) < mark), key=lambda r: r[1])
+        syn_ts, syn_seq = self.syn.get() if self.syn.exists() else (None, None)
+        for ts, frame, is_syn, seq, ack in due:
             if is_syn:
                 syn_ts, syn_seq = ts, seq
             elif syn_ts is not None and ack == syn_seq + 1:
-                out.append((*key, frame, (ts - syn_ts) * 1000.0))
+                yield Row(*_RTT_OUT.names)(*key, frame, (ts - syn_ts) * 1000.0)
                 syn_ts, syn_seq = None, None
-        rows = [r for r in rows if r[0] > mark]
-        if syn_ts is not None and syn_ts + max_wait < mark:
-            syn_ts, syn_seq = None, None
-        if rows or syn_ts is not None:
-            state.update((syn_ts, syn_seq, *(list(c) for c in zip(*rows))) if rows else (syn_ts, syn_seq, [], [], [], [], []))
-            _wake(state, min([r[0] for r in rows], default=(syn_ts or 0.0) + max_wait))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in _RTT_OUT.fields])
-    return fn
+        if due:
+            left = [r for r in rows if _due_ms(r[0]) >= mark]
+            self.waiting.put(left) if left else self.waiting.clear()
+        if syn_ts is not None and _due_ms(syn_ts + self.max_wait) >= mark:
+            self.syn.update((syn_ts, syn_seq))
+            self.handle.registerTimer(_due_ms(syn_ts + self.max_wait))
+        else:
+            self.syn.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMARK, max_wait: float = 3600.0) -> DataFrame:
-    """ST3: handshake RTT samples with per-flow state (``applyInPandasWithState``, update mode).
-    Only SYN / SYN-ACK rows reach the Python state function; ``max_wait`` bounds how long a SYN
-    without an answer is kept."""
+    """ST3: handshake RTT samples with per-flow state (``transformWithState``, append mode: any sink).
+    Only SYN / SYN-ACK rows reach the Python processor; ``max_wait`` bounds how long a SYN without an answer is
+    kept. Rows without a timestamp or flow key are left out."""
+    use_rocksdb(packets.sparkSession)
     syn, ack = flag(packets, "tcp_flags_syn"), flag(packets, "tcp_flags_ack")
     c = is_client(packets)
     d = with_event_time(packets).withWatermark("event_time", watermark)
@@ -127,9 +143,8 @@ def streaming_handshake_rtt(packets: DataFrame, watermark: str = DEFAULT_WATERMA
                  F.col("timestamp").cast("double").alias("ts"), (is_client(packets) & syn & ~ack).alias("is_syn"),
                  F.coalesce(opt(packets, "tcp_sequence_number", "long").cast("long"), F.lit(0).cast("long")).alias("seq"),
                  F.coalesce(opt(packets, "tcp_acknowledgment_number", "long").cast("long"), F.lit(-1).cast("long")).alias("ack"))
-    return d.groupBy(*FLOW_KEY).applyInPandasWithState(
-        _rtt_state_fn(max_wait), outputStructType=_RTT_OUT, stateStructType=_RTT_STATE, outputMode="update",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    return d.groupBy(*FLOW_KEY).transformWithState(
+        statefulProcessor=HandshakeRtt(max_wait), outputStructType=_RTT_OUT, outputMode="Append", timeMode="EventTime")
 
 
 def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "append",
@@ -153,37 +168,39 @@ def start_to_parquet(sdf: DataFrame, out_path: str, name: str, mode: str = "appe
 _DNS_OUT = T.StructType([T.StructField("frame_number", T.LongType()), T.StructField("client", T.StringType()),
                          T.StructField("sni", T.StringType()), T.StructField("server", T.StringType()),
                          T.StructField("mismatch", T.BooleanType())])
-_DNS_STATE = T.StructType([T.StructField(f"p_{c}", T.ArrayType(t)) for c, t in [
-    ("t", T.DoubleType()), ("kind", T.IntegerType()), ("frame", T.LongType()), ("dst", T.StringType()), ("answers", T.StringType())]])
-
-
-def _dns_state_fn(max_age: float):
-    """Per client, name and slot of ``max_age`` seconds: rows wait until the watermark passes the
-    slot's end and are then taken once, in event-time order (answers before connections of the same
-    time); the state goes. A state row holds the DNS rows of two slots and the connections of one."""
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        client, name, slot = key
-        rows = list(zip(*state.get)) if state.exists else []
-        if not state.hasTimedOut:
-            for b in batches:
-                rows += [(float(r.t), int(r.kind), int(r.frame), r.dst, r.answers) for r in b.itertuples(index=False)]
-        end = (slot + 1) * max_age
-        if _watermark(state) < end:
-            state.update(tuple(list(c) for c in zip(*rows)))
-            _wake(state, end)
-            return
-        out, latest, seen = [], None, {}
-        for t, kind, frame, dst, answers in sorted(rows, key=lambda r: r[:3]):
+
+
+class DnsSni(StatefulProcessor):
+    """Per client, name and slot of ``max_age`` seconds: rows are appended to list state until the watermark passes the
+    slot's end, where one timer takes them in event-time order (answers before connections of the same time); then the
+    state goes. A slot holds the DNS rows of two slots and the connections of one."""
+
+    def __init__(self, max_age: float):
+        self.max_age = max_age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "t double, kind int, frame long, dst string, answers string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        self.rows.appendList([(float(r.t), int(r.kind), int(r.frame), r.dst, r.answers) for r in rows])
+        self.handle.registerTimer(_due_ms((key[2] + 1) * self.max_age))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        client, name, _ = key
+        rows = list(self.rows.get()) if self.rows.exists() else []
+        latest, seen = None, {}
+        for t, kind, frame, dst, answers in sorted(rows, key=lambda r: tuple(r)[:3]):
             if kind == 0:
                 for ip in filter(None, (answers or "").split(",")):
                     latest = seen[ip] = t
-            elif latest is not None and t - latest <= max_age:
-                out.append((frame, client, name, dst, not (dst in seen and t - seen[dst] <= max_age)))
-        if state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in _DNS_OUT.fields])
-    return fn
+            elif latest is not None and t - latest <= self.max_age:
+                yield Row(*_DNS_OUT.names)(frame, client, name, dst, not (dst in seen and t - seen[dst] <= self.max_age))
+        self.rows.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
@@ -191,7 +208,8 @@ def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
     """ST4: mismatch of each TLS row against the DNS answers of its (client, name) in the previous
     ``max_age`` seconds, without DNS×TLS pairs. Time is cut into slots of ``max_age``: a connection
     belongs to its own slot, a DNS row to its own and the next one, so that one slot holds all that
-    its connections need. Same rows as the batch check (update mode)."""
+    its connections need. Same rows as the batch check (``transformWithState``, append mode: any sink)."""
+    use_rocksdb(packets.sparkSession)
     if "dns_response_addresses" in packets.columns:
         ans = dns_answers(F.col("dns_response_addresses"), is_array=True)
     else:
@@ -206,6 +224,5 @@ def streaming_dns_sni(packets: DataFrame, watermark: str = DEFAULT_WATERMARK,
         F.col("source_ip").alias("client"), F.col("sni").alias("name"), slot.alias("slot"),
         "event_time", "t", F.lit(1).alias("kind"), "frame", F.col("destination_ip").alias("dst"), none.alias("answers"))
     u = dns.unionByName(tls).withWatermark("event_time", watermark)
-    return u.groupBy("client", "name", "slot").applyInPandasWithState(
-        _dns_state_fn(float(max_age)), outputStructType=_DNS_OUT, stateStructType=_DNS_STATE,
-        outputMode="update", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    return u.groupBy("client", "name", "slot").transformWithState(
+        statefulProcessor=DnsSni(float(max_age)), outputStructType=_DNS_OUT, outputMode="Append", timeMode="EventTime")

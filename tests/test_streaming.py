@@ -46,7 +46,7 @@ def test_streaming_timeline_matches_batch(spark, stream_dir):
 
 
 def test_streaming_handshake_rtt_matches_batch(spark, stream_dir):
-    out = run(spark, jobs.streaming_handshake_rtt(source(spark, stream_dir)), "st3", mode="update")
+    out = run(spark, jobs.streaming_handshake_rtt(source(spark, stream_dir)), "st3")
     batch = ordered.handshake_rtt(packets(spark, SF_SMALL))
     assert out.count() == batch.count()
     assert out.select(*batch.columns).exceptAll(batch).count() == 0
@@ -91,7 +91,7 @@ def test_start_to_parquet_resumes(spark, stream_dir, tmp_path):
 
 
 def test_streaming_dns_sni_matches_batch(spark, stream_dir):
-    out = run(spark, jobs.streaming_dns_sni(source(spark, stream_dir)), "st4s", mode="update")
+    out = run(spark, jobs.streaming_dns_sni(source(spark, stream_dir)), "st4s")
     batch = dns.dns_sni_checks(packets(spark, SF_SMALL))
     assert out.count() == batch.count() == 26
     assert out.select(*batch.columns).exceptAll(batch).count() == 0
@@ -112,11 +112,11 @@ def test_stateful_streaming_matches_batch_on_random_packets(spark, tmp_path):
         "frame_number", F.col("frame_number") + 10_000_000)
     closing.coalesce(1).write.mode("append").parquet(base)
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
-    st3 = run(spark, jobs.streaming_handshake_rtt(stream), "st3_rand", mode="update").where("frame_number < 10000000")
+    st3 = run(spark, jobs.streaming_handshake_rtt(stream), "st3_rand").where("frame_number < 10000000")
     b3 = ordered.handshake_rtt(p)
     assert st3.select(*b3.columns).exceptAll(b3).count() == 0 and b3.exceptAll(st3.select(*b3.columns)).count() == 0
     stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
-    st4 = run(spark, jobs.streaming_dns_sni(stream), "st4_rand", mode="update")
+    st4 = run(spark, jobs.streaming_dns_sni(stream), "st4_rand")
     b4 = dns.dns_sni_checks(p)
     assert b4.count() > 0
     assert st4.select(*b4.columns).exceptAll(b4).count() == 0 and b4.exceptAll(st4.select(*b4.columns)).count() == 0
@@ -136,10 +136,10 @@ def test_samples_across_many_micro_batches(spark, tmp_path):
     def stream():
         return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
     b3 = ordered.handshake_rtt(p)
-    st3 = run(spark, jobs.streaming_handshake_rtt(stream()), "st3_many", mode="update").where("frame_number < 10000000").select(*b3.columns)
+    st3 = run(spark, jobs.streaming_handshake_rtt(stream()), "st3_many").where("frame_number < 10000000").select(*b3.columns)
     assert b3.count() > 0 and st3.exceptAll(b3).count() == 0 and b3.exceptAll(st3).count() == 0
     b4 = dns.dns_sni_checks(p)
-    st4 = run(spark, jobs.streaming_dns_sni(stream()), "st4_many", mode="update").where("frame_number < 10000000").select(*b4.columns)
+    st4 = run(spark, jobs.streaming_dns_sni(stream()), "st4_many").where("frame_number < 10000000").select(*b4.columns)
     assert st4.exceptAll(b4).count() == 0 and b4.exceptAll(st4).count() == 0
 
 
@@ -154,5 +154,49 @@ def test_late_answer_in_a_later_batch(spark, tmp_path):
     for r in rows:
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(base)
     stream = spark.readStream.schema(spark.read.parquet(base).schema).option("maxFilesPerTrigger", 1).parquet(base)
-    got = run(spark, jobs.streaming_handshake_rtt(stream), "st3_late", mode="update").collect()
+    got = run(spark, jobs.streaming_handshake_rtt(stream), "st3_late").collect()
     assert [(r.client_ip, r.frame_number, r.rtt_ms) for r in got] == [("a", 4, 2500.0)]
+
+
+@pytest.mark.parametrize("job", ["rtt", "dns"])
+def test_stateful_jobs_are_stored_and_resume(spark, tmp_path, job):
+    """ST3 and ST4 through the Parquet runner: stopped half way, started again from the checkpoint, equal to batch."""
+    p = packets(spark, SF_SMALL)
+    base, out = str(tmp_path / "in"), str(tmp_path / "out")
+    make, batch = ((jobs.streaming_handshake_rtt, ordered.handshake_rtt) if job == "rtt" else (jobs.streaming_dns_sni, dns.dns_sni_checks))
+    mx = p.agg(F.max("timestamp")).first()[0] + 7200
+
+    def run_all():
+        stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 1).parquet(base)
+        q = jobs.start_to_parquet(make(stream), out, f"stored_{job}_{os.path.basename(tmp_path)}", available_now=True)
+        q.awaitTermination(300)
+        return [x["batchId"] for x in q.recentProgress]
+    for i in (2, 0):
+        p.where(f"frame_number % 4 = {i}").coalesce(1).write.mode("append").parquet(base)
+    first = run_all()
+    for i in (3, 1):
+        p.where(f"frame_number % 4 = {i}").coalesce(1).write.mode("append").parquet(base)
+    for k in (1, 2):
+        p.where("frame_number IN (1, 24)").withColumn("timestamp", F.lit(mx * 1.0 + k)).withColumn(
+            "frame_number", F.col("frame_number") + 10_000_000 * k).coalesce(1).write.mode("append").parquet(base)
+    later = run_all()
+    assert len(first) >= 2 and len(later) >= 4 and min(later) > max(first)
+    want = batch(p)
+    got = spark.read.parquet(out).where("frame_number < 10000000").select(*want.columns)
+    assert want.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_syn_without_answer_goes(spark, tmp_path):
+    """An answer that comes later than ``max_wait`` finds no SYN; the state of the flow is empty then."""
+    schema = ("frame_number long, timestamp double, source_ip string, destination_ip string, source_port long, destination_port long, protocol string, "
+              "is_source_client boolean, tcp_flags_syn boolean, tcp_flags_ack boolean, tcp_sequence_number long, tcp_acknowledgment_number long")
+    base = str(tmp_path / "in")
+    rows = [(1, 100.0, "a", "b", 7, 80, "TCP", True, True, False, 41, None), (2, 5000.0, "x", "y", 7, 80, "TCP", True, True, False, 1, None),
+            (3, 5001.0, "x", "y", 7, 80, "TCP", True, True, False, 1, None), (4, 4990.0, "b", "a", 80, 7, "TCP", False, True, True, 9, 42),
+            (5, 5002.0, "c", "d", 7, 80, "TCP", True, True, False, 8, None), (6, 5003.5, "d", "c", 80, 7, "TCP", False, True, True, 9, 9),
+            (7, 9999.0, "x", "y", 7, 80, "TCP", True, True, False, 1, None)]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(base)
+    stream = spark.readStream.schema(spark.read.parquet(base).schema).option("maxFilesPerTrigger", 1).parquet(base)
+    got = run(spark, jobs.streaming_handshake_rtt(stream, watermark="1 minute", max_wait=10.0), "st3_gone").collect()
+    assert [(r.client_ip, r.frame_number, r.rtt_ms) for r in got] == [("c", 6, 1500.0)]
