@@ -2,9 +2,9 @@
 
 * ``flow_table`` — bytes/packets per direction and start/end: one ``groupBy`` with conditional
   sums (partial aggregation absorbs elephant flows).
-* ``flow_sparklines`` — per-second byte bins, zero-filled from start to end second: a two-level
-  aggregate (flow, direction, second) → per flow ``map_from_entries``; the per-flow list is
-  bounded by the flow's duration in seconds, not by its packet count.
+* ``flow_sparklines`` — per-second byte bins, zero-filled from start to end second: an aggregate
+  per (flow, second) and the gap to the flow's next second; the per-flow list is bounded by the
+  seconds in which it has packets.
 * ``flow_summary`` — the 22-column summary with priority picks (``min_by`` with rank structs).
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import guess_l7
@@ -33,7 +33,7 @@ def _table_key(df: DataFrame) -> dict[str, Column]:
             "src_port": F.when(o, sp).otherwise(dp), "dest_port": F.when(o, dp).otherwise(sp),
             "protocol": F.coalesce(F.col("protocol"), F.lit("")), "_c2s": o,
             "_len": F.coalesce(F.col("packet_length").try_cast("double").try_cast("long"), F.lit(0).cast("long")),
-            "_ts": F.coalesce(F.col("timestamp").cast("double"), F.lit(0.0))}
+            "_ts": F.col("timestamp").cast("double")}
 
 
 def keyed(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -43,7 +43,8 @@ def keyed(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def table_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """G5 from flow facts: null key parts read ""/0, so the raw-key groups that coincide after
-    that substitution are merged by a second, per-flow-sized aggregate (no packet shuffle)."""
+    that substitution are merged by a second, per-flow-sized aggregate (no packet shuffle). Packets
+    without a timestamp count but set no time; a flow without any timestamp starts and ends at 0."""
     keys = list(keys)
     k = facts.select(
         *keys, F.coalesce(F.col("client_ip"), F.lit("")).alias("src_ip"),
@@ -55,7 +56,7 @@ def table_from_facts(facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     agg = k.groupBy(*keys, *TABLE_KEY).agg(
         F.sum("bytes_c2s").alias("bytes_c2s"), F.sum("bytes_s2c").alias("bytes_s2c"),
         F.sum("pkts_c2s").cast("long").alias("pkts_c2s"), F.sum("pkts_s2c").cast("long").alias("pkts_s2c"),
-        F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
+        F.coalesce(F.min("start_ts"), F.lit(0.0)).alias("start_ts"), F.coalesce(F.max("end_ts"), F.lit(0.0)).alias("end_ts"))
     return _finish_table(agg, keys)
 
 
@@ -75,21 +76,26 @@ def _finish_table(agg: DataFrame, keys: list[str]) -> DataFrame:
 
 def flow_sparklines(packets: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per flow, comma-joined bytes per second from the start second to the end second for
-    each direction ("" when a direction was never seen)."""
-    keys = list(keys)
+    each direction ("" when a direction was never seen).
+
+    Only the seconds seen are rows; each brings the run of zeros up to the next one (``lead``), so the work grows
+    with the packets and not with a flow's duration. Packets without a timestamp stand in no second of a flow that
+    has others; a flow without any timestamp is one second, 0."""
+    flow = [*keys, *TABLE_KEY]
     k = keyed(packets, keys).withColumn("_sec", F.col("_ts").cast("long"))
-    per_sec = k.groupBy(*keys, *TABLE_KEY, "_c2s", "_sec").agg(F.sum("_len").alias("_b"))
-    per_flow = per_sec.groupBy(*keys, *TABLE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_c2s"), F.struct("_sec", "_b")))).alias("_m_c2s"),
-        F.map_from_entries(F.collect_list(F.when(~F.col("_c2s"), F.struct("_sec", "_b")))).alias("_m_s2c"),
-        F.min("_sec").alias("_lo"), F.max("_sec").alias("_hi"))
-    secs = F.sequence(F.col("_lo"), F.col("_hi"))
-
-    def line(m: str) -> Column:
-        filled = F.transform(secs, lambda s: F.coalesce(F.col(m)[s], F.lit(0).cast("long")).cast("string"))
-        return F.when(F.size(F.col(m)) > 0, F.array_join(filled, ",")).otherwise(F.lit(""))
-    return per_flow.select(*keys, *TABLE_KEY, line("_m_c2s").alias("sparkline_bytes_c2s"),
-                           line("_m_s2c").alias("sparkline_bytes_s2c"))
+    c2s = F.col("_c2s")
+    per_sec = k.groupBy(*flow, "_sec").agg(
+        F.sum(F.when(c2s, F.col("_len")).otherwise(0)).alias("_c"), F.sum(F.when(~c2s, F.col("_len")).otherwise(0)).alias("_s"),
+        F.max(c2s).alias("_has_c"), F.max(~c2s).alias("_has_s"))
+    in_order = Window.partitionBy(*flow).orderBy(F.col("_sec").asc_nulls_last())
+    runs = per_sec.withColumns({"_next": F.lead("_sec").over(in_order), "_nth": F.row_number().over(in_order)})
+    shown = F.col("_sec").isNotNull() | (F.col("_nth") == 1)
+    zeros = F.expr("repeat(',0', cast(coalesce(_next - _sec - 1, 0) as int))")
+
+    def line(n: str, seen: str) -> Column:
+        pieces = F.array_sort(F.collect_list(F.when(shown, F.struct(F.col("_nth"), F.concat(F.col(n).cast("string"), zeros).alias("t")))))
+        return F.when(F.max(seen), F.array_join(F.transform(pieces, lambda p: p["t"]), ",")).otherwise(F.lit(""))
+    return runs.groupBy(*flow).agg(line("_c", "_has_c").alias("sparkline_bytes_c2s"), line("_s", "_has_s").alias("sparkline_bytes_s2c"))
 
 
 # ---- G10 flow summary ------------------------------------------------------------------------

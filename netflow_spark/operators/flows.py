@@ -54,7 +54,7 @@ def _table_aggs(df: DataFrame) -> list[Column]:
     """Flow-table sums (null length → 0, null time → 0.0) in the same aggregate as the signals."""
     c2s = F.coalesce(F.col("is_source_client"), F.lit(False))
     ln = F.coalesce(opt(df, "packet_length", "long").try_cast("double").try_cast("long"), F.lit(0).cast("long"))
-    ts = F.coalesce(opt(df, "timestamp", "double").cast("double"), F.lit(0.0))
+    ts = opt(df, "timestamp", "double").cast("double")  # packets without one count, but set no time
     return [F.sum(F.when(c2s, ln).otherwise(0)).alias("bytes_c2s"),
             F.sum(F.when(~c2s, ln).otherwise(0)).alias("bytes_s2c"),
             F.sum(F.when(c2s, 1).otherwise(0)).cast("long").alias("pkts_c2s"),

@@ -47,7 +47,7 @@ kd AS (
     CASE WHEN coalesce(is_source_client, false) THEN coalesce(source_port, 0) ELSE coalesce(destination_port, 0) END AS src_port,
     CASE WHEN coalesce(is_source_client, false) THEN coalesce(destination_port, 0) ELSE coalesce(source_port, 0) END AS dest_port,
     coalesce(protocol, '') AS proto, coalesce(is_source_client, false) AS c2s,
-    coalesce(packet_length, 0) AS len, coalesce(timestamp, 0.0) AS ts
+    coalesce(packet_length, 0) AS len, timestamp AS ts
   FROM packets)"""
 
 _L7 = """CASE
@@ -71,7 +71,7 @@ g AS (
     sum(CASE WHEN NOT c2s THEN len ELSE 0 END)::BIGINT AS bytes_s2c,
     sum(CASE WHEN c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_c2s,
     sum(CASE WHEN NOT c2s THEN 1 ELSE 0 END)::BIGINT AS pkts_s2c,
-    min(ts) AS start_ts, max(ts) AS end_ts
+    coalesce(min(ts), 0.0) AS start_ts, coalesce(max(ts), 0.0) AS end_ts
   FROM kd GROUP BY ALL)
 SELECT src_ip, dest_ip, src_port, dest_port, protocol, {_L7} AS l7_protocol_guess,
   bytes_c2s, bytes_s2c, bytes_c2s + bytes_s2c AS bytes_total,
@@ -79,8 +79,9 @@ SELECT src_ip, dest_ip, src_port, dest_port, protocol, {_L7} AS l7_protocol_gues
 FROM g""")
 
 oracle("flow_sparkline", "WITH " + _KEYED + """,
-s AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, c2s, CAST(trunc(ts) AS BIGINT) AS sec, sum(len)::BIGINT AS b
-      FROM kd GROUP BY ALL),
+timed AS (SELECT *, CASE WHEN max(ts) OVER (PARTITION BY src_ip, dest_ip, src_port, dest_port, proto) IS NULL THEN 0 ELSE ts END AS t FROM kd),
+s AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, c2s, CAST(trunc(t) AS BIGINT) AS sec, sum(len)::BIGINT AS b
+      FROM timed GROUP BY ALL),
 r AS (SELECT src_ip, dest_ip, src_port, dest_port, proto, min(sec) AS lo, max(sec) AS hi,
              bool_or(c2s) AS has_c, bool_or(NOT c2s) AS has_s FROM s GROUP BY ALL),
 grid AS (SELECT r.*, unnest(generate_series(lo, hi)) AS sec FROM r),

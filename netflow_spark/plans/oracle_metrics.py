@@ -267,7 +267,7 @@ _NETS = """nets AS (SELECT v.*, nation.n_name AS country FROM (VALUES
 
 
 def _octet(col: str, i: int) -> str:
-    return f"CAST(split_part({col}, '.', {i}) AS BIGINT)"
+    return f"TRY_CAST(split_part({col}, '.', {i}) AS BIGINT)"
 
 
 def _hex4(col: str) -> str:

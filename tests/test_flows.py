@@ -79,6 +79,52 @@ def test_flow_table_and_sparklines(spark):
     assert keys == {f"TCP_{DESK}:41000_{PRINTER}:80", f"TCP_{DESK}:0_{PRINTER}:0"}
 
 
+def test_packets_without_a_timestamp(spark):
+    """They count, but set no time: neither the flow's start nor a second of its sparkline. No row per second between."""
+    c = Capture()
+    say = c.talk(DESK, PRINTER, 41000, 80)
+    for at, size, back in ((1_700_000_000.5, 70, False), (None, 30, False), (1_700_000_004.0, 5, True), (None, 9, True)):
+        say(at, "", back, packet_length=size)
+    only = c.talk(DESK, NAS, 42000, 22)
+    only(None, "", False, packet_length=8)
+    only(None, "", False, packet_length=2)
+    far = c.talk(DESK, NAS, 43000, 22)
+    far(0.0, "", False, packet_length=4)
+    far(300_000.0, "", False, packet_length=6)
+    df = c.frame(spark)
+    t = {r.src_port: (r.bytes_total, r.pkts_total, r.start_ts, r.end_ts) for r in flow_table.flow_table(df).collect()}
+    assert t == {41000: (114, 4, 1_700_000_000.5, 1_700_000_004.0), 42000: (10, 2, 0.0, 0.0), 43000: (10, 2, 0.0, 300_000.0)}
+    lines = {r.src_port: (r.sparkline_bytes_c2s, r.sparkline_bytes_s2c) for r in flow_table.flow_sparklines(df).collect()}
+    assert lines[41000] == ("70,0,0,0,0", "0,0,0,0,5") and lines[42000] == ("10", "")
+    assert lines[43000] == ("4," + "0," * 299_999 + "6", "")
+
+
+def test_spike_flows_over_any_time_span(spark):
+    """Dyadic blocks against brute force; a flow from 0 to 1.7e9 makes few rows, and blocks hold each second once."""
+    import random
+
+    from netflow_spark.operators.joins import dyadic_blocks, spike_top_flows
+    rng = random.Random(8)
+    spans = [(0.0, 1.7e9), (-5.5, 3.25), (7.2, 7.9), (8.0, 8.0), (None, 9.0), (4.0, None), (float("-inf"), float("inf")), (9.0, 2.0)]
+    spans += [(a := rng.uniform(-50, 200), a + rng.choice([0.0, 0.4, 3.0, 60.0, 1e6])) for _ in range(150)]
+    flows = [(f"c{i % 3}", f"f{i:03d}", a, b, rng.randrange(40)) for i, (a, b) in enumerate(spans)]
+    seconds = [(f"c{i % 3}", s) for i, s in enumerate([-5, -1, 0, 1, 7, 8, 9, 64, 127, 128, 150, 1_000_000, 1_699_999_999, 1_700_000_001])]
+    f = spark.createDataFrame(flows, "cap string, flow string, start_ts double, end_ts double, bytes_total long")
+    s = spark.createDataFrame(seconds, "cap string, second long")
+    want = []
+    for cap, sec in seconds:
+        active = [x for x in flows if x[0] == cap and x[2] is not None and x[3] is not None and x[2] <= sec <= x[3]]
+        want += [(cap, sec, k + 1, x[1], x[4]) for k, x in enumerate(sorted(active, key=lambda x: (-x[4], x[1]))[:5])]
+    assert sorted(map(tuple, spike_top_flows(s, f, ["flow"], keys=["cap"]).collect())) == sorted(want)
+    longest = f.where("flow = 'f000'").select(F.explode(dyadic_blocks(F.col("start_ts").cast("long"), F.col("end_ts").cast("long"))).alias("b")).select("b.*").collect()
+    assert len(longest) < 100
+    at = 0
+    for level, block in sorted((tuple(r) for r in longest), key=lambda r: r[1] << r[0]):
+        assert block << level == at
+        at += 1 << level
+    assert at == 1_700_000_001
+
+
 def test_orientation(spark):
     c = Capture()
     say = c.talk(DESK, NAS, 42000, 22)
