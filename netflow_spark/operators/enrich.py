@@ -1,13 +1,9 @@
 """IP enrichment from supplied dimension tables (no live lookups).
 
-Longest-prefix matching is a range join; to keep it an equi-join with a bounded fan-out, addresses
-and networks are written as hexadecimal text (8 digits for IPv4, 32 for IPv6) and every network is
-filed in exactly one bucket: at level L = the largest step (8 bits for IPv4, 16 for IPv6) not above
-its prefix length, under the digits above L. Each *distinct* address probes one bucket per level;
-the range predicate and ``max_by(prefix length)`` pick the most specific match. However large the
-network table, an address meets only networks that share its digits above their level. Addresses are
-de-duplicated first, so the work grows with distinct addresses, not packets. AQE broadcasts the
-network side when it is small at runtime.
+Addresses and networks are written as hexadecimal text (8 digits for IPv4, 32 for IPv6). Longest-prefix
+matching flattens the networks into disjoint ranges first (``longest_prefix``), so that every *distinct*
+address takes one as-of lookup inside its bucket. Addresses are de-duplicated first, so the work grows with
+distinct addresses, not packets. AQE broadcasts the network side when it is small at runtime.
 """
 
 from __future__ import annotations
@@ -15,14 +11,11 @@ from __future__ import annotations
 import ipaddress
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import ipv4_to_long, ipv6_hextets, let
 
-# (address bits, bits of a step, highest level)
-_FAMILIES = ((32, 8, 24), (128, 16, 112))
-
 NETWORK_SCHEMA = ("network string, prefix_len int, bits int, lo string, hi string, nation_idx int, country_iso string, "
                   "city string, latitude double, longitude double, asn long, asn_org string")
 
@@ -53,27 +46,57 @@ def ip_hex(c: Column) -> Column:
     return F.when(F.coalesce(c.contains(":"), F.lit(False)), v6).otherwise(v4)
 
 
-def _bucketed(networks: DataFrame) -> DataFrame:
-    level = F.lit(None).cast("int")
-    for bits, step, top in _FAMILIES:
-        level = F.when(F.col("bits") == bits, F.least(F.floor(F.col("prefix_len") / step) * step, F.lit(top)).cast("int")).otherwise(level)
-    return networks.withColumn("_level", level).withColumn("_bucket", F.expr("substring(lo, 1, _level div 4)"))
+def _prefix(digits: Column, length: Column) -> Column:
+    """The first ``length`` bits of an address in hexadecimal digits, as digits (the last one masked)."""
+    whole, rest = F.floor(length / 4).cast("int"), (length % 4).cast("int")
+    nibble = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    mask = F.element_at(F.array(*[F.lit(m) for m in (0, 8, 12, 14)]), rest + 1)
+    return F.concat(F.substring(digits, F.lit(1), whole), F.when(rest > 0, F.lower(F.hex(nibble.bitwiseAND(mask).cast("long")))).otherwise(F.lit("")))
+
+
+def _next_address(digits: Column) -> Column:
+    """The address after one in hexadecimal digits; null after the last."""
+    head = F.rtrim(digits, F.lit("f"))
+    last = F.conv(F.substring(head, F.length(head), F.lit(1)), 16, 10).cast("long") + 1
+    return F.when(F.length(head) > 0, F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lower(F.hex(last)),
+                                               F.repeat(F.lit("0"), F.length(digits) - F.length(head))))
+
+
+def _bucket(digits: Column) -> Column:
+    """The first 16 bits of an IPv4 address, 48 of an IPv6 address, as digits."""
+    return F.when(F.length(digits) == 8, F.substring(digits, 1, 4)).otherwise(F.substring(digits, 1, 12))
 
 
 def longest_prefix(ips: DataFrame, networks: DataFrame, ip_col: str = "ip") -> DataFrame:
     """For each distinct address in ``ips[ip_col]``: the most specific covering network's columns
-    (left join: unmatched or invalid addresses get nulls)."""
-    d = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct().withColumn("_h", ip_hex(F.col("ip")))
-    levels = F.when(F.length("_h") == 8, F.array(*[F.lit(x) for x in range(0, 25, 8)])).otherwise(F.array(*[F.lit(x) for x in range(0, 113, 16)]))
-    probes = d.where(F.col("_h").isNotNull()).select("ip", "_h", (F.length("_h") * 4).alias("_bits"), F.explode(levels).alias("_level"))
-    probes = probes.withColumn("_bucket", F.expr("substring(_h, 1, _level div 4)"))
-    nb = _bucketed(networks)
-    cols = [c for c in networks.columns if c not in ("bits", "lo", "hi")]
-    m = probes.join(nb, (probes["_bits"] == nb["bits"]) & (probes["_level"] == nb["_level"]) & (probes["_bucket"] == nb["_bucket"])
-                    & probes["_h"].between(nb["lo"], nb["hi"]), "inner")
-    best = m.groupBy(probes["ip"]).agg(F.max_by(F.struct(*[nb[c] for c in cols]), nb["prefix_len"]).alias("_n"))
-    out = d.select("ip").join(best, "ip", "left")
-    return out.select("ip", *[F.col(f"_n.{c}").alias(c) for c in cols])
+    (left join: unmatched or invalid addresses get nulls).
+
+    Nested networks are first flattened into disjoint ranges: a range begins at a network's first address, behind its
+    last one, or where a bucket of addresses that are asked for begins (/16, /48); which network a range belongs to
+    is found by an equi-join on the prefixes of its first address, one for each prefix length that the networks have
+    (at most 162 lengths). Every address then takes one as-of lookup: the range that begins last at or before it in
+    its bucket. Only ranges of buckets that are asked for are flattened."""
+    net = [c for c in networks.columns if c not in ("bits", "lo", "hi")]
+    # an aggregate around the digits: else the optimizer copies the long expression into every use
+    d = ips.select(F.col(ip_col).alias("ip")).where(F.col("ip").isNotNull()).distinct().groupBy("ip").agg(F.first(ip_hex(F.col("ip"))).alias("_h"))
+    # what is no address lies in buckets without ranges
+    bucket = F.coalesce(_bucket(F.col("_h")), F.concat(F.lit("!"), F.pmod(F.xxhash64("ip"), F.lit(4096)).cast("string")))
+    d = d.select("ip", F.coalesce("_h", F.lit("")).alias("_h"), F.coalesce(F.length("_h") * 4, F.lit(0)).alias("_bits"), bucket.alias("_bucket"))
+    asked = d.select("_bits", "_bucket").distinct()
+    ends = networks.select(F.col("bits").alias("_bits"), F.explode(F.array("lo", _next_address(F.col("hi")))).alias("_h")).where("_h is not null")
+    starts = ends.distinct().withColumn("_bucket", _bucket(F.col("_h"))).join(asked, ["_bits", "_bucket"], "left_semi")
+    starts = starts.unionByName(asked.where("_bits > 0").select("_bits", "_bucket", F.rpad("_bucket", F.expr("_bits div 4"), F.lit("0")).alias("_h"))).distinct()
+    lengths = networks.select(F.col("bits").alias("_bits"), F.col("prefix_len").alias("_len")).distinct()
+    probes = starts.join(F.broadcast(lengths), "_bits").withColumn("_prefix", _prefix(F.col("_h"), F.col("_len")))
+    owners = networks.select(F.col("bits").alias("_bits"), F.col("prefix_len").alias("_len"), _prefix(F.col("lo"), F.col("prefix_len")).alias("_prefix"),
+                             F.struct(*net).alias("_n"))
+    best = F.max_by("_n", F.when(F.col("_n").isNotNull(), F.struct("_len", F.col("_n.network")))).alias("_n")  # null where no network reaches
+    ranges = probes.join(owners, ["_bits", "_len", "_prefix"], "left").groupBy("_bits", "_bucket", "_h").agg(best)
+    ranges = ranges.select("_bits", "_bucket", "_h", F.struct("_n").alias("_range"), F.lit(None).cast("string").alias("ip"))
+    both = ranges.unionByName(d.select("_bits", "_bucket", "_h", F.lit(None).cast(ranges.schema["_range"].dataType).alias("_range"), "ip"))
+    in_order = Window.partitionBy("_bits", "_bucket").orderBy("_h", F.col("ip").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_at", F.last("_range", ignorenulls=True).over(in_order)).where(F.col("ip").isNotNull())
+    return found.select("ip", *[F.col(f"_at._n.{c}").alias(c) for c in net])
 
 
 def ip_geo(ips: DataFrame, networks: DataFrame, ip_col: str = "ip") -> DataFrame:
