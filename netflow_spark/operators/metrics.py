@@ -81,7 +81,8 @@ def spikes(tl: DataFrame, value: str = "bytes", sigma: float = SPIKE_SIGMA, keys
     keys = list(keys)
     stats = tl.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"),
                                   F.count_distinct(value).alias("_nd"))
-    j = tl.join(F.broadcast(stats), keys, "inner") if keys else tl.crossJoin(F.broadcast(stats))
+    # without keys one row; with keys a row per group, which grows with the data
+    j = tl.join(stats, keys, "inner") if keys else tl.crossJoin(F.broadcast(stats))
     thr = F.col("_mean") + F.lit(sigma) * F.col("_std")
     return j.where((F.col("_nd") > 1) & (F.col("_std") > 0) & (F.col(value) > thr)).drop("_mean", "_std", "_nd")
 

@@ -117,6 +117,47 @@ def test_command_line(spark, tmp_path):
     assert callable(netflow_spark.tag_flows) and callable(netflow_spark.run_steps)
 
 
+def test_captures_to_table_and_report(spark, tmp_path, capsys):
+    """``parse`` appends captures to one table; ``report`` writes every report of it."""
+    import json
+
+    from netflow_spark.__main__ import main
+    from netflow_spark.plans.bundle import metrics_bundle
+    from netflow_spark.operators.orient import ensure_direction
+    from tests.test_capture import _frames, pcap, pcapng
+    folder, table, report = tmp_path / "captures", str(tmp_path / "packets.parquet"), str(tmp_path / "report")
+    folder.mkdir()
+    (folder / "a.pcap").write_bytes(pcap(_frames()))
+    (folder / "b.pcapng").write_bytes(pcapng(_frames()[:3]))
+    assert main(["parse", "--in", str(folder), "--out", table], spark=spark) == 0
+    more = tmp_path / "c.pcap"
+    more.write_bytes(pcap(_frames()) + b"\1\2\3")
+    assert main(["parse", "--in", str(more), "--out", table], spark=spark) == 1
+    assert "CaptureError" in capsys.readouterr().err
+    assert main(["parse", "--in", str(more), "--out", table, "--on-bad", "skip"], spark=spark) == 0
+    stored = io.read_packets(spark, table)
+    n = len(_frames())
+    assert sorted(r["count"] for r in stored.groupBy("capture_file").count().collect()) == [3, n, n] and "data" not in stored.columns
+    assert main(["report", "--in", table, "--out", report, "--keys", "capture_file"], spark=spark) == 0
+    written = spark.read.option("wholetext", False).text(report)
+    bundle = metrics_bundle(ensure_direction(stored, ["capture_file"]), keys=["capture_file"])
+    counts = {r["report"]: r["count"] for r in written.groupBy("report").count().collect()}
+    for name in ("capture_info", "protocols", "flow_dispositions", "timeline_data"):
+        assert counts[name] == bundle[name].count()
+    infos = [json.loads(r.value) for r in written.where("report = 'capture_info'").collect()]
+    assert len(infos) == 3 and all(i["capture_file"] for i in infos)
+
+
+def test_numbers_given_to_frames_are_one_set(spark, tmp_path):
+    """Packets without frame numbers get them once, whichever branch of a plan reads them."""
+    from netflow_spark.__main__ import _packets
+    src = str(tmp_path / "in.parquet")
+    office().frame(spark).drop("frame_number").repartition(5).write.parquet(src)
+    p = _packets(spark, src, [])
+    a, b = (p.repartition(k).select("frame_number", "timestamp", "source_ip").distinct() for k in (1, 3))
+    assert a.count() == p.count() and a.exceptAll(b).count() == 0
+
+
 def test_read_packets_json(spark, tmp_path):
     p = tmp_path / "pk.json"
     p.write_text('{"frame_number": 1, "timestamp": 1.5, "source_ip": "10.0.0.1", "destination_ip": "8.8.8.8", '
