@@ -186,14 +186,16 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, hidden: int = 32, epo
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", max_train: int = 20_000) -> tuple[Model, DataFrame]:
-    """The model, and the written feature rows of all documents. ``max_train`` bounds the labelled rows that are fitted."""
+    """The model, and the written feature rows of all documents. At most ``max_train`` labelled rows are fitted and reach
+    the driver, chosen by the hash of their ids; of rows that repeat an id one is (with the smallest features)."""
     vectors = word_vectors(docs, text_col)
     feats = written(features(docs, vectors, id_col, text_col), "features")
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
              .groupBy("id").agg(F.max("y").alias("y")).where(~held_out(F.col("id"))))
     share = min(1.0, max_train / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = feats.join(some, "id").orderBy("id").toPandas()
+    one_each = feats.join(some, "id").groupBy("id", "y").agg(F.min("f").alias("f"))
+    rows = one_each.orderBy(F.xxhash64("id"), "id").limit(max_train).toPandas().sort_values("id")
     x = _unpack(rows["f"]) if len(rows) else np.zeros((0, WIDTH), dtype=np.float32)
     return fit(x, rows["y"].to_numpy(), vectors), feats
 

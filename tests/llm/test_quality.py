@@ -1,3 +1,4 @@
+import numpy as np
 from cases import AWKWARD, docs
 
 from netflow_spark.llm.quality import keep_good, quality_scores
@@ -45,3 +46,16 @@ def test_keep_good_keeps_columns(spark):
     got = keep_good(df, spark.createDataFrame([], LABELS))
     assert got.columns == df.columns and got.count() == len(AWKWARD)
     assert keep_good(docs(spark, []), spark.createDataFrame([], LABELS)).count() == 0
+
+
+def test_max_train_bounds_the_fitted_rows(spark, monkeypatch):
+    """Repeated ids and more labels than ``max_train``: no more rows reach the driver."""
+    from netflow_spark.llm import quality
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, vectors: seen.append((len(x), len(y))) or quality.Model(
+        vectors, *[np.zeros(quality.WIDTH)] * 2, np.zeros((quality.WIDTH, 4)), *[np.zeros(4)] * 2, 0.0, 1.0))
+    rows = docs(spark, [(1, f"word{i} and more") for i in range(300)] + [(i, f"other {i}") for i in range(2, 400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)], "doc_id long, quality int")
+    quality.train(rows, labels, max_train=10)
+    quality.train(rows, labels.where("doc_id < 3"), max_train=10)
+    assert all(a == b for a, b in seen) and 1 <= seen[0][0] <= 10 and seen[1][0] <= 2
