@@ -12,12 +12,13 @@ one global order (rare n-grams first, so that common passages separate nothing):
 * Windows: if the first ``k`` n-grams of x are missing in y, then ``d(x, y) >= k / |x|``. So x is
   replicated to the regions of its first ``floor(r |x|) + 1`` n-grams, and linked documents meet in
   the region of the first n-gram they share there.
-* Recursion: inside a region a document is the next pivot. All others are compared with it; what
-  lies within ``r`` is linked to it, and as only reachability is asked for, documents already in one
-  component are never compared again. A region whose documents are all in one component is
-  finished, however large. The others recurse around a pivot outside of the first one's component.
-  What is then still in different components is compared pair by pair, if sizes, places
-  in the order and distances to the region's pivots (triangle inequality) allow a link at all.
+* Recursion: inside a region the document with the fewest n-grams before the region's is the next
+  pivot. All others are compared with it; what lies within ``r`` is linked to it, and as only
+  reachability is asked for, documents already in one component are never compared again. The
+  pivot then leaves, and so do documents that sizes and places in the order keep from a link to any
+  other component. A region whose documents are all in one component is finished, however large.
+  A crowded one recurs around its next pivot; one with few pairs between components a document is
+  compared pair by pair, if distances to the pivot (triangle inequality) allow a link at all.
 * All comparisons are screened first by the documents' distances to fixed parts of the set of all
   n-grams, which by the triangle inequality can't differ by more than the documents themselves.
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import FILTER_BITS, bloom_words, id_and_text, is_empty, mark_members, written
-from .regions import link_regions, sizes_allow
+from .regions import link_regions, most_size, sizes_allow
 from .words import mix, release, text_chunks, words_of
 
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,15 +223,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = reps.select(F.col("_id").alias("x"), "n", F.posexplode("grams").alias("place", "g")).select(
         "g", "x", (F.shiftleft(F.col("n"), 24) + F.col("place")).alias("np"))
     size_of, place_of = F.shiftright("np", 24), F.col("np").bitwiseAND((1 << 24) - 1)
-    held = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("_k"), F.min("x").alias("pivot"), F.max("x").alias("_last"),
-                                   F.min(size_of).alias("_n1"), F.max(size_of).alias("_n2"), F.min(size_of - place_of).alias("_most"))
+    most = most_size(size_of, place_of, percent)
+    held = tokens.groupBy("g").agg(F.count(F.lit(1)).alias("_k"), F.min("x").alias("_first"), F.max("x").alias("_last"),
+                                   F.min(F.struct(place_of.alias("place"), F.col("x"), size_of.alias("n"))).alias("p"),
+                                   F.min(size_of).alias("_n1"), F.max(size_of).alias("_n2"), F.min(size_of - place_of).alias("_most"), F.max(most).alias("hi"))
     # a region of two documents whose sizes or places rule out a link (the first n-gram they share is tried in its own region)
     apart = (F.col("_k") == 2) & (~sizes_allow("_n1", "_n2", percent) | ((100 + percent) * F.col("_most") < percent * (F.col("_n1") + F.col("_n2"))))
     # written, so that both sides of the join are shuffled anew and a common n-gram's region can be split
-    shared = written(held.where(F.col("pivot") != F.col("_last")).where(~apart).select("g", "pivot"), "shared")
+    shared = written(held.where("_first <> _last").where(~apart).select("g", F.col("p.x").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.place").alias("pplace"), F.col("_n1").alias("lo"), "hi"), "shared")
     common = written(bloom_words(shared, "g", filter_bits), "bloom")
     met = mark_members(tokens, F.col("g"), common, "_met", filter_bits).where("_met").drop("_met")
-    regions = written(met.join(shared, "g").select("g", "x", size_of.alias("n"), place_of.alias("place"), "pivot"), "regions")
+    # a document whose region holds none small enough for its place, or none whose place allows its size, has no link there
+    met = met.join(shared, "g").where((F.col("lo") <= most) & (F.col("hi") >= size_of))
+    regions = written(met.select("g", "x", size_of.alias("n"), place_of.alias("place"), "pivot", "pn", "pplace"), "regions")
     compare = _comparer(texts, rows.where("n > 0 and _id is not null"), size, percent, filter_bits)
     comp = written(link_regions(regions, compare, percent), "components")
 

@@ -143,7 +143,8 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = written(mark_members(reps, F.col("x"), some, "_met", filter_bits).where("_met").select("x", "line")
                     .join(members, "x", "left_semi").dropDuplicates(["x"]), "texts")
     # number of shingle positions bounds the set's size from above only, so sizes rule nothing out: n is 1 for all
-    regions = written(met.select("g", "x", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("place"), "pivot"), "regions")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    regions = written(met.select("g", "x", one.alias("n"), none.alias("place"), "pivot", one.alias("pn"), none.alias("pplace")), "regions")
 
     def compare(pairs: DataFrame) -> DataFrame:
         ta, tb = (texts.select(F.col("x").alias(c), F.col("line").alias(f"t{c}")) for c in "ab")

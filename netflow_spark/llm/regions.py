@@ -2,7 +2,8 @@
 
 A region is a set of items that may be linked; two linked items share at least one region, and the
 links' distance is a metric. Only reachability is asked for: inside a region an item is the pivot,
-all others are compared with it, and items already in one component are never compared again.
+all others are compared with it, and items already in one component are never compared again; what
+may still be linked goes on with another pivot.
 """
 
 from __future__ import annotations
@@ -14,61 +15,94 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
+#: A region is compared pair by pair once its pairs between components are at most this many a member.
+PAIRS_A_MEMBER = 64
+
 
 def sizes_allow(a: str, b: str, percent: int) -> Column:
     """Sets of such sizes can reach a Jaccard similarity of ``percent``."""
     return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
 
 
-def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def places_allow(na: str, pa: str, nb: str, pb: str, percent: int) -> Column:
+    """Sets of such sizes can reach it though the members before the given places are not in common."""
+    in_common = F.least(F.col(na) - F.col(pa), F.col(nb) - F.col(pb))
+    return (100 + percent) * in_common >= percent * (F.col(na) + F.col(nb))
+
+
+def most_size(n: Column, place: Column, percent: int) -> Column:
+    """The largest size of a set that one of size ``n`` may be linked to, without the members before ``place``."""
+    return F.floor(((100 + percent) * (n - place) - percent * n) / percent)
+
+
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """The ``rows`` (g, x, n, place, c, ...) that may be linked to a row of another component of their region.
+
+    By sizes alone: the smallest set of another component must not be too large for x (``most``), and
+    the largest size that one of another component allows must not be below that of x.
+    """
+    rows = rows.withColumn("_most", most_size(F.col("n"), F.col("place"), percent))
+    per = written(rows.groupBy("g", "c").agg(F.min("n").alias("n"), F.max("_most").alias("most")), "per_component")
+    ends = per.groupBy("g").agg(F.min(F.struct("n", "c")).alias("lo"), F.max(F.struct("most", "c")).alias("hi"), F.min("c").alias("_c1"), F.max("c").alias("_c2"))
+    ends = written(ends.where("_c1 <> _c2").select("g", "lo", "hi"), "ends")
+    others = per.join(ends, "g").groupBy("g", "lo", "hi").agg(F.min(F.expr("if(c <> lo.c, n, null)")).alias("n2"), F.max(F.expr("if(c <> hi.c, most, null)")).alias("most2"))
+    bounds = written(others, "bounds")
+    smallest, largest = F.expr("if(c = lo.c, n2, lo.n)"), F.expr("if(c = hi.c, most2, hi.most)")
+    met = rows.join(bounds, "g").where((smallest <= F.col("_most")) & (largest >= F.col("n")) & (100 * F.col("_most") >= percent * F.col("n")))
+    return met.drop("_most", "lo", "hi", "n2", "most2")
+
+
+def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int,
+                 pairs_a_member: int = PAIRS_A_MEMBER) -> DataFrame:
     """``(node, component)`` of the items that are linked to others.
 
-    ``regions``: written rows ``(g, x, n, place, pivot)``, item ``x`` with set size ``n`` in region ``g``;
-    ``place`` members of x come before those that the region may hold in common, and ``pivot`` is the
-    region's smallest item. ``compare`` gives ``(a, b, d, linked)`` of pairs ``(a, b)``.
+    ``regions``: written rows ``(g, x, n, place, pivot, pn, pplace)``, item ``x`` with set size ``n`` in
+    region ``g``; ``place`` members of x come before those that the region may hold in common, and
+    ``pivot`` (size ``pn``, place ``pplace``) is the region's item of the least place, then name: the one
+    with the fewest members of its own, near which the others lie. ``compare`` gives
+    ``(a, b, d, linked)`` of pairs ``(a, b)``.
 
-    Two rounds of pivots: the smallest item, then the smallest one outside of the first one's
-    component. A region whose items are all in one component is finished, however large. What is then
-    still in different components is compared pair by pair, if sizes, places and distances to the
-    region's pivots allow a link at all.
+    In rounds, a region's items are compared with its pivot and the pivot leaves the region. So do
+    items whose size and place rule out a link to every item of another component. A region of one
+    component is finished, however large. A crowded one goes on with the next pivot, which is compared
+    with the items outside of its component. A region with at most ``pairs_a_member`` pairs between
+    components a member is compared pair by pair, if sizes, places and distances to the
+    pivot allow a link. Rounds go on as long as each leaves crowded regions at most half of
+    their rows; after a round that does not, pivots gain nothing and the pairs of all regions are compared.
     """
-    sizes = regions.select(F.col("x").alias("pivot"), F.col("n").alias("pn")).distinct()
-
-    def around(rows: DataFrame) -> DataFrame:
-        """Distances to the pivots, each pair once, if sizes allow a link."""
-        pairs = rows.where("x <> pivot").select("x", "n", "pivot").distinct().join(sizes, "pivot")
-        pairs = written(pairs.where(sizes_allow("n", "pn", percent)).select(F.col("x").alias("a"), F.col("pivot").alias("b")), "pairs")
-        return written(compare(pairs), "distances")
-
-    def unfinished(edges: DataFrame, rows: DataFrame) -> DataFrame:
-        """``rows`` with the component ``c`` of each x, of the regions that still hold several."""
-        comp = written(components(edges), "components")
-        named = rows.join(comp.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left")
-        named = written(named.withColumn("c", F.coalesce("c", "x")), "named")
-        mixed = named.groupBy("g").agg(F.min("c").alias("_c1"), F.max("c").alias("_c2")).where("_c1 <> _c2").select("g")
-        return written(named.join(written(mixed, "mixed"), "g", "left_semi"), "unfinished")
-
-    one = around(regions)
-    edges = one.where("linked").select("a", "b")
-    rest = unfinished(edges, regions)
-    pivot_c = rest.where("x = pivot").select("g", F.col("c").alias("pc"))
-    second = written(rest.join(pivot_c, "g").where("c <> pc").groupBy("g").agg(F.min("x").alias("pivot2")), "pivots")
-    rest = written(rest.join(second, "g"), "second")
-    pivot_c = rest.where("x = pivot2").select("g", F.col("c").alias("pc"))
-    two = around(rest.join(pivot_c, "g").where("c <> pc").select("g", "x", "n", F.col("pivot2").alias("pivot")))
-    edges = written(edges.unionByName(two.where("linked").select("a", "b")), "links")
-    last = unfinished(edges, rest.drop("c"))
-    d1 = one.select(F.col("a").alias("x"), F.col("b").alias("pivot"), F.col("d").alias("d1"))
-    d2 = two.select(F.col("a").alias("x"), F.col("b").alias("pivot2"), F.col("d").alias("d2"))
-    last = written(last.where("x <> pivot and x <> pivot2").join(d1, ["x", "pivot"], "left").join(d2, ["x", "pivot2"], "left"), "last")
-    r = 1 - percent / 100 + 1e-9
-    left, right = (last.select("g", *[F.col(c).alias(f"{c}{s}") for c in ("x", "n", "place", "c", "d1", "d2")]) for s in "ab")
-    in_common = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
-    pairs = (left.join(right, "g").where("ca <> cb and xa < xb").where(sizes_allow("na", "nb", percent))
-             .where((100 + percent) * in_common >= percent * (F.col("na") + F.col("nb")))
-             .where(" and ".join(f"coalesce(abs({d}a - {d}b) <= {r}, true)" for d in ("d1", "d2")))
+    rows, links, close, rest = regions.withColumns({"c": F.col("x"), "pc": F.col("pivot")}), None, [], []
+    before, last = None, False
+    while not last:
+        pairs = (rows.where("x <> pivot and c <> pc").where(sizes_allow("n", "pn", percent)).where(places_allow("n", "place", "pn", "pplace", percent))
+                 .select(F.col("x").alias("a"), F.col("pivot").alias("b")).distinct())
+        close.append(written(compare(written(pairs, "pairs")), "distances"))
+        found = close[-1].where("linked").select("a", "b")
+        links = written(components(found if links is None else links.unionByName(found)), "components").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        others = rows.where("x <> pivot").select("g", "x", "n", "place", "pivot")
+        named = others.join(links.select(F.col("a").alias("x"), F.col("b").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
+        rows = written(with_partners(written(named, "named"), percent), "partners")
+        state = (rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("place", "x", "n")).alias("p"))
+                 .groupBy("g").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min(F.struct("p", "c")).alias("p"))
+                 .where("k * k > same").withColumn("crowded", F.expr(f"(k * k - same) / 2 > {pairs_a_member} * k")))
+        state = written(state.select("g", "k", "crowded", F.col("p.p.x").alias("_pivot"), F.col("p.p.n").alias("pn"), F.col("p.p.place").alias("pplace"), F.col("p.c").alias("pc")), "state")
+        size = state.where("crowded").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+        last = size == 0 or (before is not None and 2 * size > before)
+        rest.append(rows.join(state.where(F.lit(last) | ~F.col("crowded")).select("g"), "g").select("g", "x", "n", "place", "pivot"))
+        if not last:
+            before = size
+            rows = written(rows.drop("pivot").join(state.where("crowded").drop("crowded", "k"), "g").withColumnRenamed("_pivot", "pivot"), "crowded")
+    left = rest[0]
+    known = close[0]
+    for r, k in zip(rest[1:], close[1:]):
+        left, known = left.unionByName(r), known.unionByName(k)
+    known = written(known.select("a", "b", "d").dropDuplicates(["a", "b"]), "known")
+    left = left.join(links.select(F.col("a").alias("x"), F.col("b").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
+    left = written(left.join(known.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d"), ["x", "pivot"], "left"), "left")
+    one, two = (left.select("g", *[F.col(c).alias(f"{c}{s}") for c in ("x", "n", "place", "c", "d")]) for s in "ab")
+    pairs = (one.join(two, "g").where("ca <> cb and xa < xb").where(sizes_allow("na", "nb", percent))
+             .where(places_allow("na", "placea", "nb", "placeb", percent))
+             .where(f"coalesce(abs(da - db) <= {1 - percent / 100 + 1e-9}, true)")
              .select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct())
-    done = one.select("a", "b").unionByName(two.select("a", "b"))
-    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    three = compare(written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")).where("linked").select("a", "b")
-    return components(written(edges.unionByName(three), "links"))
+    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = compare(written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")).where("linked").select("a", "b")
+    return components(written(links.unionByName(found), "links"))

@@ -1,8 +1,10 @@
+import functools
 import random
 
 import pytest
 from cases import AWKWARD, docs, groups, shingles
 
+from netflow_spark.llm import jaccard_join, regions
 from netflow_spark.llm.jaccard_join import drop_near_copies, jaccard_components
 
 
@@ -25,9 +27,11 @@ def edited(rng, words, n):
     return out
 
 
-@pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (1, 50)])
-def test_random_against_brute_force(spark, size, percent):
-    """Chains of edits around the threshold, shared passages, a large group of copies and near copies."""
+@pytest.mark.parametrize("size,percent,pairs_a_member", [(4, 85, 64), (5, 80, 0), (1, 50, 0)])
+def test_random_against_brute_force(spark, monkeypatch, size, percent, pairs_a_member):
+    """Chains of edits around the threshold, shared passages, a large group of copies and near copies; with no
+    pairs a member, regions take rounds of pivots as long as these get on."""
+    monkeypatch.setattr(jaccard_join, "link_regions", functools.partial(regions.link_regions, pairs_a_member=pairs_a_member))
     rng = random.Random(size)
     vocabulary = [f"v{i}" for i in range(60)]
     passage = [rng.choice(vocabulary) for _ in range(30)]
@@ -69,3 +73,18 @@ def test_dropping_keeps_one_of_each_group(spark):
 def test_empty(spark):
     assert jaccard_components(docs(spark, [])).count() == 0
     assert drop_near_copies(docs(spark, [(1, None), (2, "")])).count() == 2
+
+
+def test_rows_without_a_partner_leave_their_region(spark):
+    """By sizes and places, compared with all pairs: nobody with a possible partner of another component leaves."""
+    rng = random.Random(3)
+    rows = [(g, x, n, rng.randrange(0, n // 3 + 1), rng.randrange(4)) for g in range(30) for x in range(rng.randrange(1, 9)) for n in [rng.randrange(3, 60)]]
+    df = spark.createDataFrame(rows, "g long, x long, n long, place long, c long")
+    kept = {(r.g, r.x) for r in regions.with_partners(df, 80).collect()}
+
+    def may_link(a, b):
+        return (100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])
+                and 180 * min(a[2] - a[3], b[2] - b[3]) >= 80 * (a[2] + b[2]))
+
+    needed = {a[:2] for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and may_link(a, b)}
+    assert needed and needed <= kept and len(kept) < len(rows)
