@@ -51,4 +51,4 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "ngram_jaccard_join", "secret_scan", "best_fit_packing"]
     import __spark_entry__
     names = __spark_entry__.queries()
-    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names if re.match(r"op\d+_", n)) == list(range(1, 14))
