@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .words import released
 
 #: Bits of one half of the Bloom filter: at most 2 * 2**26 / 64 words of 16 bytes (32 MB) are broadcast.
 FILTER_BITS = 1 << 26
@@ -35,6 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """What is run inside gets its Arrow batches in at most so many rows: a Python worker holds two of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    least = min(rows, int(before)) if int(before) > 0 else rows
+    spark.conf.set(key, str(least))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -112,7 +127,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``component`` is the smallest node reachable. Self-links and repeated links are allowed.
     """
     down = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b")
-    e = written(down.mapInArrow(_local_forest, "a long, b long"), "edges")
+    e = written(down.mapInArrow(released(_local_forest), "a long, b long"), "edges")
     nodes = edges.select(F.explode(F.array(F.col("a").cast("long"), F.col("b").cast("long"))).alias("node")).distinct()
     labels = nodes.select("node", F.col("node").alias("component"))
     for _ in range(max_rounds):
@@ -134,5 +149,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         between = (e.join(pa, "a", "left").join(pb, "b", "left")
                    .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y"))
         e = written(between.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-                    .mapInArrow(_local_forest, "a long, b long"), "edges")
+                    .mapInArrow(released(_local_forest), "a long, b long"), "edges")
     raise RuntimeError("components did not converge")

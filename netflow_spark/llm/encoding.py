@@ -121,33 +121,48 @@ class TextEncoder:
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(off[-1])), off
         data, off = raw(texts)
         kind, low = _CLASS[data], _LOWER[data]
+        at = np.int32 if len(data) < 1 << 31 else np.int64
         second = np.flatnonzero(data == _LATIN_LEAD) + 1
         byte = data[second]
         kind[second[(byte != _TIMES) & (byte != _DIVIDE)]] = _LETTER
         low[second[(byte < _SHARP_S) & (byte != _TIMES)]] += 32
+        del second, byte
         inside = kind != _SPACE
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        del edge
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
         odd = np.maximum.reduceat(kind, starts) == _ODD
         for a, b in zip(starts[odd].tolist(), ends[odd].tolist()):
             kind[a:b] = _ODD
+        del starts, ends, odd
         cut = np.empty(len(kind), dtype=bool)
         cut[0] = True
         np.not_equal(kind[1:], kind[:-1], out=cut[1:])
         cut |= kind == _DIGIT
-        first = np.flatnonzero(cut & inside)
+        cut &= inside
+        first = np.flatnonzero(cut).astype(at)
+        del cut
         kept = np.where(kind == _ODD, data, low)[inside]
-        place = np.cumsum(inside, dtype=np.int32)[first] - 1
-        bounds = np.append(place, len(kept)).astype(np.int64)
+        odd = kind[first] == _ODD
+        del kind, low
+        bounds = np.empty(len(first) + 1, dtype=np.int64)
+        bounds[:-1] = np.cumsum(inside, dtype=at)[first]
+        bounds[:-1] -= 1
+        bounds[-1] = len(kept)
+        del inside
         pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(kept)).dictionary_encode()
+        del bounds, kept
         code = pieces.indices.to_numpy()
         is_odd = np.zeros(len(pieces.dictionary), dtype=bool)
-        is_odd[code] = kind[first] == _ODD
-        slots = self._slots_of(pieces.dictionary.to_pylist(), is_odd)[code]
-        n = self.size[slots]
-        done = np.cumsum(n)
-        ids = self.flat[np.repeat(self.base[slots] - (done - n), n) + np.arange(done[-1])]
-        per_text = np.bincount(np.searchsorted(off, first, side="right") - 1, weights=n, minlength=len(texts)).astype(np.int64)
-        return ids, np.concatenate([[0], np.cumsum(per_text)])
+        is_odd[code] = odd
+        slots = self._slots_of(pieces.dictionary.to_pylist(), is_odd)
+        del pieces, odd, is_odd
+        n = self.size[slots][code]
+        done = np.concatenate([[0], np.cumsum(n)])  # ids before each piece
+        per_text = np.diff(done[np.searchsorted(first, off.astype(at))])
+        del first
+        source = np.repeat(self.base[slots][code] - done[:-1], n)
+        source += np.arange(done[-1])
+        return self.flat[source], np.concatenate([[0], np.cumsum(per_text)])

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import FILTER_BITS, bloom_words, id_and_text, is_empty, mark_members, written
 from .regions import link_regions, most_size, sizes_allow
-from .words import mix, release, text_chunks, words_of
+from .words import mix, released, text_chunks, words_of
 
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HEAVY_PER_TASK, HEAVY_TOTAL = 1 << 17, 1 << 19
@@ -97,8 +97,7 @@ def _count_frequent(size: int):
             keys, counts = merge(keys, counts, more)
         keep = counts >= 2
         yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], names=["g", "n"])
-        release()
-    return run
+    return released(run)
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +137,7 @@ def _windows(size: int, percent: int, heavy: np.ndarray, times: np.ndarray):
                     [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(windows).view(np.int64)))],
                     names=["_id", "n", "print", "sketch", "grams"])
-        release()
-    return run
+    return released(run)
 
 
 def _screen(percent: int):
@@ -154,7 +152,7 @@ def _screen(percent: int):
             # |x and y| >= p (|x| + |y|) / (100 + p), so the sets differ in (100 - p) (|x| + |y|) / (100 + p) members at most
             near = np.abs(x - y).sum(axis=1) * (100 + percent) <= (100 - percent) * sizes
             yield b.select([0, 1]).filter(pa.array(near))
-    return run
+    return released(run)
 
 
 def _compare(size: int, percent: int):
@@ -177,8 +175,7 @@ def _compare(size: int, percent: int):
                 linked.append(100 * both >= percent * union)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())],
                                              names=["a", "b", "d", "linked"])
-        release()
-    return run
+    return released(run)
 
 
 def _comparer(texts: DataFrame, rows: DataFrame, size: int, percent: int, filter_bits: int):

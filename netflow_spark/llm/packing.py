@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import arrow_batches, id_and_text, written
 from .encoding import TextEncoder
-from .words import release, text_chunks
+from .words import released, text_chunks
 
 CAPACITY, END_ID = 4096, 1
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES, _BATCH_ROWS = 1 << 20, 1000
 
 
 def _piece_maker(path: str, capacity: int, end_id: int, keep_ids: bool):
@@ -59,9 +59,9 @@ def _piece_maker(path: str, capacity: int, end_id: int, keep_ids: bool):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
                     names=["_id", "piece", "start", "length", "ids_crc32", "_task", "_nth", "ids"])
-        del enc
-        release()
-    return run
+                del texts, ids, off, own, part, rows, cols
+            del batch  # before the next one is read
+    return released(run)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
@@ -174,7 +174,8 @@ def plan_slots(count: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
          end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset`` (and ``ids``)."""
-    rows = written(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids), "pieces")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        rows = written(pieces(docs, tokenizer, id_col, text_col, capacity, end_id, keep_ids), "pieces")
     counts = rows.groupBy("length", "_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), "starts")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import release, text_chunks, words_of
+from .words import released, text_chunks, words_of
 
 BUCKETS, DIM, NONZERO = 1 << 13, 64, 4
 SHAPES, SHAPE_DIM = 64 * 5 * 2, 32
@@ -87,7 +87,6 @@ def _contexts(batches):
     flat = pa.array(rows[used].astype(np.float32).ravel())
     yield pa.RecordBatch.from_arrays(
         [pa.array(used.astype(np.int32)), pa.FixedSizeListArray.from_arrays(flat, DIM).cast(pa.list_(pa.float32()))], names=["bucket", "v"])
-    release()
 
 
 def _pairs(left: list, right: list) -> np.ndarray:
@@ -101,7 +100,7 @@ def _pairs(left: list, right: list) -> np.ndarray:
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Context vectors of all buckets over all documents: ``BUCKETS x DIM``, whatever the input's size."""
-    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(_contexts, "bucket int, v array<float>")
+    parts = docs.select(F.col(text_col).cast("string")).mapInArrow(released(_contexts), "bucket int, v array<float>")
     sums = parts.groupBy("bucket").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(DIM)]).alias("v"))
     out = np.zeros((BUCKETS, DIM), dtype=np.float32)
     for row in sums.collect():
@@ -136,8 +135,7 @@ def _featurizer(vectors: np.ndarray):
         for b in batches:
             f = pooled(b.column(1), vectors).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in f], pa.binary())], names=["id", "f"])
-        release()
-    return run
+    return released(run)
 
 
 def features(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,7 +203,7 @@ def _scorer(model: Model):
         for b in batches:
             s = model.score(_unpack(b.column(1).to_pylist())) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.astype(np.float64))], names=["id", "score"])
-    return run
+    return released(run)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -228,6 +226,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             ok = model.score(pooled(b.column(where), model.vectors).astype(np.float16).astype(np.float32)) >= threshold
             yield b.filter(pa.array(ok))
-        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

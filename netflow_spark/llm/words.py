@@ -34,6 +34,15 @@ def release() -> None:
         trim(0)
 
 
+def released(run):
+    """``run`` of ``mapInArrow``, after which a task's memory goes back to the system. Only once the generator has
+    ended are its last batches and arrays free; what an idle worker keeps counts beside the next stage's tasks."""
+    def tidy(batches):
+        yield from run(batches)
+        release()
+    return tidy
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

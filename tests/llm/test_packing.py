@@ -1,12 +1,18 @@
 import random
+import tracemalloc
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from cases import AWKWARD, docs
 from tokenizers import Tokenizer
 
+from netflow_spark.llm import packing, words
+from netflow_spark.llm.common import arrow_batches
 from netflow_spark.llm.packing import pack, plan_slots, reduce_dominated
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -94,3 +100,56 @@ def test_words_that_share_a_hash(spark):
 
 def test_empty(spark):
     assert pack(docs(spark, []), PATH).count() == 0
+
+
+def test_a_task_takes_little_memory_beside_its_texts(monkeypatch):
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    def batch(texts):
+        return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["_id", "_text"])
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    rng = random.Random(4)
+    words_ = ["".join(rng.choice("abcdeiou") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words_, k=500)) for _ in range(1500)]
+    run = packing._piece_maker(PATH, 4096, 1, False)
+    assert sum(b.num_rows for b in run(iter([batch(texts[:1])]))) == 1
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch(texts)]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 10 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_is_released_after_the_last_array_has_gone(monkeypatch):
+    alive = []
+
+    def run(batches):
+        for b in batches:
+            held = np.zeros(b)
+            alive.append(weakref.ref(held))
+            yield b
+
+    seen = []
+    monkeypatch.setattr(words, "release", lambda: seen.append([r() is None for r in alive]))
+    assert list(words.released(run)(iter([3, 4]))) == [3, 4]
+    assert seen == [[True, True]]
+
+
+def test_batches_are_small_only_while_packing(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    with pytest.raises(ValueError), arrow_batches(spark, 10):
+        assert max(r.n for r in spark.range(100).coalesce(1).mapInArrow(rows, "n long").collect()) == 10
+        raise ValueError
+    assert spark.conf.get(key) == before
+    pack(docs(spark, [(1, "a text")]), PATH).collect()
+    assert spark.conf.get(key) == before
