@@ -53,7 +53,7 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame], percent: int,
-                 pairs_a_member: int = PAIRS_A_MEMBER) -> DataFrame:
+                 pairs_a_member: int = PAIRS_A_MEMBER, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(node, component)`` of the items that are linked to others.
 
     ``regions``: written rows ``(g, x, n, place, pivot, pn, pplace)``, item ``x`` with set size ``n`` in
@@ -69,6 +69,10 @@ def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame],
     components a member is compared pair by pair, if sizes, places and distances to the
     pivot allow a link. Rounds go on as long as each leaves crowded regions at most half of
     their rows; after a round that does not, pivots gain nothing and the pairs of all regions are compared.
+
+    With ``meet`` all sizes are 1 and all places 0 (they are not looked at between rounds), and the pairs of a region
+    are those that ``meet`` gives as ``(a, b)``, a < b, of rows ``(g, x, c)`` of items in components; ``compare`` may then
+    leave out pairs that are not linked.
     """
     rows, links, close, rest = regions.withColumns({"c": F.col("x"), "pc": F.col("pivot")}), None, [], []
     before, last = None, False
@@ -80,9 +84,13 @@ def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame],
         links = written(components(found if links is None else links.unionByName(found)), "components").select(F.col("node").alias("a"), F.col("component").alias("b"))
         others = rows.where("x <> pivot").select("g", "x", "n", "place", "pivot")
         named = others.join(links.select(F.col("a").alias("x"), F.col("b").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
-        rows = written(with_partners(written(named, "named"), percent), "partners")
-        state = (rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("place", "x", "n")).alias("p"))
-                 .groupBy("g").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min(F.struct("p", "c")).alias("p"))
+        rows = written(named, "named")
+        rows = rows if meet else written(with_partners(rows, percent), "partners")
+        least, first = F.min(F.struct("place", "x", "n")), F.min(F.struct("p", "c"))
+        if meet:  # all places and sizes are the same; numbers are summed up without a sort
+            least, first = F.min("x"), F.struct(F.struct(F.lit(0).cast("long").alias("place"), F.min("p").alias("x"), F.lit(1).cast("long").alias("n")).alias("p"), F.min_by("c", "p").alias("c"))
+        state = (rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"), least.alias("p"))
+                 .groupBy("g").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), first.alias("p"))
                  .where("k * k > same").withColumn("crowded", F.expr(f"(k * k - same) / 2 > {pairs_a_member} * k")))
         state = written(state.select("g", "k", "crowded", F.col("p.p.x").alias("_pivot"), F.col("p.p.n").alias("pn"), F.col("p.p.place").alias("pplace"), F.col("p.c").alias("pc")), "state")
         size = state.where("crowded").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
@@ -97,12 +105,15 @@ def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame],
         left, known = left.unionByName(r), known.unionByName(k)
     known = written(known.select("a", "b", "d").dropDuplicates(["a", "b"]), "known")
     left = left.join(links.select(F.col("a").alias("x"), F.col("b").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
-    left = written(left.join(known.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d"), ["x", "pivot"], "left"), "left")
-    one, two = (left.select("g", *[F.col(c).alias(f"{c}{s}") for c in ("x", "n", "place", "c", "d")]) for s in "ab")
-    pairs = (one.join(two, "g").where("ca <> cb and xa < xb").where(sizes_allow("na", "nb", percent))
-             .where(places_allow("na", "placea", "nb", "placeb", percent))
-             .where(f"coalesce(abs(da - db) <= {1 - percent / 100 + 1e-9}, true)")
-             .select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct())
+    if meet:
+        pairs = meet(left).distinct()
+    else:
+        left = written(left.join(known.select(F.col("a").alias("x"), F.col("b").alias("pivot"), "d"), ["x", "pivot"], "left"), "left")
+        one, two = (left.select("g", *[F.col(c).alias(f"{c}{s}") for c in ("x", "n", "place", "c", "d")]) for s in "ab")
+        pairs = (one.join(two, "g").where("ca <> cb and xa < xb").where(sizes_allow("na", "nb", percent))
+                 .where(places_allow("na", "placea", "nb", "placeb", percent))
+                 .where(f"coalesce(abs(da - db) <= {1 - percent / 100 + 1e-9}, true)")
+                 .select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct())
     done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = compare(written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")).where("linked").select("a", "b")
     return components(written(links.unionByName(found), "links"))
