@@ -60,7 +60,8 @@ def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame],
     region ``g``; ``place`` members of x come before those that the region may hold in common, and
     ``pivot`` (size ``pn``, place ``pplace``) is the region's item of the least place, then name: the one
     with the fewest members of its own, near which the others lie. ``compare`` gives
-    ``(a, b, d, linked)`` of pairs ``(a, b)``.
+    ``(a, b, d, linked)`` of pairs ``(a, b)``. Rows ``alone``, if there is such a column, have no other item than the
+    pivot in their region.
 
     In rounds, a region's items are compared with its pivot and the pivot leaves the region. So do
     items whose size and place rule out a link to every item of another component. A region of one
@@ -82,7 +83,7 @@ def link_regions(regions: DataFrame, compare: Callable[[DataFrame], DataFrame],
         close.append(written(compare(written(pairs, "pairs")), "distances"))
         found = close[-1].where("linked").select("a", "b")
         links = written(components(found if links is None else links.unionByName(found)), "components").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        others = rows.where("x <> pivot").select("g", "x", "n", "place", "pivot")
+        others = rows.where("x <> pivot and not alone" if "alone" in rows.columns else "x <> pivot").select("g", "x", "n", "place", "pivot")
         named = others.join(links.select(F.col("a").alias("x"), F.col("b").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
         rows = written(named, "named")
         rows = rows if meet else written(with_partners(rows, percent), "partners")
